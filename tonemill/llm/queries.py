@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, mixing, url_filter
+from . import decontamination, fingerprints, mixing, pii, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op5_fingerprints, op6_mixing, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_url_filter, op5_fingerprints, op6_mixing, op7_pii, op9_decontamination)}
 ORACLES: dict[str, str] = {}
