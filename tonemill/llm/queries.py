@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_text, langid, mixing, pii, toxicity, url_filter
+from . import decontamination, fingerprints, html_text, langid, mixing, near_duplicates, pii, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next_fingerprint(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination)}
 ORACLES: dict[str, str] = {}
