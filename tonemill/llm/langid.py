@@ -200,17 +200,15 @@ def fit(docs: DataFrame) -> Model | None:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tables = Tables(broadcast.value) if broadcast.value else None
+        tables = Tables(model) if model else None
         for texts in batches:
             out = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
             ask = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if tables else []
             if ask:
                 best, score = tables.identify([texts.iloc[i].encode() for i in ask])
-                out.loc[ask, "lang_pred"] = [broadcast.value.langs[b] for b in best]
+                out.loc[ask, "lang_pred"] = [model.langs[b] for b in best]
                 out.loc[ask, "score"] = np.minimum(score, 1.0)
             yield out
 

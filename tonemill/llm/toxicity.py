@@ -293,11 +293,9 @@ class Scorer:
 
 def with_scores(docs: DataFrame, model: Model | float, chunk: int = 500) -> DataFrame:
     """docs with ``score``; all other columns pass through unread."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(broadcast.value)
+        scorer = Scorer(model)
         for texts in batches:
             parts = [scorer(list(texts.iloc[i : i + chunk])) for i in range(0, len(texts), chunk)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
