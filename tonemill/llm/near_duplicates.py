@@ -43,7 +43,7 @@ BANDS = BUCKETS // BAND_ROWS
 PERCENT = 80
 MARGIN = 0.15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -152,7 +152,8 @@ def _estimated(a: str, b: str) -> Column:
         x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, BUCKETS) for c in (a, b))
         return pd.Series(estimate((x == y).mean(1)))
 
-    return estimated(a, b)
+    # Else the filter on it and the column would each run it.
+    return estimated.asNondeterministic()(a, b)
 
 
 def _linked(size: int) -> Column:
