@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 #: At most so many labelled rows of each class are learned from, of texts up
 #: to MAX_CHARS code points. All rows are scored, over their whole texts.
-MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 4000, 8000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PREFIXES = (4, 5, 7)
 #: Small samples are gone through more often: LEAST_SEEN texts in all.
@@ -59,15 +60,22 @@ class Vocabulary:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[list[int]] = [[0] * (1 + len(PREFIXES))]
+        self._rows = array("i", [0] * (1 + len(PREFIXES)))
+
+    def __len__(self) -> int:
+        return len(self.ids) + 1
 
     def encode(self, words: list[str]) -> np.ndarray:
-        ids, rows = self.ids, self.rows
+        ids = self.ids
         for w in set(words).difference(ids):
-            ids[w] = len(rows)
-            rows.append(features_of(w))
+            ids[w] = len(ids) + 1
+            self._rows.extend(features_of(w))
         return np.array([ids[w] for w in words], dtype=np.int32)
 
+    def rows(self, start: int = 0) -> np.ndarray:
+        """Table rows of the words from id start on."""
+        return np.array(self._rows[start * (1 + len(PREFIXES)) :], dtype=np.int32).reshape(-1, 1 + len(PREFIXES))
+
 
 @dataclass
 class Model:
@@ -158,7 +166,8 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary()
     encoded = [vocabulary.encode(words_of(t)) for t in texts]
-    rows = np.array(vocabulary.rows, dtype=np.int32)
+    rows = vocabulary.rows()
+    del vocabulary
     names = sorted({x for x in langs if x is not None}) or [""]
     lang = np.array([names.index(x) if x is not None else -1 for x in langs])
     n_out = FILTERS * len(WIDTHS)
@@ -282,10 +291,10 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if isinstance(self.model, float):
             return np.full(len(texts), self.model)
-        if len(self.vocabulary.rows) > CACHE:
+        if len(self.vocabulary) > CACHE:
             self.vocabulary, self.words = Vocabulary(), self.words[:1]
         encoded = [self.vocabulary.encode(words_of(t)) for t in texts]
-        fresh = np.array(self.vocabulary.rows[len(self.words) :], dtype=np.int32)
+        fresh = self.vocabulary.rows(len(self.words))
         if len(fresh):
             self.words = np.concatenate([self.words, self.model.table[fresh].sum(1)])
         return self.model.score(pool(self.model, self.words, encoded)).astype(float)
