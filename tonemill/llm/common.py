@@ -55,6 +55,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def hashed_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
+    """About n rows of df (all, if it has no more), chosen by a hash of keys.
+
+    A filter, not a top-n: no task or driver gathers n rows of every task.
+    Repeats of a row are chosen alike; a limit of 2 n bounds what they add.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int(n / total * (1 << 40))).limit(2 * n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many texts are learned from, SAMPLES windows from each, taken at
+from .common import hashed_sample
+
+#: About so many texts are learned from, SAMPLES windows from each, taken at
 #: hashed places. All rows are identified, over their whole texts.
 MAX_TEXTS, SAMPLES = 6000, 3
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
@@ -189,11 +191,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    h = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("text", "lang", h.alias("_h"))
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    known = hashed_sample(known, MAX_TEXTS, SEED, "doc_id").filter(F.col("text").rlike("\\p{L}")).withColumn("_h", F.xxhash64("doc_id", "text"))
     place = lambda i: (F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1).cast("int")
     cut = F.array(*[F.col("text").substr(place(i), F.lit(WINDOW)) for i in range(SAMPLES)])
-    rows = known.select("lang", "_h", cut.alias("cut")).orderBy("_h", "lang", "cut").limit(MAX_TEXTS).collect()
+    rows = sorted(known.select("lang", "_h", cut.alias("cut")).collect(), key=lambda r: (r["_h"], r["lang"]))
     pairs = [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cut"]]
     return train([p[0] for p in pairs], [p[1] for p in pairs]) if pairs else None
 

@@ -38,12 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import hashed_sample, materialize, small
 
 LENGTH, KMER = 50, 24
 SPAN = LENGTH - KMER + 1  # suffixes in a window; offsets are below it
 LEAD = 16
-#: Splitters come from at most so many texts, TOKENS suffixes of each.
+#: Splitters come from about so many texts, TOKENS suffixes of each.
 SAMPLE_TEXTS, TOKENS = 2000, 200
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,7 +140,7 @@ def _bytes_of(text: str | None) -> np.ndarray:
 
 
 def sample_buckets(texts: DataFrame, count: int) -> Buckets:
-    rows = texts.filter(F.octet_length("text") >= LENGTH).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS)
+    rows = hashed_sample(texts, SAMPLE_TEXTS, 3, "doc_id")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -32,7 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows of each class are learned from, of texts up
+from .common import hashed_sample, materialize
+
+#: About so many labelled rows of each class are learned from, of texts up
 #: to MAX_CHARS code points. All rows are scored, over their whole texts.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
@@ -272,14 +274,18 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model learned from rows that aren't held out, or the share of toxic
     labels if there is none of each class."""
-    rows = labels.select(F.col("doc_id").alias("_id"), "toxic").filter("toxic is not null and _id is not null").dropDuplicates(["_id"])
-    known = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & (F.length("text") <= MAX_CHARS))
-    joined = known.join(rows, known.doc_id == rows["_id"]).select("text", "lang", "toxic", F.xxhash64(F.lit(SEED), "doc_id", "text").alias("_h"))
-    part = [joined.filter(F.col("toxic") == c).orderBy("_h", "text").limit(n).drop("_h").collect() for c, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
-    if not part[0] or not part[1]:
-        return 1.0 if part[0] else 0.0
-    sample = [*part[0], *part[1]]
-    return train([r["text"] for r in sample], np.array([int(r["toxic"] == 1) for r in sample]), [r["lang"] for r in sample])
+    rows = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    rows = rows.filter(~held_out(F.col("doc_id")))
+    chosen = [hashed_sample(rows.filter(F.col("toxic") == c), n, SEED, "doc_id") for c, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    # At most twice MAX_TOXIC and MAX_CLEAN rows of two columns.
+    ids = F.broadcast(materialize(chosen[0].unionByName(chosen[1]), "labelled-sample"))
+    texts = docs.select("doc_id", "text", "lang").filter(F.length("text") <= MAX_CHARS).join(ids, "doc_id").select("text", "lang", "toxic")
+    sample = texts.limit(4 * (MAX_TOXIC + MAX_CLEAN)).collect()
+    toxic = np.array([int(r["toxic"] == 1) for r in sample])
+    if not len(toxic) or toxic.all() or not toxic.any():
+        return float(toxic.mean()) if len(toxic) else 0.0
+    order = sorted(range(len(sample)), key=lambda i: zlib.crc32(sample[i]["text"].encode()))  # the same however rows arrive
+    return train([sample[i]["text"] for i in order], toxic[order], [sample[i]["lang"] for i in order])
 
 
 class Scorer:
