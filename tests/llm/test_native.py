@@ -1,0 +1,282 @@
+"""URL filters, fingerprints, mixing, PII and decontamination."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tonemill.llm import decontamination, fingerprints, mixing, pii, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, rank int, size string"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 1, "x") for i, t, s in rows], DOCS)
+
+
+def some_words(rng, n, vocabulary=300):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+# --- url filter
+
+
+def brute_rank(edges, seeds, d=0.85, rounds=20):
+    total = {}
+    for (s, _), n in edges.items():
+        total[s] = total.get(s, 0) + n
+    rank = {h: (1 - d) * v for h, v in seeds.items() if v > 0}
+    start = dict(rank)
+    for _ in range(rounds):
+        new = dict(start)
+        for (s, t), n in edges.items():
+            if s in rank:
+                new[t] = new.get(t, 0) + d * rank[s] * n / total[s]
+        rank = new
+    return rank
+
+
+def test_url_parts_and_rules(spark):
+    urls = [None, "no scheme", "http://A.Example.ORG/es/1?x", "http://example.org/en/12#t", "https://x.com/fr/9", "https://com/de/", "http://evilorg/a", "http://org", "ftp://h?q://i", "http://shop.example.org/en/2"]
+    pages = spark.createDataFrame([(i, u, None, i) for i, u in enumerate(urls)], "page_id long, url string, html string, rule int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
+    assert got[0] == got[1] == ("", "", None, "allow")
+    assert got[2] == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert got[3] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert got[4][2:] == ("com/fr/", "allow") and got[5][2:] == ("com/de/", "block")
+    assert got[6][2] is None and got[7] == ("org", "", None, "allow")
+    assert got[8][:2] == ("h", "") and got[9][2:] == ("org/", "allow")
+
+
+def test_propagation_equals_brute_force(spark):
+    rng = random.Random(2)
+    hosts = [f"h{i}.{rng.choice(['net', 'com', 'example.org'])}" for i in range(25)]
+    rows = []
+    for i in range(200):
+        h = hosts[min(int(rng.expovariate(0.3)), 24)]
+        links = "".join(f'<a class=x href="https://{rng.choice(hosts).upper()}/p">t</a>' for _ in range(rng.randrange(3)))
+        rows.append((i, f"http://{h}/{rng.choice(['fr', 'de', 'en', 'es'])}/{i}", f"<p>{links}<a href='/local'>l</a>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges, judged = {}, {}
+    for _, u, h in rows:
+        host, path = re.match(r"http://([^/]*)(.*)", u).groups()
+        fits = [r for r in url_filter.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+        judged.setdefault(host, []).append(max(fits, key=lambda r: len(r[1] + r[2]))[0] if fits else None)
+        for t in re.findall(r"https://([^/]*)/", h):
+            if t.lower() != host:
+                edges[host, t.lower()] = edges.get((host, t.lower()), 0) + 1
+    share = lambda a: {h: v.count(a) / len(v) for h, v in judged.items()}
+    trust = brute_rank(edges, share("allow"))
+    distrust = brute_rank({(t, s): n for (s, t), n in edges.items()}, share("block"))
+    got = url_filter.judge(pages).collect()
+    assert len(got) == 200
+    for r in got:
+        assert r["trust"] == pytest.approx(trust.get(r["host"], 0), abs=1e-4)
+        assert r["distrust"] == pytest.approx(distrust.get(r["host"], 0), abs=1e-4)
+        if r["rule"] is None and abs(distrust.get(r["host"], 0) - trust.get(r["host"], 0)) > 1e-3:
+            assert r["verdict"] == ("block" if distrust.get(r["host"], 0) > trust.get(r["host"], 0) else "allow")
+
+
+def test_url_filter_of_nothing(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# --- fingerprints
+
+
+def test_fingerprints_against_sets(spark):
+    rng = random.Random(3)
+    texts = [some_words(rng, rng.choice([0, 1, 3, 20, 60, 400]), 2000) for _ in range(60)] + [None, "", "same same same", "same same same"]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(5, texts[5], "a"), (None, "no id", "a")]
+    got = fingerprints.with_next_fingerprint(docs(spark, rows), per_bucket=9).collect()
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    expect = []
+    for (i, t, _), (_, nxt, _) in zip(order, order[1:] + order[:1], strict=True):
+        t, nxt = t or "", nxt or ""
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        expect.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), jaccard(shingles(t), shingles(e)), jaccard(shingles(t), shingles(nxt)), len(shingles(t))))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for r, e in zip(sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r) for r in got), key=key), sorted(expect, key=key), strict=True):
+        assert r[:3] == e[:3]
+        row = r[3]
+        assert row["near_edited"] == pytest.approx(e[3], abs=0.25 if e[5] > 20 else 1e-9)
+        assert row["near_next"] == pytest.approx(e[4], abs=0.25)
+        assert row["n_shingles"] == pytest.approx(e[5], rel=0.5)
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (62, 63)}) == 1
+    assert next(r for r in got if r["doc_id"] == 60)["fingerprint"] == ""
+
+
+def test_fingerprints_merge(spark):
+    df = spark.range(1).select(F.expr("transform(sequence(1, 900), i -> xxhash64(i))").alias("a"), F.expr("transform(sequence(600, 1500), i -> xxhash64(i))").alias("b"))
+    s = df.select(fingerprints.bottom_k(F.col("a")).alias("a"), fingerprints.bottom_k(F.col("b")).alias("b"), fingerprints.bottom_k(F.concat("a", "b")).alias("u"))
+    r = s.select((fingerprints.merge(F.col("a"), F.col("b")) == F.col("u")).alias("same"), fingerprints.resemblance(F.col("a"), F.col("b")).alias("j"), fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.distinct_count(F.col("u")).alias("n")).first()
+    assert r["same"] and r["j"] == pytest.approx(0.2, abs=0.15) and r["c"] == pytest.approx(1 / 3, abs=0.25) and r["n"] == pytest.approx(1500, rel=0.4)
+
+
+def test_fingerprints_of_one_and_none(spark):
+    one = fingerprints.with_next_fingerprint(docs(spark, [(1, "a b c d", "s")])).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b a b".replace(b"a b a b", b"a ba b ")).hexdigest()
+    assert fingerprints.with_next_fingerprint(docs(spark, [])).count() == 0
+
+
+# --- mixing
+
+
+def brute_fill(sizes, weights, epochs=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        if not free:
+            return fixed
+        left = total - sum(fixed.values())
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > epochs * sizes[s]]
+        if not over:
+            return fixed | share
+        fixed |= {s: epochs * sizes[s] for s in over}
+
+
+def test_mix_meets_targets(spark):
+    rng = random.Random(4)
+    rows = [(i, None if i % 50 == 0 else some_words(rng, rng.randrange(1, 40)), rng.choices(["a", "b", "ä", "c", None, "z"], [30, 5, 3, 8, 6, 1])[0]) for i in range(3000)]
+    out = mixing.mix(docs(spark, rows))
+    assert out.columns == ["doc_id", "text", "lang", "source", "rank", "size", "source_size", "target", "repeats", "taken"] or set(out.columns) >= {"size", "taken"}
+    got = out.collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    targets = brute_fill(sizes, mixing.WEIGHTS)
+    assert len(got) == 3000
+    for s in sizes:
+        of = [r for r in got if r["source"] == s]
+        assert of[0]["target"] == pytest.approx(targets[s]) and of[0]["source_size"] == sizes[s]
+        assert sum(r["taken"] for r in of) == pytest.approx(targets[s], abs=40)
+    assert all(r["taken"] <= 3 * r["size"] and r["size"] == len((r["text"] or "").split()) for r in got)
+    again = mixing.mix(docs(spark, rows[::-1])).collect()
+    assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in again}
+
+
+def test_mix_edges(spark):
+    assert mixing.mix(docs(spark, [])).count() == 0
+    empty = mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).collect()
+    assert [r["taken"] for r in empty] == [0, 0] and all(r["target"] == 0 for r in empty)
+    twice = mixing.mix(docs(spark, [(1, "a b", "a"), (1, "a b", "a"), (None, "c", "b")])).collect()
+    assert len(twice) == 3 and len({r["taken"] for r in twice if r["source"] == "a"}) == 1
+
+
+# --- PII
+
+PRIVATE = ["und.34@mail7.example.com", "+1 (743) 555-3824", "9807915762804490", "227.5.221.1", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "123-45-6789"]
+
+
+def test_pii_is_replaced_in_kind(spark):
+    text = "A {0}, B {1} C={2}!! ({3}). token = \"{4}\" {5} Mrs Anna Smith met Mr. Smith; Госпожа Анна Иванова, UND.34@MAIL7.EXAMPLE.COM and +1-743-555-3824 Version 2.0".format(*PRIVATE)
+    rows = [(1, text, "s"), (1, text, "s"), (2, None, "s"), (3, "", "s"), (4, "clean, 4.0 text", "s"), (5, f"{PRIVATE[0]}", "s")]
+    out = pii.replace(docs(spark, rows)).collect()
+    assert len(out) == 6 and out[0].asDict().keys() >= {"rank", "n_entities"}
+    first = [r["text"] for r in out if r["doc_id"] == 1]
+    assert first[0] == first[1]
+    got = first[0]
+    assert not any(p in got for p in [*PRIVATE, "Smith", "Иванова", "UND.34"]) and "Version 2.0" in got and 'token = "' in got
+    shape = re.fullmatch(r'A ([a-z]+\.\d\d@[a-z]+\d\.[a-z]+\.com), B (\+1 \(\d{3}\) \d{3}-\d{4}) C=(9\d{15})!! \((\d+\.\d+\.\d+\.\d+)\)\. token = "([0-9a-f]{40})" (\d{3}-\d\d-\d{4}) Mrs ([A-Z]\w+ [A-Z]\w+) met Mr\. ([A-Z]\w+); Госпожа ([А-Я]\w+ [А-Я]\w+), ([A-Z]+\.\d\d@\S+) and (\+1-\d{3}-\d{3}-\d{4}) Version 2\.0', got)
+    assert shape, got
+    assert shape[10].lower() == shape[1] and re.sub(r"\D", "", shape[11]) == re.sub(r"\D", "", shape[2])
+    assert shape[7].split()[0] in pii.GIVEN["latin", "f"].split() and shape[9].split()[0] in pii.GIVEN["cyrillic", "f"].split()
+    by = {r["doc_id"]: r for r in out}
+    assert by[2]["text"] is None and by[3]["text"] == "" and by[4]["text"] == "clean, 4.0 text" and by[4]["n_entities"] == 0
+    assert by[5]["text"] == shape[1] and by[1]["n_entities"] == 11
+
+
+def test_pii_stays_distinct_and_keyed(spark):
+    ids = [f"{i:03d}-{i % 100:02d}-{i:04d}" for i in range(1000)]
+    df = docs(spark, [(i, f"n {x} n", "s") for i, x in enumerate(ids)])
+    a = [r["text"] for r in pii.replace(df).collect()]
+    assert len(set(a)) == 1000 and not {f"n {x} n" for x in ids} & set(a)
+    assert set(a) != {r["text"] for r in pii.replace(df, key="other").collect()}
+    # Two digits of freedom: surrogates collide at first and must be drawn again.
+    few = spark.createDataFrame([("card", f"4{i:02d}") for i in range(60)], "kind string, canon string")
+    s = {r["canon"]: r["surrogate"] for r in pii.surrogates(few.filter("canon < '430'")).collect()}
+    assert len(set(s.values())) == 30 and not set(s) & set(s.values())
+
+
+def test_pii_luhn(spark):
+    good = "4539578763621486"
+    out = pii.replace(docs(spark, [(1, good, "s")])).first()["text"]
+    total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(out)))
+    assert out != good and len(out) == 16 and total % 10 == 0
+
+
+def test_pii_of_nothing(spark):
+    assert pii.replace(docs(spark, [])).count() == 0
+
+
+# --- decontamination
+
+
+def brute_hits(rows, items, w=10):
+    rx = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: rx.findall((t or "").translate(lower))
+    windows = {}
+    for i, t in items:
+        x = words(t)
+        n = min(w, len(x))
+        for s in range(len(x) - n + 1 if n else 0):
+            windows.setdefault(tuple(x[s : s + n]), set()).add(str(i) if i is not None else "")
+    out = []
+    for i, t, _ in rows:
+        x, hit, found = words(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for s in range(len(x) - n + 1):
+                if got := windows.get(tuple(x[s : s + n])):
+                    hit.update(range(s, s + n))
+                    found |= got
+        out.append((i, len(x), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, some_words(rng, n, 12)) for i, n in enumerate([3, 9, 10, 11, 25, 40, 0, 60])] + [(7, "again one two"), (None, "é Ü ß"), (100, None), (101, items_text := "aa bb aa bb aa bb aa bb aa bb aa bb")]
+    rows = []
+    for i in range(120):
+        t = some_words(rng, rng.randrange(60), 12)
+        if i % 3 == 0:
+            x = (items[rng.randrange(8)][1] or "").split()
+            t += ". " + ", ".join(x[rng.randrange(3) :]).upper() + " " + t
+        rows.append((i, t, "s"))
+    rows += [(200, None, "s"), (201, "", "s"), (202, "É Ü ß é Ü ß", "s"), (3, rows[3][1], "s"), (203, items_text + " aa", "s"), (204, "--- " + items_text, "s"), (None, items[5][1], "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontamination.report(docs(spark, rows), bench).collect()), key=str)
+    assert got == sorted(brute_hits(rows, items), key=str)
+    kept = decontamination.decontaminate(docs(spark, rows), bench)
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(e[0]) for e in brute_hits(rows, items) if not e[5])
+
+
+def test_decontamination_edges(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    out = decontamination.report(docs(spark, [(1, "a b", "s")]), bench).first()
+    assert (out["n_words"], out["n_hit"], out["contaminated"]) == (2, 0, False)
+    assert decontamination.report(docs(spark, []), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_proximity(spark):
+    places = decontamination.item_words(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).withColumn("term_id", F.xxhash64("term"))
+    df = docs(spark, [(1, "gamma x beta y alpha", "s"), (2, "alpha x x x x x beta gamma", "s")])
+    index = decontamination.build_index(df, places.select("term_id").distinct())
+    near = decontamination.find_near(index, places.select("item", "n", "ipos", "term_id"), span=5).collect()
+    assert len(near) == 1 and (near[0]["first"], near[0]["last"]) == (0, 4)

@@ -1,15 +1,16 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 `build_index` stores postings (term, document, position) of the training
-tokens that are benchmark terms, grouped by term. `find_phrases` looks for
+tokens that are benchmark terms, in one shard per input split, each ordered by
+term; no posting is shuffled for it. `find_phrases` looks for
 every window of benchmark words in it: the window's rarest term gives aligned
 candidates, the next rarest prunes them, and the lists of the remaining terms
 are intersected at their offsets; runs of a window's length or more are the
 exact occurrences. `find_near` returns proximity matches: documents where all
 terms of a window stand within a span of positions.
 
-Nothing is grouped by a frequent term alone: postings are dealt by term and
-document, candidates come from rare terms, and hits are merged per document.
+Nothing is grouped by a frequent term alone: shards are cut by documents,
+candidates come from rare terms, and hits are merged per document.
 
 Defined cases: null and word-free texts have no words and match nothing; an
 item of fewer words than a window is one window, an item without words none;
@@ -28,6 +29,8 @@ from .common import ascii_lower, materialize, small
 
 WINDOW = 10
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: The same before A-Z are lower-cased; enough to count words.
+_NOT_WORD_YET = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -36,6 +39,13 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of `words`. Only the first and last part of a split can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), _NOT_WORD_YET)
+    ends = (F.element_at(parts, 1) == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    return (F.size(parts) - ends).cast("long")
+
+
 def doc_key(doc_id: Column, text: Column) -> Column:
     """Tells rows of documents apart by doc_id and text."""
     return F.xxhash64(doc_id, text)
@@ -50,11 +60,13 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term_id, doc, pos) of the tokens of docs that are in ``terms``
-    (term, term_id), clustered by term and document in the shared folder."""
-    tokens = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    postings = tokens.join(small(terms), "term").select("term_id", "doc", "pos")
-    dealt = postings.repartition("term_id", F.pmod("doc", F.lit(64))).sortWithinPartitions("term_id", "doc", "pos")
-    return materialize(dealt, "postings")
+    (term_id), in the shared folder. Positions count from 0 or 1, alike within
+    a document. Terms are known by a 64-bit hash."""
+    parts = F.split(ascii_lower(F.coalesce("text", F.lit(""))), _NOT_WORD)
+    tokens = docs.select(doc_key(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(parts).alias("pos", "term"))
+    hashed = tokens.select(F.xxhash64("term").alias("term_id"), "doc", "pos")
+    postings = hashed.join(small(terms), "term_id").select("term_id", "doc", "pos")
+    return materialize(postings.sortWithinPartitions("term_id", "doc", "pos"), "postings")
 
 
 def _ranked_terms(places: DataFrame, index: DataFrame, window: int) -> DataFrame:
@@ -110,7 +122,7 @@ def covered(occurrences: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, n_hit, n_items, items_sha256) for each document with a hit."""
     places = materialize(item_words(benchmark), "item-words")
-    terms = materialize(places.select("term").distinct().withColumn("term_id", F.xxhash64("term")), "terms")
+    terms = materialize(places.select(F.xxhash64("term").alias("term_id")).distinct(), "terms")
     index = build_index(docs, terms)
     found = materialize(find_phrases(index, places.withColumn("term_id", F.xxhash64("term")).select("item", "n", "ipos", "term_id"), window), "occurrences")
     names = found.select("doc", "item").distinct().join(small(places.select("item", "item_id").distinct()), "item")
@@ -121,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per row."""
     hits = materialize(contamination(docs, benchmark, window), "contamination")
-    rows = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("doc"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("doc"), word_count(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(small(hits), "doc", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 

@@ -105,9 +105,10 @@ class Buckets:
         return low + np.where(width > 1, (doc * 0x9E3779B1 >> 7) % width, 0), width > 1
 
 
-def multikey_sort(words: np.ndarray) -> np.ndarray:
+def multikey_sort(words: np.ndarray, small: int = 4096) -> np.ndarray:
     """Order of rows of 64-bit words: three-way partitions by one word, the
-    middle part going on to the next word."""
+    middle part going on to the next word; small parts are sorted by all the
+    words that are left."""
     out = np.arange(len(words))
     stack = [(0, len(words), 0)]
     while stack:
@@ -115,15 +116,11 @@ def multikey_sort(words: np.ndarray) -> np.ndarray:
         if hi - lo < 2 or d == words.shape[1]:
             continue
         part = out[lo:hi]
-        key = words[part, d]
-        if hi - lo < 4096:
-            part = part[np.argsort(key, kind="stable")]
-            out[lo:hi] = part
-            key = words[part, d]
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            stack += [(lo + a, lo + b, d + 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
+        if hi - lo < small:
+            out[lo:hi] = part[np.lexsort(words[part, d:].T[::-1])]
             continue
-        pivot = np.partition(key[:: max(1, len(key) // 255)], len(key[:: max(1, len(key) // 255)]) // 2)[len(key[:: max(1, len(key) // 255)]) // 2]
+        key = words[part, d]
+        pivot = np.sort(key[:: len(key) // 255])[128]
         less, more = key < pivot, key > pivot
         out[lo:hi] = np.concatenate([part[less], part[~less & ~more], part[more]])
         a, b = lo + int(less.sum()), hi - int(more.sum())
@@ -239,35 +236,39 @@ def repeated_windows(contexts: DataFrame, parts: int) -> DataFrame:
             return
         divided, doc, at = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got]) for i in (0, 1, 2))
         around = np.concatenate([np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1) for b in got])
-        right = np.zeros((len(doc), -(-LENGTH // 8) * 8), np.uint8)
-        right[:, :LENGTH] = around[:, SPAN - 1 :]
-        words = right.view(">u8").astype(np.uint64)
-        order = multikey_sort(words)
-        divided, doc, at, around, words = divided[order], doc[order], at[order], around[order], words[order]
-        del right
-        common = np.zeros(len(doc), np.int64)  # bytes in common with the row before
-        if len(doc) > 1:
-            differ = around[1:, SPAN - 1 :] != around[:-1, SPAN - 1 :]
-            common[1:] = np.where(differ.any(1), differ.argmax(1), LENGTH)
+        # Suffix first, then what stands before it, the nearest byte first.
+        keyed = np.zeros((len(doc), -(-(LENGTH + SPAN - 1) // 8) * 8), np.uint8)
+        keyed[:, :LENGTH] = around[:, SPAN - 1 :]
+        keyed[:, LENGTH : LENGTH + SPAN - 1] = around[:, SPAN - 2 :: -1]
+        order = multikey_sort(keyed.view(">u8").astype(np.uint64))
+        divided, doc, at, around, keyed = divided[order], doc[order], at[order], around[order], keyed[order]
         place, most, least = at >> 12, at >> 6 & 63, at & 63
-        mask, left = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.uint64)
+        # Rows of equal surroundings are one class: its windows are the same.
+        differ = keyed[1:] != keyed[:-1]
+        apart = differ.any(1)
+        head = np.r_[True, apart]
+        rank = np.cumsum(head) - 1
+        heads = np.flatnonzero(head)
+        common = np.r_[0, np.where(apart, differ.argmax(1), LENGTH)][heads]  # with the class before
+        common = np.minimum(common, LENGTH)
+        class_doc = np.minimum.reduceat(doc, heads)
+        mask, left = np.zeros(len(doc), np.int64), np.zeros(len(heads), np.uint64)
+        before = around[heads, : SPAN - 1]
         pend: list[tuple[np.ndarray, int]] = []
         for a in range(SPAN):
             if a:
-                left = (left + around[:, SPAN - 1 - a].astype(np.uint64) + np.uint64(1)) * _PRIME
+                left = (left + before[:, SPAN - 1 - a].astype(np.uint64) + np.uint64(1)) * _PRIME
                 left ^= left >> np.uint64(29)
-            mine = np.flatnonzero((least <= a) & (a <= most))
-            if not len(mine):
-                continue
-            run = np.cumsum(common < LENGTH - a)[mine].astype(np.uint64)
-            key = _mixed(left[mine] ^ run * np.uint64(0xD6E8FEB86659FD93))
-            by = np.lexsort((doc[mine], key))
-            mine, key = mine[by], key[by]
-            start = np.r_[True, key[1:] != key[:-1]]
-            least_doc = doc[mine][start][np.cumsum(start) - 1]
-            mask[mine[doc[mine] > least_doc]] |= 1 << a
-            # One row of the smallest document a window stands for the bucket.
-            open_rows = mine[(doc[mine] == least_doc) & divided[mine]]
+            run = np.cumsum(common < LENGTH - a).astype(np.uint64)
+            key = _mixed(left ^ run * np.uint64(0xD6E8FEB86659FD93))
+            by = np.argsort(key, kind="stable")
+            start = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+            first = np.empty(len(heads), np.int64)
+            first[by] = np.repeat(np.minimum.reduceat(class_doc[by], start), np.diff(np.r_[start, len(by)]))
+            first, mine = first[rank], (least <= a) & (a <= most)
+            mask |= (mine & (doc > first)).astype(np.int64) << a
+            # The smallest document's rows stand for the bucket.
+            open_rows = np.flatnonzero(mine & divided & (doc == first))
             if len(open_rows):
                 pend.append((open_rows, a))
         hit = mask != 0

@@ -41,7 +41,7 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PREFIXES = (4, 5, 7)
 #: Small samples are gone through more often: LEAST_SEEN texts in all.
 EPOCHS, MOST_EPOCHS, LEAST_SEEN, BATCH, RATE, SEED = 3, 8, 20_000, 64, 0.03, 7
-LEAST_POSITIVES = 12
+LEAST_POSITIVES = 6
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 
