@@ -1,7 +1,7 @@
 """Language identification: a byte convolutional network.
 
-Texts are cut into windows of WINDOW bytes of UTF-8 that overlap by the widest
-filter less one, so that all bytes are seen. In a window, filters of several
+Lower-cased texts are cut into windows of WINDOW bytes of UTF-8 that overlap by
+the widest filter less one, so that all bytes are seen. In a window, filters of several
 widths run over the bytes, each keeps its largest answer, and a softmax gives
 the languages; a text's probabilities are the mean of its windows', weighted
 by their bytes. The network is trained in numpy on windows of a bounded sample
@@ -196,7 +196,7 @@ def fit(docs: DataFrame) -> Model | None:
     place = lambda i: (F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1).cast("int")
     cut = F.array(*[F.col("text").substr(place(i), F.lit(WINDOW)) for i in range(SAMPLES)])
     rows = sorted(known.select("lang", "_h", cut.alias("cut")).collect(), key=lambda r: (r["_h"], r["lang"]))
-    pairs = [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cut"]]
+    pairs = [(c.lower().encode()[:WINDOW], r["lang"]) for r in rows for c in r["cut"]]
     return train([p[0] for p in pairs], [p[1] for p in pairs]) if pairs else None
 
 
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             out = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0})
             ask = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if tables else []
             if ask:
-                best, score = tables.identify([texts.iloc[i].encode() for i in ask])
+                best, score = tables.identify([texts.iloc[i].lower().encode() for i in ask])
                 out.loc[ask, "lang_pred"] = [model.langs[b] for b in best]
                 out.loc[ask, "score"] = np.minimum(score, 1.0)
             yield out
