@@ -9,11 +9,15 @@ collision-corrected estimate drops hopeless pairs, and the rest are confirmed
 on the full sets.
 
 No group is expanded into its pairs. Documents of equal sets are one class. In
-a band's group every class is paired with the smallest id only; each class
-first tries its best such pair, which joins nearly all copies to a component.
-Then only pairs whose ends are still in different components are looked at:
-the other pairs with smallest ids, and last the members of groups that still
-hold more than one component, across those components.
+a band's group every class is paired with one member only, that which has most
+company over all its bands (in a family of edits, their common source); each
+class tries the one such partner with which it shares most bands, which joins
+nearly all copies to a component. What is left are groups that still hold more than
+one component, often families of texts that are alike, but not enough. Their
+documents go through an exact prefix filter: by rarity of shingles, two sets
+similar enough share one of the rarest fifth (and one more) of either, so edits
+of a text that differ too much, each with rare shingles of its own, never meet.
+Pairs across components that do meet are estimated and confirmed.
 
 With six registers a band and 42 bands a pair at similarity 0.8 is missed with
 probability (1 - 0.8^6)^42 = 3e-6, and the estimate's margin is six standard
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small
@@ -198,11 +202,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """pairs whose ends aren't in one component yet."""
-    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return named.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def _rare_meetings(docs: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """(a, b): documents of different components in ``held`` (doc_id,
+    component) that share a shingle of their prefixes. A set's prefix is as many
+    of its shingles, the rarest in ``held`` first, as must hold one that any
+    similar enough set has in its own prefix, too."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield pd.Series([shingle_set(t, size, hashes).view(np.int64) for t in texts], dtype=object)
+
+    texts = docs.select("doc_id", "text").join(small(held), "doc_id").select("doc_id", "component", shingles("text").alias("t"))
+    # Fewer than 80 of 100 shingles can be missing from the rest of the set.
+    need = F.size("t") - F.ceil(F.size("t") * PERCENT / 100) + 1
+    tokens = materialize(texts.select("doc_id", "component", F.size("t").alias("n"), need.alias("need"), F.explode("t").alias("t")), "held-shingles")
+    often = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
+    counted = tokens.join(often, "t", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("df", "t"))
+    prefix = materialize(counted.withColumn("_i", place).filter("_i <= need and lo <> hi").select("t", "doc_id", "component", "n"), "held-prefixes")
+    mixed = prefix.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t")
+    left = materialize(prefix.join(mixed, "t"), "held-mixed")
+    x, y = left.alias("x"), left.alias("y")
+    fits = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.component") < F.col("y.component")) & fits)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -216,33 +241,30 @@ def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     copies = materialize(member.select(F.col("class").alias("a"), F.col("doc_id").alias("b"), "k1", "k2").distinct(), "copies")
     heads = materialize(filled.filter("sketch is not null").join(small(copies.select(F.col("b").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_anti"), "class-heads")
 
-    banded = heads.select("doc_id", F.explode("bands").alias("band"))
-    groups = materialize(banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1").select("band", "a"), "band-groups")
-    crowd = materialize(banded.join(groups, "band").select("band", "a", F.col("doc_id").alias("b")), "band-members")
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        of = lambda end: heads.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s{end}"), F.col("n").alias(f"n{end}"))
-        fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-        valued = pairs.join(of("a"), "a").join(of("b"), "b").filter(fits).withColumn("likeness", _estimated("sa", "sb"))
-        return valued.filter(F.col("likeness") >= PERCENT / 100 - MARGIN).select("a", "b", "likeness")
-
-    stars = materialize(estimated(crowd.filter("a <> b").select("a", "b").distinct()), "star-pairs")
-    best = stars.groupBy("b").agg(F.max(F.struct("likeness", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    sure = materialize(confirm(best, docs, size), "links-1")
+    banded = heads.select("doc_id", "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    company = materialize(banded.join(shared, "band").select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "members"), "band-members")
+    known = company.join(company.groupBy("b").agg(F.sum("members").alias("company")), "b")
+    hubs = known.groupBy("band").agg(F.max(F.struct("company", (-F.col("b")).alias("a"), F.col("nb").alias("na"))).alias("m")).select("band", (-F.col("m.a")).alias("a"), F.col("m.na").alias("na"))
+    crowd = materialize(company.join(hubs, "band").select("band", "a", "na", "b", "nb"), "band-hubs")
+    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        of = lambda end: heads.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s{end}"))
+        valued = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("likeness", _estimated("sa", "sb"))
+        return materialize(valued.filter(F.col("likeness") >= PERCENT / 100 - MARGIN).select("a", "b"), "likely-pairs")
+
+    stars = crowd.filter("a <> b").filter(fits).groupBy("a", "b").agg(F.count("*").alias("bands"))
+    best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    sure = materialize(confirm(likely(best), docs, size), "links-1")
     labels = components(sure)
-    more = materialize(_across(stars, labels), "star-rest")
-    if more.limit(1).count():
-        sure = materialize(sure.unionByName(confirm(more, docs, size)), "links-2")
-        labels = components(sure)
-    # Groups that still hold several components: pairs across those only.
-    placed = crowd.select("band", F.col("b").alias("id")).join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    # Groups that still hold several components.
+    placed = crowd.select("band", F.col("b").alias("doc_id")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    held = materialize(placed.join(mixed, "band"), "mixed-groups")
-    x, y = held.alias("x"), held.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    last = materialize(estimated(cross.join(stars.select("a", "b"), ["a", "b"], "left_anti")), "cross-pairs")
+    held = materialize(placed.join(mixed, "band").select("doc_id", "component").distinct(), "mixed-groups")
+    last = likely(_rare_meetings(docs, held, size))
     if last.limit(1).count():
-        sure = materialize(sure.unionByName(confirm(last, docs, size)), "links-3")
+        sure = materialize(sure.unionByName(confirm(last, docs, size)), "links-2")
     twice = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     tied = filled.join(twice, "doc_id").join(classes, ["n", "k1", "k2"]).filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b")).distinct()
     return sketched.select("doc_id", "n"), components(sure.unionByName(copies.select("a", "b")).unionByName(tied))

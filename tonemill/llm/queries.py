@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_text, langid, mixing, near_duplicates, pii, repeats, toxicity, url_filter
+from . import decontamination, fingerprints, html_text, langid, mixing, near_duplicates, oracles, pii, repeats, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,4 +53,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination, op10_repeats)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontamination": oracles.DECONTAMINATION}
