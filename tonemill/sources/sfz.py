@@ -87,7 +87,7 @@ def regions(secs: DataFrame) -> DataFrame:
     paths = secs.select("file", "line", F.coalesce(F.last(F.when(F.col("header") == "control", F.col("default_path")), ignorenulls=True).over(w), F.lit("")).alias("default_path"))
     raw = inherit(secs.drop("default_path"), OPCODES).join(paths, ["file", "line"])
     number = lambda n: F.col(n).try_cast("double")
-    held = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    held = lambda c, lo, hi: F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
     key = lambda n: held(note_number(F.col(n)), 0, 127)
     at_least = lambda n, idle: F.greatest(F.coalesce(number(n), F.lit(idle)), F.lit(0.0))
     group, off = held(F.coalesce(number("group"), F.lit(0.0)).cast("long"), 0, 255), held(number("off_by").cast("long"), 0, 255)
