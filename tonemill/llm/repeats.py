@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hashed_sample, materialize, small
@@ -132,6 +132,11 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return place << 12 | (place - first) << 6 | (place - last)
 
 
+#: Texts that share a doc_id are told apart by a number above the place.
+_PLACE_BITS = 36
+_PLACE = (1 << _PLACE_BITS) - 1
+
+
 def _bytes_of(text: str | None) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8) if text else np.zeros(0, np.uint8)
 
@@ -158,12 +163,12 @@ def shared_suffixes(texts: DataFrame, buckets: Buckets, parts: int) -> DataFrame
         for b in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             size = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, variant, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 place, h, first, last = minimizers(data)
                 bucket, divided = buckets.of(leads(data, place), doc)
                 # A divided token is common for certain: -1 - bucket passes it.
-                for c, v in zip(cols, (np.where(divided, -1 - bucket, bucket), h.view(np.int64), np.full(len(h), doc), _pack(place, first, last)), strict=True):
+                for c, v in zip(cols, (np.where(divided, -1 - bucket, bucket), h.view(np.int64), np.full(len(h), doc), variant << _PLACE_BITS + 12 | _pack(place, first, last)), strict=True):
                     c.append(v)
                 size += len(h)
                 if size > 500_000:
@@ -183,7 +188,7 @@ def shared_suffixes(texts: DataFrame, buckets: Buckets, parts: int) -> DataFrame
             keep = np.repeat(many, np.diff(np.r_[start, len(h)]))
             yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(at[order][keep])], ["doc_id", "at"])
 
-    rows = texts.mapInArrow(suffixes, "bucket long, h long, doc_id long, at long")
+    rows = texts.select("doc_id", "variant", "text").mapInArrow(suffixes, "bucket long, h long, doc_id long, at long")
     # Divided tokens are passed on untouched, the others are looked at by bucket.
     dealt = rows.repartition(parts, F.when(F.col("bucket") < 0, F.col("h").bitwiseXOR(F.col("doc_id"))).otherwise(F.col("bucket")))
     flagged = dealt.select(F.when(F.col("bucket") < 0, None).otherwise(F.col("h")).alias("h"), "doc_id", "at")
@@ -206,15 +211,15 @@ def shared_suffixes(texts: DataFrame, buckets: Buckets, parts: int) -> DataFrame
 def with_context(texts: DataFrame, shared: DataFrame, buckets: Buckets) -> DataFrame:
     """(bucket, divided, doc_id, at, around) for each shared suffix; around is
     the SPAN - 1 bytes before it and the LENGTH from it on."""
-    lists = shared.groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    both = texts.join(lists, "doc_id").select("doc_id", "text", "ats")
+    lists = shared.groupBy("doc_id", F.shiftright("at", _PLACE_BITS + 12).alias("variant")).agg(F.collect_list("at").alias("ats"))
+    both = texts.join(lists, ["doc_id", "variant"]).select("doc_id", "text", "ats")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text, ats in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 at = np.unique(ats.values.to_numpy())
-                place = at >> 12
+                place = at >> 12 & _PLACE
                 bucket, divided = buckets.of(leads(data, place), doc)
                 padded = np.zeros(len(data) + SPAN - 1 + LENGTH, np.uint8)
                 padded[SPAN - 1 : SPAN - 1 + len(data)] = data
@@ -284,8 +289,8 @@ def repeated_windows(contexts: DataFrame, parts: int) -> DataFrame:
 
 
 def spans_by_document(texts: DataFrame) -> DataFrame:
-    """(doc_id, places, masks) of the repeated windows of texts (doc_id, text),
-    which holds one row a text, none null and no doc_id twice."""
+    """(doc_id, variant, places, masks) of the repeated windows of texts
+    (doc_id, variant, text), none of them null."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = sample_buckets(texts, 8 * parts)
@@ -295,7 +300,7 @@ def spans_by_document(texts: DataFrame) -> DataFrame:
     least = across.groupBy("window").agg(F.min("doc_id").alias("least"))
     more = across.join(least, "window").filter("doc_id > least").select("doc_id", "place", "mask")
     every = found.filter("window = ''").select("doc_id", "place", "mask").unionByName(more)
-    return materialize(every.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks")), "repeated-places")
+    return materialize(every.groupBy("doc_id", F.shiftright("place", _PLACE_BITS).alias("variant")).agg(F.collect_list(F.col("place").bitwiseAND(_PLACE)).alias("_places"), F.collect_list("mask").alias("_masks")), "repeated-places")
 
 
 def covered(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -309,18 +314,22 @@ def covered(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with ``copy`` (a smaller document has the same text), places and
-    masks."""
+    """docs with ``_copy`` (a smaller document has the same text), ``_places``
+    and ``_masks``."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_m")).filter("doc_id is not null")
     firsts = keyed.groupBy("_m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
-    copies = materialize(keyed.join(firsts, "_m").filter("doc_id <> first").select("doc_id", "_m").distinct(), "whole-copies")
-    copies = small(copies)
+    copies = small(materialize(keyed.join(firsts, "_m").filter("doc_id <> first").select("doc_id", "_m").distinct(), "whole-copies"))
+    # Few doc_ids have several texts; those texts are numbered.
+    several = keyed.groupBy("doc_id").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).filter("lo <> hi").select("doc_id")
+    numbered = keyed.join(several, "doc_id").distinct().withColumn("variant", F.row_number().over(Window.partitionBy("doc_id").orderBy("_m")).cast("long"))
+    variants = small(materialize(numbered, "text-variants"))
     texts = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.octet_length("text") >= LENGTH)
-    alone = texts.withColumn("_m", F.md5(F.col("text").cast("binary"))).join(copies, ["doc_id", "_m"], "left_anti").select("doc_id", "text")
-    spans = spans_by_document(alone)
-    marked = docs.withColumn("_m", F.md5(text.cast("binary"))).join(copies.withColumn("copy", F.lit(True)), ["doc_id", "_m"], "left").drop("_m")
-    return marked.join(spans, "doc_id", "left")
+    alone = texts.withColumn("_m", F.md5(F.col("text").cast("binary"))).join(copies, ["doc_id", "_m"], "left_anti").join(variants, ["doc_id", "_m"], "left")
+    spans = spans_by_document(alone.select("doc_id", F.coalesce("variant", F.lit(0).cast("long")).alias("variant"), "text"))
+    marked = docs.withColumn("_m", F.md5(text.cast("binary"))).join(copies.withColumn("_copy", F.lit(True)), ["doc_id", "_m"], "left")
+    placed = marked.join(variants.withColumnRenamed("variant", "_variant"), ["doc_id", "_m"], "left").withColumn("_variant", F.coalesce("_variant", F.lit(0).cast("long")))
+    return placed.join(spans.withColumnRenamed("variant", "_variant"), ["doc_id", "_variant"], "left")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -343,7 +352,7 @@ def report(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     placed = _placed(docs.select("doc_id", "text"))
-    return placed.withColumn("r", measure("text", "copy", "places", "masks")).select("doc_id", "r.*")
+    return placed.withColumn("r", measure("text", "_copy", "_places", "_masks")).select("doc_id", "r.*")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -365,5 +374,5 @@ def remove(docs: DataFrame) -> DataFrame:
                     out.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode(errors="ignore"))
             yield pd.Series(out, dtype=object)
 
-    placed = _placed(docs)
-    return placed.withColumn("text", cut("text", "copy", "places", "masks")).select(*docs.columns)
+    placed = _placed(docs.drop("_m", "_copy", "_variant", "_places", "_masks"))
+    return placed.withColumn("text", cut("text", "_copy", "_places", "_masks")).select(*docs.columns)
