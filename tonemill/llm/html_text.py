@@ -4,9 +4,17 @@ A page becomes a tree; subtrees that can't be main text (scripts, menus,
 footers, forms, elements named as adverts, comments, notices ...) are cut off
 while it is built. Each paragraph then gives points for its length and commas
 to its ancestors, in full to its parent and less further up; a container's
-points are discounted by the share of its text inside links. The best
-container is kept, with those of its siblings that score enough or read like
-prose, and the text of all their blocks is returned in page order.
+points are discounted by the share of its text inside links. Scores only say
+where the main text lies: the least element around the best container, those
+beside it and all others that score enough is widened to the outermost article
+or main around it, and the text of all its blocks is returned in page order,
+headings and short blocks included. Left out of it are the subtrees cut before,
+and blocks of links that don't hold or belong to a container that scores enough.
+
+A class or id that also names content doesn't cut an element: of a compound
+name the last telling part counts (post-footer is a footer, sidebar-content
+isn't cut), what follows no-, has-, with- or without- says nothing, and a name
+of content alone (entry-content) outweighs all others.
 
 Pages are parsed in Arrow batches with no state between them.
 
@@ -36,6 +44,7 @@ CUT_NAMES = frozenset(
 )
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 GOOD_NAMES = frozenset("article blog body content entry hentry main page post story text".split())
+MODIFIERS = frozenset("no not non has have with without hide show".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 #: An open element of the key ends where one of its tags begins.
@@ -46,17 +55,17 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "good", "score", "size", "linked", "commas")
+    __slots__ = ("tag", "parent", "children", "good", "score", "size", "linked", "links", "commas")
 
     def __init__(self, tag: str, parent: Node | None, good: bool = False):
         self.tag, self.parent, self.good = tag, parent, good
         self.children: list[Node | str] = []
-        self.score, self.size, self.linked, self.commas = 0.0, 0, 0, 0
+        self.score, self.size, self.linked, self.links, self.commas = 0.0, 0, 0, 0, 0
 
 
 def _names(attrs: str) -> tuple[bool, bool]:
     """(is furniture, is named like content)."""
-    good = False
+    bad = good = False
     for name, value in _NAMED.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -64,11 +73,15 @@ def _names(attrs: str) -> tuple[bool, bool]:
         if name == "role" and value.lower() in CUT_ROLES:
             return True, False
         if name in ("class", "id"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & CUT_NAMES:
-                return True, False
-            good = good or bool(parts & GOOD_NAMES)
-    return False, good
+            for word in value.split():
+                parts = [p.lower() for p in _PART.findall(word)]
+                told = next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))
+                known = [p for p in parts[:told] if p in CUT_NAMES or p in GOOD_NAMES]
+                if known and known[-1] in CUT_NAMES:
+                    bad = True
+                elif known and not CUT_NAMES.intersection(known):
+                    good = True
+    return bad and not good, good
 
 
 def parse(text: str) -> Node:
@@ -151,7 +164,9 @@ def _measure(node: Node, in_link: bool) -> None:
             else:
                 stack.append((c, link))
     for n in reversed(order):
+        n.links += n.tag == "a"
         if n.parent is not None and n is not node:
+            n.parent.links += n.links
             n.parent.size += n.size
             n.parent.linked += n.linked
             n.parent.commas += n.commas
@@ -163,8 +178,20 @@ def _is_paragraph(node: Node) -> bool:
     return node.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and len(c.strip()) > 25 for c in node.children)
 
 
-def best_containers(root: Node) -> list[Node]:
-    """The best container and the siblings that are kept with it."""
+def _above(node: Node) -> list[Node]:
+    """node and the elements around it, the innermost first."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _is_link_list(node: Node) -> bool:
+    return node.tag in BLOCK and node.tag not in HEADINGS and node.links >= 3 and node.linked > 0.75 * node.size
+
+
+def best_containers(root: Node) -> list[Node | str]:
+    """What holds the main text: the nodes of one region, in page order."""
     _measure(root, False)
     scored: list[Node] = []
     stack = [root]
@@ -186,18 +213,31 @@ def best_containers(root: Node) -> list[Node]:
         return [root]
     worth = {id(n): n.score * (1 - n.linked / max(n.size, 1)) for n in scored}
     best = max(scored, key=lambda n: worth[id(n)])
-    if best.parent is None:
-        return [best]
     top = worth[id(best)]
     bar = max(0.2 * top, min(10.0, 0.5 * top))
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
+    around = _above(best)
+    depth = {id(n): i for i, n in enumerate(around)}
+    enough = [best] + [n for n in scored if worth[id(n)] >= bar and id(n) not in depth]
+    whole, holds = {id(n) for n in enough}, set()
+    level = min(1, len(around) - 1)
+    for n in enough:
+        while n is not None and id(n) not in holds:
+            holds.add(id(n))
+            if id(n) in depth:
+                level = max(level, depth[id(n)])
+                break
+            n = n.parent
+    holds.update(depth)
+    level = max([level] + [i for i, n in enumerate(around) if n.tag in ("article", "main")])
+    # Subtrees of links go, unless they are or hold what scored enough.
+    stack = [around[level]]
+    while stack:
+        n = stack.pop()
+        if id(n) in whole:
             continue
-        prose = c.tag == "p" and c.size > 80 and c.linked < 0.25 * c.size
-        if c is best or worth.get(id(c), 0.0) >= bar or prose:
-            kept.append(c)
-    return kept
+        n.children = [c for c in n.children if isinstance(c, str) or id(c) in holds or not _is_link_list(c)]
+        stack.extend(c for c in n.children if isinstance(c, Node))
+    return [around[level]]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
