@@ -5,8 +5,11 @@ leading parts hash to, so that words of one stem share what is learned. Filters
 of one, two and three words run over the whole text; the largest answer of each
 filter feeds two heads, one for toxicity and one for the language. Both are
 trained in numpy on a bounded sample of labelled rows. A threshold on the
-toxicity logit is calibrated for each language, on rows kept out of training,
-and a text is held against the threshold of the language that the second head
+toxicity logit is calibrated for each language on all labelled rows that were
+not learned from: Spark scores them and counts their logits in narrow bins.
+Each class counts there as often as it stands in the table, though the sample
+takes more of the rarer one, so thresholds don't move with the table's size. A
+text is held against the threshold of the language that the second head
 sees in it: neither labels nor the lang column have a part in a score.
 
 Scoring maps Arrow batches of documents; each holds one chunk of texts and a
@@ -42,6 +45,8 @@ PREFIXES = (4, 5, 7)
 #: Small samples are gone through more often: LEAST_SEEN texts in all.
 EPOCHS, MOST_EPOCHS, LEAST_SEEN, BATCH, RATE, SEED = 3, 8, 20_000, 64, 0.03, 7
 LEAST_POSITIVES = 6
+#: Bins of a logit's unit, and the largest logit told apart.
+BINS, FAR = 64, 40
 _WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 
@@ -107,6 +112,11 @@ class Model:
         z = np.maximum(pooled + self.bias, 0)
         return z @ self.head + self.head_bias, z @ self.lang_head + self.lang_bias
 
+    def bins(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The language seen in each text, and the bin of its logit."""
+        logit, lang = self.heads(pooled)
+        return lang.argmax(1), np.floor(np.clip(logit, -FAR, FAR) * BINS).astype(np.int64)
+
     def score(self, pooled: np.ndarray) -> np.ndarray:
         logit, lang = self.heads(pooled)
         shifted = logit - self.thresholds[lang.argmax(1)]
@@ -175,8 +185,7 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
     n_out = FILTERS * len(WIDTHS)
     f32 = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     m = Model(names, f32(BUCKETS, DIM, scale=0.02), f32(DIM, sum(WIDTHS) * FILTERS, scale=0.1), np.zeros(n_out, np.float32), f32(n_out, scale=0.1), 0.0, f32(n_out, len(names), scale=0.1), np.zeros(len(names), np.float32))
-    held = rng.random(len(texts)) < 0.2
-    learn = np.flatnonzero(~held)
+    learn = np.arange(len(texts))
     seed_embeddings(m, [np.unique(rows[np.unique(encoded[i])]) for i in learn], toxic[learn], lang[learn])
     weight = np.where(toxic == 1, np.sqrt(max((toxic == 0).sum(), 1) / max((toxic == 1).sum(), 1)), 1.0)
     state = {k: np.full_like(getattr(m, k), 0.05) for k in ("table", "kernels", "bias", "head", "lang_head", "lang_bias")}
@@ -238,32 +247,34 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
                 np.add.at(dt, inverse.ravel(), np.repeat(dw[moved], flat.shape[1], axis=0))
                 step("table", dt, touched)
 
-    rest = np.flatnonzero(held)
-    if len(rest):
-        words = m.table[rows].sum(1)
-        words[0] = 0
-        pooled = pool(m, words, [encoded[i] for i in rest])
-        logit, seen = m.heads(pooled)
-        m.thresholds = calibrate(logit, toxic[rest], seen.argmax(1), len(names))
-    else:
-        m.thresholds = np.zeros(len(names), np.float32)
+    m.thresholds = np.zeros(len(names), np.float32)
     return m
 
 
-def calibrate(logit: np.ndarray, toxic: np.ndarray, lang: np.ndarray, n_langs: int) -> np.ndarray:
-    """The threshold of best F1 for each language; with under LEAST_POSITIVES
-    toxic rows in a language, the one over all languages."""
+def calibrate(lang: np.ndarray, bins: np.ndarray, toxic: np.ndarray, n: np.ndarray, learned: tuple[int, int], n_langs: int) -> np.ndarray:
+    """The threshold of best F1 for each language, from the number n of rows of
+    each language, bin and label; with under LEAST_POSITIVES toxic rows in a
+    language, the one over all languages. ``learned`` are the clean and toxic
+    rows that aren't counted in n: each class is weighted up by them."""
+    weight = np.ones(2)
+    for c in (0, 1):
+        rows = n[toxic == c].sum()
+        weight[c] = (rows + learned[c]) / rows if rows else 0.0
 
     def best(of: np.ndarray) -> float:
-        order = np.argsort(-logit[of], kind="stable")
-        x, hit = logit[of][order], np.cumsum(toxic[of][order])
-        f1 = 2 * hit / (np.arange(1, len(hit) + 1) + max(hit[-1], 1))
-        i = int(f1.argmax())
-        return float((x[i] + x[min(i + 1, len(x) - 1)]) / 2)
+        x, at = np.unique(-bins[of], return_inverse=True)
+        count = np.bincount(at, n[of] * weight[toxic[of]])
+        hit = np.bincount(at, n[of] * weight[toxic[of]] * (toxic[of] == 1)).cumsum()
+        i = int((2 * hit / (count.cumsum() + max(hit[-1], 1))).argmax())
+        # Halfway from the lower end of the last bin above to the upper end of the next one.
+        return float(-x[i] + (1 - x[i + 1] if i + 1 < len(x) else -x[i])) / 2 / BINS
+
+    def enough(of: np.ndarray) -> bool:
+        return n[of & (toxic == 1)].sum() >= LEAST_POSITIVES
 
-    everyone = np.ones(len(logit), bool)
-    common = best(everyone) if toxic.sum() >= LEAST_POSITIVES else 0.0
-    return np.array([best(lang == k) if toxic[lang == k].sum() >= LEAST_POSITIVES else common for k in range(n_langs)], np.float32)
+    everyone = np.ones(len(n), bool)
+    common = best(everyone) if enough(everyone) else 0.0
+    return np.array([best(lang == k) if enough(lang == k) else common for k in range(n_langs)], np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -271,21 +282,57 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def set_apart(doc_id: Column) -> Column:
+    """A fifth of the sample, which isn't learned from either, so that there is
+    something to calibrate on if the sample is all there is."""
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), doc_id), F.lit(5)) == 0
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model learned from rows that aren't held out, or the share of toxic
     labels if there is none of each class."""
-    rows = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null").dropDuplicates(["doc_id"])
-    rows = rows.filter(~held_out(F.col("doc_id")))
+    rows = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    rows = materialize(rows.filter(~held_out(F.col("doc_id"))), "labelled")
     chosen = [hashed_sample(rows.filter(F.col("toxic") == c), n, SEED, "doc_id") for c, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # At most twice MAX_TOXIC and MAX_CLEAN rows of two columns.
     ids = F.broadcast(materialize(chosen[0].unionByName(chosen[1]), "labelled-sample"))
-    texts = docs.select("doc_id", "text", "lang").filter(F.length("text") <= MAX_CHARS).join(ids, "doc_id").select("text", "lang", "toxic")
+    texts = docs.select("doc_id", "text", "lang").filter(F.length("text") <= MAX_CHARS).join(ids, "doc_id").select("text", "lang", "toxic", set_apart(F.col("doc_id")).alias("apart"))
     sample = texts.limit(4 * (MAX_TOXIC + MAX_CLEAN)).collect()
     toxic = np.array([int(r["toxic"] == 1) for r in sample])
     if not len(toxic) or toxic.all() or not toxic.any():
         return float(toxic.mean()) if len(toxic) else 0.0
-    order = sorted(range(len(sample)), key=lambda i: zlib.crc32(sample[i]["text"].encode()))  # the same however rows arrive
-    return train([sample[i]["text"] for i in order], toxic[order], [sample[i]["lang"] for i in order])
+    apart = {int(r["toxic"]) for r in sample if not r["apart"]} == {0, 1}
+    if apart:  # else there are too few to keep any from learning
+        sample = [r for r in sample if not r["apart"]]
+    sample.sort(key=lambda r: zlib.crc32(r["text"].encode()))  # the same however rows arrive
+    toxic = np.array([int(r["toxic"]) for r in sample])
+    model = train([r["text"] for r in sample], toxic, [r["lang"] for r in sample])
+    learned = ids.filter(~set_apart(F.col("doc_id"))) if apart else ids
+    counts = logit_counts(docs, rows, learned.select("doc_id"), model)
+    if len(counts):
+        counted = (int((toxic == 0).sum()), int(toxic.sum()))
+        model.thresholds = calibrate(*(counts[c].to_numpy() for c in ("seen", "bin", "toxic", "n")), counted, len(model.langs))
+    return model
+
+
+def logit_counts(docs: DataFrame, rows: DataFrame, learned: DataFrame, model: Model) -> pd.DataFrame:
+    """seen, bin, toxic, n: how many labelled texts that weren't learned from
+    fall in each bin; a bounded number of rows."""
+
+    @F.pandas_udf("seen long, bin long")
+    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for texts in batches:
+            seen, bins = scorer.pooled(list(texts), model.bins) if len(texts) else ([], [])
+            yield pd.DataFrame({"seen": seen, "bin": bins}, dtype="int64")
+
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # Scored before the join, which then moves no texts.
+    bins = texts.select("doc_id", (F.length("text") <= MAX_CHARS).alias("short"), placed("text").alias("s"))
+    known = bins.join(rows, "doc_id").join(F.broadcast(learned.withColumn("_learned", F.lit(True))), "doc_id", "left")
+    kept = known.filter(~(F.coalesce("_learned", F.lit(False)) & F.col("short")))
+    counts = kept.groupBy("s.seen", "s.bin", F.col("toxic").cast("long").alias("toxic")).agg(F.count("*").alias("n"))
+    return pd.DataFrame([r.asDict() for r in materialize(counts, "logit-counts").collect()], columns=["seen", "bin", "toxic", "n"])
 
 
 class Scorer:
@@ -297,13 +344,17 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if isinstance(self.model, float):
             return np.full(len(texts), self.model)
+        return self.pooled(texts, self.model.score).astype(float)
+
+    def pooled(self, texts: list[str | None], of):
+        """What the function ``of`` makes of the texts' pooled answers."""
         if len(self.vocabulary) > CACHE:
             self.vocabulary, self.words = Vocabulary(), self.words[:1]
         encoded = [self.vocabulary.encode(words_of(t)) for t in texts]
         fresh = self.vocabulary.rows(len(self.words))
         if len(fresh):
             self.words = np.concatenate([self.words, self.model.table[fresh].sum(1)])
-        return self.model.score(pool(self.model, self.words, encoded)).astype(float)
+        return of(pool(self.model, self.words, encoded))
 
 
 def with_scores(docs: DataFrame, model: Model | float, chunk: int = 500) -> DataFrame:
