@@ -66,3 +66,30 @@ def test_dedupe_keeps_one_of_each(spark):
 def test_nothing(spark):
     assert near_duplicates.near_duplicates(docs(spark, [])).count() == 0
     assert near_duplicates.dedupe(docs(spark, [(1, None)])).count() == 1
+
+
+def test_prefixes_of_repeated_rows_and_ids(spark):
+    """Every pair similar enough shares a prefix shingle, though each row
+    stands three times and some ids also have another text."""
+    rng = random.Random(3)
+    rows = []
+    for family in range(8):
+        words = [f"f{family}w{i}" for i in range(60)]
+        for k in range(5):
+            own = list(words)
+            for i in rng.sample(range(60), 3):
+                own[i] = f"e{family}x{k}x{i}"
+            rows.append((10 * family + k, " ".join(own)))
+        rows.append((10 * family, " ".join(f"o{family}w{i}" for i in range(40))))
+    repeated = rows * 3
+    held = spark.createDataFrame([(i, i) for i in sorted({i for i, _ in rows})], "doc_id long, component long")
+    got = {tuple(r) for r in near_duplicates._rare_meetings(docs(spark, repeated), held, 1).collect()}
+    sets = [(i, shingles(t, 1)) for i, t in rows]
+    want = {(a, b) for a, s in sets for b, t in sets if a < b and 100 * len(s & t) >= 80 * len(s | t)}
+    assert want and want <= got
+
+
+def test_equals_brute_force_with_each_row_twice(spark):
+    rows = corpus(4) * 2
+    got = sorted((tuple(r) for r in near_duplicates.near_duplicates(docs(spark, rows), 2).collect()), key=str)
+    assert got == brute(rows, 2)

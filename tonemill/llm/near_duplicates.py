@@ -206,7 +206,8 @@ def _rare_meetings(docs: DataFrame, held: DataFrame, size: int) -> DataFrame:
     """(a, b): documents of different components in ``held`` (doc_id,
     component) that share a shingle of their prefixes. A set's prefix is as many
     of its shingles, the rarest in ``held`` first, as must hold one that any
-    similar enough set has in its own prefix, too."""
+    similar enough set has in its own prefix, too. Each distinct set of a
+    document is spelled out once, however many rows give it."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -214,13 +215,14 @@ def _rare_meetings(docs: DataFrame, held: DataFrame, size: int) -> DataFrame:
         for texts in batches:
             yield pd.Series([shingle_set(t, size, hashes).view(np.int64) for t in texts], dtype=object)
 
-    texts = docs.select("doc_id", "text").join(small(held), "doc_id").select("doc_id", "component", shingles("text").alias("t"))
+    sets = docs.select("doc_id", "text").join(small(held), "doc_id").select("doc_id", "component", shingles("text").alias("t"))
+    texts = sets.withColumns({"k1": F.xxhash64("t"), "k2": F.hash("t")}).dropDuplicates(["doc_id", "component", "k1", "k2"])
     # Fewer than 80 of 100 shingles can be missing from the rest of the set.
     need = F.size("t") - F.ceil(F.size("t") * PERCENT / 100) + 1
-    tokens = materialize(texts.select("doc_id", "component", F.size("t").alias("n"), need.alias("need"), F.explode("t").alias("t")), "held-shingles")
+    tokens = materialize(texts.select("doc_id", "component", "k1", "k2", F.size("t").alias("n"), need.alias("need"), F.explode("t").alias("t")), "held-shingles")
     often = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
     counted = tokens.join(often, "t", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("doc_id", "component").orderBy("df", "t"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "component", "k1", "k2").orderBy("df", "t"))
     prefix = materialize(counted.withColumn("_i", place).filter("_i <= need and lo <> hi").select("t", "doc_id", "component", "n"), "held-prefixes")
     mixed = prefix.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t")
     left = materialize(prefix.join(mixed, "t"), "held-mixed")
