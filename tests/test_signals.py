@@ -151,6 +151,19 @@ def test_release_equals_loop(spark):
         assert got[i] == pytest.approx(g)
 
 
+def test_release_in_levels_equals_loop(spark):
+    rng = random.Random(9)
+    req = [rng.random() for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(req)), "pos long, req double")
+    out = signal.release(df, 0.1, block=4, run=5)  # 175 blocks, 35 runs, 7, 2
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, g = [r["gain"] for r in out.orderBy("pos").collect()], 1.0
+    for i, r in enumerate(req):
+        g = min(r, g + (r - g) * 0.1)
+        assert got[i] == pytest.approx(g)
+    assert signal.release(df.limit(0), 0.1).count() == 0
+
+
 def test_gate_properties(spark):
     ev = lambda kinds: spark.createDataFrame([(0, i, k, 64 if k == "controller" else 0) for i, k in enumerate(kinds)], "slot long, seq long, kind string, k long")
     stray = gates.counters(ev(["note_off", "note_on"])).orderBy("seq").collect()

@@ -78,25 +78,44 @@ def true_peak(signal: DataFrame, taps: int = 8) -> DataFrame:
     return lagged.filter("own").select("pos", F.greatest(*phases).alias("peak"))
 
 
-def release(signal: DataFrame, coef: float, block: int = 4096) -> DataFrame:
+def _runs(maps: DataFrame, run: int) -> DataFrame:
+    """(run, ms): the maps (block, m) of ``run`` blocks that follow each other."""
+    return maps.groupBy(F.expr(f"block div {run}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("ms"))
+
+
+def release(signal: DataFrame, coef: float, block: int = 4096, run: int = 1000) -> DataFrame:
     """(pos, gain): follows ``req`` down at once and up by a share ``coef`` of
     what is missing. A step is g -> min(r, (1 - coef) g + coef r), and such maps
     g -> min(R, A g + B) are closed under composition, so each block's map is
-    folded by itself; one row a block is scanned, and each block then starts
-    from its own gain."""
+    folded by itself. The maps of ``run`` blocks are composed to one, those of
+    ``run`` such runs to one again, until so few are left that one task goes
+    through them; start gains are then handed down level by level, and each
+    block starts from its own."""
     a = 1 - coef
     blocks = signal.withColumn("block", F.expr(f"pos div {block}")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "req"))).alias("xs"))
     one = F.struct(F.lit(float("inf")).alias("r"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     fold = lambda m, r: F.struct(F.least(r, m["r"] * a + r * coef).alias("r"), (m["a"] * a).alias("a"), (m["b"] * a + r * coef).alias("b"))
-    maps = blocks.select("block", F.aggregate("xs", one, lambda m, x: fold(m, x["req"])).alias("m"))
-    # Composed over all blocks before: one row a block.
-    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = maps.select("block", F.collect_list("m").over(w).alias("ms"))
-    starts = before.select("block", F.aggregate("ms", F.lit(1.0), lambda g, m: F.least(m["r"], m["a"] * g + m["b"])).alias("g"))
+    then = lambda m, n: F.struct(F.least(n["r"], n["a"] * m["r"] + n["b"]).alias("r"), (n["a"] * m["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"))
+    levels = [blocks.select("block", F.aggregate("xs", one, lambda m, x: fold(m, x["req"])).alias("m"))]
+    low, high = signal.agg(F.min("pos"), F.max("pos")).first()
+    width = block
+    while low is not None and high // width - low // width >= run:
+        levels.append(_runs(levels[-1], run).select(F.col("run").alias("block"), F.aggregate("ms", one, lambda m, x: then(m, x["m"])).alias("m")))
+        width *= run
+    entered = F.expr("cast(array() as array<struct<block: bigint, g: double>>)")
+    enter = lambda acc, x: F.struct(F.least(x["m"]["r"], x["m"]["a"] * acc["g"] + x["m"]["b"]).alias("g"), F.array_append(acc["out"], F.struct(x["block"].alias("block"), acc["g"].alias("g"))).alias("out"))
+    starts = None
+    for maps in reversed(levels):
+        if starts is None:  # the shortest level, at most some ``run`` rows
+            held = maps.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("ms")).withColumn("g", F.lit(1.0))
+        else:
+            held = _runs(maps, run).join(starts.withColumnRenamed("block", "run"), "run")
+        through = F.aggregate("ms", F.struct(F.col("g").alias("g"), entered.alias("out")), enter, lambda acc: acc["out"])
+        starts = held.select(F.explode(through).alias("o")).select("o.block", "o.g")
     step = lambda acc, x: F.struct(F.least(x["req"], acc["g"] * a + x["req"] * coef).alias("g"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), F.least(x["req"], acc["g"] * a + x["req"] * coef).alias("gain"))).alias("out"))
     empty = F.expr("cast(array() as array<struct<pos: bigint, gain: double>>)")
-    run = blocks.join(starts, "block").select(F.aggregate("xs", F.struct(F.col("g").alias("g"), empty.alias("out")), step, lambda acc: acc["out"]).alias("out"))
-    return run.select(F.explode("out").alias("o")).select("o.pos", "o.gain")
+    done = blocks.join(starts, "block").select(F.aggregate("xs", F.struct(F.col("g").alias("g"), empty.alias("out")), step, lambda acc: acc["out"]).alias("out"))
+    return done.select(F.explode("out").alias("o")).select("o.pos", "o.gain")
 
 
 def interpolate(buffer: Column, at: Column) -> tuple[Column, Column, Column]:
