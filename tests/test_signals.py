@@ -164,6 +164,39 @@ def test_release_in_levels_equals_loop(spark):
     assert signal.release(df.limit(0), 0.1).count() == 0
 
 
+def brute_sinc(src, ratio):
+    """One output after the other, as the reference has it."""
+    cutoff, out = min(ratio, 1.0) * 0.95, []
+    for j in range(max(math.floor(len(src) * ratio + 0.5), 1)):
+        at = j * (1 / ratio)
+        i = math.floor(at)
+        frac = min(int((at - i) * 512), 511) / 512
+        row = []
+        for k in range(32):
+            x, t = (k - 15 - frac) * cutoff, min(max((k - frac + 1) / 32, 0), 1)
+            w = 0.42 - 0.5 * math.cos(2 * math.pi * t) + 0.08 * math.cos(4 * math.pi * t)
+            row.append((math.sin(math.pi * x) / (math.pi * x) if x else 1.0) * cutoff * w)
+        out.append(sum(c * src[min(max(i - 15 + k, 0), len(src) - 1)] for k, c in enumerate(row)) / sum(row))
+    return out
+
+
+def test_sinc_resampling(spark):
+    rng, up, down = random.Random(11), 48_000 / 44_100, 0.5
+    tone = lambda hz, n: [int(12_000 * math.sin(2 * math.pi * hz * i / 44_100)) for i in range(n)]
+    sources = [[10_000] * 4000, tone(1000, 44_100), tone(18_000, 4000), [rng.randrange(-20_000, 20_000) for _ in range(200)], [5], [], None]
+    df = spark.createDataFrame(list(enumerate(sources)), "id int, x array<int>").repartition(3)
+    rows = df.select("id", *[signal.sinc_resampled(F.col("x"), r).alias(n) for n, r in (("up", up), ("down", down), ("same", 1.0))]).orderBy("id").collect()
+    dc, kilo, high, noise, one, none, null = rows
+    assert len(dc["up"]) == round(4000 * up) and all(abs(v - 10_000) < 60 for v in dc["up"][200:-200])
+    crossings = sum(a < 0 <= b for a, b in zip(kilo["up"], kilo["up"][1:], strict=False))
+    assert abs(crossings / (len(kilo["up"]) / 48_000) - 1000) < 5
+    assert max(map(abs, high["down"][50:-50])) < 150 and max(map(abs, kilo["down"])) > 11_500  # above the new band it is silent
+    for ratio in ("up", "down"):
+        want = brute_sinc(sources[3], up if ratio == "up" else down)
+        assert len(want) == len(noise[ratio]) and all(abs(a - math.trunc(b)) <= 1 for a, b in zip(noise[ratio], want, strict=True))
+    assert noise["same"] == sources[3] and abs(one["up"][0] - 5) <= 1 and none["up"] == [] and null["up"] is None
+
+
 def test_gate_properties(spark):
     ev = lambda kinds: spark.createDataFrame([(0, i, k, 64 if k == "controller" else 0) for i, k in enumerate(kinds)], "slot long, seq long, kind string, k long")
     stray = gates.counters(ev(["note_off", "note_on"])).orderBy("seq").collect()

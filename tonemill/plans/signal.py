@@ -76,6 +76,13 @@ def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("v", F.round("v", 6))
 
 
+@query()
+def resample_sinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sinc bank, up by 3/2; the tests compare it with loops."""
+    pcm = F.transform("embedding", lambda v: F.greatest(F.least(v * 32_767, F.lit(32_767)), F.lit(-32_767)).cast("smallint"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.sinc_resampled(pcm, 1.5)).alias("i", "v"))
+
+
 @query("with t as (select vec_id, embedding as e, unnest(range(0, 64)) as i from embeddings) select vec_id, cast(i // 2 as integer) as pos, max(case when i % 2 = 0 then e[i + 1] end) as l, max(case when i % 2 = 1 then e[i + 1] end) as r from t group by vec_id, i // 2")
 def deinterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even values to the left channel, odd ones to the right."""
