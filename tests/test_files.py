@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tonemill.sources import fixtures, midi, sfz, soundfont, wav
@@ -24,6 +25,32 @@ def test_midi_round_trip(spark, tmp_path):
     assert [(r["declared"], r["division"]) for r in midi.tracks(spark, path).collect()] == [(4, 960)] * 4
 
 
+def test_midi_track_over_many_parts(spark, tmp_path):
+    form = "track int, seq long, tick long, kind string, ch int, key int, vel int, num int, val int, us_per_qn int"
+    rows = [(2, i, 3 * i // 2, "note_on" if i % 5 else "other", 1, i % 128, 1 + i % 100, None, None, None) for i in range(5000)] + [(7, 0, 4, "other", 0, None, None, None, None, None)]
+    path = str(tmp_path / "c.mid")
+    midi.write(spark.createDataFrame(rows, form).repartition(9), path)
+    got = midi.read(spark, path).filter("kind <> 'other'").orderBy("seq").select("track", "tick", "key", "vel").collect()
+    assert [tuple(r) for r in got] == [(0, r[2], r[5], r[6]) for r in rows if r[3] == "note_on"]
+    assert [(r["track"], r["length"]) for r in midi.tracks(spark, path).collect()][1:] == [(1, 4)]  # nothing in it to write
+    assert [f.name for f in tmp_path.iterdir() if f.name.endswith(".part")] == []
+
+
+def test_midi_parts_are_written_row_by_row(tmp_path):
+    sizes = []
+
+    def rows():
+        for i in range(60_000):
+            if i % 20_000 == 19_999:
+                sizes.append(sum(f.stat().st_size for f in tmp_path.glob("*.part")))
+            yield Row(track=0, seq=i, tick=i, kind="note_on", ch=0, key=60, vel=1, num=None, val=None, us_per_qn=None)
+
+    writer = midi._Writer(str(tmp_path / "d.mid"), 960)
+    writer.commit([writer.write(rows())])
+    assert 0 < sizes[0] < sizes[1] < sizes[2]
+    assert sum(e[1] == "note_on" for e in midi.decode((tmp_path / "d.mid").read_bytes()[22:])) == 60_000
+
+
 def test_midi_decoding():
     track = b"\x00\x90\x3c\x64" + b"\x81\x00\x3c\x00" + b"\x00\xb0\x07\x64" + b"\x00\xc1\x05" + b"\x00\xe2\x00\x40" + b"\x00\xff\x51\x03\x07\xa1\x20" + b"\x00\xf0\x02\x01\xf7" + b"\x00\xd0\x11" + b"\x05\xff\x2f\x00" + b"\x00\x90\x01\x01"
     got = list(midi.decode(track))

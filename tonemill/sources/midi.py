@@ -6,9 +6,12 @@ chunk headers only, and a task reads its chunk. ``path`` is a file, a glob or a
 folder. Rows within a track keep the file's order in ``seq``; `merged` orders a
 file's tracks by tick, ties by track.
 
-``df.write.format("smf").mode("append").save(path)`` writes one file of rows
-(track, tick, seq, kind, ...), a track for each ``track``; it is for fixtures
-and small results, as a file is one stream of bytes.
+`write` writes one file of rows (track, tick, seq, kind, ...), a track for each
+``track``. Rows are range-partitioned in the file's order, and each task encodes
+its own, row by row, into a part of raw bytes; a track may span many parts. The
+commit only puts headers, the first delta of each piece and the pieces' bytes
+end to end. The bare sink, ``df.write.format("smf")``, fails on rows that don't
+come in that order.
 
 Defined cases: a file without MThd fails; unknown chunks are passed over, but
 one of length zero ends the walk (padding); a chunk is cut at the end of the
@@ -174,66 +177,103 @@ def varlen(n: int) -> bytes:
     return bytes(reversed(out))
 
 
-def encode(rows: list) -> bytes:
-    """The bytes of a track's events in order of tick, then seq."""
-    out, now = bytearray(), 0
-    for r in sorted(rows, key=lambda r: (r["tick"], r["seq"])):
-        kind, ch = r["kind"], r["ch"] or 0
-        body = {
-            "note_on": lambda: bytes([0x90 | ch, r["key"], r["vel"]]),
-            "note_off": lambda: bytes([0x80 | ch, r["key"], 64]),
-            "controller": lambda: bytes([0xB0 | ch, r["num"], r["val"]]),
-            "program": lambda: bytes([0xC0 | ch, r["val"]]),
-            "pitch_bend": lambda: bytes([0xE0 | ch, (r["val"] + 8192) & 127, (r["val"] + 8192) >> 7]),
-            "tempo": lambda: b"\xff\x51\x03" + r["us_per_qn"].to_bytes(3, "big"),
-        }.get(kind)
-        if body:
-            out += varlen(r["tick"] - now) + body()
-            now = r["tick"]
-    return bytes(out) + b"\x00\xff\x2f\x00"
-
-
-def write_file(path: str, tracks: list[list], division: int = 960) -> None:
-    with open(path, "wb") as f:
-        f.write(b"MThd" + struct.pack(">IHHH", 6, 1, len(tracks), division))
-        for rows in tracks:
-            data = encode(rows)
-            f.write(b"MTrk" + struct.pack(">I", len(data)) + data)
+def message(r) -> bytes | None:
+    """An event's bytes behind its delta; None for kinds that aren't written."""
+    kind, ch = r["kind"], r["ch"] or 0
+    body = {
+        "note_on": lambda: bytes([0x90 | ch, r["key"], r["vel"]]),
+        "note_off": lambda: bytes([0x80 | ch, r["key"], 64]),
+        "controller": lambda: bytes([0xB0 | ch, r["num"], r["val"]]),
+        "program": lambda: bytes([0xC0 | ch, r["val"]]),
+        "pitch_bend": lambda: bytes([0xE0 | ch, (r["val"] + 8192) & 127, (r["val"] + 8192) >> 7]),
+        "tempo": lambda: b"\xff\x51\x03" + r["us_per_qn"].to_bytes(3, "big"),
+    }.get(kind)
+    return body() if body else None
+
+
+@dataclass
+class _Piece:
+    """A part's bytes of one track, without the delta of the first event."""
+
+    track: int
+    first: tuple[int, int]  # (tick, seq) of the first and last row
+    last: tuple[int, int]
+    start: int | None = None  # ticks of the first and last event written
+    end: int | None = None
+    size: int = 0
 
 
 @dataclass
 class _Part(WriterCommitMessage):
     path: str | None
+    pieces: list[_Piece]
 
 
 class _Writer(DataSourceWriter):
-    """Each task leaves its rows beside the target; the commit joins them."""
+    """Each task leaves its bytes beside the target; the commit joins them."""
 
     def __init__(self, path: str, division: int):
         self.path, self.division = path.removeprefix("file://"), division
 
     def write(self, rows: Iterator) -> _Part:
-        import pickle
         import uuid
 
-        got = [r.asDict() for r in rows]
-        if not got:
-            return _Part(None)
-        part = f"{self.path}.{uuid.uuid4().hex}.part"
-        with open(part, "wb") as f:
-            pickle.dump(got, f)
-        return _Part(part)
+        part, pieces = f"{self.path}.{uuid.uuid4().hex}.part", []
+        try:
+            with open(part, "wb") as f:
+                for r in rows:
+                    at = (r["tick"], r["seq"])
+                    if not pieces or pieces[-1].track != r["track"]:
+                        if pieces and pieces[-1].track > r["track"]:
+                            raise ValueError("rows aren't in order of track, tick and seq; use midi.write")
+                        pieces.append(_Piece(r["track"], at, at))
+                    p = pieces[-1]
+                    if at < p.last:
+                        raise ValueError("rows aren't in order of track, tick and seq; use midi.write")
+                    p.last, body = at, message(r)
+                    if body is None:
+                        continue
+                    if p.start is None:
+                        p.start = r["tick"]
+                    else:
+                        body = varlen(r["tick"] - p.end) + body
+                    p.end = r["tick"]
+                    p.size += f.write(body)
+        except BaseException:
+            os.remove(part)
+            raise
+        return _Part(part, pieces)
 
     def commit(self, messages: list) -> None:
-        import pickle
-
-        tracks: dict[int, list] = {}
-        for m in messages:
-            if m and m.path:
+        parts = sorted((m for m in messages if m and m.pieces), key=lambda m: (m.pieces[0].track, m.pieces[0].first, m.pieces[-1].track, m.pieces[-1].last))
+        track = None
+        with open(self.path, "wb") as out:
+
+            def end_track() -> None:
+                if track is not None:
+                    out.write(b"\x00\xff\x2f\x00")
+                    stop = out.tell()
+                    out.seek(begin - 4)
+                    out.write(struct.pack(">I", stop - begin))
+                    out.seek(stop)
+
+            n_tracks = len({p.track for m in parts for p in m.pieces})
+            out.write(b"MThd" + struct.pack(">IHHH", 6, 1, n_tracks, self.division))
+            for m in parts:
                 with open(m.path, "rb") as f:
-                    for r in pickle.load(f):
-                        tracks.setdefault(r["track"], []).append(r)
-        write_file(self.path, [tracks[t] for t in sorted(tracks)], self.division)
+                    for p in m.pieces:
+                        if track is not None and (track, last) > (p.track, p.first):
+                            raise ValueError("parts overlap; use midi.write")
+                        if p.track != track:
+                            end_track()
+                            out.write(b"MTrk" + bytes(4))
+                            track, now, begin = p.track, 0, out.tell()
+                        last = p.last
+                        if p.start is not None:
+                            out.write(varlen(p.start - now))
+                            _copy(f, out, p.size)
+                            now = p.end
+            end_track()
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -242,6 +282,14 @@ class _Writer(DataSourceWriter):
                 os.remove(m.path)
 
 
+def _copy(src, dst, size: int, step: int = 1 << 20) -> None:
+    while size:
+        got = src.read(min(size, step))
+        if not got:
+            raise EOFError(f"{src.name}: shorter than its pieces")
+        size -= dst.write(got)
+
+
 class SmfSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -264,7 +312,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def write(events: DataFrame, path: str, division: int = 960) -> None:
     events.sparkSession.dataSource.register(SmfSource)
-    events.select("track", "seq", "tick", "kind", *_NAMES).write.format("smf").mode("append").option("division", division).save(path)
+    order = ("track", "tick", "seq")
+    dealt = events.select("track", "seq", "tick", "kind", *_NAMES).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.format("smf").mode("append").option("division", division).save(path)
 
 
 def tracks(spark: SparkSession, path: str) -> DataFrame:
