@@ -197,6 +197,50 @@ def test_sinc_resampling(spark):
     assert noise["same"] == sources[3] and abs(one["up"][0] - 5) <= 1 and none["up"] == [] and null["up"] is None
 
 
+def test_slots_are_folded_batch_by_batch(spark):
+    """One slot with nearly all events, in Arrow batches of 50 rows."""
+    rng = random.Random(12)
+    rows = [(0 if rng.random() < 0.9 else rng.randrange(4), i, rng.choice(["note_on", "note_off", "controller"]), rng.random() < 0.5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "slot long, seq long, kind string, press boolean").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = gates.sostenuto(df)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["slot"], r["seq"]): r["published"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in plan and len(got) == 2000
+    for s in range(4):
+        on = off = pending = captured = 0
+        down = False
+        for _, seq, kind, press in [r for r in rows if r[0] == s]:
+            if kind == "note_on":
+                on += 1
+            elif kind == "note_off" and on > off + pending:
+                if down and captured:
+                    captured, pending = captured - 1, pending + 1
+                else:
+                    off += 1
+            elif kind == "controller" and press != down:
+                captured, off, pending = (on - off - pending, off, pending) if press else (0, off + pending, 0)
+                down = press
+            assert got[s, seq] == off
+
+
+def test_stream_gates_carry_their_state(spark, tmp_path):
+    """Slots that pause for a batch keep their counters; no group is gathered."""
+    parts = [[(0, 1, "note_on"), (1, 2, "note_on")], [(0, 3, "note_on"), (0, 4, "note_off")], [(1, 5, "note_off"), (1, 6, "note_off"), (0, 7, "note_off")]]
+    form = "slot long, seq long, kind string"
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, form).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema(form).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
+    folded = live.gates(stream)
+    assert isinstance(folded, live.Carried)
+    got = sorted(map(tuple, live.collected(folded, "append").collect()))
+    want = gates.counters(spark.read.parquet(str(tmp_path / "ev"))).select("slot", "seq", "ons", "offs", "sounding").collect()
+    assert got == sorted(map(tuple, want))
+
+
 def test_gate_properties(spark):
     ev = lambda kinds: spark.createDataFrame([(0, i, k, 64 if k == "controller" else 0) for i, k in enumerate(kinds)], "slot long, seq long, kind string, k long")
     stray = gates.counters(ev(["note_off", "note_on"])).orderBy("seq").collect()

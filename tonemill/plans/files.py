@@ -129,5 +129,5 @@ def stream_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     " m as (select *, x - least(0, min(x) over (partition by slot order by seq)) as sounding from x) select slot, seq, ons, cast(ons - sounding as bigint) as offs, cast(sounding as bigint) as sounding from m"
 )
 def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate counters kept in the state store, per slot."""
+    """Gate counters carried from batch to batch in a table, per slot."""
     return live.collected(live.gates(live.events(spark, sf_dir)), "append")
