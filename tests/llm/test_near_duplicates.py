@@ -68,25 +68,95 @@ def test_nothing(spark):
     assert near_duplicates.dedupe(docs(spark, [(1, None)])).count() == 1
 
 
-def test_prefixes_of_repeated_rows_and_ids(spark):
-    """Every pair similar enough shares a prefix shingle, though each row
-    stands three times and some ids also have another text."""
+def reaches(pairs):
+    """The smallest id that each one reaches."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in list(root)}
+
+
+def test_meetings_lose_no_link(spark):
+    """Every pair of a group that is similar enough meets, or both meet the
+    hub, though each row stands three times and some ids also have another
+    text; what meets is far less than all pairs."""
     rng = random.Random(3)
     rows = []
     for family in range(8):
         words = [f"f{family}w{i}" for i in range(60)]
-        for k in range(5):
+        for k in range(12):
             own = list(words)
-            for i in rng.sample(range(60), 3):
-                own[i] = f"e{family}x{k}x{i}"
-            rows.append((10 * family + k, " ".join(own)))
-        rows.append((10 * family, " ".join(f"o{family}w{i}" for i in range(40))))
-    repeated = rows * 3
-    held = spark.createDataFrame([(i, i) for i in sorted({i for i, _ in rows})], "doc_id long, component long")
-    got = {tuple(r) for r in near_duplicates._rare_meetings(docs(spark, repeated), held, 1).collect()}
-    sets = [(i, shingles(t, 1)) for i, t in rows]
-    want = {(a, b) for a, s in sets for b, t in sets if a < b and 100 * len(s & t) >= 80 * len(s | t)}
-    assert want and want <= got
+            for i in rng.sample(range(60), rng.choice([1, 3, 5, 7, 9])):
+                own[i] = f"e{family}x{k}x{i}" if k % 3 else f"e{family}x{i}"
+            rows.append((100 * family + k, " ".join(own)))
+        rows.append((100 * family, " ".join(f"o{family}w{i}" for i in range(40))))
+    ids = sorted({i for i, _ in rows})
+    # Each family around its third document, and all documents around one more.
+    groups = spark.createDataFrame([(i // 100 * 100 + 2, i, i) for i in ids] + [(5, i, i) for i in ids], "hub long, doc_id long, component long")
+    sets = near_duplicates.held_sets(docs(spark, rows * 3), groups.select("doc_id").distinct(), 1)
+    got = {tuple(r) for r in near_duplicates.meetings(groups, sets).collect()}
+    held = [(i, shingles(t, 1)) for i, t in rows]
+    want = {(a, b) for a, s in held for b, t in held if a < b and 100 * len(s & t) >= 80 * len(s | t)}
+    reach = reaches(got)
+    assert len(want) > 50 and all(reach[a] == reach[b] for a, b in want)
+    assert len(got) < 0.2 * len(ids) ** 2 / 2
+
+
+def test_sketches_of_a_batch_are_those_of_each_text():
+    rng = random.Random(5)
+    texts = [t.encode() if t is not None else None for _, t in corpus(5)] + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000)).encode()]
+    probes = near_duplicates._probes()
+    for size in (1, 2, 5):
+        hashes = near_duplicates.WordHashes()
+        flat, n = near_duplicates.shingle_sets(texts, size, hashes)
+        each = [near_duplicates.shingle_set(t.decode() if t is not None else None, size, hashes) for t in texts]
+        assert n.tolist() == [len(s) for s in each] and flat.tolist() == [h for s in each for h in s.tolist()]
+        together = near_duplicates.registers(flat, n[n > 0], probes)
+        for s, got in zip([s for s in each if len(s)], together, strict=True):
+            least = {}
+            for h in s.tolist():
+                least.setdefault(h >> 56, h & (1 << 56) - 1)
+            for bucket, register in enumerate(got.tolist()):
+                rest = least[next(b for b in probes[bucket] if b in least)] if bucket not in least else least[bucket]
+                bits = rest.bit_length()
+                assert register == (56 - bits) << 10 | (rest >> max(bits - 11, 0)) & 1023
+
+
+def test_families_around_the_threshold(spark):
+    """Edits of a text that isn't there, mostly just under or over the
+    threshold to each other, with and without a common source."""
+    rng = random.Random(11)
+    rows = []
+    for family in range(6):
+        words = [f"v{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(25):
+            own = list(words)
+            for i in rng.sample(range(120), rng.choice([2, 3, 4, 5, 6, 7])):
+                own[i] = f"v{rng.randrange(3000)}"
+            rows.append((len(rows) * 7 % 1009, " ".join(own)))
+        if family % 2:
+            rows.append((2000 + family, " ".join(words)))
+    got = sorted((tuple(r) for r in near_duplicates.near_duplicates(docs(spark, rows), 2).collect()), key=str)
+    assert got == brute(rows, 2)
+
+
+def test_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    near = words[:-500] + [f"n{i}" for i in range(500)]
+    far = words[:20_000] + [f"n{i}" for i in range(10_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, None), (4, None)]
+    clash = spark.createDataFrame([(i, t, i, i, i) for i, t in rows], "doc_id long, text string, n long, component long, band long")
+    out = near_duplicates.dedupe(clash, 5)
+    assert out.columns == clash.columns
+    assert sorted((r["doc_id"], r["n"]) for r in out.collect()) == [(1, 1), (3, 3), (4, 4), (4, 4)]
 
 
 def test_equals_brute_force_with_each_row_twice(spark):

@@ -8,27 +8,40 @@ before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\f\r"
 #: Tables up to this many rows, of a few short columns, may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Broadcast tables take up to so many bytes, as their columns' lengths tell.
+BROADCAST_BYTES = 32 << 20
 #: While a table is written, its shuffle files go when the write ends, and
-#: Python workers get texts in small batches, which bounds their memory.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Python workers get texts in batches of few rows and bytes, which bounds
+#: their memory.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh
-    temporary one is set where the session names none (tests, local runs)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where the
+    session names none, a local master gets a fresh temporary one (tests, local
+    runs); any other raises, as its executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share; the master is {master}")
         where = "file://" + tempfile.mkdtemp(prefix="tonemill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -49,10 +62,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it counts at most ``limit`` rows, else df
-    itself, which Spark then joins by shuffling. Count a materialized table."""
-    return F.broadcast(df) if df.count() <= limit else df
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it counts at most ``limit`` rows and
+    ``most`` bytes, else df itself, which Spark then joins by shuffling. Count a
+    materialized table. Strings and binaries count by their length, arrays of
+    numbers by eight bytes an element, other arrays as their JSON, and any value
+    by eight bytes besides."""
+
+    def size(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return 8 * F.size(name) if isinstance(kind.elementType, T.NumericType) else F.length(F.to_json(name))
+        if isinstance(kind, T.StructType | T.MapType):
+            return F.length(F.to_json(name))
+        return F.octet_length(name) if isinstance(kind, T.StringType | T.BinaryType) else F.lit(0)
+
+    each = sum((F.coalesce(size(f.name, f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(8 * len(df.columns)))
+    rows, total = df.agg(F.count("*"), F.sum(each.cast("long"))).first()
+    return F.broadcast(df) if rows <= limit and (total or 0) <= most else df
 
 
 def hashed_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

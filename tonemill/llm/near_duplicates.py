@@ -8,16 +8,22 @@ own). Registers are banded; documents that share a band are candidates, a
 collision-corrected estimate drops hopeless pairs, and the rest are confirmed
 on the full sets.
 
-No group is expanded into its pairs. Documents of equal sets are one class. In
-a band's group every class is paired with one member only, that which has most
-company over all its bands (in a family of edits, their common source); each
-class tries the one such partner with which it shares most bands, which joins
-nearly all copies to a component. What is left are groups that still hold more than
-one component, often families of texts that are alike, but not enough. Their
-documents go through an exact prefix filter: by rarity of shingles, two sets
-similar enough share one of the rarest fifth (and one more) of either, so edits
-of a text that differ too much, each with rare shingles of its own, never meet.
-Pairs across components that do meet are estimated and confirmed.
+No group is expanded into its pairs. Documents of equal sets are one class,
+confirmed against its smallest document. In a band's group every class is
+paired with one member only, the hub: that which has most company over all its
+bands (in a family of edits, their common source). Each class tries the one hub
+with which it shares most bands, which joins nearly all copies to a component.
+
+What is left are groups that still hold more than one component, often families
+of texts that are alike, but not enough. There each document is known by how it
+differs from the hub: two sets differ from each other by what is in one of
+their differences to the hub and not in the other. A document whose difference
+is small enough links to the hub. Any other two that are similar enough must
+share a part of their differences that is known beforehand, so a prefix filter
+over the differences, the rarest in the group first, with the bound on
+positions as a condition of the join, lets hardly a pair meet that doesn't
+link: what a family has in common is in no difference, and what an edit adds is
+rare. Pairs across components that do meet are estimated and confirmed.
 
 With six registers a band and 42 bands a pair at similarity 0.8 is missed with
 probability (1 - 0.8^6)^42 = 3e-6, and the estimate's margin is six standard
@@ -27,7 +33,9 @@ Defined cases: null and wordless texts have an empty set and link to nothing;
 fewer words than a shingle are one shingle; a set too small to reach the
 threshold with any other set links to equal sets only; rows of equal doc_id
 are one document, repeated rows each stay; a null doc_id links to nothing, its
-component_id is null and it is kept; other columns are kept by `dedupe`.
+component_id is null and it is kept; an empty table gives an empty result; very
+long texts are read whole; other columns are kept by `dedupe`, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,11 +44,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, materialize, small
 
 BUCKETS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = BUCKETS // BAND_ROWS
@@ -67,18 +76,45 @@ class WordHashes(dict):
         return h
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of A-Z lower-cased words between
-    ASCII white space."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.array([hashes[x] for x in words], dtype=np.uint64)
+def _shingles(words: list[int], size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words, or of the whole if it is shorter."""
+    w = np.array(words, dtype=np.uint64)
     n = min(size, len(w))
     total = np.full(len(w) - n + 1, 0x9E3779B97F4A7C15 * (size - n) & (1 << 64) - 1, np.uint64)
     for j in range(n):
         total = _mixed(total + w[j : len(w) - n + 1 + j] * np.uint64(2 * j + 3))
-    return np.unique(total)
+    return total
+
+
+def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of A-Z lower-cased words between
+    ASCII white space."""
+    words = text.encode().lower().split() if text else []
+    return np.unique(_shingles([hashes[x] for x in words], size)) if words else np.zeros(0, np.uint64)
+
+
+def shingle_sets(texts: list[bytes | None], size: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The `shingle_set` of each text, laid end to end, and their lengths."""
+    known = hashes.__getitem__
+    split = [list(map(known, t.lower().split())) if t else [] for t in texts]
+    counts = np.array([max(len(w) - size + 1, min(len(w), 1)) for w in split])
+    ends = counts.cumsum()
+    flat = np.empty(ends[-1] if len(ends) else 0, np.uint64)
+    # One run over all words; runs across two texts are left out, short texts stand alone.
+    every = _shingles([x for w in split if len(w) >= size for x in w], size) if any(len(w) >= size for w in split) else flat
+    at = 0
+    for w, end, n in zip(split, ends, counts, strict=True):
+        if len(w) >= size:
+            flat[end - n : end] = every[at : at + n]
+            at += len(w)
+        elif w:
+            flat[end - 1] = _shingles(w, size)[0]
+        flat[end - n : end].sort()
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = flat[1:] != flat[:-1]
+    fresh[(ends - counts)[counts > 0]] = True
+    kept = np.concatenate([[0], fresh.cumsum()])
+    return flat[fresh], kept[ends] - kept[ends - counts]
 
 
 def _probes() -> np.ndarray:
@@ -86,34 +122,39 @@ def _probes() -> np.ndarray:
     return np.stack([rng.permutation(BUCKETS) for _ in range(BUCKETS)])
 
 
-def registers(hashes: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """The sketch of a non-empty sorted set: leading zeros and mantissa of the
-    least hash of each bucket, borrowed where a bucket is empty."""
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+def registers(hashes: np.ndarray, lengths: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """The sketches of non-empty sorted sets, laid end to end: leading zeros and
+    mantissa of the least hash of each bucket, borrowed where one is empty."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    cell = doc * BUCKETS + (hashes >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     rest = (hashes[first] << np.uint64(8)) >> np.uint64(8)  # 56 bits
     bits = np.frexp(rest.astype(np.float64))[1].astype(np.int64)  # position of the highest one
     bits -= (rest < (np.uint64(1) << np.maximum(bits - 1, 0).astype(np.uint64))) & (rest > 0)
     zeros = 56 - bits
     shift = (bits - 1 - MANTISSA).clip(0)
     mantissa = (rest >> shift.astype(np.uint64)).astype(np.int64) & ((1 << MANTISSA) - 1)
-    out = np.zeros(BUCKETS, np.int64)
-    filled = np.zeros(BUCKETS, bool)
-    filled[bucket[first]] = True
-    out[bucket[first]] = zeros << MANTISSA | mantissa
-    empty = np.flatnonzero(~filled)
-    if len(empty):
-        order = probes[empty]
-        out[empty] = out[order[np.arange(len(empty)), filled[order].argmax(1)]]
-    return out.astype(np.uint16)
-
-
-def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of registers."""
-    rows = sketch[: BANDS * BAND_ROWS].astype(np.uint64).reshape(BANDS, BAND_ROWS)
+    out = np.zeros((len(lengths), BUCKETS), np.uint16)
+    filled = np.zeros((len(lengths), BUCKETS), bool)
+    out.reshape(-1)[cell[first]] = zeros << MANTISSA | mantissa
+    filled.reshape(-1)[cell[first]] = True
+    row, column = np.nonzero(~filled)
+    for probe in probes.T:  # each empty bucket asks one bucket after the other
+        if not len(row):
+            break
+        asked = probe[column]
+        got = filled[row, asked]
+        out[row[got], column[got]] = out[row[got], asked[got]]
+        row, column = row[~got], column[~got]
+    return out
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of registers of each sketch."""
+    rows = sketches[:, : BANDS * BAND_ROWS].astype(np.uint64).reshape(-1, BANDS, BAND_ROWS)
     key = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for j in range(BAND_ROWS):
-        key = _mixed(key * np.uint64(0x100000001B3) + rows[:, j])
+        key = _mixed(key * np.uint64(0x100000001B3) + rows[:, :, j])
     return key.view(np.int64)
 
 
@@ -126,26 +167,35 @@ def estimate(same: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """docs with ``s``: n, k1, k2 (which tell sets apart), sketch and bands;
+    """(doc_id, n, k1, k2, sketch, bands) of each row of docs: the set's size,
+    two sums over it that tell sets apart, the registers and the bands' keys;
     the last two are null for sets that can only link to equal ones."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @F.pandas_udf("n long, k1 long, k2 long, sketch binary, bands array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, probes = WordHashes(), _probes()
-        for texts in batches:
-            rows = []
-            for t in texts:
-                s = shingle_set(t, size, hashes)
-                k1 = int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
-                k2 = int(_mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
-                if 100 * len(s) >= PERCENT * (len(s) + 1):
-                    r = registers(s, probes)
-                    rows.append((len(s), k1, k2, r.tobytes(), band_keys(r).tolist()))
-                else:
-                    rows.append((len(s), k1, k2, None, None))
-            yield pd.DataFrame(rows, columns=["n", "k1", "k2", "sketch", "bands"])
-
-    return docs.withColumn("s", sketch(F.col("text")))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(1).to_pylist()
+            flat, n = shingle_sets(texts, size, hashes)
+            some = np.flatnonzero(n)
+            k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if len(some):
+                starts = (n.cumsum() - n)[some]
+                k1[some] = np.add.reduceat(flat, starts)
+                k2[some] = np.add.reduceat(_mixed(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
+            large = (100 * n >= PERCENT * (n + 1)) & (n > 0)
+            r = registers(flat[np.repeat(large, n)], n[large], probes) if large.any() else np.zeros((0, BUCKETS), np.uint16)
+            places = np.where(large, large.cumsum() - 1, -1)
+            taken = pa.array(places, mask=~large)
+            held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BUCKETS), len(r), [None, pa.py_buffer(np.ascontiguousarray(r))]).cast(pa.binary())
+            keys = pa.ListArray.from_arrays(np.arange(len(r) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(r).ravel()))
+            cols = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), held.take(taken), keys.take(taken)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "sketch", "bands"])
+
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return raw.mapInArrow(sketch, f"doc_id {kind}, n long, k1 long, k2 long, sketch binary, bands array<long>")
 
 
 def _estimated(a: str, b: str) -> Column:
@@ -160,13 +210,19 @@ def _estimated(a: str, b: str) -> Column:
     return estimated.asNondeterministic()(a, b)
 
 
-def _linked(size: int) -> Column:
+def _linked(size: int):
+    """Whether two texts' full sets are similar enough; a null second text
+    stands for the first one."""
+
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         hashes, last = WordHashes(), (None, None)
         for a, b in batches:
             out = []
             for x, y in zip(a, b, strict=True):
+                if y is None:
+                    out.append(True)
+                    continue
                 if last[0] != x:
                     last = (x, shingle_set(x, size, hashes))
                 s, t = last[1], shingle_set(y, size, hashes)
@@ -184,7 +240,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(right, "b").join(left, "a")
-    return both.filter(_linked(size)("text_a", "text_b")).select("a", "b").distinct()
+    # Equal texts needn't be told apart word by word.
+    differ = F.when(F.col("text_a") != F.col("text_b"), F.col("text_b"))
+    read = both.select("a", "b", F.when(differ.isNotNull(), F.col("text_a")).alias("text_a"), differ.alias("text_b"))
+    found = materialize(read.filter(_linked(size)("text_a", "text_b")).select("a", "b").distinct(), "confirmed")
+    discard(ends)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,12 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _rare_meetings(docs: DataFrame, held: DataFrame, size: int) -> DataFrame:
-    """(a, b): documents of different components in ``held`` (doc_id,
-    component) that share a shingle of their prefixes. A set's prefix is as many
-    of its shingles, the rarest in ``held`` first, as must hold one that any
-    similar enough set has in its own prefix, too. Each distinct set of a
-    document is spelled out once, however many rows give it."""
+def held_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, v, t) for each text of the documents in ``ids``: its shingles
+    t, and v, which tells texts of one doc_id apart; repeated rows once."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -215,31 +273,59 @@ def _rare_meetings(docs: DataFrame, held: DataFrame, size: int) -> DataFrame:
         for texts in batches:
             yield pd.Series([shingle_set(t, size, hashes).view(np.int64) for t in texts], dtype=object)
 
-    sets = docs.select("doc_id", "text").join(small(held), "doc_id").select("doc_id", "component", shingles("text").alias("t"))
-    texts = sets.withColumns({"k1": F.xxhash64("t"), "k2": F.hash("t")}).dropDuplicates(["doc_id", "component", "k1", "k2"])
-    # Fewer than 80 of 100 shingles can be missing from the rest of the set.
-    need = F.size("t") - F.ceil(F.size("t") * PERCENT / 100) + 1
-    tokens = materialize(texts.select("doc_id", "component", "k1", "k2", F.size("t").alias("n"), need.alias("need"), F.explode("t").alias("t")), "held-shingles")
-    often = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("df > 1")
-    counted = tokens.join(often, "t", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("doc_id", "component", "k1", "k2").orderBy("df", "t"))
-    prefix = materialize(counted.withColumn("_i", place).filter("_i <= need and lo <> hi").select("t", "doc_id", "component", "n"), "held-prefixes")
-    mixed = prefix.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t")
-    left = materialize(prefix.join(mixed, "t"), "held-mixed")
-    x, y = left.alias("x"), left.alias("y")
-    fits = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.component") < F.col("y.component")) & fits)
-    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").filter("text is not null")
+    apart = texts.withColumn("v", F.xxhash64("text")).dropDuplicates(["doc_id", "v"])
+    return apart.select("doc_id", "v", shingles("text").alias("t")).filter(F.size("t") > 0)
+
+
+def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that may link, from ``groups``
+    (hub, doc_id, component), each group by its documents' differences to the
+    hub; ``sets`` is (doc_id, v, t). Every pair of a group that is similar
+    enough is there, or both ends are paired with the hub.
+
+    With sets of n and differences of m shingles, two documents link if they
+    share c shingles of their differences, where
+    2 (100 + p) c >= (100 + p) (m + m') - (100 - p) (n + n').
+    """
+    up, down = 100 + PERCENT, 100 - PERCENT
+    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("v").alias("hub_v"), F.col("t").alias("hub_t"))
+    both = groups.join(hubs, "hub").join(sets, "doc_id")
+    differing = F.array_union(F.array_except("t", "hub_t"), F.array_except("hub_t", "t"))
+    differ = both.select("hub", "hub_v", "doc_id", "v", "component", F.size("t").alias("n"), F.size("hub_t").alias("hub_n"), differing.alias("d"))
+    differ = materialize(differ.withColumn("m", F.size("d")), "differences")
+    near = differ.filter(up * F.col("m") <= down * (F.col("n") + F.col("hub_n"))).filter("doc_id <> hub")
+    to_hub = near.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
+
+    group, member = ["hub", "hub_v"], ["hub", "hub_v", "doc_id", "v"]
+    tokens = materialize(differ.select(*member, "component", "n", "m", F.explode("d").alias("t")), "difference-shingles")
+    often = tokens.groupBy(*group, "t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    often = materialize(often.filter("df > 1").select(*group, "t", "df", (F.col("lo") != F.col("hi")).alias("mixed")), "shared-differences")
+    counted = tokens.join(often, [*group, "t"], "left").withColumns({"df": F.coalesce("df", F.lit(1)), "mixed": F.coalesce("mixed", F.lit(False))})
+    place = F.row_number().over(Window.partitionBy(*member).orderBy("df", "t"))
+    # A partner's set is at most 100 / p times as large.
+    longest = F.floor(F.lit(down) * (100 + PERCENT) * F.col("n") / (PERCENT * up)) + 1
+    prefix = counted.withColumn("i", place).filter("mixed").filter(F.col("i") <= longest)
+    prefix = materialize(prefix.select(*group, "t", "doc_id", "component", "n", "m", "i"), "difference-prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "t")]
+    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    reach = 2 * up * (1 + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))) >= up * (F.col("x.m") + F.col("y.m")) - down * (F.col("x.n") + F.col("y.n"))
+    met = x.join(y, same[0] & same[1] & same[2] & (F.col("x.component") < F.col("y.component")) & sizes & reach)
+    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    out = materialize(pairs.unionByName(to_hub).distinct(), "meetings")
+    discard(differ, tokens, often, prefix)
+    return out
 
 
 def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of each row, and (id, component) of each linked doc_id."""
-    sketched = materialize(sketches(docs.select("doc_id", "text"), size).select("doc_id", "s.*"), "sketches")
+    sketched = materialize(sketches(docs.select("doc_id", "text"), size), "sketches")
     filled = sketched.filter("n > 0 and doc_id is not null")
     # Documents of equal sets are one class, named by its smallest doc_id; rows
     # of equal doc_id are tied together by the edges between their classes.
-    classes = materialize(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class"), F.count("*").alias("members")), "set-classes")
-    member = filled.select("doc_id", "n", "k1", "k2").join(classes.filter("members > 1"), ["n", "k1", "k2"]).filter("doc_id <> class")
+    classes = materialize(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class"), F.count("*").alias("members")).filter("members > 1"), "set-classes")
+    member = filled.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).filter("doc_id <> class")
     copies = materialize(member.select(F.col("class").alias("a"), F.col("doc_id").alias("b"), "k1", "k2").distinct(), "copies")
     heads = materialize(filled.filter("sketch is not null").join(small(copies.select(F.col("b").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_anti"), "class-heads")
 
@@ -254,22 +340,27 @@ def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     def likely(pairs: DataFrame) -> DataFrame:
         of = lambda end: heads.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s{end}"))
         valued = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("likeness", _estimated("sa", "sb"))
-        return materialize(valued.filter(F.col("likeness") >= PERCENT / 100 - MARGIN).select("a", "b"), "likely-pairs")
+        return valued.filter(F.col("likeness") >= PERCENT / 100 - MARGIN).select("a", "b")
 
     stars = crowd.filter("a <> b").filter(fits).groupBy("a", "b").agg(F.count("*").alias("bands"))
     best = stars.groupBy("b").agg(F.max(F.struct("bands", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    sure = materialize(confirm(likely(best), docs, size), "links-1")
+    pairs = materialize(likely(best).unionByName(copies.select("a", "b")), "pairs-1")
+    sure = confirm(pairs, docs, size)
     labels = components(sure)
     # Groups that still hold several components.
-    placed = crowd.select("band", F.col("b").alias("doc_id")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band")
-    held = materialize(placed.join(mixed, "band").select("doc_id", "component").distinct(), "mixed-groups")
-    last = likely(_rare_meetings(docs, held, size))
-    if last.limit(1).count():
-        sure = materialize(sure.unionByName(confirm(last, docs, size)), "links-2")
+    placed = crowd.select("band", F.col("a").alias("hub"), F.col("b").alias("doc_id")).join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "hub", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = materialize(placed, "band-components")
+    mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("band"), "mixed-bands")
+    groups = materialize(placed.join(small(mixed), "band", "left_semi").select("hub", "doc_id", "component").distinct(), "mixed-groups")
+    sets = materialize(held_sets(docs, materialize(groups.select("doc_id").distinct(), "held"), size), "held-sets")
+    met = materialize(likely(meetings(groups, sets)), "pairs-2")
+    sure = sure.unionByName(confirm(met, docs, size))
     twice = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     tied = filled.join(twice, "doc_id").join(classes, ["n", "k1", "k2"]).filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b")).distinct()
-    return sketched.select("doc_id", "n"), components(sure.unionByName(copies.select("a", "b")).unionByName(tied))
+    linked = components(sure.unionByName(tied))
+    sizes = materialize(sketched.select("doc_id", "n"), "set-sizes")
+    discard(sketched, classes, copies, heads, company, crowd, pairs, placed, mixed, groups, sets, met)
+    return sizes, linked
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
