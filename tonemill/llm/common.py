@@ -101,6 +101,15 @@ def hashed_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int(n / total * (1 << 40))).limit(2 * n)
 
 
+def fresh_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores behind as it takes to clash with no
+    column of the tables; Spark doesn't tell case."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

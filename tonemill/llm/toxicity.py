@@ -2,24 +2,29 @@
 
 A word's embedding is the sum of the table rows that the word itself and its
 leading parts hash to, so that words of one stem share what is learned. Filters
-of one, two and three words run over the whole text; the largest answer of each
-filter feeds two heads, one for toxicity and one for the language. Both are
-trained in numpy on a bounded sample of labelled rows. A threshold on the
-toxicity logit is calibrated for each language on all labelled rows that were
-not learned from: Spark scores them and counts their logits in narrow bins.
-Each class counts there as often as it stands in the table, though the sample
-takes more of the rarer one, so thresholds don't move with the table's size. A
-text is held against the threshold of the language that the second head
-sees in it: neither labels nor the lang column have a part in a score.
+of one, two and three words run over the whole text, from each of its words and
+from one place after them; the largest answer of each filter feeds two heads,
+one for toxicity and one for the language. Both are trained in numpy on a
+bounded sample of labelled rows. A threshold on the toxicity logit is
+calibrated for each language on all labelled rows that were not learned from:
+Spark scores them and counts their logits in narrow bins. Each class counts
+there as often as it stands in the table, though the sample takes more of the
+rarer one, so thresholds don't move with the table's size. With few toxic rows
+a language's threshold lies near the common one, and that near the level which
+as many texts exceed as are toxic (see `calibrate`). A text is held against the
+threshold of the language that the second head sees in it: neither labels nor
+the lang column have a part in a score.
 
 Scoring maps Arrow batches of documents; each holds one chunk of texts and a
-bounded cache of word embeddings.
+bounded cache of word embeddings. A score is a function of the text alone.
 
 Defined cases: null, empty and letterless texts get the score of a text without
 words; rows without a label, with a null label or a null text aren't learned
-from; a null doc_id counts as the empty text; without a row of each label every
-score is the share of toxic labels (0 if none); repeated rows each stay; other
-columns are kept by `filter_toxic` and dropped by `scores`.
+from; a doc_id with several labels is toxic if one of them says so; a null
+doc_id counts as the empty text; without a row of each label every score is the
+share of toxic labels (0 if none); repeated rows each stay; an empty table gives
+an empty result; very long texts are read whole; other columns are kept by
+`filter_toxic`, whatever their names, and dropped by `scores`.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize
+from .common import fresh_name, hashed_sample, materialize
 
 #: About so many labelled rows of each class are learned from, of texts up
 #: to MAX_CHARS code points. All rows are scored, over their whole texts.
@@ -43,12 +48,13 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 20_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PREFIXES = (4, 5, 7)
 #: Small samples are gone through more often: LEAST_SEEN texts in all.
-EPOCHS, MOST_EPOCHS, LEAST_SEEN, BATCH, RATE, SEED = 3, 8, 20_000, 64, 0.03, 7
-LEAST_POSITIVES = 6
+EPOCHS, LEAST_SEEN, BATCH, RATE, SEED = 3, 20_000, 64, 0.03, 7
+#: Toxic rows that what is known without a language's own rows counts for.
+PRIOR = 20.0
 #: Bins of a logit's unit, and the largest logit told apart.
 BINS, FAR = 64, 40
 _WORD = re.compile(r"[^\W\d_]+")
-CACHE = 200_000
+CACHE = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -123,15 +129,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(shifted, -40, 40)))
 
 
-def _joined(encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid end to end with gaps of the widest filter, and their starts."""
+def _joined(encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end with gaps of the widest filter, their starts, and
+    the ends of the places from which filters may run: a text's own words and
+    one gap, so that no filter reads on into the next text."""
     gap = np.zeros(max(WIDTHS), np.int32)
-    lengths = np.array([len(e) + len(gap) for e in encoded])
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    return np.concatenate([part for e in encoded for part in (e, gap)]), starts
+    lengths = np.array([len(e) for e in encoded])
+    starts = np.concatenate([[0], np.cumsum(lengths + len(gap))[:-1]]).astype(np.int64)
+    return np.concatenate([part for e in encoded for part in (e, gap)]), starts, starts + lengths + 1
 
 
-def pool(model: Model, words: np.ndarray, encoded: list[np.ndarray], step: int = 200_000) -> np.ndarray:
+def pool(model: Model, words: np.ndarray, encoded: list[np.ndarray], step: int = 50_000) -> np.ndarray:
     """Largest answer of each filter per text; words are embeddings by id."""
     out, i = np.empty((len(encoded), FILTERS * len(WIDTHS)), np.float32), 0
     while i < len(encoded):
@@ -139,12 +147,11 @@ def pool(model: Model, words: np.ndarray, encoded: list[np.ndarray], step: int =
         while j < len(encoded) and (j == i or n + len(encoded[j]) <= step):
             n += len(encoded[j])
             j += 1
-        ids, starts = _joined(encoded[i:j])
-        if len(ids) > 2 * step:  # one very long text: by overlapping parts
-            parts = range(0, len(ids), step)
-            out[i] = np.max([model.conv(words[ids[p : p + step + max(WIDTHS)]]).max(0) for p in parts], axis=0)
+        ids, starts, ends = _joined(encoded[i:j])
+        if ends[0] > step:  # one long text, by parts: a filter may end behind the part it starts in
+            out[i] = np.max([model.conv(words[ids[p : p + step + max(WIDTHS)]])[: min(step, ends[0] - p)].max(0) for p in range(0, ends[0], step)], axis=0)
         else:
-            out[i:j] = np.maximum.reduceat(model.conv(words[ids]), starts, axis=0)
+            out[i:j] = np.maximum.reduceat(model.conv(words[ids]), np.stack([starts, ends], axis=1).ravel(), axis=0)[::2]
         i = j
     return out
 
@@ -174,7 +181,7 @@ def seed_embeddings(m: Model, buckets: list[np.ndarray], toxic: np.ndarray, lang
 
 
 def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs: int | None = None, seed: int = SEED) -> Model:
-    epochs = epochs or min(MOST_EPOCHS, max(EPOCHS, LEAST_SEEN // len(texts)))
+    epochs = max(EPOCHS, LEAST_SEEN // len(texts)) if epochs is None else epochs
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary()
     encoded = [vocabulary.encode(words_of(t)) for t in texts]
@@ -201,8 +208,7 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
         order = rng.permutation(learn)
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
-            ids, starts = _joined([encoded[i] for i in pick])
-            ends = np.append(starts[1:], len(ids))
+            ids, starts, ends = _joined([encoded[i] for i in pick])
             used, local = np.unique(ids, return_inverse=True)
             words = m.table[rows[used]].sum(1)
             words[used == 0] = 0
@@ -253,28 +259,36 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
 
 def calibrate(lang: np.ndarray, bins: np.ndarray, toxic: np.ndarray, n: np.ndarray, learned: tuple[int, int], n_langs: int) -> np.ndarray:
     """The threshold of best F1 for each language, from the number n of rows of
-    each language, bin and label; with under LEAST_POSITIVES toxic rows in a
-    language, the one over all languages. ``learned`` are the clean and toxic
-    rows that aren't counted in n: each class is weighted up by them."""
-    weight = np.ones(2)
+    each language, bin and label. ``learned`` are the clean and toxic rows that
+    aren't counted in n: each class is weighted up by them.
+
+    To a language's rows those of all languages are added, scaled to PRIOR toxic
+    rows; and to all those the same number of toxic rows and their share of
+    clean ones as if the highest logits were the toxic ones. So little data moves
+    a threshold little, and none at all leaves it where as many exceed it as are
+    toxic."""
+    x, at = np.unique(-bins, return_inverse=True)
+    count = np.zeros((n_langs, 2, len(x)))
     for c in (0, 1):
         rows = n[toxic == c].sum()
-        weight[c] = (rows + learned[c]) / rows if rows else 0.0
+        weight = (rows + learned[c]) / rows if rows else 0.0
+        np.add.at(count, (lang[toxic == c], c, at[toxic == c]), n[toxic == c] * weight)
+
+    def scaled(of: np.ndarray) -> np.ndarray:
+        return of * (PRIOR / of[1].sum()) if of[1].sum() else of
 
     def best(of: np.ndarray) -> float:
-        x, at = np.unique(-bins[of], return_inverse=True)
-        count = np.bincount(at, n[of] * weight[toxic[of]])
-        hit = np.bincount(at, n[of] * weight[toxic[of]] * (toxic[of] == 1)).cumsum()
-        i = int((2 * hit / (count.cumsum() + max(hit[-1], 1))).argmax())
+        hit = of[1].cumsum()
+        i = int((2 * hit / (of.sum(0).cumsum() + max(hit[-1], 1e-9))).argmax())
         # Halfway from the lower end of the last bin above to the upper end of the next one.
         return float(-x[i] + (1 - x[i + 1] if i + 1 < len(x) else -x[i])) / 2 / BINS
 
-    def enough(of: np.ndarray) -> bool:
-        return n[of & (toxic == 1)].sum() >= LEAST_POSITIVES
-
-    everyone = np.ones(len(n), bool)
-    common = best(everyone) if enough(everyone) else 0.0
-    return np.array([best(lang == k) if enough(lang == k) else common for k in range(n_langs)], np.float32)
+    both = count.sum((0, 1))
+    rows = [count[:, c].sum() or learned[c] for c in (0, 1)]
+    share = rows[1] / max(sum(rows), 1)
+    top = np.clip(share * both.sum() - (both.cumsum() - both), 0, both)
+    common = count.sum(0) + scaled(np.stack([both - top, top]))
+    return np.array([best(c + scaled(common)) for c in count], np.float32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -291,7 +305,7 @@ def set_apart(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model learned from rows that aren't held out, or the share of toxic
     labels if there is none of each class."""
-    rows = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    rows = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = materialize(rows.filter(~held_out(F.col("doc_id"))), "labelled")
     chosen = [hashed_sample(rows.filter(F.col("toxic") == c), n, SEED, "doc_id") for c, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # At most twice MAX_TOXIC and MAX_CLEAN rows of two columns.
@@ -357,8 +371,9 @@ class Scorer:
         return of(pool(self.model, self.words, encoded))
 
 
-def with_scores(docs: DataFrame, model: Model | float, chunk: int = 500) -> DataFrame:
-    """docs with ``score``; all other columns pass through unread."""
+def with_scores(docs: DataFrame, model: Model | float, name: str = "score", chunk: int = 200) -> DataFrame:
+    """docs with the score as a column ``name``; all others pass through unread."""
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
@@ -366,7 +381,7 @@ def with_scores(docs: DataFrame, model: Model | float, chunk: int = 500) -> Data
             parts = [scorer(list(texts.iloc[i : i + chunk])) for i in range(0, len(texts), chunk)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.drop("score").withColumn("score", score(F.col("text")))
+    return docs.withColumn(name, score(F.col("text")))
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -377,4 +392,5 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
-    return with_scores(docs, fit(docs, labels)).filter("score < 0.5").select(*docs.columns)
+    name = fresh_name("score", docs)
+    return with_scores(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns)
