@@ -4,26 +4,36 @@
 maps each distinct entity of a corpus to a stand-in of the same kind: digits
 for digits in the same layout (a phone keeps its country code, a card number
 its first digit and whether its check digit fits), valid octets for an
-address, hex for hex, letters of the same script for letters, and for a person
-behind a courtesy title a name of that title's gender and of the name's
-script. The stand-in comes from SHA-2 of a key, the kind and the entity's
-canonical form, so an entity reads alike everywhere, however it is spaced or
-cased. Stand-ins that two entities would share, or that are an entity of the
-corpus themselves, are drawn again until all are distinct.
-
-Defined cases: null stays null; a text without entities stays as it is; rows
-are told apart by doc_id and text, and repeated rows each stay; n_chars, if
-there is such a column, is counted anew; other columns are kept.
+address, hex for hex, letters of the same script for letters. A person is found
+behind a courtesy title, and in the same text by the full name or surname alone
+wherever a title has told it. Given names and surnames have surrogates of their
+own, of the title's gender and the name's script, so `Mr. John Smith`,
+`Mr. Smith` and `John Smith` stay one person.
+
+The stand-in comes from SHA-2 of a key, the kind and the entity's canonical
+form, so an entity reads alike everywhere, however it is spaced or cased.
+Stand-ins that two entities would share, or that are an entity of the corpus
+themselves, are drawn again until all are distinct. The key is the setting
+``spark.tonemill.pii.key`` (`configured_key`); without it each call draws a key
+of its own, and what two runs give can't be linked.
+
+Defined cases: null stays null; a text without entities stays as it is; an
+empty table stays empty; very long texts are searched whole; rows are told
+apart by doc_id and text, and repeated rows each stay; n_chars, if there is such
+a column, is counted anew; other columns are kept, whatever their names, but
+for a column n_entities, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import discard, fresh_name, materialize, small
 
-KEY = "replace this key in production"
+KEY_SETTING = "spark.tonemill.pii.key"
 MAX_DRAWS = 32
 
 _FREE, _END = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
@@ -39,8 +49,11 @@ PATTERNS = {
     "person": f"{_FREE}(?:{MALE}|{FEMALE})\\.? \\p{{Lu}}[\\p{{L}}'-]+(?: \\p{{Lu}}[\\p{{L}}'-]+)?{_END}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text must hold for any pattern to fit; cheap to ask.
-_HINT = f"[0-9@]|{_FREE}(?:{MALE}|{FEMALE})\\.? \\p{{Lu}}|[A-Fa-f]{{32}}"
+_TITLE = f"(?:{MALE}|{FEMALE})\\.? "
+_TITLED = f"{_FREE}{_TITLE}\\p{{Lu}}"
+#: What a text must hold for any pattern to fit; cheap to ask. A pattern without
+#: a digit or @ that it must hold is named here by its own beginning.
+_HINT = f"[0-9@]|{_TITLED}|[A-Fa-f]{{32}}|(?:AKIA|ASIA)[A-Z]{{16}}|gh[pos]_"
 
 # Given names by gender and script, syllables for surnames.
 GIVEN = {
@@ -53,10 +66,28 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ka ke ko la le li lo ma
 LETTERS = {"ascii": "abcdefghijklmnopqrstuvwxyz", "latin": "àáâäçèéêëìíîïñòóôöùúûüß", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "other": "的一是在不了有人这中大为上个国我以要他时来用们"}
 
 
+def titled_persons(text: Column) -> Column:
+    """The persons behind a title, as they stand in the text."""
+    return F.when(text.rlike(_TITLED), F.regexp_extract_all(text, F.lit(PATTERNS["person"]), 0))
+
+
+def _name(raw: Column) -> Column:
+    return F.regexp_replace(raw, f"^{_TITLE}", "")
+
+
+def pattern(text: Column) -> Column:
+    """What to look for in a text: all patterns, and the names of the persons
+    whom it calls by a title, the longest first."""
+    whole = F.transform(titled_persons(text), _name)
+    names = F.array_distinct(F.concat(whole, F.transform(whole, lambda n: F.substring_index(n, " ", -1))))
+    longest = F.transform(F.sort_array(F.transform(names, lambda n: F.struct(F.length(n).alias("l"), n.alias("n"))), False), lambda x: x["n"])
+    return F.coalesce(F.when(F.size(names) > 0, F.concat(F.lit(f"{_ANY}|{_FREE}(?:"), F.array_join(longest, "|"), F.lit(f"){_END}"))), F.lit(_ANY))
+
+
 def find(text: Column) -> tuple[Column, Column]:
     """(entities in order, pieces around them): one piece more than entities."""
-    hinted = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), 0))
-    return F.coalesce(hinted, F.array().cast("array<string>")), F.split(text, _ANY)
+    hinted = F.when(text.rlike(_HINT), F.regexp_extract_all(text, pattern(text), F.lit(0)))
+    return F.coalesce(hinted, F.array().cast("array<string>")), F.split(text, pattern(text))
 
 
 def kind_of(raw: Column) -> Column:
@@ -69,7 +100,23 @@ def kind_of(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """What spellings of the same entity share."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "person", F.regexp_replace(raw, "\\.", "")).otherwise(F.lower(raw))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.lower(raw))
+
+
+def parts_of(raw: Column, titled: Column) -> Column:
+    """What of an entity is replaced, each with its kind, its canonical form and
+    what stands before it: the whole, or the names of a person. ``titled`` are
+    the text's persons behind a title, who tell the gender of a bare name."""
+    kind = kind_of(raw)
+    part = lambda kind, raw, before: F.struct(kind.alias("kind"), canonical(kind, raw).alias("canon"), raw.alias("raw"), before.alias("before"))
+    name = _name(raw)
+    title = raw.substr(F.lit(1), F.length(raw) - F.length(name))
+    given, surname = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
+    told = F.when(title != "", raw).otherwise(F.get(F.filter(titled, lambda t: t.endswith(F.concat(F.lit(" "), name))), F.lit(0)))
+    gendered = F.when(told.rlike(f"^(?:{MALE})\\.? "), F.lit("given-m")).otherwise(F.lit("given-f"))
+    alone = F.array(part(F.lit("surname"), surname, title))
+    both = F.array(part(gendered, given, title), part(F.lit("surname"), surname, F.lit(" ")))
+    return F.when(kind != "person", F.array(part(kind, raw, F.lit("")))).when(name.contains(" "), both).otherwise(alone)
 
 
 def _number(hexes: Column, at: Column | int, width: int = 4) -> Column:
@@ -109,14 +156,20 @@ def _letters_like(text: Column, hexes: Column) -> Column:
     return F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(text)), swap))
 
 
-def _person(canon: Column, hexes: Column, draw: Column) -> Column:
-    """The title as it is, a given name if there was one, a made surname."""
-    cyrillic, male = canon.rlike("\\p{IsCyrillic}$"), canon.rlike(f"^(?:{MALE}) ")
-    by = lambda f: F.when(cyrillic, f("cyrillic")).otherwise(f("latin"))
-    given = by(lambda s: F.when(male, _pick(GIVEN[s, "m"], _number(hexes, 1))).otherwise(_pick(GIVEN[s, "f"], _number(hexes, 1))))
-    surname = by(lambda s: F.initcap(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.least(draw, F.lit(6)) + 4), lambda i: _pick(SYLLABLES[s], _number(hexes, i * 5, 4))))))
-    parts = F.split(canon, " ")
-    return F.concat_ws(" ", parts[0], F.when(F.size(parts) > 2, given), surname)
+def _given(kind: Column, canon: Column, hexes: Column, draw: Column) -> Column:
+    """A given name of the gender and script; draws from the ninth on lengthen it."""
+    pick = lambda script: F.when(kind == "given-m", _pick(GIVEN[script, "m"], _number(hexes, 1))).otherwise(_pick(GIVEN[script, "f"], _number(hexes, 1)))
+    more = lambda script: F.when(draw > 7, _syllables(script, hexes, F.least(draw - 7, F.lit(6)))).otherwise("")
+    return F.lower(F.when(canon.rlike("\\p{IsCyrillic}$"), F.concat(pick("cyrillic"), more("cyrillic"))).otherwise(F.concat(pick("latin"), more("latin"))))
+
+
+def _syllables(script: str, hexes: Column, count: Column) -> Column:
+    return F.concat_ws("", F.transform(F.sequence(F.lit(1), count), lambda i: _pick(SYLLABLES[script], _number(hexes, i * 5, 4))))
+
+
+def _surname(canon: Column, hexes: Column, draw: Column) -> Column:
+    long = F.least(draw, F.lit(6)) + 4
+    return F.when(canon.rlike("\\p{IsCyrillic}$"), _syllables("cyrillic", hexes, long)).otherwise(_syllables("latin", hexes, long))
 
 
 def stand_in(kind: Column, canon: Column, draw: Column, key: str) -> Column:
@@ -133,7 +186,7 @@ def stand_in(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     domain = F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     email = F.concat(_letters_like(user, hexes), F.lit("@"), _letters_like(domain.substr(F.lit(1), F.length(domain) - F.length(top) - 1), F.reverse(hexes)), F.lit("."), top)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).otherwise(_person(canon, hexes, draw))
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "secret", secret).when(kind == "surname", _surname(canon, hexes, draw)).otherwise(_given(kind, canon, hexes, draw))
 
 
 def render(kind: Column, raw: Column, surrogate: Column) -> Column:
@@ -141,11 +194,16 @@ def render(kind: Column, raw: Column, surrogate: Column) -> Column:
     before = lambda i: F.length(F.regexp_replace(raw.substr(F.lit(1), i), "[^0-9]", ""))
     laid = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(raw.substr(i, F.lit(1)).rlike("[0-9]"), surrogate.substr(before(i), F.lit(1))).otherwise(raw.substr(i, F.lit(1)))))
     cased = F.when(raw.rlike("[A-Z]") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
-    titled = F.when(raw.contains("."), F.regexp_replace(surrogate, "^(\\S+)", "$1.")).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card", "ssn"), laid).when(kind == "person", titled).otherwise(cased)
+    named = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.when(kind.isin("phone", "card", "ssn"), laid).when(kind.isin("given-m", "given-f", "surname"), named).otherwise(cased)
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The key that the session names, or a fresh one that nobody knows."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon) -> (kind, canon, surrogate), one row for each distinct
     entity, no two surrogates of a kind alike and none an entity of the table."""
     known = materialize(entities.select("kind", "canon").distinct().withColumn("draw", F.lit(0)), "entities")
@@ -161,24 +219,28 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in ``text``, and ``n_entities``."""
-    row = [F.col("doc_id"), F.xxhash64("text").alias("_h")]
-    found = docs.filter(F.col("text").rlike(_HINT)).select(*row, find(F.col("text"))[0].alias("raws")).filter(F.size("raws") > 0).distinct()
-    mentions = found.select("doc_id", "_h", F.posexplode("raws").alias("at", "raw"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("raw")))
-    mentions = materialize(mentions.withColumn("canon", canonical(F.col("kind"), F.col("raw"))), "mentions")
-    mapping = small(surrogates(mentions, key))
-    drawn = mentions.join(mapping, ["kind", "canon"]).withColumn("new", render(F.col("kind"), F.col("raw"), F.col("surrogate")))
-    listed = drawn.groupBy("doc_id", "_h").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_m"))
-    keyed = listed.select(F.xxhash64("doc_id", "_h").alias("_k"), "_m")
-
-    pieces = F.split(F.col("text"), _ANY)
-    joined = F.concat(F.concat_ws("", F.transform(F.col("_m"), lambda m: F.concat(F.element_at(F.col("_p"), m["at"] + 1), m["new"]))), F.element_at(F.col("_p"), -1))
-    keep = [c for c in docs.columns if c not in ("n_entities", "_k", "_m", "_p")]
-    at_hand = docs.select(*keep, F.xxhash64("doc_id", F.xxhash64("text")).alias("_k"))
-    both = at_hand.join(small(materialize(keyed, "mention-lists"), 50_000), "_k", "left").withColumn("_p", F.when(F.col("_m").isNotNull(), pieces))
-    out = both.withColumn("text", F.when(F.col("_m").isNotNull(), joined).otherwise(F.col("text")))
-    if "n_chars" in keep:
-        out = out.withColumn("n_chars", F.when(F.col("_m").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*keep, F.coalesce(F.size("_m"), F.lit(0)).cast("long").alias("n_entities"))
+    text = F.col("text")
+    digest = F.md5(text.cast("binary"))
+    found = docs.filter(text.rlike(_HINT)).select(F.col("doc_id").alias("d"), digest.alias("h"), find(text)[0].alias("raws"), titled_persons(text).alias("titled")).filter(F.size("raws") > 0).distinct()
+    mentions = found.select("d", "h", "titled", F.posexplode("raws").alias("at", "raw"))
+    parted = mentions.select("d", "h", "at", F.posexplode(parts_of(F.col("raw"), F.col("titled"))).alias("part", "p"))
+    mentions = materialize(parted.select("d", "h", "at", "part", "p.*"), "mentions")
+    drawn = mentions.join(small(surrogates(mentions, key)), ["kind", "canon"]).withColumn("new", F.concat("before", render(F.col("kind"), F.col("raw"), F.col("surrogate"))))
+    listed = materialize(drawn.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("at", "part", "new"))).alias("m")), "mention-lists")
+    discard(mentions)
+
+    # A text is known by doc_id and its 128-bit digest, asked only where a pattern may fit.
+    hint, news, pieces = fresh_name("hint", docs), fresh_name("news", docs), fresh_name("pieces", docs)
+    at_hand = docs.select(*[c for c in docs.columns if c.lower() != "n_entities"], F.when(text.rlike(_HINT), digest).alias(hint))
+    known = small(listed.select(F.col("d").alias(fresh_name("d", docs)), F.col("h").alias(fresh_name("h", docs)), F.col("m").alias(news)), 50_000)
+    both = at_hand.join(known, at_hand["doc_id"].eqNullSafe(known[fresh_name("d", docs)]) & (at_hand[hint] == known[fresh_name("h", docs)]), "left")
+    split = both.withColumn(pieces, F.when(F.col(news).isNotNull(), find(text)[1]))
+    joined = F.concat(F.concat_ws("", F.transform(F.col(news), lambda m: F.concat(F.when(m["part"] == 0, F.element_at(F.col(pieces), m["at"] + 1)).otherwise(""), m["new"]))), F.element_at(F.col(pieces), -1))
+    out = split.withColumn("text", F.when(F.col(news).isNotNull(), joined).otherwise(text))
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(news).isNotNull(), counted).otherwise(F.col("n_chars")))
+    entities = F.size(F.filter(F.col(news), lambda m: m["part"] == 0))
+    return out.select(*[c for c in docs.columns if c.lower() != "n_entities"], F.when(F.col(news).isNotNull(), entities).otherwise(0).cast("long").alias("n_entities"))

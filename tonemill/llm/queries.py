@@ -37,7 +37,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.replace(table(spark, sf_dir, "documents"), pii.configured_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
