@@ -1,5 +1,9 @@
 """Main text of pages: what belongs to the article stays, furniture goes."""
 
+import html
+import random
+import time
+
 from tonemill.llm import html_text
 
 LONG = "This sentence is long enough to count as prose, it has commas, and it says more than a caption does. "
@@ -43,3 +47,72 @@ def test_furniture_goes():
 def test_links_within_the_text_stay():
     refs = "<ul><li><a href=a>First source</a><li><a href=b>Second source</a><li><a href=c>Third source</a></ul>"
     assert lines(f"<body><article><p>{LONG * 3}</p><p>{LONG * 3}</p>{refs}</article></body>")[2:] == ["First source", "Second source", "Third source"]
+
+
+def test_time_grows_with_the_length():
+    for piece in ('<a title="x', "<a title='x", "<a title=\"x>", "<p class=a", "<!--", "<svg>x", "<noscript>", "<b a=b", "&lt;<", "<a b='c\"d", "</x", "<div><p>t"):
+        began = time.perf_counter()
+        html_text.main_text(f"<p>{LONG}</p>" + piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20, piece
+    began = time.perf_counter()
+    assert html_text.main_text('<a title="x' * 90_000) == "" and time.perf_counter() - began < 2
+
+
+def test_unclosed_quotes_end_with_their_tag():
+    assert lines('<p>one <a title="foo>two</p><p>three</p>') == ["one two", "three"]
+    assert lines("<p>one <a title='>' class=\"b>c\" x=y/>two</p>") == ["one two"]
+    assert lines("<p>a < b, a <3 and a<<b>c</b> <!-- no --> d") == ["a < b, a <3 and a<c d"]
+    assert lines("<p>whole</p><p>cut <a href='x") == ["whole", "cut"]
+    assert lines("<p>one</p><noscript><p>two</p><svg>three") == ["one", "two", "three"]
+    assert lines("<p>one</p><SCRIPT>if (a<b) '</p>'</sCript ><p>two<style>p{}") == ["one", "two"]
+
+
+def test_loose_text_between_containers_stays():
+    page = f"<body><div id=x><div><p>{LONG * 2}</p></div>loose text<div><p>{LONG}</p></div>more <b>loose</b> text</div></body>"
+    assert lines(page) == [(LONG * 2).strip(), "loose text", LONG.strip(), "more loose text"]
+
+
+def test_wrappers_with_names_of_widgets_stay():
+    for names in ("widget-wrap", "overflow-hidden", "share-page", "meta", "respond"):
+        page = f'<body><div class="{names}"><h1>Title</h1><p>{LONG * 4}</p></div><div class=widget><p>Junk.</p></div></body>'
+        want = [] if names == "respond" else ["Title", (LONG * 4).strip()]
+        assert [x for x in lines(page) if x] in (want, ["Junk."]), names
+    assert lines(f"<body><div class=comments><p>{LONG * 9}</p></div><article><p>{LONG}</p></article></body>") == [LONG.strip()]
+
+
+def generated(rng):
+    """A page and the blocks of its article."""
+    word = lambda: rng.choice(["of", "the", "sand", "tide,", "r&amp;d", "&eacute;t&eacute;", "&#8211;", "a&nbsp;b", "naïve"])
+    prose = lambda n: " ".join(word() for _ in range(n))
+    parts, want = [], []
+    for _ in range(rng.randrange(3, 12)):
+        tag, n = rng.choice([("p", 40), ("p", 80), ("p", 5), ("h2", 4), ("blockquote", 20), ("pre", 6), ("li", 12)])
+        text = prose(n)
+        want.append(" ".join(html.unescape(text).split()))
+        inner = text.replace("tide,", rng.choice(["<b>tide,</b>", "<a href='/x'>tide,</a>", "tide,"]))
+        parts.append(f"<ul><li>{inner}</ul>" if tag == "li" else f"<{tag} class='x y'>{inner}</{tag}>")
+    body = "\n".join(parts)
+    for _ in range(rng.randrange(3)):
+        body = f"<{(t := rng.choice(['div', 'section']))} id=w{rng.randrange(9)}>{body}</{t}>"
+    if rng.random() < 0.7:
+        body = f"<{(t := rng.choice(['article', 'main']))}>{body}</{t}>"
+    junk = ["<nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>", "<div class='ad'>Buy, buy, buy.</div>", "<aside><p>Side, bar.</p></aside>", "<div id=comments><h3>2 comments</h3><p>I, too, like it very much, thank you.</p></div>", "<div class='sidebar-right'><p>Side, text.</p></div>", "<form><label>Mail</label><input></form>", "<script>var a = '<p>no</p>';</script>", "<!-- <p>no</p> -->", "<div class=cookie-notice>We use cookies, of course.</div>"]
+    before, after = (" ".join(rng.sample(junk, rng.randrange(4))) for _ in range(2))
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><p>Site</p></header>{before}{body}{after}<footer>&copy; Us</footer></body></html>", want
+
+
+def test_generated_pages(spark):
+    rng = random.Random(6)
+    pages = [generated(rng) for _ in range(300)]
+    rows = [(i, f"u{i}", page, i) for i, (page, _) in enumerate(pages)] + [(900, None, None, 1), (900, None, None, 1), (None, "u", "", 1), (901, "u", "   \n", 1)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = out.collect()
+    by = {r["page_id"]: r["text"] for r in got}
+    right = sum(by[i].split("\n") == want for i, (_, want) in enumerate(pages))
+    assert right >= 0.97 * len(pages)
+    assert len(got) == len(rows) and by[900] == by[None] == by[901] == "" and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_no_pages(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []

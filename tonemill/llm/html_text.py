@@ -14,14 +14,21 @@ and blocks of links that don't hold or belong to a container that scores enough.
 A class or id that also names content doesn't cut an element: of a compound
 name the last telling part counts (post-footer is a footer, sidebar-content
 isn't cut), what follows no-, has-, with- or without- says nothing, and a name
-of content alone (entry-content) outweighs all others.
+of content alone (entry-content) outweighs all others. Names that layouts also
+give to wrappers (widget, hidden, share, ...) cut an element only if it holds
+no more than half of the page's text outside links.
 
-Pages are parsed in Arrow batches with no state between them.
+A page is read by one scan whose steps never go back, so time grows with its
+length, whatever is left unclosed. Pages are parsed in Arrow batches with no
+state between them.
 
 Defined cases: null html counts as empty and gives an empty text; a page
 without paragraphs gives the text left after the cuts; unclosed, misnested and
-cut-off tags and references are read as browsers do, as far as text goes;
-repeated rows each stay; other columns are dropped.
+cut-off tags and references are read as browsers do, as far as text goes, but a
+quote that nothing closes ends with its tag, and an unclosed template, noscript
+or foreign element hides nothing; a tag that the page's end cuts off is dropped;
+an empty table gives an empty result; very long pages are read whole; repeated
+rows each stay; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,8 +47,10 @@ RAW = "script style noscript template textarea title svg math iframe object"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CUT_TAGS = frozenset("head script style noscript template textarea title svg math iframe object nav header footer aside form button select dialog menu canvas audio video".split())
 CUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus follow foot footer footnav gdpr header hidden login masthead menu meta modal nav navbar navigation newsletter notice notices notification pager pagination popup popular promo promotion promoted recommended related replies reply respond rss share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar trending widget".split()
+    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion replies respond shoutbox sidebar skyscraper sponsor subscribe subscription toolbar topbar".split()
 )
+#: These cut an element unless it holds most of the page.
+SOFT_NAMES = frozenset("foot follow header hidden login meta popular promoted recommended related reply rss share sharing signup skip social sponsored tags trending widget".split())
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 GOOD_NAMES = frozenset("article blog body content entry hentry main page post story text".split())
 MODIFIERS = frozenset("no not non has have with without hide show".split())
@@ -49,58 +58,115 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 #: An open element of the key ends where one of its tags begins.
 _ENDS = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Elements whose text is no markup, and those that only a closing tag makes so.
+_RAW = frozenset("script style textarea title iframe".split())
+_CLOSED = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW.split()}
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTR = re.compile(r"[\s/]*+([^\s/>=]*+)")
+_VALUE = re.compile(r"\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+)")
+_BARE = re.compile(r"\s*+=\s*+([^\s>]*+)")
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "good", "score", "size", "linked", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "good", "soft", "score", "size", "linked", "links", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, good: bool = False):
-        self.tag, self.parent, self.good = tag, parent, good
+    def __init__(self, tag: str, parent: Node | None, good: bool = False, soft: bool = False):
+        self.tag, self.parent, self.good, self.soft = tag, parent, good, soft
         self.children: list[Node | str] = []
         self.score, self.size, self.linked, self.links, self.commas = 0.0, 0, 0, 0, 0
 
 
-def _names(attrs: str) -> tuple[bool, bool]:
-    """(is furniture, is named like content)."""
-    bad = good = False
-    for name, value in _NAMED.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True, False
+def _names(attrs: list[tuple[str, str]]) -> tuple[str, bool]:
+    """(how an element is furniture: "", "soft" or "cut"; is named like content)."""
+    bad, good = "", False
+    for name, value in attrs:
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDING.search(value)):
+            return "cut", False
         if name == "role" and value.lower() in CUT_ROLES:
-            return True, False
+            return "cut", False
         if name in ("class", "id"):
             for word in value.split():
                 parts = [p.lower() for p in _PART.findall(word)]
                 told = next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))
-                known = [p for p in parts[:told] if p in CUT_NAMES or p in GOOD_NAMES]
+                known = [p for p in parts[:told] if p in CUT_NAMES or p in SOFT_NAMES or p in GOOD_NAMES]
                 if known and known[-1] in CUT_NAMES:
-                    bad = True
-                elif known and not CUT_NAMES.intersection(known):
+                    bad = "cut"
+                elif known and known[-1] in SOFT_NAMES:
+                    bad = bad or "soft"
+                elif known and not (CUT_NAMES | SOFT_NAMES).intersection(known):
                     good = True
-    return bad and not good, good
+    return "" if good else bad, good
+
+
+def tokens(text: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
+    """("text", its text), ("open" or "close", tag, attributes, whether it closes
+    itself): what a page is made of, without comments and raw elements."""
+    at, start, n = 0, 0, len(text)
+    last = {q: text.rfind(q) for q in "\"'"}
+    never: set[str] = set()  # elements that nothing closes from here on
+    while (at := text.find("<", at)) >= 0:
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield "text", text[start:at], [], False
+        elif text.startswith(("<!", "<?"), at):
+            end = text.find(">", at)
+            end = n if end < 0 else end + 1
+            yield "text", text[start:at], [], False
+        elif m := _TAG.match(text, at):
+            yield "text", text[start:at], [], False
+            tag, end, attrs, shut = m[1].lower(), m.end(), [], False
+            while end < n and text[end] != ">":
+                a = _ATTR.match(text, end)
+                end, name, value = a.end(), a[1].lower(), ""
+                shut = not name and text[end - 1] == "/"
+                if v := _BARE.match(text, end):
+                    quote = v[1][:1]
+                    if quote in last and quote and last[quote] > v.start(1):
+                        v = _VALUE.match(text, end)
+                    end, value = v.end(), v[1].strip("\"'") if v[1][:1] in last else v[1]
+                if name:
+                    attrs.append((name, value))
+            end, whole = end + 1, end < n
+            if not whole:
+                return  # cut off by the end of the page
+            if text[at + 1] == "/":
+                yield "close", tag, [], False
+            elif tag in _CLOSED:
+                close = _CLOSED[tag].search(text, end) if not shut and tag not in never else None
+                if close:
+                    end = text.find(">", close.end() - 1)
+                    end = n if end < 0 else end + 1
+                elif tag in _RAW:
+                    return
+                else:
+                    never.add(tag)
+            else:
+                yield "open", tag, attrs, shut
+        else:
+            at += 1
+            continue
+        at = start = end
+    yield "text", text[start:], [], False
 
 
 def parse(text: str) -> Node:
     """The tree of a page without the subtrees that are cut."""
     root = Node("#root", None)
-    at, end = root, 0
+    at = root
     cut: list[str] = []  # open elements from the one that was cut
 
     def add(s: str) -> None:
         if s and not cut:
             at.children.append(s)
 
-    for m in _TOKEN.finditer(text):
-        add(text[end : m.start()])
-        end = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
+    for kind, tag, attrs, shut in tokens(text):
+        if kind == "text":
+            add(tag)
             continue
-        if m["close"]:
+        if kind == "close":
             if cut:
                 if tag in cut:
                     del cut[len(cut) - 1 - cut[::-1].index(tag) :]
@@ -120,7 +186,7 @@ def parse(text: str) -> Node:
             if tag in ("article", "main") and cut[0] not in ("aside", "nav", "footer") and "div" not in cut:
                 cut.clear()
             else:
-                if tag not in VOID and not m["attrs"].endswith("/"):
+                if tag not in VOID and not shut:
                     while cut[-1] in _ENDS and tag in _ENDS[cut[-1]] and len(cut) > 1:
                         cut.pop()
                     cut.append(tag)
@@ -136,18 +202,27 @@ def parse(text: str) -> Node:
         if tag in VOID:
             at.children.append(Node(tag, at))
             continue
-        bad, good = _names(m["attrs"]) if "=" in m["attrs"] or "hidden" in m["attrs"].lower() else (False, False)
-        if tag in CUT_TAGS or (bad and tag not in ("html", "body", "article", "main")):
-            if not m["attrs"].endswith("/"):
+        bad, good = _names(attrs)
+        if tag in CUT_TAGS or (bad == "cut" and tag not in ("html", "body", "article", "main")):
+            if not shut:
                 cut.append(tag)
             continue
-        node = Node(tag, at, good or tag in ("article", "main"))
+        node = Node(tag, at, good or tag in ("article", "main"), bad == "soft" and tag not in ("html", "body", "article", "main"))
         at.children.append(node)
         at = node
-    add(text[end:] if not text.startswith("<", end) else "")
     return root
 
 
+def prune(root: Node) -> None:
+    """Leave out elements of a soft name that don't hold most of the page."""
+    _measure(root, False)
+    most, stack = 0.5 * (root.size - root.linked), [root]
+    while stack:
+        n = stack.pop()
+        n.children = [c for c in n.children if isinstance(c, str) or not c.soft or c.size - c.linked > most]
+        stack.extend(c for c in n.children if isinstance(c, Node))
+
+
 def _measure(node: Node, in_link: bool) -> None:
     """Text sizes of node and below; iterative, as pages may nest deeply."""
     order, stack = [], [(node, in_link)]
@@ -155,6 +230,7 @@ def _measure(node: Node, in_link: bool) -> None:
         n, link = stack.pop()
         link = link or n.tag == "a"
         order.append(n)
+        n.size, n.linked, n.links, n.commas = 0, 0, 0, 0
         for c in n.children:
             if isinstance(c, str):
                 size = len(c.strip())
@@ -192,6 +268,7 @@ def _is_link_list(node: Node) -> bool:
 
 def best_containers(root: Node) -> list[Node | str]:
     """What holds the main text: the nodes of one region, in page order."""
+    prune(root)
     _measure(root, False)
     scored: list[Node] = []
     stack = [root]
