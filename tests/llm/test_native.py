@@ -199,6 +199,22 @@ def test_mix_edges(spark):
 
 # --- PII
 
+def test_equal_rows_are_cut_inside(spark):
+    """Some of many equal rows are taken once more, in every source."""
+    rows = [(1, "a b c d e f g h i j", "hot")] * 300 + [(i, some_words(random.Random(i), 10), "hot") for i in range(2, 40)] + [(50, "x y", "one")] * 40 + [(51, "z " * 9, None)] * 25 + [(52, None, "one")] * 3
+    df = docs(spark, rows).withColumns({"key": F.lit("k"), "hash": F.lit("h"), "plan": F.lit("p"), "mix": F.lit("m"), "part": F.lit(1), "_h": F.lit(2), "_key": F.lit(3)})
+    for parts in (1, 7):
+        out = mixing.mix(df.repartition(parts)).collect()
+        assert len(out) == len(rows) and all((r["key"], r["hash"], r["plan"], r["mix"], r["part"], r["_h"], r["_key"]) == ("k", "h", "p", "m", 1, 2, 3) for r in out)
+        taken, target = {}, {}
+        for r in out:
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+            target[r["source"]] = r["target"]
+            assert r["taken"] <= 3 * r["size"] and r["taken"] == r["repeats"] * r["size"]
+        for source, want in target.items():
+            assert abs(taken[source] - want) <= 10, source
+
+
 PRIVATE = ["und.34@mail7.example.com", "+1 (743) 555-3824", "9807915762804490", "227.5.221.1", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "123-45-6789"]
 
 
