@@ -3,7 +3,16 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. `run` writes each
 one's result as Parquet to the shared folder and reads it again as the next
 one's input. All but the last return the columns of documents; the last adds
-``epoch``, and a document stands in its result once for each epoch it is in.
+``epoch`` (with underscores behind it if documents have such a column), and a
+document stands in its result once for each epoch it is in.
+
+Defined cases: columns of documents keep their names and values, whatever they
+are called, but that text, and n_chars with it, change where personal data do;
+null, empty and wordless texts are clean, link to nothing, hold no benchmark
+window, stay as they are, and the mix, which takes no words from them, takes
+them as often as their source's documents on the whole; repeated rows are near
+duplicates with one document between them and stay or go together; an empty
+table gives an empty result; very long texts are read whole in each stage.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemill.llm import decontamination, mixing, near_duplicates, pii, toxicity
-from tonemill.llm.common import materialize, table
+from tonemill.llm.common import fresh_name, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +46,10 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs).filter("repeats > 0")
-    return mixed.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*docs.columns, "epoch")
+    name, epoch = fresh_name("mix", docs), fresh_name("epoch", docs)
+    repeats = F.col(name)["repeats"]
+    mixed = mixing.with_repeats(docs, name).filter(repeats > 0)
+    return mixed.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), repeats))).select(*docs.columns, epoch)
 
 
 STAGES = [
