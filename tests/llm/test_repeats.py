@@ -63,3 +63,19 @@ def test_remove_keeps_columns(spark):
 
 def test_nothing(spark):
     assert repeats.report(docs(spark, [])).count() == 0
+
+
+def test_texts_of_one_id_long_texts_and_clashing_names(spark):
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(40_000))
+    rows = [(9, long), (4, long[100_000:100_400]), *((7, f"{i} " + long[i * 1000 : i * 1000 + 200]) for i in range(6)), (7, long[:60]), (7, long[:60]), (8, "b" * 70), (8, "b" * 70)]
+    assert sorted((tuple(r) for r in repeats.report(docs(spark, rows)).collect()), key=str) == brute(rows)
+    clash = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6) for i, t in rows], "doc_id long, text string, found int, digest int, id0 int, _m int, _copy int, variant int")
+    out = repeats.remove(clash)
+    assert out.columns == clash.columns and {tuple(r)[2:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "TASK_BYTES", 500)
+    rows = corpus()
+    assert sorted((tuple(r) for r in repeats.report(docs(spark, rows)).collect()), key=str) == brute(rows)

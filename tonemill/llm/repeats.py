@@ -10,7 +10,8 @@ while one suffix in about fourteen is stored.
 1. Sampled splitters over the suffixes' leading tokens cut them into buckets. A
    token that fills several buckets by itself is dealt over those by document.
    In each bucket suffixes are sorted by their KMER bytes' hash, and those that
-   no second document has are left out.
+   no second document has are left out. There are as many buckets as keep each
+   one's suffixes in a task's memory, whatever the corpus' size.
 2. What is left is dealt to its buckets again with the bytes around it, sorted
    by multikey quicksort, and neighbours' common prefixes give the runs of equal
    windows at each offset; in a run all but the smallest document lose it.
@@ -22,8 +23,10 @@ them is repeated. Suffixes move as rows keyed by bucket, and per document as
 lists no longer than its text.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows
-of equal doc_id don't take from each other, and each stays; a null doc_id
-neither takes nor loses; other columns are kept by `remove`.
+of equal doc_id don't take from each other, and each stays (over a million
+different texts of one doc_id raise an error); a null doc_id neither takes nor
+loses; an empty table gives an empty result; very long texts are read whole, up
+to the 2 GB of a value; other columns are kept by `remove`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize, small
+from .common import discard, fresh_name, hashed_sample, materialize, small
 
 LENGTH, KMER = 50, 24
 SPAN = LENGTH - KMER + 1  # suffixes in a window; offsets are below it
@@ -133,8 +136,11 @@ def _pack(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 #: Texts that share a doc_id are told apart by a number above the place.
-_PLACE_BITS = 36
+_PLACE_BITS = 31
 _PLACE = (1 << _PLACE_BITS) - 1
+_VARIANTS = 1 << 63 - 12 - _PLACE_BITS
+#: Bytes of text whose suffixes one task sorts.
+TASK_BYTES = 16 << 20
 
 
 def _bytes_of(text: str | None) -> np.ndarray:
@@ -288,19 +294,22 @@ def repeated_windows(contexts: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(local, "doc_id long, place long, mask long, window string")
 
 
-def spans_by_document(texts: DataFrame) -> DataFrame:
+def spans_by_document(texts: DataFrame, total: int) -> DataFrame:
     """(doc_id, variant, places, masks) of the repeated windows of texts
-    (doc_id, variant, text), none of them null."""
+    (doc_id, variant, text), none of them null, of ``total`` bytes at most."""
     spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     buckets = sample_buckets(texts, 8 * parts)
     shared = materialize(shared_suffixes(texts, buckets, parts), "shared-suffixes")
     found = materialize(repeated_windows(with_context(texts, shared, buckets), parts), "repeated-windows")
+    # A window that stands in many buckets is counted by each task before, and its rows can be split in the join.
     across = found.filter("window <> ''")
-    least = across.groupBy("window").agg(F.min("doc_id").alias("least"))
-    more = across.join(least, "window").filter("doc_id > least").select("doc_id", "place", "mask")
+    least = across.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("window", "least")
+    more = across.join(small(materialize(least, "least-across")), "window").filter("doc_id > least").select("doc_id", "place", "mask")
     every = found.filter("window = ''").select("doc_id", "place", "mask").unionByName(more)
-    return materialize(every.groupBy("doc_id", F.shiftright("place", _PLACE_BITS).alias("variant")).agg(F.collect_list(F.col("place").bitwiseAND(_PLACE)).alias("_places"), F.collect_list("mask").alias("_masks")), "repeated-places")
+    spans = materialize(every.groupBy("doc_id", F.shiftright("place", _PLACE_BITS).alias("variant")).agg(F.collect_list(F.col("place").bitwiseAND(_PLACE)).alias("places"), F.collect_list("mask").alias("masks")), "repeated-places")
+    discard(shared, found)
+    return spans
 
 
 def covered(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -313,23 +322,33 @@ def covered(n: int, places: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs with ``_copy`` (a smaller document has the same text), ``_places``
-    and ``_masks``."""
+def _placed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column ``name``, a struct of copy (a smaller document has the same
+    text), places and masks."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_m")).filter("doc_id is not null")
     firsts = keyed.groupBy("_m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
     copies = small(materialize(keyed.join(firsts, "_m").filter("doc_id <> first").select("doc_id", "_m").distinct(), "whole-copies"))
     # Few doc_ids have several texts; those texts are numbered.
     several = keyed.groupBy("doc_id").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).filter("lo <> hi").select("doc_id")
-    numbered = keyed.join(several, "doc_id").distinct().withColumn("variant", F.row_number().over(Window.partitionBy("doc_id").orderBy("_m")).cast("long"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_m")).cast("long")
+    checked = F.when(number < _VARIANTS, number).otherwise(F.raise_error(F.lit(f"a doc_id has {_VARIANTS} different texts or more")).cast("long"))
+    numbered = keyed.join(several, "doc_id").distinct().withColumn("variant", checked)
     variants = small(materialize(numbered, "text-variants"))
     texts = docs.filter("doc_id is not null").select("doc_id", text.alias("text")).filter(F.octet_length("text") >= LENGTH)
     alone = texts.withColumn("_m", F.md5(F.col("text").cast("binary"))).join(copies, ["doc_id", "_m"], "left_anti").join(variants, ["doc_id", "_m"], "left")
-    spans = spans_by_document(alone.select("doc_id", F.coalesce("variant", F.lit(0).cast("long")).alias("variant"), "text"))
-    marked = docs.withColumn("_m", F.md5(text.cast("binary"))).join(copies.withColumn("_copy", F.lit(True)), ["doc_id", "_m"], "left")
-    placed = marked.join(variants.withColumnRenamed("variant", "_variant"), ["doc_id", "_m"], "left").withColumn("_variant", F.coalesce("_variant", F.lit(0).cast("long")))
-    return placed.join(spans.withColumnRenamed("variant", "_variant"), ["doc_id", "_variant"], "left")
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    spans = spans_by_document(alone.select("doc_id", F.coalesce("variant", F.lit(0).cast("long")).alias("variant"), "text"), total)
+    digest = fresh_name("digest", docs)
+    marked = docs.withColumn(digest, F.md5(text.cast("binary")))
+    ids = [fresh_name(f"id{i}", docs) for i in range(3)]
+    whole = copies.select(F.col("doc_id").alias(ids[0]), F.col("_m").alias(ids[1]), F.lit(True).alias(ids[2]))
+    one = marked.join(whole, (marked["doc_id"] == whole[ids[0]]) & (marked[digest] == whole[ids[1]]), "left").select(*marked.columns, ids[2])
+    which = variants.select(F.col("doc_id").alias(ids[0]), F.col("_m").alias(ids[1]), F.col("variant").alias(name))
+    two = one.join(which, (one["doc_id"] == which[ids[0]]) & (one[digest] == which[ids[1]]), "left").select(*one.columns, F.coalesce(name, F.lit(0).cast("long")).alias(name))
+    at = spans.select(F.col("doc_id").alias(ids[0]), F.col("variant").alias(ids[1]), F.struct("places", "masks").alias(digest))
+    three = two.drop(digest).join(at, (two["doc_id"] == at[ids[0]]) & (two[name] == at[ids[1]]), "left")
+    return three.select(*docs.columns, F.struct(F.col(ids[2]).alias("copy"), F.col(digest)["places"].alias("places"), F.col(digest)["masks"].alias("masks")).alias(name))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -351,8 +370,8 @@ def report(docs: DataFrame) -> DataFrame:
                     rows.append((len(data), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    placed = _placed(docs.select("doc_id", "text"))
-    return placed.withColumn("r", measure("text", "_copy", "_places", "_masks")).select("doc_id", "r.*")
+    placed = _placed(docs.select("doc_id", "text"), "found")
+    return placed.withColumn("r", measure("text", "found.copy", "found.places", "found.masks")).select("doc_id", "r.*")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -374,5 +393,5 @@ def remove(docs: DataFrame) -> DataFrame:
                     out.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode(errors="ignore"))
             yield pd.Series(out, dtype=object)
 
-    placed = _placed(docs.drop("_m", "_copy", "_variant", "_places", "_masks"))
-    return placed.withColumn("text", cut("text", "_copy", "_places", "_masks")).select(*docs.columns)
+    name = fresh_name("found", docs)
+    return _placed(docs, name).withColumn("text", cut("text", *(F.col(name)[part] for part in ("copy", "places", "masks")))).select(*docs.columns)
