@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, hashed_sample, materialize
+from .common import fresh_name, hashed_sample, materialize, small
 
 #: About so many labelled rows of each class are learned from, of texts up
 #: to MAX_CHARS code points. All rows are scored, over their whole texts.
@@ -340,12 +340,13 @@ def logit_counts(docs: DataFrame, rows: DataFrame, learned: DataFrame, model: Mo
             seen, bins = scorer.pooled(list(texts), model.bins) if len(texts) else ([], [])
             yield pd.DataFrame({"seen": seen, "bin": bins}, dtype="int64")
 
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # Scored before the join, which then moves no texts.
-    bins = texts.select("doc_id", (F.length("text") <= MAX_CHARS).alias("short"), placed("text").alias("s"))
-    known = bins.join(rows, "doc_id").join(F.broadcast(learned.withColumn("_learned", F.lit(True))), "doc_id", "left")
-    kept = known.filter(~(F.coalesce("_learned", F.lit(False)) & F.col("short")))
-    counts = kept.groupBy("s.seen", "s.bin", F.col("toxic").cast("long").alias("toxic")).agg(F.count("*").alias("n"))
+    marks = rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"))
+    marked = marks.join(F.broadcast(learned.withColumn("learned", F.lit(True))), "doc_id", "left")
+    # Texts are scored after the join: moving a text costs far less than scoring it.
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(small(materialize(marked, "labels-learned")), "doc_id")
+    kept = texts.filter(~(F.coalesce("learned", F.lit(False)) & (F.length("text") <= MAX_CHARS)))
+    bins = kept.select("toxic", placed("text").alias("s"))
+    counts = bins.groupBy("s.seen", "s.bin", "toxic").agg(F.count("*").alias("n"))
     return pd.DataFrame([r.asDict() for r in materialize(counts, "logit-counts").collect()], columns=["seen", "bin", "toxic", "n"])
 
 
