@@ -104,29 +104,38 @@ def bytes_text(n: Column) -> Column:
     return out
 
 
-def envelope(attack: Column, hold: Column, decay: Column, release: Column, rate: float, least: float = 0.004) -> dict[str, Column]:
+def key_scaled(seconds: Column, timecents: Column, key: Column) -> Column:
+    """An envelope time that changes by ``timecents`` a key, key 60 neutral."""
+    return seconds * F.pow(F.lit(2.0), timecents * (60 - key) / 1200)
+
+
+def envelope(attack: Column, hold: Column, decay: Column, release: Column, rate: float, base: tuple[Column, Column] | None = None, linear: tuple[bool, bool] = (False, False), least: float = 0.004) -> dict[str, Column]:
     """Per-frame constants of an envelope given in seconds. Decay and release
-    fall by 100 dB in their time, and neither is made shorter than ``least``
-    unless it already is."""
-    frames = lambda t: F.greatest(t * rate, F.lit(1.0))
+    fall by 100 dB in their time, or to nothing in even steps where ``linear``;
+    neither is shorter than ``least``, or than its time in ``base`` (that
+    without controllers) if that is less."""
+    base = base or (decay, release)
+    frames = lambda t, b: F.greatest(F.greatest(t, F.least(b, F.lit(least))) * rate, F.lit(1.0))
+    fall = lambda n, even: 1 / n if even else F.pow(F.lit(10.0), -5 / n)
     attack_rate = F.when(attack * rate < 1, 1.0).otherwise(1 / (attack * rate))
     return {
         "attack_rate": attack_rate,
         "attack_end": 1 + hold * rate * attack_rate,
-        "decay_coef": F.pow(F.lit(10.0), -5 / frames(F.greatest(decay, F.least(decay, F.lit(least))))),
-        "release_coef": F.pow(F.lit(10.0), -5 / frames(F.greatest(release, F.least(release, F.lit(least))))),
+        "decay_coef": fall(frames(decay, base[0]), linear[0]),
+        "release_coef": fall(frames(release, base[1]), linear[1]),
     }
 
 
-def lowpass(hz: Column, q_cb: Column, rate: float) -> dict[str, Column]:
+def lowpass(cents: Column, q_cb: Column, rate: float) -> dict[str, Column]:
     """Coefficients of a two-pole low-pass (b2 is b0), normalised so that the
     default resonance passes at unity; a pass-through where the cutoff is out of
-    the useful range."""
+    the useful range, or at 13,500 cents or more, which asks for no filter."""
+    hz = cents_to_hz(cents)
     q = F.greatest(F.pow(F.lit(10.0), (q_cb / 10 - 3.01) / 20), F.lit(0.001))
     w = clamp(hz / rate, 1e-5, 0.49) * (2 * math.pi)
     alpha = F.sin(w) / (q * 2)
     a0, level = 1 + alpha, F.sqrt(F.lit(math.sqrt(0.5)) / q)
-    used = (hz > 20) & (hz < rate * 0.49)
+    used = (cents < 13_500) & (hz > 20) & (hz < rate * 0.49)
     of = lambda c, idle: F.when(used, c / a0).otherwise(idle)
     return {"b0": of(level * (1 - F.cos(w)) / 2, 1.0), "b1": of(level * (1 - F.cos(w)), 0.0), "a1": of(F.cos(w) * -2, 0.0), "a2": of(1 - alpha, 0.0)}
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stretches of ticks that a tempo map is joined by.
+BUCKETS = 4096
+
+
 def tempo_segments(tempo: DataFrame, ticks_per_quarter: int, rate: int, default_us: int = 500_000) -> DataFrame:
     """(tick, base, per_tick): at and after tick, frame = base + (t - tick) *
     per_tick. ``tempo`` is (tick, us_per_qn), one row a tick; a tempo map is
@@ -19,11 +23,18 @@ def tempo_segments(tempo: DataFrame, ticks_per_quarter: int, rate: int, default_
 
 
 def frames(ev: DataFrame, segments: DataFrame) -> DataFrame:
-    """ev (tick) with ``frame``, by the segment its tick lies in; the tempo map
-    is broadcast, so the events aren't shuffled."""
-    s = F.broadcast(segments.withColumnRenamed("tick", "_at").filter("until is null or until > _at"))
+    """ev (tick) with ``frame``, by the segment its tick lies in. Both sides are
+    cut into stretches of ticks, some BUCKETS up to the last change of tempo, and
+    joined equally by stretch; an event meets the segments of its own only."""
+    last = segments.agg(F.max("tick")).first()[0] or 0
+    width = max(1, -(-last // BUCKETS))
+    at = lambda tick: F.greatest(F.lit(0), F.least(F.floor(tick / width), F.lit(last // width)))
+    s = segments.withColumnRenamed("tick", "_at").filter("until is null or until > _at")
+    # A segment reaches the stretch in which the next one starts; the last one goes on in the last.
+    s = s.withColumn("_stretch", F.explode(F.sequence(at(F.col("_at")), at(F.coalesce("until", F.lit(last))))))
     inside = (F.col("tick") >= F.col("_at")) & (F.col("until").isNull() | (F.col("tick") < F.col("until")))
-    return ev.join(s, inside).withColumn("frame", F.col("base") + (F.col("tick") - F.col("_at")) * F.col("per_tick")).drop("_at", "until", "base", "per_tick")
+    met = ev.withColumn("_stretch", at(F.col("tick"))).join(s, "_stretch").filter(inside)
+    return met.withColumn("frame", F.col("base") + (F.col("tick") - F.col("_at")) * F.col("per_tick")).drop("_at", "until", "base", "per_tick", "_stretch")
 
 
 def in_force(ev: DataFrame, value: Column, name: str, by: str = "ch") -> DataFrame:

@@ -1,8 +1,8 @@
 """Signals as rows (pos, ...) and as arrays.
 
 Windows over a long signal are cut into shards of positions: each shard also
-gets the rows before it that its frames reach back to, so no window spans the
-whole signal.
+gets the rows before it that its frames reach back to, however many shards that
+is, so no window spans the whole signal.
 """
 
 from __future__ import annotations
@@ -19,11 +19,10 @@ SHARD = 65_536
 
 
 def sharded(signal: DataFrame, back: int, shard: int = SHARD) -> DataFrame:
-    """signal with ``shard`` and ``own``: rows also go to the next shard if one
-    of its first rows reaches back to them (own is false there)."""
-    home = F.expr(f"pos div {shard}")
-    to = F.when(F.col("pos") % shard >= shard - back, F.array(home, home + 1)).otherwise(F.array(home))
-    return signal.withColumn("shard", F.explode(to)).withColumn("own", F.expr(f"shard = pos div {shard}"))
+    """signal with ``shard`` and ``own``: rows also go to each later shard of
+    which a row reaches back to them (own is false there)."""
+    to = F.sequence(F.floor(F.col("pos") / shard), F.floor((F.col("pos") + back) / shard))
+    return signal.withColumn("shard", F.explode(to)).withColumn("own", F.col("shard") == F.floor(F.col("pos") / shard))
 
 
 def over_back(value: Column, back: int, how, shard: int = SHARD):
@@ -121,11 +120,19 @@ def release(signal: DataFrame, coef: float, block: int = 4096, run: int = 1000)
     return done.select(F.explode("out").alias("o")).select("o.pos", "o.gain")
 
 
-def interpolate(buffer: Column, at: Column) -> tuple[Column, Column, Column]:
-    """Nearest, linear and cubic reading of an array at a fractional index,
-    its ends held."""
+def interpolate(buffer: Column, at: Column, loop: tuple[Column, Column] | None = None) -> tuple[Column, Column, Column]:
+    """Nearest, linear and cubic reading of an array at a fractional index, its
+    ends held; with a loop (start, end), what lies at its end or behind is read
+    from its start on."""
     i, last = F.floor(at).cast("int"), F.size(buffer)
-    x = lambda k: F.element_at(buffer, F.greatest(F.least(i + k + 1, last), F.lit(1)).cast("int")).cast("double")
+
+    def x(k: int) -> Column:
+        place = i + k
+        if loop is not None:
+            start, end = loop
+            place = F.when(place >= end, start + F.pmod(place - start, F.greatest(end - start, F.lit(1)))).otherwise(place)
+        return F.element_at(buffer, F.greatest(F.least(place + 1, last), F.lit(1)).cast("int")).cast("double")
+
     t = at - i
     linear = x(0) + (x(1) - x(0)) * t
     c1, c2, c3 = (x(1) - x(-1)) * 0.5, x(-1) - x(0) * 2.5 + x(1) * 2 - x(2) * 0.5, (x(2) - x(-1)) * 0.5 + (x(0) - x(1)) * 1.5

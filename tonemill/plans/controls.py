@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import controls
+from ..operators import channels, controls
 from ..sources.events import events, read
 from .registry import EV, query
 
@@ -53,6 +53,19 @@ def lfo_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.lfo(events(spark, sf_dir), rate).select("seq", "ch", F.round("phase", 5).alias("phase"))
 
 
+@query()
+def channel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controllers, programs and bends dispatched to channels, with registered
+    parameters and the bend range; the tests compare it with a loop."""
+    # Numbers that come up often enough to meet: parameter choice, data entry, and the rest.
+    numbers = F.array(*map(F.lit, [100, 101, 6, 38, 96, 97, 98, 7, 39, 10, 42, 11, 43, 1, 33, 0, 32, 67, 121, 64]))
+    ev = events(spark, sf_dir).filter("kind <> 'note_off'")
+    kind = F.when(F.col("kind") == "note_on", F.when(F.col("k") % 2 == 0, "bend").otherwise("program")).otherwise("controller")
+    a = F.when(kind == "controller", F.element_at(numbers, (F.col("k") % 20 + 1).cast("int"))).when(kind == "bend", F.col("k") * 160 - 8000).otherwise(F.col("k"))
+    b = F.when(F.col("k") % 20 < 2, 0).otherwise(F.col("vel"))
+    return channels.dispatched(ev.select(F.col("ch").alias("channel"), "seq", kind.alias("kind"), a.alias("a"), b.alias("b")))
+
+
 _ROLES = "case when k in (0, 1, 6, 7, 10, 11, 32, 33, 38, 39, 42, 43, 64, 66, 67) or k between 71 and 77 or k in (92, 96, 97, 98, 99) then 'applied' when k in (5, 12, 13, 65, 68, 69, 78, 84, 88, 91, 93, 94, 95) then 'missing' else 'inert' end"
 
 

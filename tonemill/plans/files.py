@@ -114,7 +114,7 @@ def loudness_follower(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def limiter_sustain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-stage release; the tests compare it with a loop."""
-    rows = read(spark, sf_dir, "events").selectExpr("user_id % 16 as id", "event_id as pos", "least(1.0D, 50 / value) as ma")
+    rows = read(spark, sf_dir, "events").selectExpr("user_id % 16 as id", "event_id as pos", "case when value > 50 then 50 / value else 1.0D end as ma")
     return folds.two_stage_release(rows, 0.1, 0.01, 0.001).withColumn("gain", F.round("gain", 6))
 
 

@@ -55,7 +55,7 @@ def gain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("seq", n.gain_rank(F.col("value")).alias("rank"))
 
 
-_MIX = "a as (select *, cast(((cast(xor(z, z >> 24) as hugeint)) * 173955973086027) % 281474976710656 as bigint) as z1 from t), b as (select *, cast(((cast(xor(z1, z1 >> 23) as hugeint)) * 210386461662437) % 281474976710656 as bigint) as z2 from a)".replace("173955973086027", str(0x9E37_79B9_7F4B)).replace("210386461662437", str(0xBF58_476D_1CE5))
+_MIX = f"a as (select *, cast(((cast(xor(z, z >> 24) as hugeint)) * {0x9E37_79B9_7F4B}) % {1 << 48} as bigint) as z1 from t), b as (select *, cast(((cast(xor(z1, z1 >> 23) as hugeint)) * {0xBF58_476D_1CE5}) % {1 << 48} as bigint) as z2 from a)"
 
 
 @query(f"with {EV}, t as (select seq, seq * 1000003 as z from ev), {_MIX} select seq, xor(z2, z2 >> 25) as mixed from b")
@@ -72,17 +72,25 @@ def admit_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.selectExpr("*", "cast(row_number() over (partition by block order by rank desc, tie desc) as bigint) as place")
 
 
-@query("with t as (select p_partkey as region, p_size / 100.0::double as a, p_size / 500.0::double as h, p_retailprice / 1000 as d, p_retailprice / 3000 as r from part) select region, round(case when a * 48000 < 1 then 1 else 1 / (a * 48000) end, 9) as attack_rate, round(1 + h * 48000 * case when a * 48000 < 1 then 1 else 1 / (a * 48000) end, 6) as attack_end, round(pow(10, -5 / greatest(d * 48000, 1)), 9) as decay_coef, round(pow(10, -5 / greatest(r * 48000, 1)), 9) as release_coef from t")
+# Decay and release as regions have them, by key, and after a controller of which 64 is neutral.
+_TIMES = "b as (select p_partkey as region, p_size / 100.0::double as a, p_size / 500.0::double as h0, (p_retailprice - 900) / 100000 as d0, p_retailprice / 3000 as r0, p_partkey % 128 as key, p_size - 25 as tc, p_size * 2 + 20 as cc from part), s as (select *, h0 * pow(2, tc * (60 - key) / 1200.0::double) as h, d0 * pow(2, tc * (60 - key) / 1200.0::double) as db from b), m as (select *, case when cc <= 64 then pow(2, (cc - 64) / 8.0::double) else 1 end as f, case when cc > 64 then 6e-5 * pow(cc - 64, 3) else 0 end as up from s), t as (select *, greatest(db * f + up, least(db, 0.004)) as d, greatest(r0 * f + up, least(r0, 0.004)) as r from m)"
+
+
+@query(f"with {_TIMES} select region, round(case when a * 48000 < 1 then 1 else 1 / (a * 48000) end, 9) as attack_rate, round(1 + h * 48000 * case when a * 48000 < 1 then 1 else 1 / (a * 48000) end, 6) as attack_end, round(pow(10, -5 / greatest(d * 48000, 1)), 9) as decay_coef, round(pow(10, -5 / greatest(r * 48000, 1)), 9) as release_coef, round(1 / greatest(d * 48000, 1), 9) as decay_step from t")
 def envelope_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "part").selectExpr("p_partkey as region", "p_size / 100.0D as a", "p_size / 500.0D as h", "p_retailprice / 1000 as d", "p_retailprice / 3000 as r")
-    e = n.envelope(F.col("a"), F.col("h"), F.col("d"), F.col("r"), 48_000.0)
+    t = read(spark, sf_dir, "part").selectExpr("p_partkey as region", "p_size / 100.0D as a", "p_size / 500.0D as h", "(p_retailprice - 900) / 100000 as d", "p_retailprice / 3000 as r", "p_partkey % 128 as key", "p_size - 25 as tc", "p_size * 2 + 20 as cc")
+    scaled = lambda c: n.key_scaled(F.col(c), F.col("tc"), F.col("key"))
+    hold, base = scaled("h"), (scaled("d"), F.col("r"))
+    times = [n.time_controller(x, F.col("cc")) for x in base]
+    e = n.envelope(F.col("a"), hold, *times, 48_000.0, base)
+    e["decay_step"] = n.envelope(F.col("a"), hold, *times, 48_000.0, base, (True, True))["decay_coef"]
     digits = {"attack_end": 6}
     return t.select("region", *[F.round(c, digits.get(k, 9)).alias(k) for k, c in e.items()])
 
 
-@query("with t as (select p_partkey as region, 8.176 * pow(2, p_size * 260 / 1200.0::double) as hz, greatest(pow(10, ((p_retailprice - 900) / 10 / 10 - 3.01) / 20), 0.001) as q from part), w as (select *, least(greatest(hz / 48000, 1e-5), 0.49) * 2 * pi() as w from t), a as (select *, sin(w) / (2 * q) as al, sqrt(sqrt(0.5) / q) as lv, hz > 20 and hz < 48000 * 0.49 as u from w) select region, round(case when u then lv * (1 - cos(w)) / 2 / (1 + al) else 1 end, 6) as b0, round(case when u then lv * (1 - cos(w)) / (1 + al) else 0 end, 6) as b1, round(case when u then -2 * cos(w) / (1 + al) else 0 end, 6) as a1, round(case when u then (1 - al) / (1 + al) else 0 end, 6) as a2 from a")
+@query("with t as (select p_partkey as region, p_size * 290 as cents, 8.176 * pow(2, p_size * 290 / 1200.0::double) as hz, greatest(pow(10, ((p_retailprice - 900) / 10 / 10 - 3.01) / 20), 0.001) as q from part), w as (select *, least(greatest(hz / 48000, 1e-5), 0.49) * 2 * pi() as w from t), a as (select *, sin(w) / (2 * q) as al, sqrt(sqrt(0.5) / q) as lv, cents < 13500 and hz > 20 and hz < 48000 * 0.49 as u from w) select region, round(case when u then lv * (1 - cos(w)) / 2 / (1 + al) else 1 end, 6) as b0, round(case when u then lv * (1 - cos(w)) / (1 + al) else 0 end, 6) as b1, round(case when u then -2 * cos(w) / (1 + al) else 0 end, 6) as a1, round(case when u then (1 - al) / (1 + al) else 0 end, 6) as a2 from a")
 def biquad_coeffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = n.lowpass(n.cents_to_hz(F.col("p_size") * 260), (F.col("p_retailprice") - 900) / 10, 48_000.0)
+    c = n.lowpass(F.col("p_size") * 290, (F.col("p_retailprice") - 900) / 10, 48_000.0)
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("region"), *_r(**c))
 
 

@@ -64,6 +64,14 @@ def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(nearest, 6).alias("nearest"), F.round(linear, 6).alias("linear"), F.round(cubic, 6).alias("cubic"))
 
 
+@query("with t as (select vec_id, embedding as e, cast(vec_id % 60 as integer) as i, 0.37::double as t, vec_id % 20 as a, vec_id % 20 + 3 + vec_id % 40 as b from embeddings), w as (select *, case when i + 1 >= b then a + (i + 1 - a) % (b - a) else i + 1 end as i1, case when i + 2 >= b then a + (i + 2 - a) % (b - a) else i + 2 end as i2, case when i >= b then a + (i - a) % (b - a) else i end as i0, case when i - 1 >= b then a + (i - 1 - a) % (b - a) else i - 1 end as im from t), x as (select vec_id, t, e[greatest(im + 1, 1)]::double as p, e[i0 + 1]::double as a, e[least(i1 + 1, 64)]::double as b, e[least(i2 + 1, 64)]::double as c from w) select vec_id, round(a, 6) as nearest, round(a + (b - a) * t, 6) as linear, round(a + t * ((b - p) * 0.5 + t * (p - a * 2.5 + b * 2 - c * 0.5 + t * ((c - p) * 0.5 + (a - b) * 1.5))), 6) as cubic from x")
+def interpolate_looped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies behind a loop's end is read from its start on."""
+    loop = (F.col("vec_id") % 20, F.col("vec_id") % 20 + 3 + F.col("vec_id") % 40)
+    nearest, linear, cubic = signal.interpolate(F.col("embedding"), F.col("vec_id") % 60 + F.lit(0.37), loop)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(nearest, 6).alias("nearest"), F.round(linear, 6).alias("linear"), F.round(cubic, 6).alias("cubic"))
+
+
 @query("with recursive p as (select vec_id, embedding as e, 1 as i, 0.2 * embedding[1]::double as y, 0.4 * embedding[1]::double - (-0.5) * (0.2 * embedding[1]::double) as z1, 0.2 * embedding[1]::double - 0.3 * (0.2 * embedding[1]::double) as z2 from embeddings union all select vec_id, e, i + 1, 0.2 * e[i + 1]::double + z1, 0.4 * e[i + 1]::double + 0.5 * (0.2 * e[i + 1]::double + z1) + z2, 0.2 * e[i + 1]::double - 0.3 * (0.2 * e[i + 1]::double + z1) from p where i < 64) select vec_id, round(sum(y * y), 6) as energy, round(max(case when i = 64 then y end), 6) as last from p group by vec_id")
 def biquad_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "embeddings").select("vec_id", signal.biquad(F.col("embedding"), 0.2, 0.4, -0.5, 0.3).alias("y"))
@@ -71,7 +79,7 @@ def biquad_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with t as (select vec_id, embedding as e, unnest(range(0, 96)) as i from embeddings), x as (select *, i / 1.5::double as place, cast(floor(i / 1.5::double) as integer) as k from t) select vec_id, cast(i as integer) as i, round(e[k + 1]::double + (e[least(k + 2, 64)]::double - e[k + 1]::double) * (place - k), 6) as v from x")
-def resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.resampled(F.col("embedding"), 1.5)).alias("i", "v"))
     return out.withColumn("v", F.round("v", 6))
 
@@ -116,13 +124,12 @@ def mixdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with s as (select event_id as pos, value / 100 - 1 as l, 1 - value / 100 as r, event_id // 256 as block from events), v as (select event_id // 256 as block, count(*) filter (where event_type in ('click', 'view')) as want, count(*) filter (where event_type = 'error') as stolen from events group by 1), m as (select block, round(sqrt(sum(l * l + r * r) / (2 * count(*))), 6) as rms, round(max(greatest(abs(l), abs(r))), 6) as peak from s group by 1) select v.block + 1 as block, want, least(want, 100) as take, stolen, cast(sum(greatest(want - 100, 0)) over (order by v.block) as bigint) as dropped, rms, peak from v join m on v.block = m.block")
 def block_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-block metrics, blocks from 1, dropped adding up."""
-    from pyspark.sql import Window
-
     from ..operators import blocks
 
     e = read(spark, sf_dir, "events")
     v = e.groupBy(F.expr("event_id div 256").alias("block")).agg(F.count_if(F.col("event_type").isin("click", "view")).alias("want"), F.count_if(F.col("event_type") == "error").alias("stolen"))
     m = blocks.levels(e.selectExpr("event_id as pos", "value / 100 - 1 as l", "1 - value / 100 as r"), 256)
     both = v.join(m, "block")
-    dropped = F.sum(F.greatest(F.col("want") - 100, F.lit(0))).over(Window.orderBy("block"))
-    return both.select((F.col("block") + 1).alias("block"), "want", F.least("want", F.lit(100)).alias("take"), "stolen", dropped.alias("dropped"), F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
+    # Two levels: no window holds all blocks.
+    both = blocks.running(both.withColumn("span", F.expr("block div 1024")), F.greatest(F.col("want") - 100, F.lit(0)), ["block"], "dropped", "span")
+    return both.select((F.col("block") + 1).alias("block"), "want", F.least("want", F.lit(100)).alias("take"), "stolen", "dropped", F.round("rms", 6).alias("rms"), F.round("peak", 6).alias("peak"))
