@@ -13,8 +13,8 @@ an answer is two or three rows added up, over blocks of windows of fixed size.
 Defined cases: null texts and texts without a letter are `und` with score 0;
 rows of null lang or text aren't learned from; a null doc_id counts as the
 empty text; if nothing can be learned, all texts are `und`; invalid surrogates
-can't occur, as Spark holds UTF-8; repeated rows each stay; other columns are
-dropped.
+can't occur, as Spark holds UTF-8; an empty table gives an empty result; very
+long texts are read whole; repeated rows each stay; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def train(samples: list[bytes], langs: list[str], epochs: int = EPOCHS, seed: in
     p |= {f"k{k}": f32(k, DIM, FILTERS, scale=0.3) for k in WIDTHS}
     state = {k: np.full_like(v, 0.05) for k, v in p.items()}
     at = np.arange(BATCH)[:, None]
-    for epoch in range(max(epochs, min(20, 12_000 // max(len(samples), 1)))):
+    for epoch in range(max(epochs, 12_000 // max(len(samples), 1))):
         order = rng.permutation(len(samples))
         for b in range(0, len(order) - BATCH + 1 if len(order) >= BATCH else 1, BATCH):
             pick = order[b : b + BATCH]
