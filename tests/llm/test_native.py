@@ -106,11 +106,12 @@ def test_url_filter_of_nothing(spark):
 # --- fingerprints
 
 
-def test_fingerprints_against_sets(spark):
+@pytest.mark.parametrize("ranges", [16384, 3, 1])
+def test_fingerprints_against_sets(spark, ranges):
     rng = random.Random(3)
     texts = [some_words(rng, rng.choice([0, 1, 3, 20, 60, 400]), 2000) for _ in range(60)] + [None, "", "same same same", "same same same"]
     rows = [(i, t, "a") for i, t in enumerate(texts)] + [(5, texts[5], "a"), (None, "no id", "a")]
-    got = fingerprints.with_next_fingerprint(docs(spark, rows), per_bucket=9).collect()
+    got = fingerprints.with_next_fingerprint(docs(spark, rows), per_bucket=9, most_ranges=ranges).collect()
     assert len(got) == len(rows)
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
 

@@ -13,7 +13,8 @@ shuffles, and it moves each text once.
 Defined cases: null text counts as empty, its fingerprint is the empty string;
 two empty sketches resemble each other by 1, an empty and another by 0; rows
 of equal doc_id follow each other by text (null first), and a table of one row
-is its own neighbour; other columns are ignored.
+is its own neighbour; an empty table gives an empty result; very long texts are
+read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, split_words
+from .common import materialize, small, split_words
 
 K = 64
 SHINGLE = 5
@@ -73,15 +74,18 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     return words.withColumn("sketch", bottom_k(shingle_hashes(F.col("_words"), size), k)).drop("_words")
 
 
-def _splitters(docs: DataFrame, per_bucket: int, most: int) -> list[int]:
-    """Sampled doc_ids that cut the table into even ranges, ascending."""
-    count = docs.count()
+def _splitters(docs: DataFrame, per_bucket: int, most: int) -> tuple[list[int], int]:
+    """Sampled doc_ids that cut the table into even ranges, ascending, at most
+    ``most``, and into how many buckets each range is divided evenly by its
+    doc_ids, so that buckets don't grow with the table."""
+    count, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     cuts = min(most, count // per_bucket)
     if cuts < 1:
-        return []
+        return [], 1
     shares = ",".join(str((i + 1) / (cuts + 1)) for i in range(cuts))
-    found = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {10 * max(cuts, 100)})")).first()[0]
-    return sorted(set(found or []))
+    found = docs.agg(F.expr(f"percentile_approx(doc_id, array({shares}), {10 * max(cuts, 100)})")).first()[0] or []
+    ends = {low, high} if low is not None else set()
+    return sorted({*found, *ends}), -(-count // ((cuts + 1) * per_bucket))
 
 
 def range_bucket(doc_id: Column, splitters: list[int]) -> Column:
@@ -100,7 +104,20 @@ def range_bucket(doc_id: Column, splitters: list[int]) -> Column:
     return F.when(doc_id.isNull(), len(splitters) + 1).otherwise(F.lit(len(splitters)) - at_or_below)
 
 
-def with_next_fingerprint(docs: DataFrame, k: int = K, size: int = SHINGLE, per_bucket: int = 2000, most_buckets: int = 16384) -> DataFrame:
+def divided_bucket(doc_id: Column, splitters: list[int], parts: int) -> Column:
+    """`range_bucket`, each range divided into ``parts`` of equal width."""
+    bucket = range_bucket(doc_id, splitters).cast("long")
+    if parts == 1 or not splitters:
+        return bucket * parts
+    # Range r from the highest down lies between these; the ends are open and hold one doc_id at most.
+    ends = F.split(F.lit(",".join(map(str, [*splitters[::-1], splitters[0]]))), ",").cast("array<bigint>")
+    at = F.least(F.greatest(bucket, F.lit(1)), F.lit(len(splitters))).cast("int")
+    low, high = F.element_at(ends, at + 1 if len(splitters) > 1 else at), F.element_at(ends, at)
+    inside = F.floor((high - doc_id).cast("double") / F.greatest(high - low, F.lit(1)) * parts)
+    return bucket * parts + F.coalesce(F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1)), F.lit(0))
+
+
+def with_next_fingerprint(docs: DataFrame, k: int = K, size: int = SHINGLE, per_bucket: int = 2000, most_ranges: int = 16384) -> DataFrame:
     """Each document against an edit of itself and against the next one.
 
     The next document is the one after it by descending doc_id, the first
@@ -110,22 +127,29 @@ def with_next_fingerprint(docs: DataFrame, k: int = K, size: int = SHINGLE, per_
     near_next, n_shingles (estimated) and held (the part of the edit's shingles
     that the document has).
 
-    Sampled splitters deal the rows to ranges of doc_id, so texts are shuffled
-    once; each range also gets the head of the range after it as a guest.
+    Sampled splitters deal the rows to ranges of doc_id, and these to buckets,
+    so texts are shuffled once; each bucket also gets the head of the one after
+    it as a guest.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    splitters = _splitters(base.select("doc_id"), per_bucket, most_buckets)
-    base = base.withColumn("bucket", range_bucket(F.col("doc_id"), splitters))
+    splitters, parts = _splitters(base.select("doc_id"), per_bucket, most_ranges)
+    base = base.withColumn("bucket", divided_bucket(F.col("doc_id"), splitters, parts))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
 
-    tops = materialize(base.groupBy("bucket").agg(F.max("doc_id").alias("top")), "fingerprint-ranges")
-    heads = base.join(F.broadcast(tops), (base.bucket == tops.bucket) & base.doc_id.eqNullSafe(tops.top)).select(base["*"])
+    tops = materialize(base.groupBy("bucket").agg(F.max("doc_id").alias("top")), "fingerprint-buckets")
+    known = small(tops.withColumnRenamed("bucket", "at"))
+    heads = base.join(known, (base.bucket == known["at"]) & base.doc_id.eqNullSafe(known.top)).select(base["*"])
     first = heads.withColumn("_n", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter("_n = 1").drop("_n")
-    # One row a range here, of which there are most_buckets + 2 at the most.
-    ring = Window.orderBy(F.col("bucket").desc())
-    around = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    hosts = tops.select("bucket", F.coalesce(F.lead("bucket").over(ring), F.max("bucket").over(around)).alias("host"))
-    guests = first.join(F.broadcast(hosts), "bucket").select("doc_id", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    # The bucket before each one: in its range, or the last of the range before. The one window over all has a
+    # row for each range, of which there are most_ranges + 2 at the most.
+    ranged = tops.select("bucket", F.expr(f"bucket div {parts}").alias("range"))
+    lasts = ranged.groupBy("range").agg(F.max("bucket").alias("last"))
+    around = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = lasts.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), F.max("last").over(around)).alias("before"))
+    inside = ranged.withColumn("inside", F.lag("bucket").over(Window.partitionBy("range").orderBy("bucket")))
+    hosts = inside.join(F.broadcast(before), "range").select("bucket", F.coalesce("inside", "before").alias("host"))
+    hosts = small(materialize(hosts, "fingerprint-hosts"))
+    guests = first.join(hosts, "bucket").select("doc_id", "text", F.col("host").alias("bucket"), F.lit(True).alias("guest"))
 
     rows = fingerprints(base.withColumn("guest", F.lit(False)).unionByName(guests), k, size)
     line = Window.partitionBy("bucket").orderBy("guest", *order)
