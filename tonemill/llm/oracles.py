@@ -28,14 +28,14 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from d left join covered c on c.doc_id = d.doc_id left join items i on i.doc_id = d.doc_id"""
 
 REPEATS = """
-with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-starts as (select doc_id, h, unnest(range(0, cast(length(h) // 2 as bigint) - 49)) as p from d where length(h) >= 100),
-s as (select doc_id, p, hash(substr(h, cast(2 * p + 1 as bigint), 100)) as k from starts),
+with d as (select doc_id, encode(coalesce(text, '')) as t from documents),
+starts as (select doc_id, t, unnest(range(1, octet_length(t) - 48)) as p from d where octet_length(t) >= 50),
+s as (select doc_id, p, hash(array_slice(t, p, p + 49)) as k from starts),
 first as (select k, min(doc_id) as m from s group by k having min(doc_id) <> max(doc_id)),
 hit as (select distinct s.doc_id, s.p from s join first on first.k = s.k where s.doc_id > first.m),
 edge as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as fresh from hit),
 runs as (select doc_id, min(p) as a, max(p) + 50 as b from (select *, sum(fresh) over (partition by doc_id order by p) as run from edge) group by doc_id, run),
-gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from runs),
-kept as (select g.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, cast(2 * before + 1 as bigint), cast(2 * (a - before) as bigint)), '' order by a) || substr(any_value(h), cast(2 * max(b) + 1 as bigint)) as rest from gaps g join d on d.doc_id = g.doc_id group by g.doc_id)
-select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 1) as before from runs),
+kept as (select g.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(case when before < a then hex(array_slice(t, before, a - 1)) else '' end, '' order by a) || case when max(b) <= any_value(octet_length(t)) then hex(array_slice(any_value(t), max(b), any_value(octet_length(t)))) else '' end as rest from gaps g join d on d.doc_id = g.doc_id group by g.doc_id)
+select d.doc_id, cast(octet_length(t) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(coalesce(unhex(rest), t)) as kept_sha256
 from d left join kept k on k.doc_id = d.doc_id"""

@@ -53,4 +53,4 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination, op10_repeats)}
-ORACLES: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontamination": oracles.DECONTAMINATION, "op10_repeats": oracles.REPEATS}
