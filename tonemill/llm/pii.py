@@ -21,7 +21,7 @@ Defined cases: null stays null; a text without entities stays as it is; an
 empty table stays empty; very long texts are searched whole; rows are told
 apart by doc_id and text, and repeated rows each stay; n_chars, if there is such
 a column, is counted anew; other columns are kept, whatever their names, but
-for a column n_entities, which is replaced.
+for one of the name that the count gets, n_entities if none is given.
 """
 
 from __future__ import annotations
@@ -219,8 +219,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
-def replace(docs: DataFrame, key: str) -> DataFrame:
-    """docs with surrogates in ``text``, and ``n_entities``."""
+def replace(docs: DataFrame, key: str, count: str = "n_entities") -> DataFrame:
+    """docs with surrogates in ``text``, and their number as a column ``count``."""
     text = F.col("text")
     digest = F.md5(text.cast("binary"))
     found = docs.filter(text.rlike(_HINT)).select(F.col("doc_id").alias("d"), digest.alias("h"), find(text)[0].alias("raws"), titled_persons(text).alias("titled")).filter(F.size("raws") > 0).distinct()
@@ -233,7 +233,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 
     # A text is known by doc_id and its 128-bit digest, asked only where a pattern may fit.
     hint, news, pieces = fresh_name("hint", docs), fresh_name("news", docs), fresh_name("pieces", docs)
-    at_hand = docs.select(*[c for c in docs.columns if c.lower() != "n_entities"], F.when(text.rlike(_HINT), digest).alias(hint))
+    at_hand = docs.select(*[c for c in docs.columns if c.lower() != count.lower()], F.when(text.rlike(_HINT), digest).alias(hint))
     known = small(listed.select(F.col("d").alias(fresh_name("d", docs)), F.col("h").alias(fresh_name("h", docs)), F.col("m").alias(news)), 50_000)
     both = at_hand.join(known, at_hand["doc_id"].eqNullSafe(known[fresh_name("d", docs)]) & (at_hand[hint] == known[fresh_name("h", docs)]), "left")
     split = both.withColumn(pieces, F.when(F.col(news).isNotNull(), find(text)[1]))
@@ -243,4 +243,4 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         counted = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(news).isNotNull(), counted).otherwise(F.col("n_chars")))
     entities = F.size(F.filter(F.col(news), lambda m: m["part"] == 0))
-    return out.select(*[c for c in docs.columns if c.lower() != "n_entities"], F.when(F.col(news).isNotNull(), entities).otherwise(0).cast("long").alias("n_entities"))
+    return out.select(*[c for c in docs.columns if c.lower() != count.lower()], F.when(F.col(news).isNotNull(), entities).otherwise(0).cast("long").alias(count))
