@@ -178,3 +178,22 @@ def test_looped_reading(spark):
         p, a, b, c = (at(i + k) for k in (-1, 0, 1, 2))
         assert r["n"] == a and abs(r["l"] - (a + (b - a) * t)) < 1e-9
         assert abs(r["c"] - (((-0.5 * p + 1.5 * a - 1.5 * b + 0.5 * c) * t + p - 2.5 * a + 2 * b - 0.5 * c) * t + 0.5 * (b - p)) * t - a) < 1e-9
+
+
+def test_reports_and_observations(spark):
+    from tonemill.operators import reports
+
+    same = spark.createDataFrame([(i, 0.5) for i in range(50)], "pos long, v double")
+    r = reports.null_report(same, same.filter("pos < 40"), -90.0).first()
+    assert r["compared"] == 40 and r["identical"] and r["passed"] and r["peak_db"] == float("-inf")
+    assert not reports.null_report(same, same.withColumn("v", F.col("v") + 0.25), -90.0).first()["passed"]
+    df, seen = reports.observed(same, "signal", top=F.max("v"))
+    assert df.count() == 50 and seen.get == {"rows": 50, "top": 0.5}
+
+
+def test_bends_that_are_no_numbers(spark):
+    from tonemill.functions import numbers
+
+    rows = [(float("nan"),), (float("inf"),), (8192.0,), (-8192.0,), (1e9,), (-1e9,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b double").select(numbers.bend_factor(F.col("b"), F.lit(12.0))).collect()]
+    assert got == [1 << 24, 1 << 24, 1 << 25, 1 << 23, (1 << 32) - 1, 1]

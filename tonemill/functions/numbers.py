@@ -53,21 +53,65 @@ def controller(msb: Column, lsb: Column) -> Column:
     return F.when(lsb == 0, msb / 127).otherwise((msb * 128 + lsb) / 16383)
 
 
-def channel_gains(volume: Column, expression: Column, pan: Column, soft: Column) -> tuple[Column, Column]:
+def channel_gains(volume: Column, expression: Column, pan: Column, soft: Column, fine: tuple[Column, Column, Column] | None = None) -> tuple[Column, Column]:
     """Volume and expression squared, the soft pedal taking off up to half,
-    constant-power pan with a centre of exactly one."""
-    zero = F.lit(0)
-    v, e = controller(volume, zero), controller(expression, zero)
+    constant-power pan with a centre of exactly one; ``fine`` are the fine
+    halves of volume, expression and pan, 0 where none is sent."""
+    fine = fine or (F.lit(0), F.lit(0), F.lit(0))
+    v, e = controller(volume, fine[0]), controller(expression, fine[1])
     amp = v * v * e * e * (1 - soft / 254)
-    theta = controller(pan, zero) * (math.pi / 2)
-    left = F.when(pan == 64, 1.0).otherwise(F.cos(theta) * math.sqrt(2))
-    right = F.when(pan == 64, 1.0).otherwise(F.sin(theta) * math.sqrt(2))
+    theta, centre = controller(pan, fine[2]) * (math.pi / 2), (pan == 64) & (fine[2] == 0)
+    left = F.when(centre, 1.0).otherwise(F.cos(theta) * math.sqrt(2))
+    right = F.when(centre, 1.0).otherwise(F.sin(theta) * math.sqrt(2))
     return amp * left, amp * right
 
 
 def bend_factor(bend: Column, semitones: Column) -> Column:
-    """8.24 fixed-point factor of a bend of -8192..8191 over a range."""
-    return F.round(F.pow(F.lit(2.0), bend / 8192 * semitones / 12) * (1 << 24)).cast("long")
+    """8.24 fixed-point factor of a bend of -8192..8191 over a range, held to
+    32 bits and above 0; one where the bend isn't a finite number."""
+    by = (bend / 8192 * semitones).cast("double")
+    finite = ~(F.isnan(by) | F.abs(by).isin(float("inf")))
+    factor = F.round(F.least(F.pow(F.lit(2.0), by / 12) * (1 << 24), F.lit(float((1 << 32) - 1))))
+    return F.when(finite, F.greatest(factor.cast("long"), F.lit(1))).otherwise(F.lit(1 << 24)).cast("long")
+
+
+def fixed(value: Column) -> Column:
+    """32.32 fixed point, in the 64 bits of decimal(20,0): cut, not rounded,
+    held to what the bits can say; 0 for what isn't positive or no number."""
+    # Whole part and fraction apart: a double isn't cast to decimal by its bits.
+    held = F.when(value < float(1 << 32), value).otherwise(0.0)
+    whole = F.floor(held)
+    bits = whole.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.floor((held - whole) * float(1 << 32)).cast("decimal(12,0)")
+    out = F.when(value < float(1 << 32), bits).otherwise(F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"))
+    return F.when((value > 0) & ~F.isnan(value), out).otherwise(F.lit(0)).cast("decimal(20,0)")
+
+
+def fixed_parts(value: Column) -> tuple[Column, Column]:
+    """(whole, fraction of 2^32) of a 32.32 number."""
+    one = F.lit(1 << 32).cast("decimal(20,0)")
+    low = F.pmod(value, one)
+    return ((value - low) / one).cast("long"), low.cast("long")
+
+
+def fixed_add(a: Column, b: Column) -> Column:
+    """Sum of two 32.32 numbers, wrapped at 64 bits."""
+    return F.pmod(a.cast("decimal(38,0)") + b.cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+
+
+def vibrato(mod: Column, depth: Column, phase: Column) -> Column:
+    """Cents of vibrato: 50 at a full wheel (0..1) and neutral depth (64)."""
+    return mod * depth / 64 * 50 * F.sin(phase * (2 * math.pi))
+
+
+def tremolo(value: Column, phase: Column) -> Column:
+    """Gain of tremolo, which takes off up to half at its controller's top."""
+    t = value / 127 * 0.25
+    return 1 - t + t * F.sin(phase * (2 * math.pi))
+
+
+def lfo_rate(value: Column) -> Column:
+    """Turns a second, 5 at a neutral controller (64)."""
+    return F.pow(F.lit(2.0), (value - 64) / 32) * 5
 
 
 def fixed_scale(value: Column, factor: Column) -> Column:

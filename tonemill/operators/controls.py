@@ -22,6 +22,12 @@ def tempo_segments(tempo: DataFrame, ticks_per_quarter: int, rate: int, default_
     return span.select("tick", F.sum("_d").over(w).alias("base"), per(F.col("us_per_qn")).alias("per_tick"), F.lead("tick").over(w).alias("until"))
 
 
+def smpte_frames(ev: DataFrame, fps: int, ticks_per_frame: int, rate: int) -> DataFrame:
+    """ev (tick) with ``frame`` where a file counts in film frames: ticks have a
+    fixed length, and tempo changes none."""
+    return ev.withColumn("frame", F.col("tick") * (rate / fps / ticks_per_frame))
+
+
 def frames(ev: DataFrame, segments: DataFrame) -> DataFrame:
     """ev (tick) with ``frame``, by the segment its tick lies in. Both sides are
     cut into stretches of ticks, some BUCKETS up to the last change of tempo, and

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks
+from ..operators import blocks, reports
 from ..sources.events import events, read
 from .registry import EV, query
 
@@ -109,3 +109,23 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a run whose blocks take up to 20 notes."""
     per = events(spark, sf_dir).groupBy("block").agg(F.count_if(F.col("kind") == "note_on").alias("n"))
     return per.agg(F.sum("n").alias("notes"), F.count("*").alias("blocks"), F.max("n").alias("peak"), F.sum(F.greatest(F.col("n") - 20, F.lit(0))).alias("dropped"))
+
+
+@query("with s as (select event_id as pos, value as x, round(value, 1) as y from events where event_id % 7 <> 3), d as (select pos, x, abs(x - y) as d from s), t as (select max(d) as p, sqrt(avg(d * d)) as q, max(abs(x)) as r, count(*) as compared, bool_and(d = 0) as identical from d) select compared, identical, round(20 * log10(p), 4) as peak_db, round(20 * log10(q), 4) as rms_db, round(20 * log10(r), 4) as ref_db, 20 * log10(p) <= -20.0 as passed from t")
+def null_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two signals of which one lacks some positions, against a threshold."""
+    s = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("v"))
+    out = reports.null_report(s, s.filter("pos % 7 <> 3").withColumn("v", F.round("v", 1)), -20.0)
+    return out.select("compared", "identical", *[F.round(c, 4).alias(c) for c in ("peak_db", "rms_db", "ref_db")], "passed")
+
+
+@query(f"{_DENSITY}, k as (select count(*) filter (where kind = 'note_on') as note_ons, count(*) filter (where kind = 'note_off') as note_offs, count(*) filter (where kind = 'controller') as controllers from ev), b as (select n, block from d order by n desc, block desc limit 1), w as (select block, sum(n) over (order by block rows between current row and 7 following) as voices, count(*) over (order by block rows between current row and 7 following) as inside from d), p as (select voices, block from w where inside = 8 order by voices desc, block limit 1) select note_ons, note_offs, controllers, b.n as busiest, b.block * 4096 / 48000.0::double as busiest_at, b.n * 60 as bytes, 4096::bigint as advised, b.n * 60 as advised_bytes, cast(p.voices * 2 as bigint) as voices, p.block * 4096 / 48000.0::double as voices_at from k, b, p")
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.file_report(events(spark, sf_dir), block=4096, layers=2, width=8, rate=48_000.0)
+
+
+@query("with recursive t as (select p_partkey as id, p_partkey * 40000 as notes from part), h(id, need, block) as (select id, notes * 60, 4096 from t union all select id, need, block // 2 from h where block > 128 and need // (4096 // block) > 2147483648), m as (select id, any_value(need) as need, min(block) as block from h group by id) select id, cast(block as bigint) as block, cast(need // (4096 // block) as bigint) as bytes from m")
+def narrower_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block advised for a busiest block of so many notes."""
+    block, held = reports.narrower_block(F.col("p_partkey") * 40_000, 4096, 2)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), block.alias("block"), held.alias("bytes"))

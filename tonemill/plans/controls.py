@@ -22,6 +22,12 @@ def asof_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return controls.frames(lines, controls.tempo_segments(tempo, 480, 48_000)).select(*keys, F.round("frame", 3).alias("frame"))
 
 
+@query(f"with {EV} select seq, round((micros // 60000000 % 1000000) * (48000 / 25 / 40.0::double), 3) as frame from ev")
+def smpte_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir).selectExpr("seq", "micros div 60000000 % 1000000 as tick")
+    return controls.smpte_frames(ev, 25, 40, 48_000).select("seq", F.round("frame", 3).alias("frame"))
+
+
 @query(f"with {EV}, p as (select *, last_value(case when kind = 'controller' then k end ignore nulls) over (partition by ch order by seq rows unbounded preceding) as program from ev) select seq, ch, program from p where kind = 'note_on'")
 def asof_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     program = F.when(F.col("kind") == "controller", F.col("k"))

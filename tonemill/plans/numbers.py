@@ -30,15 +30,39 @@ def pitch_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("seq", *_r(ratio=n.pitch_ratio(F.col("note"), F.lit(60), F.lit(100), F.col("k") - 50, 44100 / 48000)))
 
 
-@query(f"with {EV}, t as (select seq, vel / 127.0::double as v, note / 127.0::double as e, k / 127.0::double as p, k, ch * 8 / 254.0::double as s from ev) select seq, round(v * v * e * e * (1 - s) * case when k = 64 then 1 else cos(p * pi() / 2) * sqrt(2) end, 6) as l, round(v * v * e * e * (1 - s) * case when k = 64 then 1 else sin(p * pi() / 2) * sqrt(2) end, 6) as r from t")
+_FINE = "t as (select *, slot % 3 * 40 as lv, slot % 5 * 25 as le, case when k = 64 then slot % 2 else slot % 7 * 18 end as lp from ev), c as (select seq, k, lp, case when lv = 0 then vel / 127.0::double else (vel * 128 + lv) / 16383.0::double end as v, case when le = 0 then note / 127.0::double else (note * 128 + le) / 16383.0::double end as e, case when lp = 0 then k / 127.0::double else (k * 128 + lp) / 16383.0::double end as p, ch * 8 / 254.0::double as s from t)"
+
+
+@query(f"with {EV}, {_FINE} select seq, round(v * v * e * e * (1 - s) * case when k = 64 and lp = 0 then 1 else cos(p * pi() / 2) * sqrt(2) end, 6) as l, round(v * v * e * e * (1 - s) * case when k = 64 and lp = 0 then 1 else sin(p * pi() / 2) * sqrt(2) end, 6) as r from c")
 def channel_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = n.channel_gains(F.col("vel"), F.col("note"), F.col("k"), F.col("ch") * 8)
+    """Coarse values with fine halves, which are 0 for some."""
+    fine = (F.col("slot") % 3 * 40, F.col("slot") % 5 * 25, F.when(F.col("k") == 64, F.col("slot") % 2).otherwise(F.col("slot") % 7 * 18))
+    left, right = n.channel_gains(F.col("vel"), F.col("note"), F.col("k"), F.col("ch") * 8, fine)
     return events(spark, sf_dir).select("seq", *_r(l=left, r=right))
 
 
-@query(f"with {EV} select seq, cast(round(pow(2, (k * 160 - 8000) / 8192.0::double * 2 / 12) * 16777216) as bigint) as factor from ev")
+@query(f"with {EV} select seq, cast(greatest(round(least(pow(2, (k * 160 - 8000) / 8192.0::double * (seq % 128) / 12) * 16777216, 4294967295)), 1) as bigint) as factor from ev")
 def bend_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("seq", n.bend_factor(F.col("k") * 160 - 8000, F.lit(2)).alias("factor"))
+    return events(spark, sf_dir).select("seq", n.bend_factor(F.col("k") * 160 - 8000, F.col("seq") % 128).alias("factor"))
+
+
+# Ratios of -8 to 2^40, each a sixteenth of a whole number, so that both sides cut alike.
+_RATIO = "(k - 8) / 16.0::double * case when seq % 5 = 0 then 4294967296.0::double else 1 end"
+
+
+@query(f"with {EV}, r as (select seq, {_RATIO} as ratio, vel / 16.0::double as step from ev), f as (select seq, case when ratio <= 0 then 0 when ratio * 4294967296 >= 18446744073709551616 then 18446744073709551615::hugeint else cast(floor(ratio * 4294967296) as hugeint) end as a, cast(floor(step * 4294967296) as hugeint) as b from r) select seq, cast(a // 4294967296 as bigint) as whole, cast(a % 4294967296 as bigint) as part, cast(((a + b) % 18446744073709551616::hugeint) // 4294967296 as bigint) as next_whole from f")
+def fixed_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratio = (F.col("k") - 8) / 16 * F.when(F.col("seq") % 5 == 0, float(1 << 32)).otherwise(1.0)
+    a, b = n.fixed(ratio), n.fixed(F.col("vel") / 16)
+    whole, part = n.fixed_parts(a)
+    return events(spark, sf_dir).select("seq", whole.alias("whole"), part.alias("part"), n.fixed_parts(n.fixed_add(a, b))[0].alias("next_whole"))
+
+
+@query(f"with {EV} select seq, round(k / 127.0::double * vel / 64.0::double * 50 * sin(2 * pi() * (slot % 16 / 16.0::double)), 6) + 0.0 as cents, round(1 - vel / 127.0::double * 0.25 + vel / 127.0::double * 0.25 * sin(2 * pi() * (slot % 16 / 16.0::double)), 6) as gain, round(5 * pow(2, (vel - 64) / 32.0::double), 6) as rate from ev")
+def modulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phase = F.col("slot") % 16 / 16
+    out = events(spark, sf_dir).select("seq", *_r(cents=n.vibrato(F.col("k") / 127, F.col("vel"), phase), gain=n.tremolo(F.col("vel"), phase), rate=n.lfo_rate(F.col("vel"))))
+    return out.withColumn("cents", F.col("cents") + 0.0)
 
 
 @query(f"with {EV} select seq, cast((cast(micros as hugeint) * (16777216 + k * 99991)) // 16777216 as bigint) as scaled from ev")
