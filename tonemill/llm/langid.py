@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import hashed_sample, materialize
 
 #: About so many texts are learned from, SAMPLES windows from each, taken at
 #: hashed places. All rows are identified, over their whole texts.
@@ -221,4 +221,5 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 def languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each document."""
     found = identify(docs.select("doc_id", "text"), fit(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    # Written here, where batches are small.
+    return materialize(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), "languages")

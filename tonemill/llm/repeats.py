@@ -371,7 +371,8 @@ def report(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     placed = _placed(docs.select("doc_id", "text"), "found")
-    return placed.withColumn("r", measure("text", "found.copy", "found.places", "found.masks")).select("doc_id", "r.*")
+    # Written here, where batches are small.
+    return materialize(placed.withColumn("r", measure("text", "found.copy", "found.places", "found.masks")).select("doc_id", "r.*"), "repeats")
 
 
 def remove(docs: DataFrame) -> DataFrame:

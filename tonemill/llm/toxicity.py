@@ -388,10 +388,11 @@ def with_scores(docs: DataFrame, model: Model | float, name: str = "score", chun
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
     scored = with_scores(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    # Written here, where batches are small.
+    return materialize(scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), "toxicity")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
     name = fresh_name("score", docs)
-    return with_scores(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns)
+    return materialize(with_scores(docs, fit(docs, labels), name).filter(F.col(name) < 0.5).select(*docs.columns), "toxicity-kept")
