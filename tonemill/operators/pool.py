@@ -54,9 +54,19 @@ def steal(voices: DataFrame, k: int, rule: str = "quietest", by: str | None = No
     return voices.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*key))).filter(F.col("_n") <= k).drop("_n")
 
 
+#: States that a cache of controller variants may hold.
+MOST_STATES = 1024
+
+
 def nearest_state(wanted: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
-    """Each wanted state's nearest known one (small, broadcast) by the sum of
-    absolute differences, the first of equals."""
-    k = F.broadcast(known.select("state", *[F.col(c).alias(f"k_{c}") for c in columns]))
-    far = sum((F.abs(F.col(c) - F.col(f"k_{c}")) for c in columns), F.lit(0))
-    return wanted.join(k).withColumn("distance", far).groupBy("seq").agg(F.min(F.struct("distance", "state")).alias("m")).select("seq", "m.distance", "m.state")
+    """Each wanted state's nearest known one by the sum of absolute differences,
+    the first of equals; null if none is known. The known states are those of a
+    cache, of at most MOST_STATES, and become an array that each row looks
+    through; more raise an error."""
+    held = known.select("state", *columns).orderBy("state").limit(MOST_STATES + 1).collect()
+    if len(held) > MOST_STATES:
+        raise ValueError(f"more than {MOST_STATES} known states")
+    far = lambda k: sum((F.abs(F.col(c) - F.lit(k[c])) for c in columns), F.lit(0))
+    each = F.array(*[F.struct(far(k).alias("distance"), F.lit(k["state"]).alias("state")) for k in held]) if held else F.lit(None)
+    best = F.array_min(each) if held else F.lit(None).cast("struct<distance: bigint, state: bigint>")
+    return wanted.select("seq", best.alias("m")).select("seq", "m.distance", "m.state")

@@ -26,8 +26,9 @@ def lookup(hits: DataFrame, zones: DataFrame, order: str, layers: int, hit_key:
 def with_fallback(hits: DataFrame, presets: DataFrame, drum_bank: int = 128) -> DataFrame:
     """hits (bank, program) with ``preset``: the exact one, else bank 0's of that
     program, else the drum bank's first if drums were asked for, else the first
-    of all. presets is (bank, program, preset), a small dimension."""
-    exact = F.broadcast(presets.groupBy("bank", "program").agg(F.min("preset").alias("_exact")))
+    of all. presets is (bank, program, preset). Only what the number of programs
+    bounds is marked for broadcast."""
+    exact = presets.groupBy("bank", "program").agg(F.min("preset").alias("_exact"))
     common = F.broadcast(presets.filter("bank = 0").groupBy("program").agg(F.min("preset").alias("_common")))
     lone = F.broadcast(presets.agg(F.min(F.when(F.col("bank") == drum_bank, F.col("preset"))).alias("_drum"), F.min("preset").alias("_first")))
     all_ = hits.join(exact, ["bank", "program"], "left").join(common, "program", "left").join(lone)

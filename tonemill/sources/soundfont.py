@@ -150,7 +150,7 @@ def regions(recs: DataFrame) -> DataFrame:
     far = lambda name: merged(name) + merged(f"{name}_coarse") * 32768
     mode = merged("modes").bitwiseAND(3)
     heads = recs.filter("chunk = 'phdr'").select("path", F.col("idx").alias("p_owner"), F.col("name").alias("preset_name"), F.col("b").alias("bank"), F.col("c").alias("program"))
-    return both.join(F.broadcast(heads), ["path", "p_owner"]).select(
+    return both.join(heads, ["path", "p_owner"]).select(
         "path",
         F.col("p_owner").alias("preset"),
         "preset_name",
@@ -204,7 +204,7 @@ def fetch(recs: DataFrame) -> DataFrame:
     """(path, sample, pcm): frames of the used samples only; each is a ranged
     read of its file by the task that needs it."""
     smpl = recs.filter("chunk = 'smpl'").select("path", F.col("a").alias("base"), F.col("b").alias("frames"))
-    wanted = used_samples(recs).join(F.broadcast(smpl), "path").select("path", "sample", "base", F.least("start", "frames").alias("start"), F.least("end", "frames").alias("end"))
+    wanted = used_samples(recs).join(smpl, "path").select("path", "sample", "base", F.least("start", "frames").alias("start"), F.least("end", "frames").alias("end"))
 
     def pull(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
