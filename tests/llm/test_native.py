@@ -384,3 +384,24 @@ def test_proximity(spark):
     index = decontamination.build_index(df, places.select("term_id").distinct())
     near = decontamination.find_near(index, places.select("item", "n", "ipos", "term_id"), span=5).collect()
     assert len(near) == 1 and (near[0]["first"], near[0]["last"]) == (0, 4)
+
+
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(14)
+    items = [(i, some_words(rng, n, 30)) for i, n in enumerate((3, 12, 25))]
+    rows = [(i, some_words(rng, rng.choice([5, 40, 200]), 40), "s") for i in range(40)]
+    df = docs(spark, rows)
+    places = decontamination.item_words(spark.createDataFrame(items, "item_id long, text string")).withColumn("term_id", F.xxhash64("term"))
+    index = decontamination.build_index(df, decontamination.materialize(places.select("term_id").distinct(), "test-terms"))
+    names = {r["item"]: int(r["item_id"]) for r in places.select("item", "item_id").distinct().collect()}
+    keys = {r["k"]: r["doc_id"] for r in df.select("doc_id", decontamination.doc_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    for span in (6, 25):
+        got = {(keys[r["doc"]], names[r["item"]]) for r in decontamination.find_near(index, places.select("item", "n", "ipos", "term_id"), span).collect()}
+        want = set()
+        for d, t, _ in rows:
+            w = t.split()
+            for i, x in items:
+                terms = set(x.split())
+                if any(len(terms & set(w[p : p + span])) >= min(len(terms), 10) for p in range(len(w))):
+                    want.add((d, i))
+        assert got == want and want

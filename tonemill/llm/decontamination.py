@@ -6,8 +6,8 @@ term; no posting is shuffled for it. `find_phrases` looks for
 every window of benchmark words in it: the window's rarest term gives aligned
 candidates, the next rarest prunes them, and the lists of the remaining terms
 are intersected at their offsets; runs of a window's length or more are the
-exact occurrences. `find_near` returns proximity matches: documents where all
-terms of a window stand within a span of positions.
+exact occurrences. `find_near` returns proximity matches: documents where as
+many terms of an item as a window has stand within a span of positions.
 
 Nothing is grouped by a frequent term alone: shards are cut by documents,
 candidates come from rare terms, and hits are merged per document.
@@ -16,8 +16,9 @@ Defined cases: null and word-free texts have no words and match nothing; an
 item of fewer words than a window is one window, an item without words none;
 rows of documents are told apart by doc_id and text, so repeated rows get the
 same result and each stays; items of equal item_id count once; a null item_id
-counts as the empty string; other columns are ignored here, and kept by the
-pipeline's filter.
+counts as the empty string; an empty table gives an empty result, and without a
+benchmark nothing is hit; very long texts are read whole; other columns are
+ignored here, and kept by the pipeline's filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, small
+from .common import ascii_lower, discard, fresh_name, materialize, small
 
 WINDOW = 10
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -100,11 +101,17 @@ def find_phrases(index: DataFrame, places: DataFrame, window: int = WINDOW) -> D
 def find_near(index: DataFrame, places: DataFrame, span: int, window: int = WINDOW) -> DataFrame:
     """Proximity matches: (doc, item, first, last) where at least ``window``
     distinct terms of an item (or all, if it has fewer) lie within ``span``
-    positions. An item's rarest term is looked up first; only its documents
-    are searched."""
-    terms = places.select("item", "term_id").distinct()
-    need = terms.groupBy("item").agg(F.least(F.count("*"), F.lit(window)).alias("need"))
-    postings = index.join(small(terms), "term_id")
+    positions. Of an item's T terms, ``need`` of which must be there, one of the
+    T - need + 1 rarest must be, too: their lists are looked up first, and only
+    the documents on them are searched for the rest."""
+    terms = materialize(places.select("item", "term_id").distinct(), "near-terms")
+    frequency = materialize(index.join(small(terms.select("term_id").distinct()), "term_id").groupBy("term_id").agg(F.count("*").alias("df")), "near-frequencies")
+    need = terms.groupBy("item").agg(F.count("*").alias("n"), F.least(F.count("*"), F.lit(window)).alias("need"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("df", "term_id"))
+    known = terms.join(small(frequency), "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
+    rare = materialize(known.join(need, "item").filter(F.col("rank") <= F.col("n") - F.col("need") + 1).select("item", "term_id"), "near-anchors")
+    candidates = materialize(index.join(small(rare), "term_id").select("item", "doc").distinct(), "near-candidates")
+    postings = index.join(small(terms), "term_id").join(small(candidates), ["item", "doc"])
     near = Window.partitionBy("item", "doc").orderBy("pos").rangeBetween(0, span - 1)
     seen = postings.withColumns({"found": F.size(F.collect_set("term_id").over(near)), "last": F.max("pos").over(near)})
     return seen.join(need, "item").filter(F.col("found") >= F.col("need")).groupBy("doc", "item").agg(F.min("pos").alias("first"), F.max("last").alias("last"))
@@ -127,12 +134,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = materialize(find_phrases(index, places.withColumn("term_id", F.xxhash64("term")).select("item", "n", "ipos", "term_id"), window), "occurrences")
     names = found.select("doc", "item").distinct().join(small(places.select("item", "item_id").distinct()), "item")
     items = names.groupBy("doc").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    return items.join(covered(found), "doc").select("doc", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
+    hits = items.join(covered(found), "doc").select("doc", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
+    hits = materialize(hits, "contamination")
+    discard(index, found)
+    return hits
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated per row."""
-    hits = materialize(contamination(docs, benchmark, window), "contamination")
+    hits = contamination(docs, benchmark, window)
     rows = docs.select("doc_id", doc_key(F.col("doc_id"), F.col("text")).alias("doc"), word_count(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(small(hits), "doc", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -140,6 +150,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs that hold no benchmark window, with all columns."""
-    hits = materialize(contamination(docs, benchmark, window).select(F.col("doc").alias("_doc")), "contaminated")
-    keyed = docs.withColumn("_doc", doc_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(small(hits), "_doc", "left_anti").select(*docs.columns)
+    name = fresh_name("doc", docs)
+    hits = contamination(docs, benchmark, window).select(F.col("doc").alias(name))
+    keyed = docs.withColumn(name, doc_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(small(hits), name, "left_anti").select(*docs.columns)
