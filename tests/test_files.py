@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tonemill.sources import fixtures, midi, sfz, soundfont, wav
+from tonemill.operators import zones
+from tonemill.sources import banks, fixtures, midi, sfz, soundfont, wav
 
 
 def test_midi_round_trip(spark, tmp_path):
@@ -162,3 +163,22 @@ def test_sfz(spark, tmp_path):
     assert sfz.kind_of("a/B.SF2") == "soundfont" and sfz.kind_of("c.sfz") == "sfz"
     with pytest.raises(ValueError, match="unknown kind"):
         sfz.kind_of("a.mp3")
+
+
+def test_banks_of_both_kinds(spark, tmp_path):
+    fixtures.rich_soundfont(str(tmp_path / "rich.sf2"))
+    (tmp_path / "kit.sfz").write_text("<region> sample=a.wav lokey=60 hikey=64\n<region> sample=b.wav\n")
+    got = banks.load(spark, str(tmp_path / "rich.sf2"), str(tmp_path / "kit.sfz"))
+    rows = got.collect()
+    assert sorted(r["kind"] for r in rows) == ["sfz"] * 2 + ["soundfont"] * 6
+    kit = {r["sample"]: r for r in rows if r["kind"] == "sfz"}
+    assert (kit["a.wav"]["key_lo"], kit["a.wav"]["key_hi"], kit["a.wav"]["program"]) == (60, 64, None)
+    assert all(r["file"] and r["pan"] is not None and r["release"] is not None for r in rows)
+    with pytest.raises(ValueError, match="unknown kind"):
+        banks.load(spark, str(tmp_path / "a.mp3"))
+
+
+def test_voices_that_exist(spark):
+    rows = [(10, 1.0), (0, 1.0), (10, 0.0), (10, float("nan")), (10, float("inf")), (10, None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "n long, r double")
+    assert [r[0] for r in df.select(zones.sounds(df.n, df.r)).collect()] == [True] + [False] * 6

@@ -58,6 +58,23 @@ def layered(default: Column, overrides: list[Column], offset: Column, bits: int
     return F.least(F.greatest(base + F.coalesce(offset, F.lit(0)), F.lit(-top - 1)), F.lit(top))
 
 
+def sounds(length: Column, ratio: Column) -> Column:
+    """Whether a region's voice exists: its sample has frames and its step is a
+    positive number."""
+    return F.coalesce((length > 0) & (ratio > 0) & ~F.isnan(ratio) & (ratio < float("inf")), F.lit(False))
+
+
+def addressed(length: Column, loop: tuple[Column, Column], offsets: tuple[Column, Column, Column, Column], ratio: Column) -> dict[str, Column]:
+    """Where a region reads its sample of ``length`` frames: offsets of start,
+    end, loop start and loop end are in frames of the source, of which the held
+    sample has ``ratio`` times as many; all are held inside what is left."""
+    move = lambda v: F.round(v * ratio).cast("long")
+    held = lambda v, low, high: F.greatest(F.lit(low), F.least(v, high)).cast("long")
+    start, end, loop_start, loop_end = map(move, offsets)
+    last = held(length + end, 1, length)
+    return {"start": held(start, 0, length - 1), "length": last, "loop_start": held(loop[0] + loop_start, 0, last - 1), "loop_end": held(loop[1] + loop_end, 0, last)}
+
+
 def inherit(rows: DataFrame, opcodes: list[str]) -> DataFrame:
     """Region rows with each opcode from the nearest header that sets it. rows
     is (file, line, header, one column per opcode): a global header ends master

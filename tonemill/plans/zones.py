@@ -93,3 +93,14 @@ def used_samples_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that some region refers to."""
     used = read(spark, sf_dir, "lineitem").filter("l_discount > 0.09").select(F.col("l_suppkey").alias("sample"))
     return read(spark, sf_dir, "supplier").selectExpr("s_suppkey as sample", "s_nationkey as rate").join(used, "sample", "left_semi")
+
+
+_ADDR = "t as (select p_partkey as id, p_partkey % 997 as len, p_partkey % 400 as ls, p_partkey % 900 as le, p_size * 20 - 100 as o, p_size * 7 - 300 as e, (p_size % 5 + 2) / 4.0::double as ratio from part), m as (select *, cast(round(o * ratio) as bigint) as so, cast(round(e * ratio) as bigint) as se from t), l as (select *, greatest(1, least(len + se, len)) as n from m where len > 0)"
+
+
+@query(f"with {_ADDR} select id, cast(greatest(0, least(so, len - 1)) as bigint) as start, cast(n as bigint) as length, cast(greatest(0, least(ls + so, n - 1)) as bigint) as loop_start, cast(greatest(0, least(le + se, n)) as bigint) as loop_end from l")
+def sample_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address offsets in source frames, for samples held at another rate."""
+    t = read(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_partkey % 997 as len", "p_partkey % 400 as ls", "p_partkey % 900 as le", "p_size * 20 - 100 as o", "p_size * 7 - 300 as e", "(p_size % 5 + 2) / 4.0D as ratio")
+    at = zones.addressed(F.col("len"), (F.col("ls"), F.col("le")), (F.col("o"), F.col("e"), F.col("o"), F.col("e")), F.col("ratio"))
+    return t.filter(zones.sounds(F.col("len"), F.col("ratio"))).select("id", *[c.alias(k) for k, c in at.items()])
