@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from test_channels import loop
 
@@ -68,3 +69,24 @@ def test_resample_sinc(spark):
         i, phase = int(at), min(int((at - int(at)) * 512), 511)
         want = sum(float(bank[phase, k]) * pcm[min(max(i - 15 + k, 0), n - 1)] for k in range(32))
         assert abs(v - want) <= 1.01
+
+
+def test_block_report(spark):
+    import math
+
+    from tonemill.operators import folds
+
+    got = plans.QUERIES["block_report"](spark, SF).orderBy("block").collect()
+    rows = values(spark)
+    on = {r["event_id"] for r in read(spark, SF, "events").filter("event_type in ('click', 'view')").collect()}
+    dropped, by = 0, {}
+    for pos, user, value in rows:
+        by.setdefault(pos // 64, []).append((pos, user, value))
+    assert [r["block"] for r in got] == [b + 1 for b in sorted(by)]
+    for r, b in zip(got, sorted(by), strict=True):
+        x = [min(max(v / 100 - 1, -0.5), 0.5) for _, _, v in by[b]]
+        gains = [v / 100 for pos, _, v in by[b] if pos in on]
+        dropped += len(gains) - r["take"]
+        assert r["want"] == len(gains) and r["dropped"] == dropped and r["t"] == pytest.approx((b + 1) * 64 / 48_000, abs=1e-6)
+        assert r["rms"] == pytest.approx(math.sqrt(sum(v * v for v in x) / len(x)), abs=2e-6) and r["peak"] == pytest.approx(max(map(abs, x)), abs=2e-6)
+        assert r["want_e"] == folds.loudness(np.array(gains)).sum() >= r["take_e"] and r["live"] <= 24

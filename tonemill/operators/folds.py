@@ -38,6 +38,11 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[t
         yield tuple(rest[keys].iloc[0]), rest
 
 
+def loudness(gain: np.ndarray) -> np.ndarray:
+    """`functions.numbers.gain_rank`: 15 bits of the gains as 32-bit floats."""
+    return np.where(gain > 0, gain.astype(np.float32).view(np.uint32) >> 16 & 0x7FFF, 0).astype(np.int64)
+
+
 def loudest(gain: np.ndarray, take: int) -> np.ndarray:
     """Places of the ``take`` to admit: the loudest of each even stratum."""
     want = len(gain)
@@ -54,7 +59,9 @@ def loudest(gain: np.ndarray, take: int) -> np.ndarray:
 
 def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "quietest") -> DataFrame:
     """Blocks of a bounded pool, one pool a shard: (shard, block, live, want,
-    take, stolen, dropped), live being what sounds at the block's end.
+    take, stolen, dropped, alive, want_e, take_e), live being what sounds at the
+    block's end, alive what does when it decides, and the last two the summed
+    ranks of loudness of what is queued and of what is taken.
 
     ``cand`` is (shard, block, idx, id, gain, ends): a voice sounds through
     block ``ends``. What a block takes depends on what the block before left,
@@ -74,6 +81,7 @@ def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "
             alive = ends >= block
             ids, gains, ends = ids[alive], gains[alive], ends[alive]
             queued, live = len(g), len(ids)
+            rank = loudness(g["gain"].to_numpy())
             want = min(queued, cap)
             need = max(min(live + want - cap, live, most), 0)
             take = want if live + want <= cap else min(want, cap - (live - need))
@@ -86,7 +94,7 @@ def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "
             ids = np.concatenate([ids, g["id"].to_numpy()[chosen]])
             gains = np.concatenate([gains, g["gain"].to_numpy()[chosen]])
             ends = np.concatenate([ends, g["ends"].to_numpy()[chosen]])
-            out.append((key, block, len(ids), queued, take, need, queued - take))
+            out.append((key, block, len(ids), queued, take, need, queued - take, live, int(rank.sum()), int(rank[chosen].sum())))
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=_POOL_NAMES)
                 out = []
@@ -96,7 +104,7 @@ def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "
     return rows.mapInPandas(fold, _POOL)
 
 
-_POOL = "shard long, block long, live long, want long, take long, stolen long, dropped long"
+_POOL = "shard long, block long, live long, want long, take long, stolen long, dropped long, alive long, want_e long, take_e long"
 _POOL_NAMES = [c.split(" ")[0] for c in _POOL.split(", ")]
 
 

@@ -15,6 +15,7 @@ from . import blocks
 
 #: Bytes a candidate layer and a note-on hold, the block below
 #: which none is advised, and the bytes from which a narrower one is.
+SPAN = 1024  # blocks that one task sums
 LAYER_BYTES, NOTE_BYTES, LEAST_BLOCK, COMFORTABLE = 24, 12, 128, 2 << 30
 
 
@@ -54,6 +55,18 @@ def file_report(ev: DataFrame, block: int, layers: int, width: int, rate: float)
     return kinds.crossJoin(busy).crossJoin(peak)  # one row each
 
 
+def block_rows(pool: DataFrame, signal: DataFrame, frames: int, rate: float) -> DataFrame:
+    """A row for each block of a run: block (from 1), t (seconds rendered by its
+    end), live, want, take, stolen, dropped (so far), rms, peak, want_e, take_e.
+    ``pool`` is one shard of `folds.pool_fold`, ``signal`` (pos, l, r) what
+    leaves the limiter; blocks without candidates count as such."""
+    level = blocks.levels(signal, frames)
+    idle = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    both = level.join(pool, "block", "left").select("block", "rms", "peak", F.expr(f"block div {SPAN}").alias("span"), *map(idle, ("alive", "want", "take", "stolen", "dropped", "want_e", "take_e")))
+    summed = blocks.running(both, F.col("dropped"), ["block"], "so_far", "span")
+    return summed.select((F.col("block") + 1).alias("block"), ((F.col("block") + 1) * (frames / rate)).alias("t"), F.col("alive").alias("live"), "want", "take", "stolen", F.col("so_far").alias("dropped"), "rms", "peak", "want_e", "take_e")
+
+
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
     """df, and an observation that holds its number of rows and ``metrics`` once
     an action has run; a listener gets them in streams, too, after each batch."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, render
+from ..operators import folds, render, reports, signal
 from ..sources import events as event_source
 from ..sources import fixtures, midi, soundfont, wav
 from ..sources.events import read
@@ -104,6 +104,19 @@ def pool_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pool_fold(cand, cap=4)
 
 
+@query()
+def block_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a run's report, from one pool and a signal behind a limiter
+    without attack; the tests compare it with a loop."""
+    ev = read(spark, sf_dir, "events")
+    on = ev.filter("event_type in ('click', 'view')")
+    cand = on.selectExpr("0L as shard", "event_id div 64 as block", "event_id as idx", "event_id as id", "value / 100 as gain", "event_id div 64 + user_id % 4 as ends")
+    pos, x = F.col("event_id").alias("pos"), F.col("value") / 100 - 1
+    held = x * signal.needed_gain(F.abs(x), 0.5)
+    out = reports.block_rows(folds.pool_fold(cand, cap=24), ev.select(pos, held.alias("l"), (-held).alias("r")), 64, 48_000.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("t", "rms", "peak")})
+
+
 @query()
 def loudness_follower(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feedback follower, row after row; the tests compare it with a loop."""
