@@ -8,10 +8,13 @@ before it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +104,17 @@ def hashed_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) < int(n / total * (1 << 40))).limit(2 * n)
 
 
+def trim() -> None:
+    """Give the system back what a task's Python has freed; its worker waits for
+    the next task and would else keep it. For the end of a function over batches."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh_name(name: str, *tables: DataFrame) -> str:
     """``name``, with as many underscores behind as it takes to clash with no
     column of the tables; Spark doesn't tell case."""

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small
+from .common import discard, materialize, small, trim
 
 BUCKETS, MANTISSA, BAND_ROWS = 256, 10, 6
 BANDS = BUCKETS // BAND_ROWS
@@ -193,6 +193,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             keys = pa.ListArray.from_arrays(np.arange(len(r) + 1, dtype=np.int32) * BANDS, pa.array(band_keys(r).ravel()))
             cols = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), held.take(taken), keys.take(taken)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "sketch", "bands"])
+        del hashes
+        trim()
 
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return raw.mapInArrow(sketch, f"doc_id {kind}, n long, k1 long, k2 long, sketch binary, bands array<long>")
@@ -229,6 +231,8 @@ def _linked(size: int):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 out.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield pd.Series(out, dtype=bool)
+        del hashes
+        trim()
 
     return linked
 
@@ -272,6 +276,8 @@ def held_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         hashes = WordHashes()
         for texts in batches:
             yield pd.Series([shingle_set(t, size, hashes).view(np.int64) for t in texts], dtype=object)
+        del hashes
+        trim()
 
     texts = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi").filter("text is not null")
     apart = texts.withColumn("v", F.xxhash64("text")).dropDuplicates(["doc_id", "v"])

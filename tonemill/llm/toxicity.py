@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, hashed_sample, materialize, small
+from .common import fresh_name, hashed_sample, materialize, small, trim
 
 #: About so many labelled rows of each class are learned from, of texts up
 #: to MAX_CHARS code points. All rows are scored, over their whole texts.
@@ -339,6 +339,8 @@ def logit_counts(docs: DataFrame, rows: DataFrame, learned: DataFrame, model: Mo
         for texts in batches:
             seen, bins = scorer.pooled(list(texts), model.bins) if len(texts) else ([], [])
             yield pd.DataFrame({"seen": seen, "bin": bins}, dtype="int64")
+        del scorer
+        trim()
 
     marks = rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"))
     marked = marks.join(F.broadcast(learned.withColumn("learned", F.lit(True))), "doc_id", "left")
@@ -381,6 +383,8 @@ def with_scores(docs: DataFrame, model: Model | float, name: str = "score", chun
         for texts in batches:
             parts = [scorer(list(texts.iloc[i : i + chunk])) for i in range(0, len(texts), chunk)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        del scorer
+        trim()
 
     return docs.withColumn(name, score(F.col("text")))
 
