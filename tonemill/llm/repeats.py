@@ -328,6 +328,8 @@ def _placed(docs: DataFrame, name: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_m")).filter("doc_id is not null")
     firsts = keyed.groupBy("_m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first <> last")
+    # Written first: then a text that stands very often can be split in the join.
+    firsts = small(materialize(firsts, "first-copies"))
     copies = small(materialize(keyed.join(firsts, "_m").filter("doc_id <> first").select("doc_id", "_m").distinct(), "whole-copies"))
     # Few doc_ids have several texts; those texts are numbered.
     several = keyed.groupBy("doc_id").agg(F.min("_m").alias("lo"), F.max("_m").alias("hi")).filter("lo <> hi").select("doc_id")
