@@ -49,6 +49,9 @@ LEAD = 16
 #: Splitters come from about so many texts, TOKENS suffixes of each.
 SAMPLE_TEXTS, TOKENS = 2000, 200
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_WEIGHTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: The bits of a hash that rank suffixes; below them is room for a place.
+_UPPER = ~np.uint64((1 << 31) - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,15 +61,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def kmer_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the KMER bytes at each place that has them: 8-byte words,
-    three to a hash."""
+    three to a hash, weighted and scrambled together. Equal hashes only let
+    suffixes be looked at; what is removed is told by the bytes."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     words = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view(np.uint64).ravel()
     n = len(data) - KMER + 1
-    h = _mixed(words[:n] * _PRIME)
-    for at in range(8, KMER, 8):
-        h = _mixed((h ^ words[at : at + n]) * _PRIME)
-    return h
+    h = words[:n] * _PRIME
+    for at, by in zip(range(8, KMER, 8), _WEIGHTS, strict=True):
+        h += words[at : at + n] * by
+    return _mixed(h)
 
 
 def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,19 +78,17 @@ def minimizers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     the leftmost of the least hashes in the windows from first to last."""
     h = kmer_hashes(data)
     n = len(data) - LENGTH + 1
-    # The least of each window by doubling, keeping the leftmost place.
-    low, place, width = h, np.arange(len(h)), 1
+    # The least of each window by doubling. A key is the upper bits of the hash
+    # over the place, so that of equal ones the leftmost is least.
+    low, width = (h & _UPPER) | np.arange(len(h), dtype=np.uint64), 1
     while width < SPAN:
         step = min(width, SPAN - width)
-        m = len(low) - step
-        right = low[step:] < low[:m]
-        place = np.where(right, place[step:], place[:m])
-        low = np.where(right, low[step:], low[:m])
+        low = np.minimum(low[step:], low[: len(low) - step])
         width += step
-    at = np.flatnonzero(np.r_[True, place[1:n] != place[: n - 1]])
-    first = at
+    at = np.flatnonzero(np.r_[True, low[1:n] != low[: n - 1]])
+    place = (low[at] & ~_UPPER).astype(np.int64)
     last = np.r_[at[1:], n] - 1
-    return place[at], h[place[at]], first, last
+    return place, h[place], at, last
 
 
 def leads(data: np.ndarray, places: np.ndarray) -> np.ndarray:
