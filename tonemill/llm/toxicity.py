@@ -321,6 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     sample.sort(key=lambda r: zlib.crc32(r["text"].encode()))  # the same however rows arrive
     toxic = np.array([int(r["toxic"]) for r in sample])
     model = train([r["text"] for r in sample], toxic, [r["lang"] for r in sample])
+    del sample
+    trim()
     learned = ids.filter(~set_apart(F.col("doc_id"))) if apart else ids
     counts = logit_counts(docs, rows, learned.select("doc_id"), model)
     if len(counts):
