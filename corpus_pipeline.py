@@ -60,7 +60,8 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the first two stages.
+#: SQL can't express the first stage, a trained classifier, nor the fourth, keyed
+#: surrogates; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
