@@ -39,3 +39,22 @@ gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by
 kept as (select g.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(case when before < a then hex(array_slice(t, before, a - 1)) else '' end, '' order by a) || case when max(b) <= any_value(octet_length(t)) then hex(array_slice(any_value(t), max(b), any_value(octet_length(t)))) else '' end as rest from gaps g join d on d.doc_id = g.doc_id group by g.doc_id)
 select d.doc_id, cast(octet_length(t) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(coalesce(unhex(rest), t)) as kept_sha256
 from d left join kept k on k.doc_id = d.doc_id"""
+
+# DuckDB has no CRC-32: eight steps for each byte of the decimal id.
+_CRC = "xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(conv_id as varchar), ''), lambda s: cast(ascii(s) as bigint))), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))))"
+
+PREFIX_TRIE = f"""
+with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, role, text
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+l as (select conv_id, list(struct_pack(role := role, text := text) order by i) as turns from t group by conv_id),
+c as (select conv_id, turns, {_CRC} % 6 as h from l),
+r as (select c.conv_id, list_concat(coalesce(list_slice(b.turns, 1, c.h), []), list_slice(c.turns, c.h + 1, len(c.turns))) as turns from c left join l b on b.conv_id = c.conv_id - c.conv_id % 100),
+steps as (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from r),
+p as (select conv_id, depth, list_slice(turns, 1, depth) as path, len(turns) = depth as ends, case when depth > 0 then length(turns[depth].text) else 0 end as chars from steps),
+nodes as (select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends) as ids from p group by path),
+kids as (select list_slice(path, 1, depth - 1) as path, count(*) as n_children from nodes where depth > 0 group by 1),
+known as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids k on k.path = n.path),
+ups as (select list_slice(path, 1, a) as path, n_children, (n_convs - 1) * chars as saved from (select *, unnest(range(0, depth + 1)) as a from known)),
+sums as (select path, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved from ups group by path)
+select k.conv_id, k.depth, m.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(coalesce(k.ids, '')) as ends_sha256
+from known k join sums s on s.path = k.path left join nodes m on k.depth > 0 and m.path = list_slice(k.path, 1, k.depth - 1)"""

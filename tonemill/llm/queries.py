@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_text, langid, mixing, near_duplicates, oracles, pii, repeats, toxicity, url_filter
+from . import decontamination, fingerprints, html_text, langid, mixing, near_duplicates, oracles, pii, prefix_trie, quality, repeats, toxicity, url_filter, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination, op10_repeats)}
-ORACLES: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontamination": oracles.DECONTAMINATION, "op10_repeats": oracles.REPEATS}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_url_filter, op4_near_duplicates, op5_fingerprints, op6_mixing, op7_pii, op8_html_text, op9_decontamination, op10_repeats, op11_prefix_trie, op12_quality, op13_whitening)}
+ORACLES: dict[str, str] = {"op4_near_duplicates": oracles.NEAR_DUPLICATES, "op9_decontamination": oracles.DECONTAMINATION, "op10_repeats": oracles.REPEATS, "op11_prefix_trie": oracles.PREFIX_TRIE}
