@@ -28,6 +28,17 @@ def test_limiter_release(spark):
     assert len(got) == len(rows)
 
 
+def test_biquad_long(spark):
+    got = {r["pos"]: r["v"] for r in plans.QUERIES["biquad_long"](spark, SF).collect()}
+    z1 = z2 = 0.0
+    for pos, _, value in values(spark):
+        x = value / 100 - 1
+        y = 0.2 * x + z1
+        z1, z2 = 0.4 * x + 0.5 * y + z2, 0.2 * x - 0.3 * y
+        assert got[pos] == pytest.approx(y, abs=2e-6)
+    assert len(got) == len(values(spark))
+
+
 def test_limiter_sustain(spark):
     got = {(r["id"], r["pos"]): r["gain"] for r in plans.QUERIES["limiter_sustain"](spark, SF).collect()}
     state, rows = {}, values(spark)

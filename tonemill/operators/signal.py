@@ -8,7 +8,7 @@ is, so no window spans the whole signal.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,33 @@ def over_back(value: Column, back: int, how, shard: int = SHARD):
     return how(value).over(Window.partitionBy("shard").orderBy("pos").rowsBetween(-back, 0))
 
 
+def over_frames(signal: DataFrame, values: dict[str, Column], back: int, how) -> DataFrame:
+    """(pos, *values): each value over a row and the ``back`` rows before it, by
+    ``how`` (F.max or F.sum), in the same work a row however long ``back`` is.
+
+    Positions are cut into stretches of back + 1 from the first. A frame is the head of one
+    stretch, up to its row, and the tail of the one before, from its first row
+    on; both are running values, and the tail of a row is sent ``back``
+    positions ahead, where it meets the head. Positions follow each other
+    without gaps."""
+    start = signal.agg(F.min("pos")).first()[0] or 0
+    at = F.col("pos") - start
+    stretch = F.floor(at / (back + 1))
+    held = signal.select("pos", stretch.alias("_s"), *[v.alias(k) for k, v in values.items()])
+    w = Window.partitionBy("_s")
+    head = w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tail = w.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    both = held.select("pos", *[how(k).over(head).alias(f"h_{k}") for k in values], *[how(k).over(tail).alias(f"t_{k}") for k in values])
+    # The head of a stretch's last row is the whole frame.
+    sent = F.when(at % (back + 1) != 0, F.struct((F.col("pos") + back).alias("pos"), F.lit(False).alias("own"), *[F.col(f"t_{k}").alias(k) for k in values]))
+    own = F.struct("pos", F.lit(True).alias("own"), *[F.col(f"h_{k}").alias(k) for k in values])
+    each = both.select(F.explode(F.array_compact(F.array(own, sent))).alias("e")).select("e.*")
+    met = each.groupBy("pos").agg(F.bool_or("own").alias("own"), *[how(k).alias(k) for k in values])
+    return met.filter("own").drop("own")
+
+
 def sliding_max(signal: DataFrame, back: int) -> DataFrame:
-    return sharded(signal, back).withColumn("top", over_back(F.abs("v"), back, F.max)).filter("own").select("pos", "top")
+    return over_frames(signal, {"top": F.abs("v")}, back, F.max)
 
 
 def needed_gain(level: Column, ceiling: float) -> Column:
@@ -41,10 +66,8 @@ def needed_gain(level: Column, ceiling: float) -> Column:
 def moving_gain(signal: DataFrame, back: int, ceiling: float) -> DataFrame:
     """Mean of the needed gain over a row and those before; what lies before
     the signal needs none, a gain of one."""
-    rows = sharded(signal, back)
-    gain = needed_gain(F.abs("v"), ceiling)
-    total = over_back(gain, back, F.sum) + (back + 1 - over_back(gain, back, F.count))
-    return rows.withColumn("gain", total / (back + 1)).filter("own").select("pos", "gain")
+    sums = over_frames(signal, {"g": needed_gain(F.abs("v"), ceiling), "n": F.lit(1)}, back, F.sum)
+    return sums.select("pos", ((F.col("g") + (back + 1 - F.col("n"))) / (back + 1)).alias("gain"))
 
 
 def delayed(signal: DataFrame, by: int) -> DataFrame:
@@ -80,9 +103,24 @@ def true_peak(signal: DataFrame, taps: int = 8) -> DataFrame:
     return lagged.filter("own").select("pos", F.greatest(*phases).alias("peak"))
 
 
-def _runs(maps: DataFrame, run: int) -> DataFrame:
-    """(run, ms): the maps (block, m) of ``run`` blocks that follow each other."""
-    return maps.groupBy(F.expr(f"block div {run}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("ms"))
+def _through(rows: DataFrame, by: str, order: str, columns: list[str], step: Callable[[float, tuple], float], out: str) -> DataFrame:
+    """rows (by, order, g, *columns) with a state from row to row of each
+    ``by``, which starts at the g that its rows carry: (by, order, was, g), the
+    state before and after each row. Rows are dealt by ``by`` and sorted; a task
+    holds a batch and one number."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, g = None, 0.0
+        for b in batches:
+            was, now = np.empty(len(b)), np.empty(len(b))
+            for i, (key, start, *row) in enumerate(zip(*(b[c].tolist() for c in (by, "g", *columns)), strict=True)):
+                if key != last:
+                    last, g = key, start
+                was[i] = g
+                now[i] = g = step(g, row)
+            yield pd.DataFrame({by: b[by], order: b[order], "was": was, "g": now})
+
+    return rows.repartition(by).sortWithinPartitions(by, order).select(by, order, "g", *columns).mapInPandas(fold, out)
 
 
 def release(signal: DataFrame, coef: float, block: int = 4096, run: int = 1000) -> DataFrame:
@@ -92,32 +130,28 @@ def release(signal: DataFrame, coef: float, block: int = 4096, run: int = 1000)
     folded by itself. The maps of ``run`` blocks are composed to one, those of
     ``run`` such runs to one again, until so few are left that one task goes
     through them; start gains are then handed down level by level, and each
-    block starts from its own."""
+    block is gone through from its own. Every row is visited twice."""
     a = 1 - coef
-    blocks = signal.withColumn("block", F.expr(f"pos div {block}")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "req"))).alias("xs"))
+    blocks = signal.select("pos", "req", F.expr(f"pos div {block}").alias("block"))
     one = F.struct(F.lit(float("inf")).alias("r"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     fold = lambda m, r: F.struct(F.least(r, m["r"] * a + r * coef).alias("r"), (m["a"] * a).alias("a"), (m["b"] * a + r * coef).alias("b"))
     then = lambda m, n: F.struct(F.least(n["r"], n["a"] * m["r"] + n["b"]).alias("r"), (n["a"] * m["a"]).alias("a"), (n["a"] * m["b"] + n["b"]).alias("b"))
-    levels = [blocks.select("block", F.aggregate("xs", one, lambda m, x: fold(m, x["req"])).alias("m"))]
+    arrays = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "req"))).alias("xs"))
+    levels = [arrays.select("block", F.aggregate("xs", one, lambda m, x: fold(m, x["req"])).alias("m"))]
     low, high = signal.agg(F.min("pos"), F.max("pos")).first()
     width = block
     while low is not None and high // width - low // width >= run:
-        levels.append(_runs(levels[-1], run).select(F.col("run").alias("block"), F.aggregate("ms", one, lambda m, x: then(m, x["m"])).alias("m")))
+        runs = levels[-1].groupBy(F.expr(f"block div {run}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("ms"))
+        levels.append(runs.select("block", F.aggregate("ms", one, lambda m, x: then(m, x["m"])).alias("m")))
         width *= run
-    entered = F.expr("cast(array() as array<struct<block: bigint, g: double>>)")
-    enter = lambda acc, x: F.struct(F.least(x["m"]["r"], x["m"]["a"] * acc["g"] + x["m"]["b"]).alias("g"), F.array_append(acc["out"], F.struct(x["block"].alias("block"), acc["g"].alias("g"))).alias("out"))
     starts = None
     for maps in reversed(levels):
-        if starts is None:  # the shortest level, at most some ``run`` rows
-            held = maps.groupBy().agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("ms")).withColumn("g", F.lit(1.0))
-        else:
-            held = _runs(maps, run).join(starts.withColumnRenamed("block", "run"), "run")
-        through = F.aggregate("ms", F.struct(F.col("g").alias("g"), entered.alias("out")), enter, lambda acc: acc["out"])
-        starts = held.select(F.explode(through).alias("o")).select("o.block", "o.g")
-    step = lambda acc, x: F.struct(F.least(x["req"], acc["g"] * a + x["req"] * coef).alias("g"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), F.least(x["req"], acc["g"] * a + x["req"] * coef).alias("gain"))).alias("out"))
-    empty = F.expr("cast(array() as array<struct<pos: bigint, gain: double>>)")
-    done = blocks.join(starts, "block").select(F.aggregate("xs", F.struct(F.col("g").alias("g"), empty.alias("out")), step, lambda acc: acc["out"]).alias("out"))
-    return done.select(F.explode("out").alias("o")).select("o.pos", "o.gain")
+        each = maps.select("block", "m.*").withColumn("run", F.lit(0).cast("long") if starts is None else F.expr(f"block div {run}"))
+        entered = each.withColumn("g", F.lit(1.0)) if starts is None else each.join(starts.select(F.col("block").alias("run"), "g"), "run")
+        done = _through(entered, "run", "block", ["r", "a", "b"], lambda g, m: min(m[0], m[1] * g + m[2]), "run long, block long, was double, g double")
+        starts = done.select("block", F.col("was").alias("g"))
+    done = _through(blocks.join(starts, "block"), "block", "pos", ["req"], lambda g, x: min(x[0], a * g + coef * x[0]), "block long, pos long, was double, g double")
+    return done.select("pos", F.col("g").alias("gain"))
 
 
 def interpolate(buffer: Column, at: Column, loop: tuple[Column, Column] | None = None) -> tuple[Column, Column, Column]:
@@ -139,15 +173,89 @@ def interpolate(buffer: Column, at: Column, loop: tuple[Column, Column] | None =
     return x(0), linear, x(0) + t * (c1 + t * (c2 + t * c3))
 
 
-def biquad(buffer: Column, b0: float, b1: float, a1: float, a2: float) -> Column:
-    """An array through a two-pole low-pass (b2 is b0), from rest."""
+#: Samples of an array that are filtered by one product.
+_SPAN = 256
+
+
+def biquad_maps(b0: float, b1: float, a1: float, a2: float, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What n samples x make of the state z of a two-pole low-pass, as matrices:
+    outputs y = T x + G z, and the state after them M z + N x."""
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])  # z after a sample of 0
+    enter = np.array([b1 - a1 * b0, b0 - a2 * b0])  # what a sample adds to it
+    powers = np.empty((n + 1, 2, 2))
+    powers[0] = np.eye(2)
+    for i in range(n):
+        powers[i + 1] = step @ powers[i]
+    answer = np.r_[b0, powers[: n - 1, 0] @ enter] if n else np.zeros(0)
+    lag = np.arange(n)[:, None] - np.arange(n)[None, :]
+    t = np.where(lag >= 0, answer[np.maximum(lag, 0)], 0.0) if n else np.zeros((0, 0))
+    return t, powers[:n, 0], powers[n], (powers[:n][::-1] @ enter).T
+
+
+def biquad_run(x: np.ndarray, coefs: tuple[float, float, float, float], z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(outputs, state after) of x from state z: spans are filtered from rest all
+    at once, then the states between them are handed on."""
+    whole = len(x) // _SPAN * _SPAN
+    y = np.empty(len(x))
+    t, g, m, n = biquad_maps(*coefs, _SPAN)
+    spans = x[:whole].reshape(-1, _SPAN)
+    added = spans @ n.T
+    starts = np.empty((len(spans), 2))
+    for i, a in enumerate(added):
+        starts[i] = z
+        z = m @ z + a
+    y[:whole] = (spans @ t.T + starts @ g.T).ravel()
+    t, g, m, n = biquad_maps(*coefs, len(x) - whole)
+    rest = x[whole:]
+    y[whole:] = t @ rest + g @ z
+    return y, m @ z + n @ rest
+
 
-    def step(s: Column, v: Column) -> Column:
-        y = v * b0 + s["z1"]
-        return F.struct((v * b1 - y * a1 + s["z2"]).alias("z1"), (v * b0 - y * a2).alias("z2"), F.array_append(s["out"], y).alias("out"))
+def biquad(buffer: Column, b0: float, b1: float, a1: float, a2: float) -> Column:
+    """An array through a two-pole low-pass (b2 is b0), from rest, in time
+    linear in its length; null stays null, a null entry counts as 0."""
 
-    start = F.struct(F.lit(0.0).alias("z1"), F.lit(0.0).alias("z2"), F.expr("cast(array() as array<double>)").alias("out"))
-    return F.aggregate(F.transform(buffer, lambda v: v.cast("double")), start, step, lambda s: s["out"])
+    @F.pandas_udf("array<double>")
+    def filtered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for buffers in batches:
+            yield pd.Series([None if b is None else biquad_run(np.nan_to_num(np.asarray(b, float)), (b0, b1, a1, a2), np.zeros(2))[0] for b in buffers], dtype=object)
+
+    return filtered(buffer.cast("array<double>"))
+
+
+def biquad_rows(signal: DataFrame, coefs: tuple[float, float, float, float], block: int = 4096) -> DataFrame:
+    """(pos, v) of a signal of any length through the same filter. A block's
+    effect on the two numbers of state is an affine map whose matrix depends on
+    its length alone; what it adds is worked out by each block from rest, one row
+    a block is gone through in order, and every block is filtered from its own
+    start. Positions follow each other without gaps."""
+    rows = signal.select(F.expr(f"pos div {block}").alias("block"), "pos", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v"))
+    arrays = rows.groupBy("block").agg(F.min("pos").alias("pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("xs"))
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ends = [biquad_run(np.asarray(x), coefs, np.zeros(2))[1] for x in b["xs"]]
+            yield pd.DataFrame({"block": b["block"], "n": b["xs"].map(len), "z1": [z[0] for z in ends], "z2": [z[1] for z in ends]})
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z, by_length = np.zeros(2), {}
+        for b in batches:
+            starts = np.empty((len(b), 2))
+            for i, (n, *end) in enumerate(zip(b["n"], b["z1"], b["z2"], strict=True)):
+                starts[i] = z
+                if n not in by_length:
+                    by_length[n] = np.linalg.matrix_power(np.array([[-coefs[2], 1.0], [-coefs[3], 0.0]]), n)
+                z = by_length[n] @ z + end
+            yield pd.DataFrame({"block": b["block"], "z1": starts[:, 0], "z2": starts[:, 1]})
+
+    def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"pos": b["pos"], "ys": [biquad_run(np.asarray(x), coefs, np.array([p, q]))[0] for x, p, q in zip(b["xs"], b["z1"], b["z2"], strict=True)]})
+
+    ends = arrays.select("block", "xs").mapInPandas(added, "block long, n long, z1 double, z2 double")
+    starts = ends.repartition(1).sortWithinPartitions("block").mapInPandas(states, "block long, z1 double, z2 double")
+    out = arrays.join(starts, "block").select("pos", "xs", "z1", "z2").mapInPandas(filtered, "pos long, ys array<double>")
+    return out.select("pos", F.posexplode("ys").alias("i", "v")).select((F.col("pos") + F.col("i")).alias("pos"), "v")
 
 
 def resampled(buffer: Column, ratio: float) -> Column:

@@ -45,7 +45,7 @@ def limiter_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL has it as a recursion over all positions only; the tests compare it
     with a loop."""
     req = _signal(spark, sf_dir).select("pos", signal.needed_gain(F.abs("v"), 0.5).alias("req"))
-    return signal.release(req, 0.1, block=512).withColumn("gain", F.round("gain", 6))
+    return signal.release(req, 0.1).withColumn("gain", F.round("gain", 6))
 
 
 @query("with s as (select event_id as pos, value / 50 - 1 as v from events) select count(*) filter (where abs(v) > 0.9) as clipped, round(max(abs(least(greatest(v, -0.9), 0.9))), 6) as peak from s")
@@ -78,6 +78,13 @@ def biquad_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v), 6).alias("energy"), F.round(F.element_at("y", -1), 6).alias("last"))
 
 
+@query()
+def biquad_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' values as one signal through a low-pass, block by block; the
+    tests compare it with a loop."""
+    return signal.biquad_rows(_signal(spark, sf_dir), (0.2, 0.4, -0.5, 0.3)).withColumn("v", F.round("v", 6))
+
+
 @query("with t as (select vec_id, embedding as e, unnest(range(0, 96)) as i from embeddings), x as (select *, i / 1.5::double as place, cast(floor(i / 1.5::double) as integer) as k from t) select vec_id, cast(i as integer) as i, round(e[k + 1]::double + (e[least(k + 2, 64)]::double - e[k + 1]::double) * (place - k), 6) as v from x")
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.resampled(F.col("embedding"), 1.5)).alias("i", "v"))
