@@ -112,7 +112,7 @@ def test_bend_range_follows_registered_parameters(spark):
     assert [r["bend_range"] for r in got] == [2, 2, 2, 12, 12.5, 13.5, 13.5, 13.5, 13.5, 13.5, 13.5, 12.5, 12.5, 12.5, 12.5, 12.5, 12.5, 2, 2]
     assert got[0]["bend"] == 1 and got[5]["bend"] == 6.75 and got[-1]["bend"] == 0
     assert got[12]["volume"] == 64 / 127 and got[13]["volume"] == (64 * 128 + 64) / 16383 and got[-1]["volume"] == 1
-    assert got[14]["program"] == 7 and got[16]["bank"] == 131 and got[-1]["bank"] == 0 and got[-1]["program"] == 7
+    assert got[14]["program"] == 7 and {r["bank"] for r in got} == {0} and got[-1]["program"] == 7  # a bank counts when a program is chosen
 
 
 def test_dispatch_equals_loop_over_partitions(spark):
@@ -120,20 +120,16 @@ def test_dispatch_equals_loop_over_partitions(spark):
     got = {(r["channel"], r["seq"]): tuple(r)[2:] for r in channels.dispatched(spark.createDataFrame(rows, EVENT).repartition(5)).collect()}
     state = {}
     for channel, seq, kind, a, b in rows:
-        s = state.setdefault(channel, {"sel": 0, "range": 2.0, "bend": 0, "program": 0, "bank": [0, 0], **{n: [d, 0] for n, d in ((1, 0), (7, 127), (10, 64), (11, 127))}, 67: 0})
+        # Written from the rules: the wheel has fourteen bits always; a program fixes the preset, by the coarse bank as it is then.
+        fresh = {"range": 2.0, "bend": 0, "bank": 0, 1: 0, 33: 0, 7: 127, 39: 0, 10: 64, 42: 0, 11: 127, 43: 0, 67: 0, 71: 64, 72: 64, 73: 64, 74: 64, 75: 64, 76: 64, 77: 64, 92: 0}
+        s = state.setdefault(channel, {"sel": 0, "preset": (128 if channel == 9 else 0, 0), **fresh})
         if kind == "program":
-            s["program"] = a
+            s["preset"] = (128 if channel == 9 else s["bank"], a)
         elif kind == "bend":
             s["bend"] = a
         elif kind == "controller":
-            if a in (1, 7, 10, 11):
-                s[a] = [b, 0]
-            elif a in (33, 39, 42, 43):
-                s[a - 32][1] = b
-            elif a in (0, 32):
-                s["bank"][a // 32] = b
-            elif a == 67:
-                s[67] = b
+            if a == 0:
+                s["bank"] = b
             elif a in (98, 99):
                 s["sel"] = -1
             elif a == 100:
@@ -141,13 +137,19 @@ def test_dispatch_equals_loop_over_partitions(spark):
             elif a == 101:
                 s["sel"] = (max(s["sel"], 0) & 0x7F) | b << 7
             elif a == 121:
-                s.update({"sel": -1, "range": 2.0, "bend": 0, "bank": [0, 0], 1: [0, 0], 7: [127, 0], 10: [64, 0], 11: [127, 0], 67: 0})
-            elif s["sel"] == 0 and a in (6, 38, 96, 97):
-                s["range"] = {6: float(b), 38: int(s["range"]) + b / 100, 96: min(s["range"] + 1, 127.0), 97: max(s["range"] - 1, 0.0)}[a]
+                s.update({"sel": -1, **fresh})
+            elif a in (6, 38, 96, 97):
+                if s["sel"] == 0:
+                    s["range"] = {6: float(b), 38: int(s["range"]) + b / 100, 96: min(s["range"] + 1, 127.0), 97: max(s["range"] - 1, 0.0)}[a]
+            elif a in s:
+                s[a] = b
+                if a in (1, 7, 10, 11):
+                    s[a + 32] = 0
         else:
             continue
-        part = [m / 127 if f == 0 else (m * 128 + f) / 16383 for m, f in (s[1], s[7], s[10], s[11])]
-        assert got.pop((channel, seq)) == (s["bank"][0] * 128 + s["bank"][1], s["program"], *part, s[67], s["bend"] / 8192 * s["range"], s["range"])
+        part = [s[c] / 127 if s[c + 32] == 0 else (s[c] * 128 + s[c + 32]) / 16383 for c in (7, 10, 11)]
+        want = (*s["preset"], (s[1] * 128 + s[33]) / 16383, *part, s[67], s["bend"] / 8192 * s["range"], s["range"], *(s[c] for c in (71, 72, 73, 74, 75, 76, 77, 92)))
+        assert got.pop((channel, seq)) == want
     assert not got
 
 

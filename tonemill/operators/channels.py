@@ -16,6 +16,7 @@ are not checked; an empty table gives an empty result; other columns are dropped
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ from .folds import in_order
 SUSTAIN, SOSTENUTO, SOUND_OFF, RESET, NOTES_OFF = 64, 66, 120, 121, range(123, 128)
 BANK, MOD, DATA, VOLUME, PAN, EXPRESSION, SOFT = 0, 1, 6, 7, 10, 11, 67
 FINE, UP, DOWN, NRPN, RPN_FINE, RPN_COARSE = 32, 96, 97, (98, 99), 100, 101
-DEFAULT_VOLUME, DEFAULT_RANGE = 127, 2.0
+SOUND = {"resonance": 71, "release": 72, "attack": 73, "cutoff": 74, "decay": 75}
+VIBRATO_RATE, VIBRATO_DEPTH, TREMOLO = 76, 77, 92
+DEFAULT_VOLUME, DEFAULT_RANGE, DRUMS, DRUM_BANK = 127, 2.0, 9, 128
 _KEYS = ["channel", "seq", "kind", "a", "b"]
 
 
@@ -135,27 +138,44 @@ def note_spans(gates: DataFrame) -> DataFrame:
 class Controls:
     """A channel's controllers. Coarse values reset their fine halves; data
     entry reaches the bend range only while registered parameter 0 is chosen,
-    which any choice of another, or of an unregistered one, ends."""
+    which any choice of another, or of an unregistered one, ends. The bank that
+    is chosen counts when a program is: the preset is fixed there, from the
+    coarse half alone, and on a drum channel from the drum bank."""
 
-    OUT = ["bank", "program", "mod", "volume", "pan", "expression", "soft", "bend", "bend_range"]
+    OUT = ["bank", "program", "mod", "volume", "pan", "expression", "soft", "bend", "bend_range", *SOUND, "vibrato_rate", "vibrato_depth", "tremolo"]
 
-    def __init__(self) -> None:
-        self.program, self.chosen = 0, (0, 0)
+    def __init__(self, channel: int = 0) -> None:
+        self.drums = channel % 16 == DRUMS
         self.reset()
+        self.choose(0)
         self.chosen = (0, 0)
 
     def reset(self) -> None:
-        self.bank, self.bend, self.bend_range, self.chosen = [0, 0], 0, DEFAULT_RANGE, None
+        self.bank, self.bend, self.bend_range, self.chosen = 0, 0, DEFAULT_RANGE, None
         self.coarse = {MOD: 0, VOLUME: DEFAULT_VOLUME, PAN: 64, EXPRESSION: 127, SOFT: 0}
         self.fine = dict.fromkeys(self.coarse, 0)
+        self.sound = dict.fromkeys(SOUND.values(), 64)
+        self.vibrato_rate = self.vibrato_depth = 64
+        self.tremolo = 0
+
+    def choose(self, program: int) -> None:
+        self.preset = (DRUM_BANK if self.drums else self.bank, program)
 
     def controller(self, number: int, value: int) -> None:
-        if number in (BANK, BANK + FINE):
-            self.bank[number > BANK] = value
+        if number == BANK:
+            self.bank = value
         elif number in self.coarse:
             self.coarse[number], self.fine[number] = value, 0
         elif number - FINE in self.fine and number - FINE != SOFT:
             self.fine[number - FINE] = value
+        elif number in self.sound:
+            self.sound[number] = value
+        elif number == VIBRATO_RATE:
+            self.vibrato_rate = value
+        elif number == VIBRATO_DEPTH:
+            self.vibrato_depth = value
+        elif number == TREMOLO:
+            self.tremolo = value
         elif number in NRPN:
             self.chosen = None
         elif number in (RPN_FINE, RPN_COARSE):
@@ -171,15 +191,40 @@ class Controls:
             elif number in (UP, DOWN):
                 self.bend_range = min(self.bend_range + 1, 127.0) if number == UP else max(self.bend_range - 1, 0.0)
 
+    def take(self, kind: str, a: int, b: int) -> None:
+        """A controller, program or bend event; others change nothing."""
+        if kind == "controller":
+            self.controller(a, b)
+        elif kind == "program":
+            self.choose(a)
+        elif kind == "bend":
+            self.bend = a
+
+    def part(self, number: int) -> float:
+        """0..1: from seven bits, or from fourteen where the fine half is sent."""
+        coarse, fine = self.coarse[number], self.fine[number]
+        return (coarse * 128 + fine) / 16383 if fine else coarse / 127
+
+    def wheel(self) -> float:
+        """The modulation wheel is read from fourteen bits always."""
+        return (self.coarse[MOD] * 128 + self.fine[MOD]) / 16383
+
+    def gains(self) -> tuple[float, float]:
+        """What the channel multiplies its voices by, left and right."""
+        amp = self.part(VOLUME) ** 2 * self.part(EXPRESSION) ** 2 * (1 - 0.5 * self.coarse[SOFT] / 127)
+        if self.coarse[PAN] == 64 and not self.fine[PAN]:
+            return amp, amp
+        turn = self.part(PAN) * math.pi / 2
+        return amp * math.cos(turn) * math.sqrt(2), amp * math.sin(turn) * math.sqrt(2)
+
     def now(self) -> tuple:
-        part = lambda c: self.coarse[c] / 127 if not self.fine[c] else (self.coarse[c] * 128 + self.fine[c]) / 16383
-        return (self.bank[0] * 128 + self.bank[1], self.program, part(MOD), part(VOLUME), part(PAN), part(EXPRESSION), self.coarse[SOFT], self.bend / 8192 * self.bend_range, self.bend_range)
+        return (*self.preset, self.wheel(), self.part(VOLUME), self.part(PAN), self.part(EXPRESSION), self.coarse[SOFT], self.bend / 8192 * self.bend_range, self.bend_range, *self.sound.values(), self.vibrato_rate, self.vibrato_depth, self.tremolo)
 
 
 def dispatched(ev: DataFrame) -> DataFrame:
-    """(channel, seq, bank, program, mod, volume, pan, expression, soft, bend,
-    bend_range): a channel's state after each event that can change it; bend in
-    semitones, the rest of the values from 0 to 1 but for soft's 0 to 127."""
+    """(channel, seq, *Controls.OUT): a channel's state after each event that can
+    change it; bank and program are the preset's, bend is in semitones, mod,
+    volume, pan and expression go from 0 to 1, the rest from 0 to 127."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, Controls()
@@ -187,16 +232,12 @@ def dispatched(ev: DataFrame) -> DataFrame:
             rows = []
             for channel, seq, kind, a, value in b[_KEYS].itertuples(index=False):
                 if channel != last:
-                    last, state = channel, Controls()
-                if kind == "controller":
-                    state.controller(a, value)
-                elif kind == "program":
-                    state.program = a
-                else:
-                    state.bend = a
+                    last, state = channel, Controls(channel)
+                state.take(kind, a, value)
                 rows.append((channel, seq, *state.now()))
             yield pd.DataFrame(rows, columns=["channel", "seq", *Controls.OUT])
 
     used = ev.filter(F.col("kind").isin("controller", "program", "bend")).select(*_KEYS)
-    out = "channel long, seq long, bank long, program long, mod double, volume double, pan double, expression double, soft long, bend double, bend_range double"
+    real = {"mod", "volume", "pan", "expression", "bend", "bend_range"}
+    out = ", ".join(f"{c} {'double' if c in real else 'long'}" for c in ["channel", "seq", *Controls.OUT])
     return in_order(used.fillna(0, ["a", "b"]), "channel", "seq").mapInPandas(fold, out)

@@ -67,6 +67,19 @@ def block_rows(pool: DataFrame, signal: DataFrame, frames: int, rate: float) ->
     return summed.select((F.col("block") + 1).alias("block"), ((F.col("block") + 1) * (frames / rate)).alias("t"), F.col("alive").alias("live"), "want", "take", "stolen", F.col("so_far").alias("dropped"), "rms", "peak", "want_e", "take_e")
 
 
+def run_totals(ev: DataFrame, done: dict[str, DataFrame], ceiling: float = 1.0) -> DataFrame:
+    """One row on a run of `performance.perform`: notes, voices (queued), taken,
+    peak_live (at a block's end), stolen, dropped, cut (alive behind the tail),
+    frames, peak, and clipped_percent, the share of samples above ``ceiling``."""
+    notes = ev.agg(F.count_if(F.col("kind") == "note_on").alias("notes"))
+    pool = done["blocks"].agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("want", "voices"), ("take", "taken"), ("stolen", "stolen"))], F.coalesce(F.max("alive"), F.lit(0)).alias("peak_live"))
+    loud = [F.greatest(F.abs("l"), F.abs("r")), F.count_if(F.abs("l") > ceiling) + F.count_if(F.abs("r") > ceiling)]
+    mix = done["mix"].agg(F.count("*").alias("frames"), F.coalesce(F.max(loud[0]), F.lit(0.0)).alias("peak"), F.coalesce(loud[1] * 50.0 / F.count("*"), F.lit(0.0)).alias("clipped_percent"))
+    cut = done["tail"].agg(F.count("*").alias("cut"))
+    both = notes.crossJoin(pool).crossJoin(mix).crossJoin(cut)  # one row each
+    return both.withColumn("dropped", F.col("voices") - F.col("taken"))
+
+
 def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
     """df, and an observation that holds its number of rows and ``metrics`` once
     an action has run; a listener gets them in streams, too, after each batch."""

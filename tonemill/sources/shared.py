@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +30,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark).removeprefix('file://')}/{uuid.uuid4().hex}"
     os.makedirs(folder, exist_ok=True)
     return f"{folder}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: what is read more than once
+    is worked out once, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
