@@ -57,6 +57,40 @@ def loudest(gain: np.ndarray, take: int) -> np.ndarray:
     return np.sort(order[rank < quota])
 
 
+class Held:
+    """What a pool holds: ids, gains and last blocks of its voices."""
+
+    def __init__(self, ids: np.ndarray | None = None, gains: np.ndarray | None = None, ends: np.ndarray | None = None):
+        self.ids = np.zeros(0, np.int64) if ids is None else ids
+        self.gains = np.zeros(0) if gains is None else gains
+        self.ends = np.zeros(0, np.int64) if ends is None else ends
+
+    def keep(self, which: np.ndarray) -> None:
+        self.ids, self.gains, self.ends = self.ids[which], self.gains[which], self.ends[which]
+
+    def decide(self, block: int, ids: np.ndarray, gains: np.ndarray, ends: np.ndarray, cap: int, most: int, steal: str) -> tuple:
+        """A block's candidates, in order: (live, want, take, stolen, dropped,
+        alive, want_e, take_e), the pool being what is left. Voices that have
+        ended are gone first, then as many are stolen as the cap asks for."""
+        self.keep(self.ends >= block)
+        queued, live, rank = len(ids), len(self.ids), loudness(gains)
+        want = min(queued, cap)
+        need = max(min(live + want - cap, live, most), 0)
+        take = want if live + want <= cap else min(want, cap - (live - need))
+        if need:
+            quiet = np.lexsort((self.ids, np.floor(np.clip(self.gains, 0, 1) * 65535))) if steal == "quietest" else np.argsort(self.ids, kind="stable")
+            stay = np.ones(live, bool)
+            stay[quiet[:need]] = False
+            self.keep(stay)
+        chosen = loudest(gains, take)
+        self.ids, self.gains, self.ends = (np.concatenate([a, b[chosen]]) for a, b in ((self.ids, ids), (self.gains, gains), (self.ends, ends)))
+        return (len(self.ids), queued, take, need, queued - take, live, int(rank.sum()), int(rank[chosen].sum()))
+
+
+def most_stolen(cap: int, steal_percent: int, steal: str) -> int:
+    return max(cap * steal_percent // 100, 1) if steal != "none" else 0
+
+
 def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "quietest") -> DataFrame:
     """Blocks of a bounded pool, one pool a shard: (shard, block, live, want,
     take, stolen, dropped, alive, want_e, take_e), live being what sounds at the
@@ -69,32 +103,15 @@ def pool_fold(cand: DataFrame, cap: int, steal_percent: int = 25, steal: str = "
     then as many of the quietest (or oldest) are stolen as the cap asks for, up
     to ``steal_percent`` of it.
     """
-    most = max(cap * steal_percent // 100, 1) if steal != "none" else 0
+    most = most_stolen(cap, steal_percent, steal)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        shard = None
-        ids, gains, ends = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        shard, pool = None, Held()
         for (key, block), g in groups(batches, ["shard", "block"]):
             if key != shard:
-                shard, ids, gains, ends = key, ids[:0], gains[:0], ends[:0]
-            alive = ends >= block
-            ids, gains, ends = ids[alive], gains[alive], ends[alive]
-            queued, live = len(g), len(ids)
-            rank = loudness(g["gain"].to_numpy())
-            want = min(queued, cap)
-            need = max(min(live + want - cap, live, most), 0)
-            take = want if live + want <= cap else min(want, cap - (live - need))
-            if need:
-                quiet = np.lexsort((ids, np.floor(np.clip(gains, 0, 1) * 65535))) if steal == "quietest" else np.argsort(ids, kind="stable")
-                stay = np.ones(live, bool)
-                stay[quiet[:need]] = False
-                ids, gains, ends = ids[stay], gains[stay], ends[stay]
-            chosen = loudest(g["gain"].to_numpy(), take)
-            ids = np.concatenate([ids, g["id"].to_numpy()[chosen]])
-            gains = np.concatenate([gains, g["gain"].to_numpy()[chosen]])
-            ends = np.concatenate([ends, g["ends"].to_numpy()[chosen]])
-            out.append((key, block, len(ids), queued, take, need, queued - take, live, int(rank.sum()), int(rank[chosen].sum())))
+                shard, pool = key, Held()
+            out.append((key, block, *pool.decide(block, *(g[c].to_numpy() for c in ("id", "gain", "ends")), cap, most, steal)))
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=_POOL_NAMES)
                 out = []

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folds, render, reports, signal
 from ..sources import events as event_source
-from ..sources import fixtures, midi, soundfont, wav
-from ..sources.events import read
+from ..sources import fixtures, midi, shared, soundfont, wav
+from ..sources.events import BLOCK, events, read
 from ..sources.shared import fresh_path
-from ..streaming import live
+from ..streaming import live, stateful
 from .registry import EV, query
 
 #: Ticks of a generated file count seconds from 2024 on.
@@ -144,3 +146,28 @@ def stream_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate counters carried from batch to batch in a table, per slot."""
     return live.collected(live.gates(live.events(spark, sf_dir)), "append")
+
+
+@query()
+def stream_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of bounded pools over a stream in four batches, closed by timers, a
+    pool for each fourth of the slots; the tests compare it with the batch."""
+    rows = pool_rows(spark, sf_dir)
+    path = f"{shared.shared_dir(spark)}/pool-stream-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min("time"), F.max("time")).first()
+    span = (high - low) / 4 if low is not None else None
+    for i in range(4):  # files in order of time, read one batch after the other
+        part = rows.limit(0) if span is None else rows.filter((F.col("time") >= F.lit(low + span * i)) & (F.lit(i == 3) | (F.col("time") < F.lit(low + span * (i + 1)))))
+        part.coalesce(1).write.mode("append").parquet(path)
+    # A shard ends with its last event; the rows that say so come behind all others.
+    ends = rows.groupBy("shard").agg(F.max("time").alias("time"), F.max("own").alias("block")).withColumn("time", F.lit(high) + F.expr("interval 30 days"))
+    last = ends.select("shard", "time", F.lit("end").alias("kind"), "block", *[F.lit(0).cast("long").alias(c) for c in ("idx", "id")], F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("ends"), F.col("block").alias("own"))
+    last.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return live.collected(stateful.pool(stream, 40, BLOCK, release=1, tail=4), "append")
+
+
+def pool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note-ons as candidates of a pool a shard; one in eight waits a block."""
+    on = events(spark, sf_dir).filter("kind = 'note_on'")
+    return on.select((F.col("slot") % 4).alias("shard"), F.timestamp_micros("micros").alias("time"), F.lit("voice").alias("kind"), F.expr("block + if(k % 8 = 0, 1, 0)").alias("block"), F.col("seq").alias("idx"), F.col("seq").alias("id"), (F.col("value") / 100).alias("gain"), F.expr("block + 1 + k % 3").alias("ends"), F.col("block").alias("own"))
