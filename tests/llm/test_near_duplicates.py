@@ -163,3 +163,54 @@ def test_equals_brute_force_with_each_row_twice(spark):
     rows = corpus(4) * 2
     got = sorted((tuple(r) for r in near_duplicates.near_duplicates(docs(spark, rows), 2).collect()), key=str)
     assert got == brute(rows, 2)
+
+
+def test_families_of_one_template_meet_in_proportion(spark):
+    """Sub-families of a template whose members edit the same spots: what meets
+    grows no faster than the rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tonemill.llm import near_duplicates as nd
+
+    rng = random.Random(11)
+    template = [f"w{i}" for i in range(300)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"x{rng.randrange(10**9)}"
+        return out
+
+    subs = [edited(template, 18) for _ in range(4)]
+    texts = [" ".join(edited(subs[i % 4], 6)) for i in range(800)]
+    seen = []
+    for n in (200, 800):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "doc_id long, text string")
+        met = []
+        plain = nd.meetings
+
+        def counted(groups, sets, met=met, plain=plain):
+            out = plain(groups, sets)
+            met.append(out.filter("a <> b").join(groups.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), ["a", "b"], "left_anti").count())
+            return out
+
+        nd.meetings = counted
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, size=2).collect()}
+        finally:
+            nd.meetings = plain
+        seen += met
+        hashes = nd.WordHashes()
+        held = [set(nd.shingle_set(t, 2, hashes).tolist()) for t in texts[:n]]
+        label = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                both = len(held[i] & held[j])
+                if 100 * both >= 80 * (len(held[i]) + len(held[j]) - both):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+        assert [got[i] for i in range(n)] == label
+    # 168 and 739 when written; by the square it would be sixteen times as many.
+    assert seen[1] <= 6 * max(seen[0], 50)

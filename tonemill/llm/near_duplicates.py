@@ -21,9 +21,13 @@ their differences to the hub and not in the other. A document whose difference
 is small enough links to the hub. Any other two that are similar enough must
 share a part of their differences that is known beforehand, so a prefix filter
 over the differences, the rarest in the group first, with the bound on
-positions as a condition of the join, lets hardly a pair meet that doesn't
-link: what a family has in common is in no difference, and what an edit adds is
-rare. Pairs across components that do meet are estimated and confirmed.
+positions as a condition of the join, lets few pairs meet that don't link: what
+a family has in common is in no difference, and what an edit adds is rare.
+Distances between sets are a metric, so most are spared even that: components
+whose heads are too far apart can't link (`partners`), and two documents whose
+differences' parities are too unlike aren't a pair. Links that joined components
+can't come from are so decided on full sets; the registers give the groups, the
+hubs and the estimate before that. Pairs that do meet are estimated and confirmed.
 
 With six registers a band and 42 bands a pair at similarity 0.8 is missed with
 probability (1 - 0.8^6)^42 = 3e-6, and the estimate's margin is six standard
@@ -57,6 +61,8 @@ PERCENT = 80
 MARGIN = 0.15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _CACHE = 100_000
+#: Components of a group that are told apart by distance, and words of parities.
+FEW, SIGNS = 64, 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -284,6 +290,35 @@ def held_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return apart.select("doc_id", "v", shingles("text").alias("t")).filter(F.size("t") > 0)
 
 
+def _parities() -> Column:
+    """SIGNS words of 64 bits, each bit whether an odd number of the shingles in
+    ``d`` fall on it: two sets differ in no fewer shingles than their words in bits."""
+    word = "aggregate(d, 0L, (held, shingle) -> if((shingle & {m}) = {i}, held ^ shiftleft(1L, cast(shiftright(shingle, {b}) & 63 as int)), held))"
+    return F.array(*[F.expr(word.format(m=SIGNS - 1, b=SIGNS.bit_length() - 1, i=i)) for i in range(SIGNS)])
+
+
+def partners(differ: DataFrame, group: list[str]) -> DataFrame:
+    """(group, doc_id, v, component, other, gap, slack): with which other
+    components of its group a document may link, by distances between sets alone,
+    which are a metric. A component is known by one document, its head. Two
+    documents link at a distance of down (n + n') / up at the most, so never where
+    their heads are farther apart than that and their own distances to them
+    together: gap > slack + slack', with gap = up times the heads' distance, and
+    slack = up times a document's distance to its head, plus down n."""
+    up, down = 100 + PERCENT, 100 - PERCENT
+    apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+    heads = materialize(differ.groupBy(*group, "component").agg(F.min_by("d", F.struct("m", "doc_id", "v")).alias("head")), "component-heads")
+    slack = up * apart("d", "head") + down * F.col("n")
+    near = materialize(differ.join(heads, [*group, "component"]).select(*group, "doc_id", "v", "component", slack.alias("slack")), "head-distances")
+    wide = heads.join(near.groupBy(*group, "component").agg(F.max("slack").alias("wide")), [*group, "component"])
+    other = wide.select(*group, F.col("component").alias("other"), F.col("head").alias("other_head"), F.col("wide").alias("other_wide"))
+    ways = wide.join(other, group).filter("component <> other").withColumn("gap", up * apart("head", "other_head"))
+    ways = materialize(ways.filter("gap <= wide + other_wide").select(*group, "component", "other", "gap", "other_wide"), "component-ways")
+    out = materialize(near.join(ways, [*group, "component"]).filter("gap <= slack + other_wide").drop("other_wide"), "component-partners")
+    discard(heads, near, ways)
+    return out
+
+
 def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of different components that may link, from ``groups``
     (hub, doc_id, component), each group by its documents' differences to the
@@ -293,18 +328,27 @@ def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
     With sets of n and differences of m shingles, two documents link if they
     share c shingles of their differences, where
     2 (100 + p) c >= (100 + p) (m + m') - (100 - p) (n + n').
+
+    In groups of up to FEW components only documents go on whose components'
+    distance allows a link, and they meet those of such components. Any that meet
+    by a shared shingle are told apart by their differences' parity words, too.
     """
     up, down = 100 + PERCENT, 100 - PERCENT
     hubs = sets.select(F.col("doc_id").alias("hub"), F.col("v").alias("hub_v"), F.col("t").alias("hub_t"))
     both = groups.join(hubs, "hub").join(sets, "doc_id")
     differing = F.array_union(F.array_except("t", "hub_t"), F.array_except("hub_t", "t"))
     differ = both.select("hub", "hub_v", "doc_id", "v", "component", F.size("t").alias("n"), F.size("hub_t").alias("hub_n"), differing.alias("d"))
-    differ = materialize(differ.withColumn("m", F.size("d")), "differences")
+    differ = materialize(differ.withColumns({"m": F.size("d"), "sign": _parities()}), "differences")
     near = differ.filter(up * F.col("m") <= down * (F.col("n") + F.col("hub_n"))).filter("doc_id <> hub")
     to_hub = near.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
 
     group, member = ["hub", "hub_v"], ["hub", "hub_v", "doc_id", "v"]
-    tokens = materialize(differ.select(*member, "component", "n", "m", F.explode("d").alias("t")), "difference-shingles")
+    parts = materialize(differ.groupBy(*group).agg(F.count_distinct("component").alias("parts")), "group-parts")
+    few, many = (small(parts.filter(c).select(*group)) for c in (F.col("parts") <= FEW, F.col("parts") > FEW))
+    known = partners(differ.join(few, group, "left_semi"), group)
+    asked = known.select(*member).distinct()
+    kept = differ.join(asked, member, "left_semi").unionByName(differ.join(many, group, "left_semi"))
+    tokens = materialize(kept.select(*member, "component", "n", "m", "sign", F.explode("d").alias("t")), "difference-shingles")
     often = tokens.groupBy(*group, "t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     often = materialize(often.filter("df > 1").select(*group, "t", "df", (F.col("lo") != F.col("hi")).alias("mixed")), "shared-differences")
     counted = tokens.join(often, [*group, "t"], "left").withColumns({"df": F.coalesce("df", F.lit(1)), "mixed": F.coalesce("mixed", F.lit(False))})
@@ -312,15 +356,25 @@ def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
     # A partner's set is at most 100 / p times as large.
     longest = F.floor(F.lit(down) * (100 + PERCENT) * F.col("n") / (PERCENT * up)) + 1
     prefix = counted.withColumn("i", place).filter("mixed").filter(F.col("i") <= longest)
-    prefix = materialize(prefix.select(*group, "t", "doc_id", "component", "n", "m", "i"), "difference-prefixes")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "t")]
-    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-    reach = 2 * up * (1 + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))) >= up * (F.col("x.m") + F.col("y.m")) - down * (F.col("x.n") + F.col("y.n"))
-    met = x.join(y, same[0] & same[1] & same[2] & (F.col("x.component") < F.col("y.component")) & sizes & reach)
-    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+    prefix = materialize(prefix.select(*member, "t", "component", "n", "m", "i", "sign"), "difference-prefixes")
+
+    def meet(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "t")]
+        sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+        most = down * (F.col("x.n") + F.col("y.n"))
+        reach = 2 * up * (1 + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))) >= up * (F.col("x.m") + F.col("y.m")) - most
+        unlike = sum((F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(SIGNS)), F.lit(0))
+        met = x.join(y, keys[0] & keys[1] & keys[2] & same & sizes & reach & (up * unlike <= most))
+        return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    knowing = prefix.join(known.filter("component < other").drop("component"), member)
+    slacks = known.select(*member, F.col("slack").alias("own")).distinct()
+    near_parts = meet(knowing, prefix.join(slacks, member), (F.col("x.other") == F.col("y.component")) & (F.col("x.gap") <= F.col("x.slack") + F.col("y.own")))
+    crowds = prefix.join(many, group, "left_semi")
+    pairs = near_parts.unionByName(meet(crowds, crowds, F.col("x.component") < F.col("y.component")))
     out = materialize(pairs.unionByName(to_hub).distinct(), "meetings")
-    discard(differ, tokens, often, prefix)
+    discard(differ, parts, known, tokens, often, prefix)
     return out
 
 
