@@ -252,6 +252,17 @@ def test_pii_stays_distinct_and_keyed(spark):
     assert len(set(s.values())) == 30 and not set(s) & set(s.values())
 
 
+def test_pii_formats_of_phones_names_and_keys(spark):
+    rows = ["+49 30 1234567 or +493012345 678", "+353 21 123 4567", "+7 495 123 45 67", "Dr. Alice Brown, Prof. Bob White", "Frau Eva Müller-Lüdenscheidt and Mr. O'Brien", "3782 822463 10005", "sk-abcDEFghiJKLmnoPQRstuVWX", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3"]
+    got = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, [(i, t, "s") for i, t in enumerate(rows)]), KEY).collect()}
+    assert all(got[i] != t for i, t in enumerate(rows))
+    assert re.match(r"\+49 \d\d \d{7} or \+49", got[0]) and re.fullmatch(r"\+353 \d\d \d{3} \d{4}", got[1]) and re.fullmatch(r"\+7 \d{3} \d{3} \d\d \d\d", got[2])
+    assert "Alice" not in got[3] and "White" not in got[3] and re.fullmatch(r"Dr\. (\w+) [A-Z]\w+, Prof\. (\w+) [A-Z]\w+", got[3])
+    assert set(re.findall(r"\. (\w+) ", got[3])) <= set(pii.GIVEN["latin", "e"].split())
+    assert re.fullmatch(r"Frau [A-Z]\w+ [A-Z]\w+-[A-Z]\w+ and Mr\. [A-Z]'[A-Z]\w+", got[4])
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5}", got[5]) and got[6].startswith("sk-") and len(got[6]) == len(rows[6]) and re.fullmatch(r"eyj\w+\.\w+\.\w+", got[7], re.I)
+
+
 def test_pii_luhn(spark):
     good = "4539578763621486"
     out = pii.replace(docs(spark, [(1, good, "s")]), KEY).first()["text"]
@@ -269,7 +280,7 @@ def brute_replace(text, given, surnames, other):
         return None, 0
     person = regex.compile(pii.PATTERNS["person"])
     titled = [m[0] for m in person.finditer(text)]
-    bare = lambda t: regex.sub(rf"^(?:{pii.MALE}|{pii.FEMALE})\.? ", "", t)
+    bare = lambda t: regex.sub(rf"^{pii._TITLES}\.? ", "", t)
     names = {n for t in titled for n in (bare(t), bare(t).split(" ")[-1])}
     whole = "|".join([*(f"(?:{p})" for p in pii.PATTERNS.values()), *(rf"(?<![\p{{L}}\p{{N}}])(?:{regex.escape(n)})(?![\p{{L}}\p{{N}}])" for n in sorted(names, key=lambda n: (-len(n), n)))])
     out, end, count = [], 0, 0
@@ -279,7 +290,8 @@ def brute_replace(text, given, surnames, other):
         end = m.end()
         kind = next((k for k in ("email", "ip", "phone", "ssn", "secret", "card") if regex.fullmatch(pii.PATTERNS[k], raw)), "person")
         if kind in ("phone", "ssn", "card"):
-            digits = iter(other[kind, regex.sub("[^0-9]", "", raw)])
+            plus = "+" if kind == "phone" and raw[0] == "+" else ""
+            digits = iter(other[kind, plus + regex.sub("[^0-9]", "", raw)].removeprefix("+"))
             out.append("".join(next(digits) if c in "0123456789" else c for c in raw))
         elif kind != "person":
             new = other[kind, raw.lower()]
@@ -287,7 +299,7 @@ def brute_replace(text, given, surnames, other):
         else:
             name = bare(raw)
             told = raw if name != raw else next(t for t in titled if t.endswith(" " + name))
-            sex = "m" if regex.match(rf"(?:{pii.MALE})\.? ", told) else "f"
+            sex = next((x for x, of in (("m", pii.MALE), ("f", pii.FEMALE)) if regex.match(rf"(?:{of})\.? ", told)), "e")
             new = [given[sex, x.lower()] for x in name.split(" ")[:-1]] + [surnames[name.split(" ")[-1].lower()]]
             out.append(raw[: len(raw) - len(name)] + " ".join(n.upper() if x == x.upper() else n.title() for n, x in zip(new, name.split(" "), strict=True)))
     return "".join([*out, text[end:]]), count

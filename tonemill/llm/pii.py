@@ -7,7 +7,7 @@ its first digit and whether its check digit fits), valid octets for an
 address, hex for hex, letters of the same script for letters. A person is found
 behind a courtesy title, and in the same text by the full name or surname alone
 wherever a title has told it. Given names and surnames have surrogates of their
-own, of the title's gender and the name's script, so `Mr. John Smith`,
+own, of the title's gender (of neither, where it tells none) and the name's script, so `Mr. John Smith`,
 `Mr. Smith` and `John Smith` stay one person.
 
 The stand-in comes from SHA-2 of a key, the kind and the entity's canonical
@@ -38,27 +38,32 @@ MAX_DRAWS = 32
 
 _FREE, _END = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-MALE, FEMALE = "Mr|Herr|Señor|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Госпожа"
+MALE, FEMALE, EITHER = "Mr|Herr|Señor|Monsieur|Господин", "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Госпожа", "Dr|Prof|Professor|Доктор|Профессор"
+_TITLES = f"(?:{MALE}|{FEMALE}|{EITHER})"
+# Country codes of one and of two digits; all others have three.
+_COUNTRY = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 PATTERNS = {
     "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]+)+",
     "ip": f"(?<![\\p{{L}}\\p{{N}}.]){_OCTET}(?:\\.{_OCTET}){{3}}(?!\\.?[\\p{{L}}\\p{{N}}])",
     "phone": f"(?:\\+[0-9]{{1,3}}[ .-]?(?:\\([0-9]{{2,4}}\\)|[0-9]{{2,4}})(?:[ .-]?[0-9]{{2,4}}){{2,3}}|\\([0-9]{{3}}\\) ?[0-9]{{3}}[ .-][0-9]{{4}}|{_FREE}[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}){_END}",
     "ssn": f"{_FREE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
-    "secret": f"{_FREE}(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}}|(?:AKIA|ASIA)[0-9A-Z]{{16}}|(?:ghp|gho|ghs)_[0-9A-Za-z]{{30,}}){_END}",
-    "card": f"{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}){_END}",
-    "person": f"{_FREE}(?:{MALE}|{FEMALE})\\.? \\p{{Lu}}[\\p{{L}}'-]+(?: \\p{{Lu}}[\\p{{L}}'-]+)?{_END}",
+    "secret": f"{_FREE}(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}}|(?:AKIA|ASIA)[0-9A-Z]{{16}}|(?:ghp|gho|ghs)_[0-9A-Za-z]{{30,}}|sk-[0-9A-Za-z_-]{{20,}}|eyJ[0-9A-Za-z_-]{{10,}}(?:\\.[0-9A-Za-z_-]{{5,}}){{2}}){_END}",
+    "card": f"{_FREE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|3[47][0-9]{{2}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_END}",
+    "person": f"{_FREE}{_TITLES}\\.? \\p{{Lu}}[\\p{{L}}'-]+(?: \\p{{Lu}}[\\p{{L}}'-]+)?{_END}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = f"(?:{MALE}|{FEMALE})\\.? "
+_TITLE = f"{_TITLES}\\.? "
 _TITLED = f"{_FREE}{_TITLE}\\p{{Lu}}"
 #: What a text must hold for any pattern to fit; cheap to ask. A pattern without
 #: a digit or @ that it must hold is named here by its own beginning.
-_HINT = f"[0-9@]|{_TITLED}|[A-Fa-f]{{32}}|(?:AKIA|ASIA)[A-Z]{{16}}|gh[pos]_"
+_HINT = f"[0-9@]|{_TITLED}|[A-Fa-f]{{32}}|(?:AKIA|ASIA)[A-Z]{{16}}|gh[pos]_|sk-[A-Za-z_-]{{20}}|eyJ[A-Za-z_-]{{10}}"
 
 # Given names by gender and script, syllables for surnames.
 GIVEN = {
     ("latin", "m"): "Adam Bruno Carl David Emil Felix Hugo Jonas Leon Martin Noah Oscar Paul Simon Tom Victor",
     ("latin", "f"): "Ada Bella Clara Diana Emma Flora Helen Iris Julia Laura Maria Nina Olga Rosa Sara Vera",
+    ("latin", "e"): "Alex Andrea Charlie Dominique Jamie Jules Kai Kim Luca Mika Noa Quinn Robin Sam Sascha Toni",
+    ("cyrillic", "e"): "Валя Женя Саша Слава Шура",
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Фёдор",
     ("cyrillic", "f"): "Анна Белла Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Раиса Софья",
 }
@@ -100,7 +105,8 @@ def kind_of(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """What spellings of the same entity share."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.lower(raw))
+    plus = F.when(raw.startswith("+"), "+").otherwise("")
+    return F.when(kind == "phone", F.concat(plus, digits)).when(kind.isin("card", "ssn"), digits).otherwise(F.lower(raw))
 
 
 def parts_of(raw: Column, titled: Column) -> Column:
@@ -113,7 +119,7 @@ def parts_of(raw: Column, titled: Column) -> Column:
     title = raw.substr(F.lit(1), F.length(raw) - F.length(name))
     given, surname = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
     told = F.when(title != "", raw).otherwise(F.get(F.filter(titled, lambda t: t.endswith(F.concat(F.lit(" "), name))), F.lit(0)))
-    gendered = F.when(told.rlike(f"^(?:{MALE})\\.? "), F.lit("given-m")).otherwise(F.lit("given-f"))
+    gendered = F.when(told.rlike(f"^(?:{MALE})\\.? "), F.lit("given-m")).when(told.rlike(f"^(?:{FEMALE})\\.? "), F.lit("given-f")).otherwise(F.lit("given-e"))
     alone = F.array(part(F.lit("surname"), surname, title))
     both = F.array(part(gendered, given, title), part(F.lit("surname"), surname, F.lit(" ")))
     return F.when(kind != "person", F.array(part(kind, raw, F.lit("")))).when(name.contains(" "), both).otherwise(alone)
@@ -158,7 +164,8 @@ def _letters_like(text: Column, hexes: Column) -> Column:
 
 def _given(kind: Column, canon: Column, hexes: Column, draw: Column) -> Column:
     """A given name of the gender and script; draws from the ninth on lengthen it."""
-    pick = lambda script: F.when(kind == "given-m", _pick(GIVEN[script, "m"], _number(hexes, 1))).otherwise(_pick(GIVEN[script, "f"], _number(hexes, 1)))
+    by = lambda script, gender: _pick(GIVEN[script, gender], _number(hexes, 1))
+    pick = lambda script: F.when(kind == "given-m", by(script, "m")).when(kind == "given-f", by(script, "f")).otherwise(by(script, "e"))
     more = lambda script: F.when(draw > 7, _syllables(script, hexes, F.least(draw - 7, F.lit(6)))).otherwise("")
     return F.lower(F.when(canon.rlike("\\p{IsCyrillic}$"), F.concat(pick("cyrillic"), more("cyrillic"))).otherwise(F.concat(pick("latin"), more("latin"))))
 
@@ -168,8 +175,20 @@ def _syllables(script: str, hexes: Column, count: Column) -> Column:
 
 
 def _surname(canon: Column, hexes: Column, draw: Column) -> Column:
+    """Syllables of the script; each part of a name that a hyphen or apostrophe
+    divides has its own, of one letter where it has one."""
     long = F.least(draw, F.lit(6)) + 4
-    return F.when(canon.rlike("\\p{IsCyrillic}$"), _syllables("cyrillic", hexes, long)).otherwise(_syllables("latin", hexes, long))
+    parts = F.split(canon, "(?<=[-'])|(?=[-'])")
+
+    def named(script: str) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            digits = F.sha2(F.concat_ws("\x1f", hexes, i.cast("string")), 512)
+            made = _syllables(script, digits, F.when(F.size(parts) > 1, F.least(long, F.lit(10)) - 2).otherwise(long))
+            return F.when(part.isin("-", "'"), part).when((F.length(part) == 1) & (F.size(parts) > 1), made.substr(1, 1)).otherwise(made)
+
+        return F.concat_ws("", F.transform(parts, one))
+
+    return F.when(canon.rlike("\\p{IsCyrillic}$"), named("cyrillic")).otherwise(named("latin"))
 
 
 def stand_in(kind: Column, canon: Column, draw: Column, key: str) -> Column:
@@ -177,7 +196,8 @@ def stand_in(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     hexes = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 512)
     octet = lambda at, low, span: (_number(hexes, at) % span + low).cast("string")
     ip = F.concat_ws(".", octet(1, 1, 223), octet(5, 0, 256), octet(9, 0, 256), octet(13, 1, 254))
-    number = _digits_like(canon, hexes, F.when(kind == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).when(kind == "card", 1).otherwise(0))
+    code = F.when(canon.rlike(f"^\\+(?:{_COUNTRY})"), F.length(F.regexp_extract(canon, f"^\\+(?:{_COUNTRY})", 0))).when(canon.startswith("+"), 4).otherwise(F.greatest(F.length(canon) - 10, F.lit(0)))
+    number = _digits_like(canon, hexes, F.when(kind == "phone", code).when(kind == "card", 1).otherwise(0))
     body = F.concat(number.substr(F.lit(1), F.length(number) - 1), F.lit("0"))
     checked = F.concat(number.substr(F.lit(1), F.length(number) - 1), ((10 - _luhn_sum(body) % 10) % 10).cast("string"))
     card = F.when(_luhn_sum(canon) % 10 == 0, checked).otherwise(number)
@@ -192,10 +212,11 @@ def stand_in(kind: Column, canon: Column, draw: Column, key: str) -> Column:
 def render(kind: Column, raw: Column, surrogate: Column) -> Column:
     """The surrogate in the layout and case of this mention."""
     before = lambda i: F.length(F.regexp_replace(raw.substr(F.lit(1), i), "[^0-9]", ""))
-    laid = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(raw.substr(i, F.lit(1)).rlike("[0-9]"), surrogate.substr(before(i), F.lit(1))).otherwise(raw.substr(i, F.lit(1)))))
+    digits = F.regexp_replace(surrogate, "[^0-9]", "")
+    laid = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(raw.substr(i, F.lit(1)).rlike("[0-9]"), digits.substr(before(i), F.lit(1))).otherwise(raw.substr(i, F.lit(1)))))
     cased = F.when(raw.rlike("[A-Z]") & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(surrogate)
-    named = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.isin("phone", "card", "ssn"), laid).when(kind.isin("given-m", "given-f", "surname"), named).otherwise(cased)
+    named = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.concat_ws("", F.transform(F.split(surrogate, "(?<=[-'])"), F.initcap)))
+    return F.when(kind.isin("phone", "card", "ssn"), laid).when(kind.isin("given-m", "given-f", "given-e", "surname"), named).otherwise(cased)
 
 
 def configured_key(spark: SparkSession) -> str:
