@@ -70,17 +70,23 @@ def brute_mix(rows, limit):
     return out
 
 
+def test_a_limit_bounds_no_voice_with_an_end(spark):
+    df = voices(spark)[0].filter("loop_end is not null").limit(1)
+    frames = lambda held, limit: df.withColumn("held", F.lit(held).cast("long")).select(render.frames_of(limit).alias("n")).first()["n"]
+    assert frames(2_000_000, 1 << 20) > 2_000_000 and frames(None, 1 << 20) == 1 << 20
+
+
 @pytest.mark.parametrize("filtered", [False, True])
 def test_kernel_equals_loop(spark, filtered):
     df, rows = voices(spark, filtered)
-    got, want = mixed(render.by_kernel(df, block=64, limit=400)), brute_mix(rows, 400)
+    got, want = mixed(render.by_kernel(df, block=64, limit=700)), brute_mix(rows, 700)
     for frame in set(got) | set(want):
         assert got.get(frame, (0, 0)) == pytest.approx(want.get(frame, (0, 0)), abs=1e-6), frame
 
 
 def test_plan_equals_kernel(spark):
     df, _ = voices(spark)
-    plan, kernel = mixed(render.by_plan(df, limit=400)), mixed(render.by_kernel(df, limit=400))
+    plan, kernel = mixed(render.by_plan(df, limit=700)), mixed(render.by_kernel(df, limit=700))
     for frame in set(plan) | set(kernel):
         assert plan.get(frame, (0, 0)) == pytest.approx(kernel.get(frame, (0, 0)), abs=1e-4), frame
 

@@ -13,7 +13,8 @@ emits each chunk's sums per block, which Spark adds up.
 
 Defined cases: an empty sample gives silence; a voice without a loop ends with
 its sample; a voice that is never released (null held) sounds until its end of
-sample or for ``limit`` frames; a sustain at or below the floor ends with its
+sample or, looped, for ``limit`` frames, which bound no voice that has an end of
+its own; a sustain at or below the floor ends with its
 decay.
 """
 
@@ -46,11 +47,11 @@ def level(n: Column, held: Column) -> Column:
 
 
 def frames_of(limit: int) -> Column:
-    """Frames that a voice can sound at the most."""
+    """Frames that a voice can sound at the most: its own end, or the limit."""
     size = F.size("pcm")
     to_end = F.when(F.col("loop_end").isNull(), F.ceil(F.lit(1.0) * size / F.col("step")))
     released = F.col("held") + F.ceil(F.log(F.lit(FLOOR)) / F.log("release_coef"))
-    return F.when(size == 0, 0).otherwise(F.least(F.coalesce(to_end, F.lit(limit)), F.coalesce(released, F.lit(limit)), F.lit(limit))).cast("int")
+    return F.when(size == 0, 0).otherwise(F.coalesce(F.least(to_end, released), F.lit(limit))).cast("int")
 
 
 def read_at(place: Column) -> Column:
