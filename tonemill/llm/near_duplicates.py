@@ -298,23 +298,30 @@ def _parities() -> Column:
 
 
 def partners(differ: DataFrame, group: list[str]) -> DataFrame:
-    """(group, doc_id, v, component, other, gap, slack): with which other
-    components of its group a document may link, by distances between sets alone,
-    which are a metric. A component is known by one document, its head. Two
-    documents link at a distance of down (n + n') / up at the most, so never where
-    their heads are farther apart than that and their own distances to them
-    together: gap > slack + slack', with gap = up times the heads' distance, and
-    slack = up times a document's distance to its head, plus down n."""
+    """(group, doc_id, v, part, mask): with which other components of its group,
+    of at most 64, a document may link, by distances between sets alone, which
+    are a metric; part is its own component's number, mask has a bit for each of
+    the others. Documents without any are left out.
+
+    A component is known by one document, its head. Two documents link at a
+    distance of down (n + n') / up at the most, so never where their heads are
+    farther apart than that and their own distances to them together: gap >
+    slack + slack', with gap = up times the heads' distance, and slack = up times
+    a document's distance to its head, plus down n."""
     up, down = 100 + PERCENT, 100 - PERCENT
     apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
-    heads = materialize(differ.groupBy(*group, "component").agg(F.min_by("d", F.struct("m", "doc_id", "v")).alias("head")), "component-heads")
+    first = differ.groupBy(*group, "component").agg(F.min_by("d", F.struct("m", "doc_id", "v")).alias("head"))
+    part = F.row_number().over(Window.partitionBy(*group).orderBy("component")) - 1
+    heads = materialize(first.withColumn("part", part), "component-heads")
     slack = up * apart("d", "head") + down * F.col("n")
-    near = materialize(differ.join(heads, [*group, "component"]).select(*group, "doc_id", "v", "component", slack.alias("slack")), "head-distances")
+    near = materialize(differ.join(heads, [*group, "component"]).select(*group, "doc_id", "v", "component", "part", slack.alias("slack")), "head-distances")
     wide = heads.join(near.groupBy(*group, "component").agg(F.max("slack").alias("wide")), [*group, "component"])
-    other = wide.select(*group, F.col("component").alias("other"), F.col("head").alias("other_head"), F.col("wide").alias("other_wide"))
-    ways = wide.join(other, group).filter("component <> other").withColumn("gap", up * apart("head", "other_head"))
-    ways = materialize(ways.filter("gap <= wide + other_wide").select(*group, "component", "other", "gap", "other_wide"), "component-ways")
-    out = materialize(near.join(ways, [*group, "component"]).filter("gap <= slack + other_wide").drop("other_wide"), "component-partners")
+    other = wide.select(*group, F.col("part").alias("other"), F.col("head").alias("other_head"), F.col("wide").alias("other_wide"))
+    ways = wide.join(other, group).filter("part <> other").withColumn("gap", up * apart("head", "other_head")).filter("gap <= wide + other_wide")
+    # At most 63 for each component.
+    ways = materialize(ways.groupBy(*group, "component").agg(F.collect_list(F.struct("other", "gap", F.col("other_wide").alias("wide"))).alias("ways")), "component-ways")
+    mask = F.expr("aggregate(ways, 0L, (held, w) -> if(w.gap <= slack + w.wide, held | shiftleft(1L, w.other), held))")
+    out = materialize(near.join(ways, [*group, "component"]).select(*group, "doc_id", "v", "part", mask.alias("mask")).filter("mask <> 0"), "component-partners")
     discard(heads, near, ways)
     return out
 
@@ -346,9 +353,9 @@ def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
     parts = materialize(differ.groupBy(*group).agg(F.count_distinct("component").alias("parts")), "group-parts")
     few, many = (small(parts.filter(c).select(*group)) for c in (F.col("parts") <= FEW, F.col("parts") > FEW))
     known = partners(differ.join(few, group, "left_semi"), group)
-    asked = known.select(*member).distinct()
-    kept = differ.join(asked, member, "left_semi").unionByName(differ.join(many, group, "left_semi"))
-    tokens = materialize(kept.select(*member, "component", "n", "m", "sign", F.explode("d").alias("t")), "difference-shingles")
+    unknown = differ.join(many, group, "left_semi").withColumns({"part": F.lit(None).cast("int"), "mask": F.lit(None).cast("long")})
+    kept = differ.join(known, member).unionByName(unknown)
+    tokens = materialize(kept.select(*member, "component", "part", "mask", "n", "m", "sign", F.explode("d").alias("t")), "difference-shingles")
     often = tokens.groupBy(*group, "t").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     often = materialize(often.filter("df > 1").select(*group, "t", "df", (F.col("lo") != F.col("hi")).alias("mixed")), "shared-differences")
     counted = tokens.join(often, [*group, "t"], "left").withColumns({"df": F.coalesce("df", F.lit(1)), "mixed": F.coalesce("mixed", F.lit(False))})
@@ -356,23 +363,16 @@ def meetings(groups: DataFrame, sets: DataFrame) -> DataFrame:
     # A partner's set is at most 100 / p times as large.
     longest = F.floor(F.lit(down) * (100 + PERCENT) * F.col("n") / (PERCENT * up)) + 1
     prefix = counted.withColumn("i", place).filter("mixed").filter(F.col("i") <= longest)
-    prefix = materialize(prefix.select(*member, "t", "component", "n", "m", "i", "sign"), "difference-prefixes")
-
-    def meet(x: DataFrame, y: DataFrame, same: Column) -> DataFrame:
-        x, y = x.alias("x"), y.alias("y")
-        keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "t")]
-        sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
-        most = down * (F.col("x.n") + F.col("y.n"))
-        reach = 2 * up * (1 + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))) >= up * (F.col("x.m") + F.col("y.m")) - most
-        unlike = sum((F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(SIGNS)), F.lit(0))
-        met = x.join(y, keys[0] & keys[1] & keys[2] & same & sizes & reach & (up * unlike <= most))
-        return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-
-    knowing = prefix.join(known.filter("component < other").drop("component"), member)
-    slacks = known.select(*member, F.col("slack").alias("own")).distinct()
-    near_parts = meet(knowing, prefix.join(slacks, member), (F.col("x.other") == F.col("y.component")) & (F.col("x.gap") <= F.col("x.slack") + F.col("y.own")))
-    crowds = prefix.join(many, group, "left_semi")
-    pairs = near_parts.unionByName(meet(crowds, crowds, F.col("x.component") < F.col("y.component")))
+    prefix = materialize(prefix.select(*group, "t", "doc_id", "component", "part", "mask", "n", "m", "i", "sign"), "difference-prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*group, "t")]
+    able = F.expr("if(x.part is null, x.component < y.component, x.part < y.part and shiftright(x.mask, y.part) & 1 = 1 and shiftright(y.mask, x.part) & 1 = 1)")
+    sizes = 100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")
+    most = down * (F.col("x.n") + F.col("y.n"))
+    reach = 2 * up * (1 + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i"))) >= up * (F.col("x.m") + F.col("y.m")) - most
+    unlike = sum((F.bit_count(F.col("x.sign")[i].bitwiseXOR(F.col("y.sign")[i])) for i in range(SIGNS)), F.lit(0))
+    met = x.join(y, same[0] & same[1] & same[2] & able & sizes & reach & (up * unlike <= most))
+    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
     out = materialize(pairs.unionByName(to_hub).distinct(), "meetings")
     discard(differ, parts, known, tokens, often, prefix)
     return out
