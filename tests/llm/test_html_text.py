@@ -80,6 +80,69 @@ def test_wrappers_with_names_of_widgets_stay():
     assert lines(f"<body><div class=comments><p>{LONG * 9}</p></div><article><p>{LONG}</p></article></body>") == [LONG.strip()]
 
 
+def test_names_of_an_articles_own_elements_cut_nothing():
+    for tag in ("article", "main"):
+        for piece in ("<p class=cookie-recipe>Kept.</p>", "<p class=menu-item>Kept.</p>", "<p class=comment>Kept.</p>", "<div class=hero-banner>Kept.</div>", "<p class=share>Kept.</p>", "<div class=tags>Kept.</div>", "<div class=menu><p>Kept.</p></div>", "<p class=byline>Kept.</p>", "<p><span class=meta>Kept.</span></p>", "<p><math><mi>Ke</mi><mo>pt</mo><annotation>x</annotation></math>.</p>"):
+            page = f"<body><{tag}><h1>Title</h1><p>{LONG}</p>{piece}<p>{LONG}</p></{tag}></body>"
+            assert lines(page) == ["Title", LONG.strip(), "Kept.", LONG.strip()], piece
+
+
+def test_furniture_inside_an_article_goes():
+    link = "<a href=x>A longer link</a> "
+    for junk in ("<div id=comments><p>Junk.</p></div>", "<section class=comment-list><article class=comment><p>Junk, junk, junk.</p></article></section>", "<article class=comment><p>Junk.</p></article>", "<div class=cookie-notice>Junk.</div>", "<p class=ad>Junk.</p>", "<div class=ad-slot>Junk.</div>", f"<div class=share>Share: {link * 2}</div>", f"<div class=menu>{link * 3}</div>", f"<ul class=tags><li>{link}<li>{link}</ul>", "<div class=newsletter-signup><p>Junk.</p></div>", "<aside>Junk.</aside>", "<form>Junk.</form>"):
+        page = f"<body><article><h1>Title</h1><p>{LONG}</p>{junk}<p>{LONG}</p></article></body>"
+        assert lines(page) == ["Title", LONG.strip(), LONG.strip()], junk
+
+
+def test_comments_and_menus_around_a_page_without_an_article_go():
+    menu = "".join(f"<li><a href={i}>Page number {i}</a>" for i in range(30))
+    talk = "".join(f"<article class=comment><p>{LONG}</p></article>" for _ in range(20))
+    for comments in (f"<div class=comments>{talk}</div>", f"<section id=comments>{talk}</section>", f"<ol class=comment-list>{talk}</ol>"):
+        page = f"<body><ul>{menu}</ul><div id=c><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{comments}</body>"
+        assert lines(page) == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_scores_equal_sums_over_all_paragraphs():
+    """A container's worth, from each paragraph below it and how far up it is."""
+    rng = random.Random(4)
+    for _ in range(60):
+        root = html_text.parse(generated(rng)[0])
+        got = {id(n): w for n, w in html_text.worths(root)}
+        every = [root]
+        for n in every:
+            every.extend(c for c in n.children if isinstance(c, html_text.Node))
+
+        def strings(n, link=False):
+            link = link or n.tag == "a"
+            return [x for c in n.children for x in ([(c, link)] if isinstance(c, str) else strings(c, link))]
+
+        def size(n):
+            return sum(len(x.strip()) for x, _ in strings(n))
+
+        want = {}
+        for n in every:
+            own = any(isinstance(c, str) and len(c.strip()) > 25 for c in n.children)
+            if not size(n) or not (n.tag in html_text.PARAGRAPHS or (own and n.tag in ("div", "section", "article", "main", "body"))):
+                continue
+            points = 1 + sum(x.count(",") for x, _ in strings(n)) + min(size(n) / 100, 3)
+            chain = html_text._above(n)[n.tag in html_text.PARAGRAPHS :][:5]
+            for far, up in enumerate(chain):
+                if up.tag == "#root":
+                    break
+                want.setdefault(id(up), [up, 25.0 if up.good else 5.0 if up.tag in ("div", "section") else 0.01])
+                want[id(up)][1] += points * (1.0 if far == 0 else 1 / (2 * far))
+        assert got.keys() == want.keys()
+        for key, (n, points) in want.items():
+            linked = sum(len(x.strip()) for x, link in strings(n) if link)
+            assert abs(got[key] - points * (1 - linked / max(size(n), 1))) < 1e-9
+
+
+def test_a_very_long_page_is_read_whole():
+    page = "<body><article>" + "".join(f"<p>{LONG}{i}</p>" for i in range(20_000)) + "</article></body>"
+    got = lines(page)
+    assert len(got) == 20_000 and got[-1] == LONG + "19999"
+
+
 def generated(rng):
     """A page and the blocks of its article."""
     word = lambda: rng.choice(["of", "the", "sand", "tide,", "r&amp;d", "&eacute;t&eacute;", "&#8211;", "a&nbsp;b", "naïve"])

@@ -18,6 +18,12 @@ of content alone (entry-content) outweighs all others. Names that layouts also
 give to wrappers (widget, hidden, share, ...) cut an element only if it holds
 no more than half of the page's text outside links.
 
+Inside an article or main, names say less: what an author calls cookie-recipe or
+hero-banner is content. There a name counts only if all its parts are names of
+furniture, content or layout; it cuts containers, and paragraphs only as an advert
+or a notice; and menus, tags, links to share and the like go only if their text
+is links for the most part. An article named as a comment is cut in another.
+
 A page is read by one scan whose steps never go back, so time grows with its
 length, whatever is left unclosed. Pages are parsed in Arrow batches with no
 state between them.
@@ -43,9 +49,9 @@ from pyspark.sql import functions as F
 
 # HTML's element groups, and the names that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title svg math iframe object"
+RAW = "script style noscript template textarea title svg iframe object"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CUT_TAGS = frozenset("head script style noscript template textarea title svg math iframe object nav header footer aside form button select dialog menu canvas audio video".split())
+CUT_TAGS = frozenset("head script style noscript template textarea title svg annotation annotation-xml iframe object nav header footer aside form button select dialog menu canvas audio video".split())
 CUT_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer footnav gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion replies respond shoutbox sidebar skyscraper sponsor subscribe subscription toolbar topbar".split()
 )
@@ -54,6 +60,13 @@ SOFT_NAMES = frozenset("foot follow header hidden login meta popular promoted re
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 GOOD_NAMES = frozenset("article blog body content entry hentry main page post story text".split())
 MODIFIERS = frozenset("no not non has have with without hide show".split())
+#: Inside an article these count as adverts and notices on any element, and
+#: those of LINK_NAMES only on lists of links.
+PLAIN_NAMES = frozenset("ad ads advert adverts advertisement adsense consent cookies gdpr notice notices notification popup promo promotion sponsor".split())
+LINK_NAMES = frozenset("breadcrumb breadcrumbs footnav menu nav navbar navigation pager pagination toolbar topbar byline masthead".split())
+#: Parts of names that tell a place or a form, no subject.
+LAYOUT_NAMES = frozenset("area bar block bottom box container form inner left list outer posts right section site slot text top unit wrap wrapper x".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead pre blockquote figure figcaption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 #: An open element of the key ends where one of its tags begins.
@@ -70,15 +83,16 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "good", "soft", "score", "size", "linked", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "good", "soft", "inside", "score", "size", "linked", "links", "commas")
 
     def __init__(self, tag: str, parent: Node | None, good: bool = False, soft: bool = False):
         self.tag, self.parent, self.good, self.soft = tag, parent, good, soft
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.children: list[Node | str] = []
         self.score, self.size, self.linked, self.links, self.commas = 0.0, 0, 0, 0, 0
 
 
-def _names(attrs: list[tuple[str, str]]) -> tuple[str, bool]:
+def _names(tag: str, attrs: list[tuple[str, str]], inside: bool = False) -> tuple[str, bool]:
     """(how an element is furniture: "", "soft" or "cut"; is named like content)."""
     bad, good = "", False
     for name, value in attrs:
@@ -91,15 +105,40 @@ def _names(attrs: list[tuple[str, str]]) -> tuple[str, bool]:
                 parts = [p.lower() for p in _PART.findall(word)]
                 told = next((i for i, p in enumerate(parts) if p in MODIFIERS), len(parts))
                 known = [p for p in parts[:told] if p in CUT_NAMES or p in SOFT_NAMES or p in GOOD_NAMES]
-                if known and known[-1] in CUT_NAMES:
-                    bad = "cut"
-                elif known and known[-1] in SOFT_NAMES:
-                    bad = bad or "soft"
-                elif known and not (CUT_NAMES | SOFT_NAMES).intersection(known):
+                means = _meaning(known)
+                if inside and means in ("soft", "cut"):
+                    means = _meaning_inside(tag, parts[:told], known[-1], means)
+                if means == "good":
                     good = True
+                elif means == "cut" or not bad:
+                    bad = means
     return "" if good else bad, good
 
 
+def _meaning(known: list[str]) -> str:
+    """What the telling parts of a name say: "", "good", "soft" or "cut"."""
+    if not known:
+        return ""
+    if known[-1] in CUT_NAMES:
+        return "cut"
+    if known[-1] in SOFT_NAMES:
+        return "soft"
+    return "" if (CUT_NAMES | SOFT_NAMES).intersection(known) else "good"
+
+
+def _meaning_inside(tag: str, parts: list[str], last: str, means: str) -> str:
+    """The same for a name of furniture inside an article or main."""
+    if not all(p in CUT_NAMES or p in SOFT_NAMES or p in GOOD_NAMES or p in LAYOUT_NAMES for p in parts):
+        return ""
+    if last in PLAIN_NAMES:
+        return "cut"
+    if tag in TEXT_TAGS or tag not in BLOCK:
+        return ""
+    if last in ("widget", "signup"):
+        return "cut"
+    return "soft" if last in LINK_NAMES else means
+
+
 def tokens(text: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool]]:
     """("text", its text), ("open" or "close", tag, attributes, whether it closes
     itself): what a page is made of, without comments and raw elements."""
@@ -183,7 +222,7 @@ def parse(text: str) -> Node:
                     at = seek.parent
             continue
         if cut:
-            if tag in ("article", "main") and cut[0] not in ("aside", "nav", "footer") and "div" not in cut:
+            if tag in ("article", "main") and cut[0] not in ("aside", "nav", "footer", "section", "ol", "ul", "article") and "div" not in cut:
                 cut.clear()
             else:
                 if tag not in VOID and not shut:
@@ -202,8 +241,9 @@ def parse(text: str) -> Node:
         if tag in VOID:
             at.children.append(Node(tag, at))
             continue
-        bad, good = _names(attrs)
-        if tag in CUT_TAGS or (bad == "cut" and tag not in ("html", "body", "article", "main")):
+        bad, good = _names(tag, attrs, at.inside)
+        whole = ("html", "body", "main") if at.inside else ("html", "body", "article", "main")
+        if tag in CUT_TAGS or (bad == "cut" and tag not in whole):
             if not shut:
                 cut.append(tag)
             continue
@@ -214,12 +254,13 @@ def parse(text: str) -> Node:
 
 
 def prune(root: Node) -> None:
-    """Leave out elements of a soft name that don't hold most of the page."""
+    """Leave out elements of a soft name: inside an article or main lists of
+    links, elsewhere what doesn't hold most of the page."""
     _measure(root, False)
     most, stack = 0.5 * (root.size - root.linked), [root]
     while stack:
         n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not c.soft or c.size - c.linked > most]
+        n.children = [c for c in n.children if isinstance(c, str) or not c.soft or (not c.linked or c.size > 2 * c.linked + 25 if n.inside else c.size - c.linked > most)]
         stack.extend(c for c in n.children if isinstance(c, Node))
 
 
@@ -266,9 +307,8 @@ def _is_link_list(node: Node) -> bool:
     return node.tag in BLOCK and node.tag not in HEADINGS and node.links >= 3 and node.linked > 0.75 * node.size
 
 
-def best_containers(root: Node) -> list[Node | str]:
-    """What holds the main text: the nodes of one region, in page order."""
-    prune(root)
+def worths(root: Node) -> list[tuple[Node, float]]:
+    """Containers with points, each with its points less the share of links."""
     _measure(root, False)
     scored: list[Node] = []
     stack = [root]
@@ -286,9 +326,16 @@ def best_containers(root: Node) -> list[Node | str]:
                     up.score = 25.0 if up.good else 5.0 if up.tag in ("div", "section") else 0.01
                 up.score += points * share
                 up, share = up.parent, 1 / (2 * level)
-    if not scored:
+    return [(n, n.score * (1 - n.linked / max(n.size, 1))) for n in scored]
+
+
+def best_containers(root: Node) -> list[Node | str]:
+    """What holds the main text: the nodes of one region, in page order."""
+    prune(root)
+    found = worths(root)
+    if not found:
         return [root]
-    worth = {id(n): n.score * (1 - n.linked / max(n.size, 1)) for n in scored}
+    scored, worth = [n for n, _ in found], {id(n): w for n, w in found}
     best = max(scored, key=lambda n: worth[id(n)])
     top = worth[id(best)]
     bar = max(0.2 * top, min(10.0, 0.5 * top))
