@@ -61,6 +61,14 @@ def test_an_answer_is_a_function_of_its_text(spark):
         assert got == first
 
 
+def test_rare_languages_are_learned(spark):
+    many = spark.range(20_000).selectExpr("id as doc_id", "concat('the of and to ', id) as text", "'en' as lang")
+    few = spark.createDataFrame([(50_000 + i, "der und die den von", "de") for i in range(3)], "doc_id long, text string, lang string")
+    rows = langid.sample(many.unionByName(few)).groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in rows}
+    assert got["de"] == 3 and 0.9 * langid.MAX_TEXTS < got["en"] < 1.1 * langid.MAX_TEXTS
+
+
 def test_defined_cases(spark):
     rows = texts(60, 9) + [(100, None, None, 0.0, None), (101, "", "en", 0.0, None), (102, "123 !?", "fr", 0.0, None), (103, " ".join(WORDS["en"].split() * 8000), None, 0.0, None), (None, "the of and to", "en", 0.0, None), (0, "le de la", "fr", 0.0, None), (0, "le de la", "fr", 0.0, None)]
     df = spark.createDataFrame(rows, DOCS)

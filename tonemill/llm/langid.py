@@ -27,11 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialize
+from .common import materialize, small
 
-#: About so many texts are learned from, SAMPLES windows from each, taken at
-#: hashed places. All rows are identified, over their whole texts.
-MAX_TEXTS, SAMPLES = 6000, 3
+#: About so many texts are learned from, and about LEAST_TEXTS of each language
+#: (all, if it has fewer), SAMPLES windows from each, taken at hashed places. All
+#: rows are identified, over their whole texts.
+MAX_TEXTS, LEAST_TEXTS, SAMPLES = 6000, 200, 3
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 16, 8
 EPOCHS, BATCH, RATE, SEED = 2, 64, 0.05, 5
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -190,9 +191,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def sample(known: DataFrame) -> DataFrame:
+    """Rows chosen by a hash of doc_id: each language's share of MAX_TEXTS, and
+    no fewer than about LEAST_TEXTS of it, so that rare ones are learned, too.
+    Repeats of a row are chosen alike; a limit bounds what they add."""
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("_n")), "language-sizes")
+    total, langs = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+    if total <= MAX_TEXTS:
+        return known
+    rate = F.greatest(F.lit(MAX_TEXTS / total), F.least(LEAST_TEXTS / F.col("_n"), F.lit(1.0)))
+    chosen = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)) < rate * float(1 << 40)
+    return known.join(small(sizes), "lang").filter(chosen).drop("_n").limit(2 * (MAX_TEXTS + LEAST_TEXTS * langs))
+
+
 def fit(docs: DataFrame) -> Model | None:
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    known = hashed_sample(known, MAX_TEXTS, SEED, "doc_id").filter(F.col("text").rlike("\\p{L}")).withColumn("_h", F.xxhash64("doc_id", "text"))
+    known = sample(known).filter(F.col("text").rlike("\\p{L}")).withColumn("_h", F.xxhash64("doc_id", "text"))
     place = lambda i: (F.pmod(F.xxhash64("_h", F.lit(i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))) + 1).cast("int")
     cut = F.array(*[F.col("text").substr(place(i), F.lit(WINDOW)) for i in range(SAMPLES)])
     rows = sorted(known.select("lang", "_h", cut.alias("cut")).collect(), key=lambda r: (r["_h"], r["lang"]))
