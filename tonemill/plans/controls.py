@@ -85,3 +85,27 @@ def cc_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events(spark, sf_dir).filter("kind = 'controller'").groupBy(F.col("k").alias("num")).agg(F.count("*").alias("n"))
     role = F.when(F.col("num").isin(applied), "applied").when(F.col("num").isin(missing), "missing").otherwise("inert")
     return counts.select("num", "n", role.alias("role"), F.expr("round(100.0D * n / sum(n) over (), 6)").alias("percent"))
+
+
+# Names of controllers; other numbers have none.
+CONTROLLER_NAMES = {
+    0: "bank select msb", 1: "modulation", 2: "breath", 4: "foot controller", 5: "portamento time", 6: "data entry msb", 7: "channel volume", 8: "balance",
+    10: "pan", 11: "expression", 12: "effect control", 13: "effect control", 16: "general purpose", 17: "general purpose", 18: "general purpose", 19: "general purpose",
+    32: "bank select lsb", 33: "modulation lsb", 38: "data entry lsb", 39: "channel volume lsb", 42: "pan lsb", 43: "expression lsb",
+    64: "sustain pedal", 65: "portamento", 66: "sostenuto", 67: "soft pedal", 68: "legato footswitch", 69: "hold 2",
+    70: "sound variation", 71: "resonance", 72: "release time", 73: "attack time", 74: "brightness", 75: "decay time", 76: "vibrato rate", 77: "vibrato depth", 78: "vibrato delay", 79: "sound controller 10",
+    80: "general purpose", 81: "general purpose", 82: "general purpose", 83: "general purpose", 84: "portamento control", 88: "high resolution velocity",
+    91: "reverb send", 92: "tremolo depth", 93: "chorus send", 94: "celeste depth", 95: "phaser depth", 96: "data increment", 97: "data decrement",
+    98: "nrpn select", 99: "nrpn select", 100: "rpn select", 101: "rpn select",
+    120: "all sound off", 121: "reset controllers", 122: "local control", 123: "all notes off", 124: "omni off", 125: "omni on", 126: "mono mode on", 127: "poly mode on",
+}
+_NAMES = ", ".join(f"({num}, '{name}')" for num, name in CONTROLLER_NAMES.items())
+
+
+@query(f"with {EV}, names(num, name) as (values {_NAMES}), c as (select k as num, ch, count(*) as n from ev where kind = 'controller' group by k, ch) select c.num, coalesce(name, '') as name, cast(sum(n) as bigint) as n, count(*) as channels from c left join names on c.num = names.num group by 1, 2")
+def cc_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controllers that occur, by name, with how often and on how many channels."""
+    by = events(spark, sf_dir).filter("kind = 'controller'").groupBy(F.col("k").alias("num"), "ch").agg(F.count("*").alias("n"))
+    names = F.create_map(*[F.lit(x) for pair in CONTROLLER_NAMES.items() for x in pair])
+    counts = by.groupBy("num").agg(F.sum("n").alias("n"), F.count("*").alias("channels"))
+    return counts.select("num", F.coalesce(F.try_element_at(names, F.col("num").cast("int")), F.lit("")).alias("name"), "n", "channels")
