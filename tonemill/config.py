@@ -24,6 +24,10 @@ class Config:
     admit: str = "loudest"
     steal: str = "quietest"
     interpolation: str = "linear"
+    decay_curve: str = "exponential"
+    release_curve: str = "exponential"
+    env_floor: float = 1e-5
+    filter_enabled: bool = True
     limiter_ceiling_db: float = -0.3
     limiter_lookahead_ms: float = 5.0
     limiter_release_ms: float = 50.0
@@ -38,6 +42,7 @@ class Config:
             "max_steal_percent": (1, 100),
             "steal_fade_frames": (1, self.block_frames - 1),
             "max_layers": (1, 255),
+            "env_floor": (0.0, 1.0),
             "limiter_ceiling_db": (-24.0, 0.0),
             "limiter_lookahead_ms": (0.05, 100.0),
             "limiter_release_ms": (0.1, 5000.0),
@@ -50,7 +55,7 @@ class Config:
         for name, of in (("block_frames", TILE), ("gate_frames", TILE), ("block_frames", self.gate_frames)):
             if self.gate_frames <= 0 or getattr(self, name) % of:
                 raise ValueError(f"{name} {getattr(self, name)} is not a multiple of {of}")
-        choices = {"admit": ("loudest", "even"), "steal": ("quietest", "oldest", "none"), "interpolation": ("nearest", "linear", "cubic")}
+        choices = {"admit": ("loudest", "even"), "steal": ("quietest", "oldest", "none"), "interpolation": ("nearest", "linear", "cubic"), "decay_curve": ("exponential", "linear"), "release_curve": ("exponential", "linear")}
         for name, known in choices.items():
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} {getattr(self, name)!r} is none of {', '.join(known)}")
