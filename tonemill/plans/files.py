@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +64,55 @@ def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", F.round(F.col("l").cast("double"), 6).alias("l"), F.round(F.col("r").cast("double"), 6).alias("r"))
 
 
-@query()
+@query("select event_id as pos, round(cast(round(least(greatest(value / 100 - 1, -1), 1) * 32767) as double) / 32768, 6) as l, round(cast(round(least(greatest(1 - value / 100, -1), 1) * 32767) as double) / 32768, 6) as r from events")
+def wav_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signal written as WAVE and read back by ranges of frames."""
+    path = fresh_path(spark, "signal.wav")
+    wav.write(read(spark, sf_dir, "events").selectExpr("event_id as pos", "value / 100 - 1 as l", "1 - value / 100 as r"), path, kind="pcm16")
+    rows = wav.read_frames(spark, path, 1 << 14)
+    return rows.select("pos", F.round(F.col("l").cast("double"), 6).alias("l"), F.round(F.col("r").cast("double"), 6).alias("r"))
+
+
+@query(f"with {_ROWS} select cast(track as integer) as track, cast(seq as bigint) as seq, tick, kind, cast(ch as integer) as ch, cast(case when kind <> 'controller' then note end as integer) as key from m")
+def stream_midi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MIDI file followed as a stream."""
+    rows = midi.stream(spark, _as_file(spark, sf_dir)).filter("kind <> 'other'")
+    return live.collected(rows.select("track", "seq", "tick", "kind", "ch", "key"), "append")
+
+
+#: Parts that are the zones of one instrument file.
+_ZONES = 200
+
+
+def _font(rows: pd.DataFrame, folder: str) -> int:
+    """One instrument file of parts (p_partkey, p_size); a zone for each."""
+    number = int(rows["p_partkey"].iloc[0]) // _ZONES
+    common = [("attack", -1200), ("pan", 100)]
+    zones = [[("key_range", size + 256 * (size + 8)), ("attenuation", size * 4), *([("attack", size * 20)] if size % 2 else []), ("sustain", size * 3), ("modes", size % 4), ("filter_fc", 6000 + size * 100), ("sample", size % 3)] for size in map(int, rows["p_size"])]
+    pcm = np.concatenate([fixtures.ramp(200)] * 3)
+    samples = [(f"s{i}", i * 200, i * 200 + 150, i * 200 + 10, i * 200 + 140, 44_100, 60, 0, 0, 1) for i in range(3)]
+    preset = (f"Parts {number}", number % 3, number % 128, [[("attenuation", 10 * (number % 5)), ("key_range", 10 + 256 * 50), ("instrument", 0)]])
+    soundfont.write_file(f"{folder}/{number}.sf2", [preset], [("Parts", [common, *zones])], samples, pcm)
+    return number
+
+
+@query(
+    f"with t as (select p_partkey // {_ZONES} as font, row_number() over (partition by p_partkey // {_ZONES} order by p_partkey) as zone, p_size as s from part)"
+    " select cast(font as bigint) as font, 'Parts ' || font as preset_name, cast(font % 3 as bigint) as bank, cast(font % 128 as bigint) as program, cast(zone as bigint) as zone, cast(s % 3 as bigint) as sample, cast(greatest(s, 10) as bigint) as key_lo, cast(least(s + 8, 50) as bigint) as key_hi,"
+    " cast(s * 4 + 10 * (font % 5) as double) as attenuation_cb, 0.2::double as pan, case s % 4 when 1 then 'continuous' when 3 then 'until_release' else 'none' end as loop_mode, round(pow(2, case when s % 2 = 1 then s * 20 else -1200 end / 1200.0::double), 6) as attack, round(pow(10, -s * 3 / 200.0::double), 6) as sustain, cast(6000 + s * 100 as double) as filter_fc_cents from t where s <= 50 and s + 8 >= 10"
+)
 def sf2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regions of a generated instrument file; the tests hold them against
-    its known zones."""
-    path = fresh_path(spark, "rich.sf2")
-    fixtures.rich_soundfont(path)
-    return soundfont.regions(soundfont.records(spark, path)).drop("path")
+    """The parts as zones of instrument files, which tasks write, read back."""
+    folder = os.path.dirname(fresh_path(spark, "fonts"))
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"font": [_font(rows.sort_values("p_partkey"), folder)]})
+
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(f"p_partkey div {_ZONES}").alias("font"))
+    parts.groupBy("font").applyInPandas(write, "font long").write.format("noop").mode("overwrite").save()
+    got = soundfont.regions(soundfont.records(spark, folder))
+    font = F.regexp_extract("path", r"([0-9]+)\.sf2$", 1).cast("long")
+    return got.select(font.alias("font"), "preset_name", F.col("bank").cast("long").alias("bank"), F.col("program").cast("long").alias("program"), F.col("i_zone").cast("long").alias("zone"), F.col("sample").cast("long").alias("sample"), F.col("key_lo").cast("long").alias("key_lo"), F.col("key_hi").cast("long").alias("key_hi"), "attenuation_cb", "pan", "loop_mode", F.round("attack", 6).alias("attack"), F.round("sustain", 6).alias("sustain"), "filter_fc_cents")
 
 
 def _voices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,11 @@ commit only puts headers, the first delta of each piece and the pieces' bytes
 end to end. The bare sink, ``df.write.format("smf")``, fails on rows that don't
 come in that order.
 
+`stream` follows logs that grow, by whole track chunks at their end or by new
+files. An offset says how many chunks of each file are read, so a restart reads
+none twice; a chunk that isn't all there yet waits, and so does a file without
+its header. The driver walks headers, a task reads a chunk.
+
 Defined cases: a file without MThd fails; unknown chunks are passed over, but
 one of length zero ends the walk (padding); a chunk is cut at the end of the
 file; a truncated track ends where its last whole event does.
@@ -28,7 +33,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "file string, division int, track int, seq long, tick long, kind string, ch int, key int, vel int, num int, val int, us_per_qn int"
@@ -36,13 +41,18 @@ TRACKS = "file string, format int, declared int, division int, track int, offset
 _NAMES = ("ch", "key", "vel", "num", "val", "us_per_qn")
 
 
-def files_of(path: str) -> list[str]:
+def matching(path: str, endings: tuple[str, ...]) -> list[str]:
+    """The files of a folder with one of the endings, of a glob, or the one."""
     path = path.removeprefix("file://")
     if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith((".mid", ".midi", ".smf")))
+        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(endings))
     return sorted(glob.glob(path)) or [path]
 
 
+def files_of(path: str) -> list[str]:
+    return matching(path, (".mid", ".midi", ".smf"))
+
+
 def track_chunks(path: str) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(format, declared tracks, division, track, offset, length) per track."""
     size = os.path.getsize(path)
@@ -163,11 +173,45 @@ class _Reader(DataSourceReader):
         return [_Chunk(f, div, track, off, n) for f in files_of(self.path) for _, _, div, track, off, n in track_chunks(f)]
 
     def read(self, chunk: _Chunk) -> Iterator[tuple]:
-        with open(chunk.file, "rb") as f:
-            f.seek(chunk.offset)
-            data = f.read(chunk.length)
-        for seq, (tick, *rest) in enumerate(decode(data)):
-            yield chunk.file, chunk.division, chunk.track, seq, tick, *rest
+        return rows_of(chunk)
+
+
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {f: len(whole_chunks(f)) for f in files_of(self.path) if os.path.exists(f)}
+
+    def partitions(self, start: dict, end: dict) -> list[_Chunk]:
+        return [c for f, n in end.items() for c in whole_chunks(f)[start.get(f, 0) : n]]
+
+    def read(self, chunk: _Chunk) -> Iterator[tuple]:
+        return rows_of(chunk)
+
+
+def rows_of(chunk: _Chunk) -> Iterator[tuple]:
+    with open(chunk.file, "rb") as f:
+        f.seek(chunk.offset)
+        data = f.read(chunk.length)
+    for seq, (tick, *rest) in enumerate(decode(data)):
+        yield chunk.file, chunk.division, chunk.track, seq, tick, *rest
+
+
+def whole_chunks(path: str) -> list[_Chunk]:
+    """The track chunks of a file that are all there."""
+    if os.path.getsize(path) < 14:
+        return []
+    out = []
+    with open(path, "rb") as f:
+        for _, _, division, track, offset, length in track_chunks(path):
+            f.seek(offset - 4)
+            if struct.unpack(">I", f.read(4))[0] <= length:
+                out.append(_Chunk(path, division, track, offset, length))
+    return out
 
 
 def varlen(n: int) -> bytes:
@@ -301,10 +345,18 @@ class SmfSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _StreamReader(self.options["path"])
+
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], int(self.options.get("division", 960)))
 
 
+def stream(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(SmfSource)
+    return spark.readStream.format("smf").load(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(SmfSource)
     return spark.read.format("smf").load(path)

@@ -1,11 +1,16 @@
-"""WAVE files: reading with Spark's binaryFile, and a partitioned sink.
+"""WAVE files: two readers, and a partitioned sink.
 
-`read` gives a row a file with its samples and loop; `write` writes a signal
+`read` gives a row a file with its samples and loop, with Spark's binaryFile, for
+files that are samples of a bank. `read_frames` gives a row a frame of recordings
+of any length: the driver walks chunk headers, and each task reads a range of
+frames, a batch at a time, from a folder that all executors share. `write` writes a signal
 (pos, l, r) without gathering it: rows are range-partitioned by position, each
 task writes its part as raw samples, and the commit puts a header before the
 parts laid end to end.
 
-Defined cases: what isn't RIFF/WAVE, has no data or format chunk, or holds an
+Defined cases: a file cut short, or longer than its header can say, has the
+frames that are there, an incomplete last one left out; a mono file stands in
+both channels, channels beyond two are passed over; what isn't RIFF/WAVE, has no data or format chunk, or holds an
 unsupported encoding fails; chunks of other kinds are passed over; a size
 beyond 4 GiB is written as the largest the header holds.
 """
@@ -21,11 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .midi import matching
+
 SCHEMA = "path string, sample_rate int, channels int, loop_start long, loop_end long, root_key int, fine_tune double, samples array<float>"
 #: Format tags.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
@@ -103,6 +111,88 @@ def frames(files: DataFrame) -> DataFrame:
     return both.select("path", "pos", "l", F.coalesce("r", "l").alias("r"))
 
 
+#: Frames that one task reads, and that it holds at a time.
+RANGE, BATCH = 1 << 22, 1 << 16
+FRAME = "path string, pos long, l float, r float"
+
+
+@dataclass
+class _Range(InputPartition):
+    path: str
+    at: int  # of the range's first byte
+    first: int  # and frame
+    frames: int
+    form: tuple[int, int, int]  # format tag, bits, channels
+
+
+def body_of(path: str) -> tuple[tuple[int, int, int], int, int]:
+    """((format tag, bits, channels), offset and bytes of the samples), from the
+    chunks' headers alone. A size of all ones is what a header holds at most, and
+    reaches to the file's end."""
+    size, form, at = os.path.getsize(path), None, 12
+    with open(path, "rb") as f:
+        head = f.read(12)
+        if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+            raise ValueError(f"{path}: not a WAVE file")
+        while at + 8 <= size:
+            f.seek(at)
+            tag, n = struct.unpack("<4sI", f.read(8))
+            if tag == b"fmt ":
+                chunk = f.read(min(n, 40))
+                kind, channels, _, _, _, bits = struct.unpack_from("<HHIIHH", chunk)
+                form = struct.unpack_from("<H", chunk, 24)[0] if kind == EXTENSIBLE and len(chunk) >= 40 else kind, bits, channels
+            elif tag == b"data" and form:
+                left = size - at - 8
+                return form, at + 8, left if n == 0xFFFFFFFF else min(n, left)
+            at += 8 + n + (n & 1)
+    raise ValueError(f"{path}: no fmt or data chunk")
+
+
+class _FrameReader(DataSourceReader):
+    def __init__(self, path: str, frames: int):
+        self.path, self.frames = path, frames
+
+    def partitions(self) -> list[_Range]:
+        out = []
+        for path in matching(self.path, (".wav",)):
+            form, at, n_bytes = body_of(path)
+            width = form[1] // 8 * form[2]
+            n = n_bytes // width if width else 0
+            out += [_Range(path, at + i * width, i, min(self.frames, n - i), form) for i in range(0, n, self.frames)]
+        return out
+
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+        tag, bits, channels = part.form
+        width = bits // 8 * channels
+        with open(part.path, "rb") as f:
+            f.seek(part.at)
+            for i in range(0, part.frames, BATCH):
+                n = min(BATCH, part.frames - i)
+                v = samples_of(memoryview(f.read(n * width)), tag, bits).reshape(-1, channels)
+                pos = np.arange(part.first + i, part.first + i + len(v), dtype=np.int64)
+                columns = [pa.array([part.path] * len(v)), pa.array(pos), pa.array(v[:, 0].copy()), pa.array(v[:, min(channels, 2) - 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "pos", "l", "r"])
+
+
+class WavFrames(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "wav_frames"
+
+    def schema(self) -> str:
+        return FRAME
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _FrameReader(self.options["path"], int(self.options.get("frames", RANGE)))
+
+
+def read_frames(spark: SparkSession, path: str, frames: int = RANGE) -> DataFrame:
+    """(path, pos, l, r) of the WAVE file, glob or folder; a partition for each
+    ``frames`` frames of a file."""
+    spark.dataSource.register(WavFrames)
+    return spark.read.format("wav_frames").option("frames", frames).load(path)
+
+
 def header(n_bytes: int, rate: int, channels: int, kind: str) -> bytes:
     tag, bits = (FLOAT, 32) if kind == "float32" else (PCM, 16)
     width, top = channels * bits // 8, 0xFFFFFFFF
