@@ -15,7 +15,7 @@ from ..sources import events as event_source
 from ..sources import fixtures, midi, shared, soundfont, wav
 from ..sources.events import BLOCK, events, read
 from ..sources.shared import fresh_path
-from ..streaming import live, stateful
+from ..streaming import live, metrics, stateful
 from .registry import EV, query
 
 #: Ticks of a generated file count seconds from 2024 on.
@@ -216,3 +216,21 @@ def pool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Note-ons as candidates of a pool a shard; one in eight waits a block."""
     on = events(spark, sf_dir).filter("kind = 'note_on'")
     return on.select((F.col("slot") % 4).alias("shard"), F.timestamp_micros("micros").alias("time"), F.lit("voice").alias("kind"), F.expr("block + if(k % 8 = 0, 1, 0)").alias("block"), F.col("seq").alias("idx"), F.col("seq").alias("id"), (F.col("value") / 100).alias("gain"), F.expr("block + 1 + k % 3").alias("ends"), F.col("block").alias("own"))
+
+
+@query("with b as (select event_id, value, event_type, least((event_id - lo) * 4 // greatest(hi - lo + 1, 1), 3) as batch from events, (select min(event_id) as lo, max(event_id) as hi from events)) select cast(batch as bigint) as batch, count(*) as rows, count(*) filter (where event_type in ('click', 'view')) as ons, round(max(value), 6) as peak, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total from b group by 1")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener records of a stream that is started four times from its
+    checkpoint, each time with a fourth of the events."""
+    rows = read(spark, sf_dir, "events")
+    path = f"{shared.shared_dir(spark)}/metrics-stream-{uuid.uuid4().hex}"
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    at = F.least(F.floor((F.col("event_id") - F.lit(low)) * 4 / F.greatest(F.lit(high) - F.lit(low) + 1, F.lit(1))), F.lit(3))
+    got = spark.createDataFrame([], metrics.SCHEMA)
+    for i in range(4):
+        rows.filter(at == i).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        seen = metrics.observe(stream, "events", ons=F.count_if(F.col("event_type").isin("click", "view")), peak=F.max("value"), total=F.sum(F.round(F.col("value") * 100).cast("long")))
+        got = got.unionByName(metrics.run(seen, f"{path}/checkpoint", f"{path}/out"))
+    of = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    return got.groupBy("batch").agg(*[of(n).cast("long").alias(n) for n in ("rows", "ons", "total")], F.round(of("peak"), 6).alias("peak"))
