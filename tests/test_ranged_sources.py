@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonemill.sources import fixtures, midi, wav
+from tonemill.sources import fixtures, midi, soundfont, wav
 
 
 def save(path, data, channels=2, bits=16, tag=1, before=b""):
@@ -111,3 +111,17 @@ def test_a_restart_without_news_reads_nothing(spark, tmp_path):
     out = str(tmp_path / "out")
     first = follow(spark, str(tmp_path / "a.mid"), out).count()
     assert follow(spark, str(tmp_path / "a.mid"), out).count() == first > 100
+
+
+def test_a_big_font_has_a_sample_a_key(spark, tmp_path):
+    path = str(tmp_path / "big.sf2")
+    fixtures.big_soundfont(path, 1.5)
+    assert 1.5 * 2**20 - 200 <= os.path.getsize(path) < 1.6 * 2**20
+    recs = soundfont.records(spark, path)
+    got = soundfont.regions(recs).orderBy("key_lo").select("key_lo", "key_hi", "sample", "loop_mode").collect()
+    assert [tuple(r) for r in got] == [(k, k, k - 21, "continuous") for k in range(21, 109)]
+    n = int(1.5 * 2**20) // 2 // 88
+    rows = soundfont.samples(recs).orderBy("sample").collect()
+    assert [(r["root_key"], r["start"], r["end"], r["loop_start"]) for r in rows] == [(k, i * n, i * n + n, i * n + n // 2) for i, k in enumerate(range(21, 109))]
+    pcm = {r["sample"]: tuple(r["pcm"]) for r in soundfont.fetch(recs).collect()}
+    assert len(pcm) == len(set(pcm.values())) == 88

@@ -100,6 +100,22 @@ def rich_soundfont(path: str) -> None:
     soundfont.write_file(path, presets, [("Rich", zones)], rows, pcm)
 
 
+def big_soundfont(path: str, megabytes: float, rate: int = 44_100) -> None:
+    """A looped sample of its own for each of a piano's keys, ``megabytes`` in
+    all: a slowly beating pair and an octave, so that no two are alike."""
+    keys = range(21, 109)
+    n = max(int(megabytes * 2**20) // 2 // len(keys), 1024)
+    turns = np.arange(n) * (2 * math.pi / rate)
+
+    def tone(key: int) -> np.ndarray:
+        w = turns * (440 * 2 ** ((key - 69) / 12))
+        return np.round((np.sin(w) / 2 + np.sin(w * 1.003) * 0.3 + np.sin(w * 2) * 0.15) * 20_000).astype(np.int16)
+
+    zones = [[("key_range", k + 256 * k), ("attack", -8000), ("decay", 1200), ("sustain", 100), ("release", -1200), ("modes", 1), ("sample", i)] for i, k in enumerate(keys)]
+    rows = [(f"key {k}", i * n, (i + 1) * n, i * n + n // 2, (i + 1) * n, rate, k, 0, 0, 1) for i, k in enumerate(keys)]
+    soundfont.write_file(path, [("Big", 0, 0, [[("instrument", 0)]])], [("Big", zones)], rows, np.concatenate([tone(k) for k in keys]))
+
+
 def write_all(spark: SparkSession, folder: str) -> dict[str, str]:
     """Small files of every kind, for trying things out."""
     logs = {"scatter": scatter(spark, 1000, 10, 4), "simultaneous": simultaneous(spark, 2000, 4), "sustained": sustained(spark, 1000, 10)}
