@@ -102,3 +102,57 @@ def test_registered_stream_equals_the_batch(spark):
     cand = rows.join(off, "shard").withColumn("ends", F.least("ends", F.col("off") + 1))
     want = sorted(tuple(r) for r in folds.pool_fold(cand, 40).collect())
     assert got == want and len(got) > 10
+
+
+class Kept:
+    """State in memory, of any kind, that counts the rows it hands out."""
+
+    def __init__(self):
+        self.rows, self.read = {}, 0
+
+    def _given(self, rows):
+        self.read += sum(len(r[0]) if isinstance(r[0], list) else 1 for r in rows)
+        return rows
+
+    exists = lambda self: bool(self.rows)
+    clear = lambda self: self.rows.clear()
+    update = lambda self, row: self.rows.update({0: [row]})
+    put = lambda self, rows: self.rows.update({0: list(rows)})
+    appendList = lambda self, rows: self.rows.setdefault(0, []).extend(rows)
+    containsKey = lambda self, key: key in self.rows
+    updateValue = lambda self, key, row: self.rows.update({key: [row]})
+    removeKey = lambda self, key: self.rows.pop(key)
+    getValue = lambda self, key: self._given(self.rows[key])[0]
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def state(self, name, *_):
+        kept = self.states.setdefault(name, Kept())
+        kept.get = (lambda: kept._given(kept.rows[0])[0]) if name == "at" else (lambda: iter(kept._given(kept.rows.get(0, []))))
+        return kept
+
+    getListState = getMapState = getValueState = state
+    registerTimer = lambda self, at: self.timers.add(at)
+
+
+def test_a_closing_block_reads_its_own_queue_only(monkeypatch):
+    import types
+
+    import pandas as pd
+
+    monkeypatch.setattr(stateful, "_ROWS", 100, raising=False)
+    handle = Handle()
+    processor = stateful.PoolProcessor(8, 2, "quietest", 1000, 1, 4)
+    processor.init(handle)
+    rng = random.Random(1)
+    rows = [("voice", i % 50, i, i, rng.random(), i % 50 + i % 3) for i in range(1000)]
+    rng.shuffle(rows)
+    batch = pd.DataFrame(rows, columns=["kind", "block", "idx", "id", "gain", "ends"])
+    list(processor.handleInputRows((0,), iter([batch[:300], batch[300:]]), None))
+    out = [r for t in sorted(handle.timers) for b in processor.handleExpiredTimer((0,), None, types.SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)) for r in b.itertuples(index=False)]
+    assert [(r.block, r.want) for r in out] == [(b, 20) for b in range(50)]
+    assert sum(r.take for r in out) > 50 and handle.states["queue"].read == 1000
+    assert not handle.states["queue"].rows and not handle.states["parts"].rows

@@ -203,7 +203,7 @@ def stream_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = (high - low) / 4 if low is not None else None
     for i in range(4):  # files in order of time, read one batch after the other
         part = rows.limit(0) if span is None else rows.filter((F.col("time") >= F.lit(low + span * i)) & (F.lit(i == 3) | (F.col("time") < F.lit(low + span * (i + 1)))))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(1).write.mode("append").parquet(path)  # read in parallel, one file
     # A shard ends with its last event; the rows that say so come behind all others.
     ends = rows.groupBy("shard").agg(F.max("time").alias("time"), F.max("own").alias("block")).withColumn("time", F.lit(high) + F.expr("interval 30 days"))
     last = ends.select("shard", "time", F.lit("end").alias("kind"), "block", *[F.lit(0).cast("long").alias(c) for c in ("idx", "id")], F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("ends"), F.col("block").alias("own"))

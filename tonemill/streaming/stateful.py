@@ -32,6 +32,8 @@ from ..operators.folds import _POOL, _POOL_NAMES, Held, most_stolen
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _OUT = _POOL + ", cut long"
 _NAMES = [*_POOL_NAMES, "cut"]
+#: Rows of a shard's batch that are held at a time, before they go to its queue.
+_ROWS = 1 << 20
 
 
 def _with_state(spark: SparkSession) -> None:
@@ -46,48 +48,75 @@ class PoolProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", "block long, idx long, id long, gain double, ends long")
+        # A block's queue in parts, each written once and read once, when the block closes.
+        self.queue = handle.getMapState("queue", "block long, part long", "idx array<long>, id array<long>, gain array<double>, ends array<long>")
+        self.parts = handle.getMapState("parts", "block long", "n long")
         self.held = handle.getListState("held", "id long, gain double, ends long")
         # The first block that is open, and the one in which sound went off (-1: not yet).
         self.at = handle.getValueState("at", "open long, off long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first, off = self.at.get() if self.at.exists() else (0, -1)
-        batch = pd.concat(list(rows), ignore_index=True)
-        ended = batch[batch["kind"] == "end"]
-        fresh = batch[(batch["kind"] != "end") & (off < 0)]
-        if len(ended) and off < 0:
-            off = max(int(ended["block"].min()), first)
+        silent, ended, waiting, n = off >= 0, None, [], 0
+        for batch in rows:
+            end = batch["kind"] == "end"
+            if end.any():
+                last = int(batch.loc[end, "block"].min())
+                ended = last if ended is None else min(ended, last)
+            if not silent:
+                waiting.append(batch.loc[~end, ["block", "idx", "id", "gain", "ends"]])
+                n += len(waiting[-1])
+            if n >= _ROWS:
+                self._queue(pd.concat(waiting, ignore_index=True), first)
+                waiting, n = [], 0
+        if n:
+            self._queue(pd.concat(waiting, ignore_index=True), first)
+        if ended is not None and not silent:
+            off = max(ended, first)
             self.handle.registerTimer((off + self.tail + 1) * self.millis)
-        blocks = np.maximum(fresh["block"].to_numpy(), first)
-        if len(fresh):
-            self.queue.appendList(list(zip(blocks.tolist(), fresh["idx"].tolist(), fresh["id"].tolist(), fresh["gain"].fillna(0.0).tolist(), fresh["ends"].tolist(), strict=True)))
-        for block in set(blocks.tolist()):
-            self.handle.registerTimer((block + 1) * self.millis)
         self.at.update((first, off))
         yield pd.DataFrame(columns=_NAMES)
 
+    def _queue(self, fresh: pd.DataFrame, first: int) -> None:
+        fresh = fresh.assign(block=np.maximum(fresh["block"], first), gain=fresh["gain"].fillna(0.0))
+        for block, g in fresh.groupby("block"):
+            block = int(block)
+            n = self.parts.getValue((block,))[0] if self.parts.containsKey((block,)) else 0
+            if not n:
+                self.handle.registerTimer((block + 1) * self.millis)
+            self.queue.updateValue((block, n), tuple(g[c].tolist() for c in ("idx", "id", "gain", "ends")))
+            self.parts.updateValue((block,), (n + 1,))
+
+    def _due(self, block: int) -> tuple[np.ndarray, ...]:
+        """Ids, gains and ends of a block that closes, in order; taken off the queue."""
+        got = []
+        for part in range(self.parts.getValue((block,))[0]):
+            got.append([np.array(c, t) for c, t in zip(self.queue.getValue((block, part)), (np.int64, np.int64, float, np.int64), strict=True)])
+            self.queue.removeKey((block, part))
+        self.parts.removeKey((block,))
+        idx, ids, gains, ends = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((ends, gains, ids, idx))
+        return ids[order], gains[order], ends[order]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         first, off = self.at.get() if self.at.exists() else (0, -1)
         before = expiredTimerInfo.getExpiryTimeInMs() // self.millis  # blocks below are over
         out: list[tuple] = []
         if before > first:
-            queue = sorted(self.queue.get()) if self.queue.exists() else []
-            held = self.held.get() if self.held.exists() else []
-            pool = Held(*(np.array(c, t) for c, t in zip(zip(*held, strict=True), (np.int64, float, np.int64), strict=True))) if (held := list(held)) else Held()
+            held = list(self.held.get()) if self.held.exists() else []
+            pool = Held(*(np.array(c, t) for c, t in zip(zip(*held, strict=True), (np.int64, float, np.int64), strict=True))) if held else Held()
             silent = lambda ends: np.minimum(ends, off + self.release) if off >= 0 else ends
-            due = [q for q in queue if q[0] < before]
-            for block in sorted({q[0] for q in due}):
-                ids, gains, ends = (np.array(c) for c in list(zip(*(q for q in due if q[0] == block), strict=True))[2:])
+            # Timers expire in order of time, and each block in the queue has one.
+            if self.parts.containsKey((before - 1,)):
+                ids, gains, ends = self._due(before - 1)
                 pool.ends = silent(pool.ends)
-                out.append((key[0], block, *pool.decide(block, ids, gains.astype(float), silent(ends), self.cap, self.most, self.steal), 0))
+                out.append((key[0], before - 1, *pool.decide(before - 1, ids, gains, silent(ends), self.cap, self.most, self.steal), 0))
             pool.ends = silent(pool.ends)
             if off >= 0 and before > off + self.tail:
                 pool.keep(pool.ends > off + self.tail)
                 if len(pool.ids):
                     out.append((key[0], off + self.tail + 1, 0, 0, 0, 0, 0, len(pool.ids), 0, 0, len(pool.ids)))
                 pool = Held()
-            self._put(self.queue, [tuple(q) for q in queue if q[0] >= before])
             self._put(self.held, list(zip(pool.ids.tolist(), pool.gains.tolist(), pool.ends.tolist(), strict=True)))
             self.at.update((before, off))
         yield pd.DataFrame(out, columns=_NAMES)
