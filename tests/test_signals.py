@@ -310,8 +310,6 @@ def test_config():
 
 def test_sustained_slots_of_odd_pedals(spark, monkeypatch):
     """Against each slot's own list of events; presses may be null, slots have no channel."""
-    import random
-
     monkeypatch.setattr(gates, "CHUNK", 3)
     rng = random.Random(5)
     rows = []
@@ -359,3 +357,10 @@ def test_no_row_of_a_slot_and_a_change_is_shuffled(spark):
     # Behind the spelling out of changes there is neither exchange nor sort.
     behind = plan.split("\n   +- ")[1].split("Generate explode(c")
     assert len(behind) == 2 and not any(n in behind[0] for n in ("Exchange", "Sort", "Window"))
+
+
+def test_fixed_scale_cuts_exactly(spark):
+    """Fractions of up to 1 - 2^-24, which six digits round up; both signs."""
+    pairs = [(v, f) for v in (1, (1 << 24) - 1, 1_704_067_211_172_425, -5, 0) for f in ((1 << 24) - 1, (1 << 24) + 99_991 * 99, 1)]
+    got = spark.createDataFrame(pairs, "v long, f long").select("v", "f", numbers.fixed_scale(F.col("v"), F.col("f")).alias("s")).collect()
+    assert {(r["v"], r["f"]): r["s"] for r in got} == {(v, f): abs(v * f) // (1 << 24) * (-1 if v < 0 else 1) for v, f in pairs}

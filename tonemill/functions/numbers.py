@@ -115,9 +115,10 @@ def lfo_rate(value: Column) -> Column:
 
 
 def fixed_scale(value: Column, factor: Column) -> Column:
-    """value * factor / 2^24 in whole numbers, without overflow."""
+    """value * factor / 2^24 in whole numbers, cut towards 0, without overflow.
+    A quotient of decimals would be rounded to six digits before it is cut."""
     product = value.cast("decimal(20,0)") * factor.cast("decimal(18,0)")
-    return F.floor(product / F.lit(1 << 24).cast("decimal(10,0)")).cast("long")
+    return F.call_function("div", product, F.lit(1 << 24).cast("decimal(10,0)"))
 
 
 def gain_rank(gain: Column) -> Column:
