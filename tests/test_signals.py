@@ -364,3 +364,18 @@ def test_fixed_scale_cuts_exactly(spark):
     pairs = [(v, f) for v in (1, (1 << 24) - 1, 1_704_067_211_172_425, -5, 0) for f in ((1 << 24) - 1, (1 << 24) + 99_991 * 99, 1)]
     got = spark.createDataFrame(pairs, "v long, f long").select("v", "f", numbers.fixed_scale(F.col("v"), F.col("f")).alias("s")).collect()
     assert {(r["v"], r["f"]): r["s"] for r in got} == {(v, f): abs(v * f) // (1 << 24) * (-1 if v < 0 else 1) for v, f in pairs}
+
+
+def test_lookup_spells_out_the_first_zones_of_a_band_only(spark):
+    """Every zone of a band holds the same hits; two layers need two of each."""
+    from tonemill.operators import zones
+
+    rows = [("a", i, i % 2 * 10, i % 2 * 10 + 20, 0, 60 + i % 3 * 30) for i in range(60)] + [("b", 99, -5, 200, 0, 127)]
+    df = spark.createDataFrame(rows, "preset string, region long, key_lo long, key_hi long, vel_lo long, vel_hi long")
+    asked = [(i, p, k, v) for i, (p, k, v) in enumerate((p, k, v) for p in "abc" for k in (0, 5, 15, 25, 127) for v in (1, 80, 127))]
+    out = zones.lookup(spark.createDataFrame(asked, "id long, preset string, key long, vel long"), df, "region", 2, ["id"])
+    want = {(i, r[1], n + 1) for i, p, k, v in asked for n, r in enumerate([r for r in rows if r[0] == p and r[2] <= k <= r[3] and r[4] <= v <= r[5]][:2])}
+    assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(preset" in plan and "key_lo" in plan.split("row_number() windowspecdefinition(preset")[1]
+    assert "SortMergeJoin [preset" in plan

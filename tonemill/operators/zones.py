@@ -15,9 +15,13 @@ def by_key(zones: DataFrame) -> DataFrame:
 
 def lookup(hits: DataFrame, zones: DataFrame, order: str, layers: int, hit_key: list[str]) -> DataFrame:
     """The first ``layers`` zones by ``order`` that hold each hit's preset, key
-    and velocity. Hits that ask alike are looked up once."""
+    and velocity. Hits that ask alike are looked up once. Zones of one band hold
+    the same hits, so only the first ``layers`` of each are spelled out by key;
+    the size of what is spelled out can't be foreseen, so it is never broadcast."""
     asked = hits.select("preset", "key", "vel").distinct()
-    found = asked.join(by_key(zones), ["preset", "key"]).filter(F.col("vel").between(F.col("vel_lo"), F.col("vel_hi")))
+    band = Window.partitionBy("preset", "key_lo", "key_hi", "vel_lo", "vel_hi").orderBy(order)
+    first_of = zones.withColumn("_n", F.row_number().over(band)).filter(F.col("_n") <= layers).drop("_n")
+    found = asked.join(by_key(first_of).hint("merge"), ["preset", "key"]).filter(F.col("vel").between(F.col("vel_lo"), F.col("vel_hi")))
     w = Window.partitionBy("preset", "key", "vel").orderBy(order)
     first = found.withColumn("layer", F.row_number().over(w)).filter(F.col("layer") <= layers).select("preset", "key", "vel", order, "layer")
     return hits.join(first, ["preset", "key", "vel"]).select(*hit_key, order, "layer")
