@@ -379,3 +379,18 @@ def test_lookup_spells_out_the_first_zones_of_a_band_only(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "row_number() windowspecdefinition(preset" in plan and "key_lo" in plan.split("row_number() windowspecdefinition(preset")[1]
     assert "SortMergeJoin [preset" in plan
+
+
+def test_flatten_spells_pairs_out_last(spark, monkeypatch):
+    from tonemill.operators import zones
+
+    monkeypatch.setattr(zones, "CHUNK", 3, raising=False)
+    rng = random.Random(7)
+    outer = [(i, i % 2 if i % 11 else None, rng.choice([0, 40]), rng.choice([20, 60]), f"n{i}") for i in range(40)]
+    inner = [(i, i % 2, rng.choice([10, 50]), rng.choice([30, 55])) for i in range(30)]
+    out = zones.flatten(spark.createDataFrame(outer, "id long, instrument long, key_lo long, key_hi long, name string"), spark.createDataFrame(inner, "zone long, instrument long, key_lo long, key_hi long"))
+    want = [(*o, z, max(min(o[2:4]), lo), min(max(o[2:4]), hi)) for o in outer for z, ins, lo, hi in inner for lo, hi in [sorted((lo, hi))] if ins == o[1] and max(min(o[2:4]), lo) <= min(max(o[2:4]), hi)]
+    got = [tuple(r) for r in out.select("id", "instrument", "key_lo", "key_hi", "name", "zone", "low", "high").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Join" not in plan[: plan.index("Generate")]

@@ -46,12 +46,32 @@ def intersect(lo: Column, hi: Column, lo2: Column, hi2: Column) -> tuple[Column,
     return F.greatest(a, c), F.least(b, d)
 
 
+#: Zones of one band that are kept in one row.
+CHUNK = 512
+
+
+def _banded(zones: DataFrame, name: str) -> DataFrame:
+    """(instrument, key_lo, key_hi, name): the other columns of up to CHUNK zones
+    of a band as an array."""
+    band = ["instrument", "key_lo", "key_hi"]
+    place = F.row_number().over(Window.partitionBy(*band).orderBy(F.lit(0)))
+    numbered = zones.withColumn("_n", place).withColumn("_part", F.expr(f"(_n - 1) div {CHUNK}"))
+    return numbered.groupBy(*band, "_part").agg(F.collect_list(F.struct(*[c for c in zones.columns if c not in band])).alias(name)).drop("_part")
+
+
 def flatten(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Preset zones joined to their instrument's zones where their key ranges
-    meet; both have instrument, key_lo and key_hi."""
-    i = inner.select("instrument", "zone", F.col("key_lo").alias("_lo"), F.col("key_hi").alias("_hi"))
+    meet; both have instrument, key_lo and key_hi. Bands meet first, a part of
+    their zones a row; pairs of zones are spelled out last, as there may be as
+    many as the product of an instrument's zones."""
+    o = _banded(outer, "_outer")
+    i = _banded(inner.select("instrument", "zone", "key_lo", "key_hi"), "_inner").withColumnsRenamed({"key_lo": "_lo", "key_hi": "_hi"})
     lo, hi = intersect(F.col("key_lo"), F.col("key_hi"), F.col("_lo"), F.col("_hi"))
-    return outer.join(i, "instrument").withColumns({"low": lo, "high": hi}).filter("low <= high").drop("_lo", "_hi")
+    met = o.join(i, "instrument").withColumns({"low": lo, "high": hi}).filter("low <= high")
+    # Instruments are few and may be large; pairs of bands spread evenly.
+    spread = met.repartition("instrument", "key_lo", "key_hi", "_lo", "_hi")
+    each = spread.withColumn("_o", F.explode("_outer")).withColumn("_i", F.explode("_inner"))
+    return each.select(*[F.col(c) if c in ("instrument", "key_lo", "key_hi") else F.col(f"_o.{c}") for c in outer.columns], "_i.zone", "low", "high")
 
 
 def layered(default: Column, overrides: list[Column], offset: Column, bits: int = 16) -> Column:
