@@ -394,3 +394,15 @@ def test_flatten_spells_pairs_out_last(spark, monkeypatch):
     assert sorted(got) == sorted(want) and len(want) > 100
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "Join" not in plan[: plan.index("Generate")]
+
+
+def test_kernel_sums_cover_a_tasks_own_frames(spark):
+    """Voices come in no order; blocks made are those that hold sound, about once."""
+    fixed = {"held": 3, "step": 1.0, "gain_l": 1.0, "gain_r": 0.5, "attack_rate": 1.0, "attack_end": 1.0, "decay_coef": 0.99, "sustain": 0.5, "release_coef": 0.5}
+    none = {n: F.lit(None).cast("double") for n in ("loop_start", "loop_end", "b0", "b1", "a1", "a2")}
+    df = spark.range(64_000).selectExpr("id as voice", "(id * 7919) % 64000 * 10 as start", "array(1D, 1D) as pcm").withColumns({n: F.lit(v) for n, v in fixed.items()} | none).repartition(7)
+    for by in (render.by_kernel, render.by_plan):
+        out = by(df)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning((start" in plan
+        assert out.count() == 128_000

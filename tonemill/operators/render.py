@@ -62,6 +62,12 @@ def read_at(place: Column) -> Column:
     return x(i) + (x(after) - x(i)) * (place - i)
 
 
+def _dealt(voices: DataFrame, frames: int) -> DataFrame:
+    """voices in order of start, those that begin within ``frames`` in one task:
+    a task's sums then cover its own frames, not all there are."""
+    return voices.repartition(F.expr(f"start div {frames}")).sortWithinPartitions("start")
+
+
 def by_plan(voices: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(frame, l, r) of the mix, in built-in functions only."""
     span = F.col("loop_end") - F.col("loop_start")
@@ -73,7 +79,7 @@ def by_plan(voices: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     # The array of a voice's frames is made in its own row, so the sample isn't
     # copied once a frame.
-    counted = voices.withColumn("_n", frames_of(limit)).filter("_n > 0")
+    counted = _dealt(voices.withColumn("_n", frames_of(limit)).filter("_n > 0"), 1 << 14).withColumn("pcm", F.col("pcm").cast("array<double>"))
     sounded = counted.select("start", "gain_l", "gain_r", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), value).alias("ys"))
     each = sounded.select("gain_l", "gain_r", "start", F.posexplode("ys").alias("n", "y")).filter("y <> 0")
     return each.groupBy((F.col("start") + F.col("n")).alias("frame")).agg(F.sum(F.col("y") * F.col("gain_l")).alias("l"), F.sum(F.col("y") * F.col("gain_r")).alias("r"))
@@ -153,6 +159,6 @@ def by_kernel(voices: DataFrame, block: int = 4096, limit: int = LIMIT) -> DataF
                 lo = hi
 
     rows = voices.withColumn("_n", frames_of(limit)).filter("_n > 0").select("_n", "pcm", *FIELDS)
-    parts = rows.mapInPandas(run, "block long, ls array<double>, rs array<double>")
+    parts = _dealt(rows, 4 * block).mapInPandas(run, "block long, ls array<double>, rs array<double>")
     each = parts.select("block", F.posexplode(F.arrays_zip("ls", "rs")).alias("i", "v")).filter("v.ls <> 0 or v.rs <> 0")
     return each.groupBy((F.col("block") * block + F.col("i")).alias("frame")).agg(F.sum("v.ls").alias("l"), F.sum("v.rs").alias("r"))
