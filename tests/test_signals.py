@@ -406,3 +406,12 @@ def test_kernel_sums_cover_a_tasks_own_frames(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange hashpartitioning((start" in plan
         assert out.count() == 128_000
+
+
+def test_plan_has_no_interpreted_frames(spark):
+    """Frames are rows of one generated stage, not an array's function."""
+    fixed = {"held": 3, "step": 1.0, "gain_l": 1.0, "gain_r": 0.5, "attack_rate": 1.0, "attack_end": 1.0, "decay_coef": 0.99, "sustain": 0.5, "release_coef": 0.5}
+    none = {n: F.lit(None).cast("double") for n in ("loop_start", "loop_end", "b0", "b1", "a1", "a2")}
+    out = render.by_plan(spark.range(4).selectExpr("id * 5 as start", "array(1D, 1D) as pcm").withColumns({n: F.lit(v) for n, v in fixed.items()} | none))
+    assert "transform(" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["frame"] for r in out.orderBy("frame").collect()] == [0, 1, 5, 6, 10, 11, 15, 16]

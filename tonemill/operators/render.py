@@ -77,11 +77,10 @@ def by_plan(voices: DataFrame, limit: int = LIMIT) -> DataFrame:
         place = F.when(F.col("loop_end").isNull() | (straight < F.col("loop_end")), straight).otherwise(F.col("loop_start") + F.pmod(straight - F.col("loop_start"), span))
         return read_at(place) * level(n + 1, F.col("held"))
 
-    # The array of a voice's frames is made in its own row, so the sample isn't
-    # copied once a frame.
+    # Frames are spelled out and worked out in one generated stage, in which the
+    # sample isn't copied; as a function over an array they would be interpreted.
     counted = _dealt(voices.withColumn("_n", frames_of(limit)).filter("_n > 0"), 1 << 14).withColumn("pcm", F.col("pcm").cast("array<double>"))
-    sounded = counted.select("start", "gain_l", "gain_r", F.transform(F.sequence(F.lit(0), F.col("_n") - 1), value).alias("ys"))
-    each = sounded.select("gain_l", "gain_r", "start", F.posexplode("ys").alias("n", "y")).filter("y <> 0")
+    each = counted.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("y", value(F.col("n"))).filter("y <> 0")
     return each.groupBy((F.col("start") + F.col("n")).alias("frame")).agg(F.sum(F.col("y") * F.col("gain_l")).alias("l"), F.sum(F.col("y") * F.col("gain_r")).alias("r"))
 
 
