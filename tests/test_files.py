@@ -182,3 +182,31 @@ def test_voices_that_exist(spark):
     rows = [(10, 1.0), (0, 1.0), (10, 0.0), (10, float("nan")), (10, float("inf")), (10, None), (None, 1.0)]
     df = spark.createDataFrame(rows, "n long, r double")
     assert [r[0] for r in df.select(zones.sounds(df.n, df.r)).collect()] == [True] + [False] * 6
+
+
+def test_a_task_writes_its_frames_as_they_come(tmp_path, monkeypatch):
+    from tonemill.sources import wav
+
+    monkeypatch.setattr(wav, "BATCH", 10)
+    seen = []
+
+    def rows():
+        for i in range(95):
+            seen.append(len(list(tmp_path.iterdir())))
+            yield {"pos": i + 7, "l": i / 100, "r": -i / 100}
+
+    writer = wav._Writer(str(tmp_path / "s.wav"), 8000, "pcm16")
+    part = writer.write(rows())
+    assert (part.start, part.size, seen[-1]) == (7, 95 * 4, 1)
+    writer.commit([part, writer.write(iter([]))])
+    got = wav.decode((tmp_path / "s.wav").read_bytes())["samples"]
+    assert [round(x * 32_768) for x in got[::2].tolist()] == [int(i / 100 * 32_767 + 0.5) for i in range(95)]
+
+
+def test_wav_scan_holds_no_whole_file(spark, monkeypatch):
+    from tonemill import plans
+    from tonemill.sources import wav
+
+    monkeypatch.setattr(wav, "decode", None)
+    monkeypatch.setattr(wav, "read", lambda *_: (_ for _ in ()).throw(AssertionError("a whole file as one row")))
+    assert plans.QUERIES["wav_scan"](spark, "/root/testdata/sf0.001").count() == 1000

@@ -57,10 +57,11 @@ def midi_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id as pos, round(cast(round(least(greatest(value / 100 - 1, -1), 1) * 32767) as double) / 32768, 6) as l, round(cast(round(least(greatest(1 - value / 100, -1), 1) * 32767) as double) / 32768, 6) as r from events")
 def wav_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signal written as 16-bit WAVE by range-partitioned tasks, read back."""
+    """A signal written as 16-bit WAVE by range-partitioned tasks, read back in
+    the largest ranges."""
     path = fresh_path(spark, "signal.wav")
     wav.write(read(spark, sf_dir, "events").selectExpr("event_id as pos", "value / 100 - 1 as l", "1 - value / 100 as r"), path, kind="pcm16")
-    rows = wav.frames(wav.read(spark, path))
+    rows = wav.read_frames(spark, path)
     return rows.select("pos", F.round(F.col("l").cast("double"), 6).alias("l"), F.round(F.col("r").cast("double"), 6).alias("r"))
 
 
@@ -116,7 +117,7 @@ def sf2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pcm = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("pcm"))
+    pcm = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("pcm"))
     fixed = {"step": 1.0, "attack_rate": 1.0, "attack_end": 1.0, "decay_coef": 0.99, "sustain": 0.5, "release_coef": 0.9}
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("voice"), (F.col("p_partkey") * 3).alias("start"), F.col("p_size").cast("long").alias("held"), (F.col("p_partkey") % 500).alias("vec_id"), (F.col("p_size") / 50).alias("gain_l"), (1 - F.col("p_size") / 100).alias("gain_r"))
     none = {n: F.lit(None).cast("double") for n in ("loop_start", "loop_end", "b0", "b1", "a1", "a2")}

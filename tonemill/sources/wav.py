@@ -17,6 +17,7 @@ beyond 4 GiB is written as the largest the header holds.
 
 from __future__ import annotations
 
+import itertools
 import os
 import shutil
 import struct
@@ -211,19 +212,20 @@ class _Writer(DataSourceWriter):
         self.path, self.rate, self.kind = path.removeprefix("file://"), rate, kind
 
     def write(self, rows: Iterator) -> _Part:
-        got = [(r["pos"], r["l"], r["r"]) for r in rows]
-        if not got:
+        first = next(rows, None)
+        if first is None:
             return _Part(None, None, 0)
-        v = np.array([(x, y) for _, x, y in got])
-        if self.kind == "pcm16":
-            scaled = np.clip(v, -1, 1) * 32_767
-            data = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype("<i2").tobytes()
-        else:
-            data = v.astype("<f4").tobytes()
-        part = f"{self.path}.{uuid.uuid4().hex}.part"
+        part, size, rows = f"{self.path}.{uuid.uuid4().hex}.part", 0, itertools.chain([first], rows)
         with open(part, "wb") as f:
-            f.write(data)
-        return _Part(got[0][0], part, len(data))
+            while batch := [(r["l"], r["r"]) for r in itertools.islice(rows, BATCH)]:
+                size += f.write(self._bytes(np.array(batch)))
+        return _Part(first["pos"], part, size)
+
+    def _bytes(self, v: np.ndarray) -> bytes:
+        if self.kind != "pcm16":
+            return v.astype("<f4").tobytes()
+        scaled = np.clip(v, -1, 1) * 32_767
+        return (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype("<i2").tobytes()
 
     def commit(self, messages: list) -> None:
         parts = sorted((m for m in messages if m and m.path), key=lambda m: m.start)
