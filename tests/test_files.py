@@ -210,3 +210,10 @@ def test_wav_scan_holds_no_whole_file(spark, monkeypatch):
     monkeypatch.setattr(wav, "decode", None)
     monkeypatch.setattr(wav, "read", lambda *_: (_ for _ in ()).throw(AssertionError("a whole file as one row")))
     assert plans.QUERIES["wav_scan"](spark, "/root/testdata/sf0.001").count() == 1000
+
+
+def test_sf2_regions_parses_files_once(spark):
+    from tonemill import plans
+
+    plan = plans.QUERIES["sf2_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sf2-records" in plan and "MapInPandas" not in plan

@@ -111,7 +111,8 @@ def sf2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.expr(f"p_partkey div {_ZONES}").alias("font"))
     parts.groupBy("font").applyInPandas(write, "font long").write.format("noop").mode("overwrite").save()
-    got = soundfont.regions(soundfont.records(spark, folder))
+    # Seven tables are made of the records: files are parsed once.
+    got = soundfont.regions(shared.written(soundfont.records(spark, folder), "sf2-records"))
     font = F.regexp_extract("path", r"([0-9]+)\.sf2$", 1).cast("long")
     return got.select(font.alias("font"), "preset_name", F.col("bank").cast("long").alias("bank"), F.col("program").cast("long").alias("program"), F.col("i_zone").cast("long").alias("zone"), F.col("sample").cast("long").alias("sample"), F.col("key_lo").cast("long").alias("key_lo"), F.col("key_hi").cast("long").alias("key_hi"), "attenuation_cb", "pan", "loop_mode", F.round("attack", 6).alias("attack"), F.round("sustain", 6).alias("sustain"), "filter_fc_cents")
 
