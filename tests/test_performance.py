@@ -301,3 +301,22 @@ def test_limited_mix_stays_below_the_ceiling(spark):
     for f in range(19, 300):
         assert (out[f]["l"], out[f]["r"]) == pytest.approx((rows[f - 19]["l"], rows[f - 19]["r"]), rel=0.35, abs=1e-3)
         assert out[f]["l"] * rows[f - 19]["r"] == pytest.approx(out[f]["r"] * rows[f - 19]["l"], abs=1e-9)
+
+
+def test_stretches_of_blocks_are_played_apart(spark, monkeypatch):
+    """However blocks are cut into stretches the mix is the same, and a stretch's
+    task goes on only while its own voices live."""
+    regions, presets, samples = bank(2)
+    cfg = Config(**(CFG.__dict__ | {"max_voices": 9}))
+    kept, mixes = {}, []
+    monkeypatch.setattr(performance, "written", lambda df, name, w=performance.written: kept.setdefault(name, []).append(w(df, name)) or kept[name][-1])
+    for width in (1, 1 << 20):
+        monkeypatch.setattr(performance, "STRETCH", width)
+        mixes.append({r["frame"]: (r["l"], r["r"]) for r in played(spark, events(2), regions, presets, samples, cfg)["mix"].collect()})
+    assert mixes[0].keys() == mixes[1].keys() and len(mixes[0]) > 2000
+    assert all(mixes[0][f] == pytest.approx(mixes[1][f], abs=1e-9) for f in mixes[0])
+    apart, whole = kept["performance-sums"]
+    assert whole.groupBy("block").count().agg(F.max("count")).first()[0] == 1
+    # At most 9 voices sound and 2 fade in a block, in as many stretches at most; most have ended long before.
+    assert apart.groupBy("block").count().agg(F.max("count")).first()[0] <= 11
+    assert apart.count() < 6 * whole.count()
