@@ -1,8 +1,11 @@
 """Near-duplicates against brute force over all pairs."""
 
+import os
 import random
+from pathlib import Path
 
 from tonemill.llm import near_duplicates
+from tonemill.llm.common import materialize, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n int, component string"
 
@@ -214,3 +217,23 @@ def test_families_of_one_template_meet_in_proportion(spark):
         assert [got[i] for i in range(n)] == label
     # 168 and 739 when written; by the square it would be sixteen times as many.
     assert seen[1] <= 6 * max(seen[0], 50)
+
+
+def test_registers_are_held_once(spark, monkeypatch):
+    """Registers go where nothing reads them any more: never twice beside what
+    else a step holds, and bands not behind the step that reads them."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before, held = set(os.listdir(folder)), {}
+
+    def watched(df, name):
+        out = materialize(df, name)
+        held.setdefault(name, {f.rpartition("-")[0] for f in set(os.listdir(folder)) - before if "." not in f})
+        return out
+
+    monkeypatch.setattr(near_duplicates, "materialize", watched)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(k, " ".join(words[: 50 + k])) for k in range(6)] + [(6, " ".join(words[:50])), (7, None)]
+    got = near_duplicates.near_duplicates(docs(spark, texts), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: 0 for k in range(7)} | {7: 7}
+    assert "class-heads" in held["band-members"] and "sketches" not in held["band-members"]
+    assert "class-sketches" in held["confirmed"] and not held["confirmed"] & {"sketches", "class-heads"}

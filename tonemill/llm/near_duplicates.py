@@ -387,18 +387,24 @@ def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     classes = materialize(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class"), F.count("*").alias("members")).filter("members > 1"), "set-classes")
     member = filled.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).filter("doc_id <> class")
     copies = materialize(member.select(F.col("class").alias("a"), F.col("doc_id").alias("b"), "k1", "k2").distinct(), "copies")
-    heads = materialize(filled.filter("sketch is not null").join(small(copies.select(F.col("b").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_anti"), "class-heads")
+    heads = materialize(filled.filter("sketch is not null").join(small(copies.select(F.col("b").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_anti").select("doc_id", "n", "sketch", "bands"), "class-heads")
+    # Registers and bands are most of what is held: they go as soon as nothing reads them.
+    keys = materialize(sketched.select("doc_id", "n", "k1", "k2"), "set-keys")
+    filled = keys.filter("n > 0 and doc_id is not null")
+    discard(sketched)
 
     banded = heads.select("doc_id", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     company = materialize(banded.join(shared, "band").select("band", F.col("doc_id").alias("b"), F.col("n").alias("nb"), "members"), "band-members")
+    drawn = materialize(heads.select("doc_id", "sketch"), "class-sketches")
+    discard(heads)
     known = company.join(company.groupBy("b").agg(F.sum("members").alias("company")), "b")
     hubs = known.groupBy("band").agg(F.max(F.struct("company", (-F.col("b")).alias("a"), F.col("nb").alias("na"))).alias("m")).select("band", (-F.col("m.a")).alias("a"), F.col("m.na").alias("na"))
     crowd = materialize(company.join(hubs, "band").select("band", "a", "na", "b", "nb"), "band-hubs")
     fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        of = lambda end: heads.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s{end}"))
+        of = lambda end: drawn.select(F.col("doc_id").alias(end), F.col("sketch").alias(f"s{end}"))
         valued = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("likeness", _estimated("sa", "sb"))
         return valued.filter(F.col("likeness") >= PERCENT / 100 - MARGIN).select("a", "b")
 
@@ -418,9 +424,8 @@ def link(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     twice = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     tied = filled.join(twice, "doc_id").join(classes, ["n", "k1", "k2"]).filter("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b")).distinct()
     linked = components(sure.unionByName(tied))
-    sizes = materialize(sketched.select("doc_id", "n"), "set-sizes")
-    discard(sketched, classes, copies, heads, company, crowd, pairs, placed, mixed, groups, sets, met)
-    return sizes, linked
+    discard(classes, copies, drawn, company, crowd, pairs, placed, mixed, groups, sets, met)
+    return keys.select("doc_id", "n"), linked
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
