@@ -217,3 +217,16 @@ def test_sf2_regions_parses_files_once(spark):
 
     plan = plans.QUERIES["sf2_regions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "sf2-records" in plan and "MapInPandas" not in plan
+
+
+def test_soundfont_records_are_never_broadcast(spark, tmp_path):
+    """A table of records is small on disk and large in memory, so no estimate
+    of its size may make the driver gather it."""
+    from tonemill import plans
+
+    fixtures.rich_soundfont(str(tmp_path / "rich.sf2"))
+    for got in (plans.QUERIES["sf2_regions"](spark, "/root/testdata/sf0.001"), soundfont.fetch(soundfont.records(spark, str(tmp_path)))):
+        before = got._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin" in before.toString() and "Broadcast" not in before.toString()
+        assert got.collect()
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,9 @@ Defined cases: what isn't RIFF/sfbk fails; a chunk is cut at its list's end; a
 zone without key or velocity range covers all; a first zone without an
 instrument (or sample) is global and gives defaults to its siblings; swapped
 ranges are put in order.
+
+Records compress to far less than their rows take in memory, so Spark's estimate
+of a table's size says little: joins are marked as merged, never broadcast.
 """
 
 from __future__ import annotations
@@ -109,10 +112,10 @@ def _generators(recs: DataFrame, head: str, bag: str, gen: str, target: str) ->
     owned = owners.select("path", "owner", F.explode(F.expr("if(to > from, sequence(from, to - 1), array())")).alias("zone"))
     spelled = bags.select("path", "zone", F.explode_outer(F.expr("if(end > first, sequence(first, end - 1), cast(array() as array<bigint>))")).alias("i"))
     # The last of equal generators counts.
-    found = spelled.join(gens, ["path", "i"], "left").groupBy("path", "zone", "op").agg(F.max_by("amount", "i").alias("amount"))
+    found = spelled.join(gens.hint("merge"), ["path", "i"], "left").groupBy("path", "zone", "op").agg(F.max_by("amount", "i").alias("amount"))
     maps = found.groupBy("path", "zone").agg(F.map_from_entries(F.collect_list(F.when(F.col("op").isNotNull(), F.struct("op", "amount")))).alias("g"))
     first = F.min("zone").over(Window.partitionBy("path", "owner"))
-    zones = owned.join(maps, ["path", "zone"]).withColumn("_first", first)
+    zones = owned.join(maps.hint("merge"), ["path", "zone"]).withColumn("_first", first)
     aim = F.col("g")[F.lit(GENERATORS[target]).cast("long")]
     return zones.withColumns({"target": aim, "is_global": aim.isNull() & (F.col("zone") == F.col("_first"))}).drop("_first")
 
@@ -129,7 +132,7 @@ def _ranges(g: str, common: str, name: str) -> tuple[Column, Column]:
 def _with_global(zones: DataFrame, prefix: str) -> DataFrame:
     common = zones.filter("is_global").select("path", "owner", F.col("g").alias(f"{prefix}_global"))
     own = zones.filter("not is_global and target is not null").select("path", "owner", F.col("zone").alias(f"{prefix}_zone"), F.col("g").alias(f"{prefix}_g"), F.col("target").alias(f"{prefix}_target"))
-    return own.join(common, ["path", "owner"], "left").withColumnRenamed("owner", f"{prefix}_owner")
+    return own.join(common.hint("merge"), ["path", "owner"], "left").withColumnRenamed("owner", f"{prefix}_owner")
 
 
 def regions(recs: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def regions(recs: DataFrame) -> DataFrame:
     offsets, in musical units."""
     presets = _with_global(_generators(recs, "phdr", "pbag", "pgen", "instrument"), "p")
     instruments = _with_global(_generators(recs, "inst", "ibag", "igen", "sample"), "i")
-    both = presets.join(instruments.withColumnRenamed("i_owner", "p_target"), ["path", "p_target"])
+    both = presets.join(instruments.withColumnRenamed("i_owner", "p_target").hint("merge"), ["path", "p_target"])
     k = intersect(*_ranges("p_g", "p_global", "key_range"), *_ranges("i_g", "i_global", "key_range"))
     v = intersect(*_ranges("p_g", "p_global", "vel_range"), *_ranges("i_g", "i_global", "vel_range"))
 
@@ -150,7 +153,7 @@ def regions(recs: DataFrame) -> DataFrame:
     far = lambda name: merged(name) + merged(f"{name}_coarse") * 32768
     mode = merged("modes").bitwiseAND(3)
     heads = recs.filter("chunk = 'phdr'").select("path", F.col("idx").alias("p_owner"), F.col("name").alias("preset_name"), F.col("b").alias("bank"), F.col("c").alias("program"))
-    return both.join(heads, ["path", "p_owner"]).select(
+    return both.join(heads.hint("merge"), ["path", "p_owner"]).select(
         "path",
         F.col("p_owner").alias("preset"),
         "preset_name",
@@ -197,14 +200,14 @@ def samples(recs: DataFrame) -> DataFrame:
 
 def used_samples(recs: DataFrame) -> DataFrame:
     """The samples that a region refers to."""
-    return samples(recs).join(regions(recs).select("path", "sample").distinct(), ["path", "sample"], "left_semi")
+    return samples(recs).join(regions(recs).select("path", "sample").distinct().hint("merge"), ["path", "sample"], "left_semi")
 
 
 def fetch(recs: DataFrame) -> DataFrame:
     """(path, sample, pcm): frames of the used samples only; each is a ranged
     read of its file by the task that needs it."""
     smpl = recs.filter("chunk = 'smpl'").select("path", F.col("a").alias("base"), F.col("b").alias("frames"))
-    wanted = used_samples(recs).join(smpl, "path").select("path", "sample", "base", F.least("start", "frames").alias("start"), F.least("end", "frames").alias("end"))
+    wanted = used_samples(recs).join(smpl.hint("merge"), "path").select("path", "sample", "base", F.least("start", "frames").alias("start"), F.least("end", "frames").alias("end"))
 
     def pull(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
