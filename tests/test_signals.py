@@ -359,6 +359,27 @@ def test_no_row_of_a_slot_and_a_change_is_shuffled(spark):
     assert len(behind) == 2 and not any(n in behind[0] for n in ("Exchange", "Sort", "Window"))
 
 
+def test_changes_are_spelled_out_in_tasks_dealt_by_number(spark):
+    """2500 changes, three notes amid them: a slot's windows are made once, and
+    the rows come from as many tasks as are set, few as are the bytes read."""
+    rows = spark.range(2503).selectExpr("id as seq", "if(id in (700, 1100, 2400), 7L, null) as slot", "bigint(id < 0) as ch", "case id when 700 then 'note_on' when 1100 then 'note_off' when 2400 then 'note_on' else 'controller' end as kind", "id % 2 = 0 as p")
+    out = gates.sustained(rows, "p")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning(slot") == 1
+    want, ons, offs, published, down, was = [], 0, 0, 0, False, False
+    for seq in range(2503):
+        note = seq in (700, 1100, 2400)
+        if not note:
+            if (seq % 2 == 0) == was:
+                continue
+            down = was = seq % 2 == 0
+        ons += seq in (700, 2400)
+        offs += seq == 1100
+        published = published if down else offs
+        want.append((7, 0, seq, "note_on" if note and seq != 1100 else "note_off" if note else "controller", None if note else down, ons, offs, ons - offs, down, published))
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[2]) == want
+
+
 def test_fixed_scale_cuts_exactly(spark):
     """Fractions of up to 1 - 2^-24, which six digits round up; both signs."""
     pairs = [(v, f) for v in (1, (1 << 24) - 1, 1_704_067_211_172_425, -5, 0) for f in ((1 << 24) - 1, (1 << 24) + 99_991 * 99, 1)]
